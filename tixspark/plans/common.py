@@ -22,9 +22,11 @@ STATUSES = ("unrouted", "resolved", "semantic_cache_resolved", "human_review_req
 
 
 def latest_tickets(tickets: DataFrame, values=TICKET_VALUES) -> DataFrame:
-    # Tie-break equal timestamps by a hash of the row so the pick is deterministic.
+    # Tie-break equal timestamps by a hash of short identifying columns so the pick is
+    # deterministic without hashing long text.
     return latest_by_key(
-        tickets, "ticket_id", ["created_at", F.xxhash64(*values)], list(values), latest_alias="latest_created_at"
+        tickets, "ticket_id", ["created_at", F.xxhash64("number", "short_description")], list(values),
+        latest_alias="latest_created_at",
     )
 
 

@@ -20,9 +20,10 @@ from ..sources.fixtures import with_views
 from .common import STATUSES, latest_decisions, latest_tickets, ticket_status
 from .registry import register
 
+# Only the columns a query reads travel through the shuffle: the latest-row struct is
+# opaque to nested-column pruning, so long text columns are listed only when used.
 SEARCH_TICKET_VALUES = (
-    "number", "short_description", "description", "sanitized_text", "category", "assignment_group",
-    "resolution", "urgency", "impact", "source",
+    "number", "short_description", "sanitized_text", "category", "assignment_group", "urgency", "impact", "source",
 )
 SEARCH_DECISION_VALUES = (
     "assigned_category", "confidence_score", "retrieval_similarity", "verifier_score", "escalation_required",
@@ -43,14 +44,15 @@ def text_match(q: str, cols: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.lower(F.col(c)).contains(needle) for c in cols])
 
 
-def ticket_decision_join(tickets: DataFrame, decisions: DataFrame) -> DataFrame:
+def ticket_decision_join(
+    tickets: DataFrame, decisions: DataFrame, ticket_values=SEARCH_TICKET_VALUES
+) -> DataFrame:
     """Latest ticket ⟕ latest decision with the reference's NULL defaults (Q1)."""
-    t = latest_tickets(tickets, SEARCH_TICKET_VALUES)
+    t = latest_tickets(tickets, ticket_values)
     d = latest_decisions(decisions, SEARCH_DECISION_VALUES).withColumnRenamed("ticket_id", "d_ticket_id")
     j = t.join(d, t.ticket_id == d.d_ticket_id, "left")
     return j.select(
-        "ticket_id", "number", "short_description", "sanitized_text", "category", "assignment_group", "urgency",
-        "impact", "source", "resolution",
+        "ticket_id", *ticket_values,
         F.col("latest_created_at").alias("created_at"),
         ticket_status(F.col("d_ticket_id"), F.col("escalation_required"), F.col("semantic_cache_hit")).alias("status"),
         F.coalesce("route_path", F.lit("unrouted")).alias("route_path"),
@@ -95,7 +97,8 @@ def search_tickets(
     check_bound("urgency", urgency, 1, 3)
     check_bound("impact", impact, 1, 3)
     check_bound("limit", limit, 1, 300)
-    j = ticket_decision_join(tickets, decisions)
+    values = SEARCH_TICKET_VALUES if q.strip() else tuple(c for c in SEARCH_TICKET_VALUES if c != "sanitized_text")
+    j = ticket_decision_join(tickets, decisions, values)
     preds: list[Column] = []
     if q.strip():
         preds.append(text_match(q, ("ticket_id", "number", "short_description", "sanitized_text")))
