@@ -207,10 +207,124 @@ from conversations""",
 }
 
 
+VIEW_DEPS = {"redacted_docs": ("redaction",), "privacy_audit": ("redaction", "redacted_docs")}
+
+
 def with_views(sql: str, *names: str) -> str:
-    """Prefix ``sql`` with the named fixture views as CTEs (order = dependency order)."""
-    ctes = ",\n".join(f"{n} as ({FIXTURE_SQL[n]}\n)" for n in names)
+    """Prefix ``sql`` with the named fixture views (and their dependencies) as CTEs."""
+    ordered: list[str] = []
+    for n in names:
+        for dep in (*VIEW_DEPS.get(n, ()), n):
+            if dep not in ordered:
+                ordered.append(dep)
+    ctes = ",\n".join(f"{n} as ({FIXTURE_SQL[n]}\n)" for n in ordered)
     body = sql.strip()
     if body.lower().startswith("with "):
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"
+
+
+def _redaction_sql(docs_sql: str) -> str:
+    """DuckDB rendering of the redaction rules over ``docs(doc_id, text)``: one row per
+    kept finding plus, per document, the sanitized text (recursive greedy fold)."""
+    from ..functions.redact import DETECTORS
+
+    vals = ",\n".join(
+        f"({i}, '{t}', cast({c} as double), '{p.replace(chr(39), chr(39) * 2)}')"
+        for i, (t, c, p) in enumerate(DETECTORS, 1)
+    )
+    return f"""
+with recursive det(o, t, c, rx) as (values {vals}),
+docs as ({docs_sql}),
+m as (select d.doc_id, det.o, det.t, det.c, regexp_extract_all(d.text, det.rx, 0) as ms, d.text, det.rx
+      from docs d cross join det),
+u as (select doc_id, o, t, c, unnest(ms) as mt, unnest(regexp_split_to_array(text, rx)[1:len(ms)]) as g,
+             unnest(generate_series(1, len(ms))) as j
+      from m where len(ms) > 0),
+p as (select doc_id, o, t, c,
+        cast(sum(length(g) + length(mt)) over (partition by doc_id, o order by j rows between unbounded preceding and current row) - length(mt) as integer) as s,
+        cast(sum(length(g) + length(mt)) over (partition by doc_id, o order by j rows between unbounded preceding and current row) as integer) as e
+      from u),
+q as (select *, row_number() over (partition by doc_id order by s, e desc, o) as rn from p),
+kept(doc_id, rn, e) as (
+  select doc_id, rn, e from q where rn = 1
+  union all
+  select k.doc_id, n.rn, n.e from kept k,
+    lateral (select q.rn, q.e from q where q.doc_id = k.doc_id and q.rn > k.rn and q.s >= k.e order by q.rn limit 1) n
+),
+f as (
+  select q.doc_id, q.t as entity_type,
+    concat('[', q.t, '_', cast(row_number() over (partition by q.doc_id, q.t order by q.s) as varchar), ']') as placeholder,
+    q.c as confidence, cast(q.s as bigint) as start_offset, cast(q.e as bigint) as end_offset
+  from q join kept using (doc_id, rn)
+),
+fs as (
+  select f.*, coalesce(lag(end_offset) over (partition by doc_id order by start_offset), 0) as prev_end from f
+),
+san as (
+  select d.doc_id, d.text,
+    coalesce(string_agg(concat(substring(d.text, cast(fs.prev_end as integer) + 1, cast(fs.start_offset - fs.prev_end as integer)), fs.placeholder), '' order by fs.start_offset), '')
+    || substring(d.text, cast(coalesce(max(fs.end_offset), 0) as integer) + 1) as sanitized_text,
+    count(fs.doc_id) as redacted_count
+  from docs d left join fs on d.doc_id = fs.doc_id
+  group by d.doc_id, d.text
+)
+select 'finding' as kind, f.doc_id, f.entity_type, f.placeholder, f.confidence, f.start_offset, f.end_offset,
+       null as sanitized_text, null as raw_sha256, null as sanitized_sha256, null as redacted_count
+from f
+union all
+select 'doc', doc_id, null, null, null, null, null, sanitized_text, sha256(text), sha256(sanitized_text), redacted_count
+from san
+"""
+
+
+DOCS_SQL = "select doc_id, coalesce(text, '') as text from documents"
+FIXTURE_SQL["redaction"] = _redaction_sql(DOCS_SQL)
+FIXTURE_SQL["redacted_docs"] = """
+select doc_id, sanitized_text, raw_sha256, sanitized_sha256, redacted_count from redaction where kind = 'doc'"""
+FIXTURE_SQL["privacy_audit"] = f"""
+select concat('sync_', substring(r.raw_sha256, 1, 16)) as stream_id, {_KEY.format(c='f.doc_id')} as ticket_id,
+  r.raw_sha256, r.sanitized_sha256, 'privacy-shield-regex-v1' as detector_version,
+  'enterprise-ticket-policy-v1' as policy_version, f.entity_type, f.placeholder, f.confidence,
+  f.start_offset, f.end_offset, timestamp '{EPOCH}' + to_minutes(cast(f.doc_id as bigint)) as created_at
+from redaction f join redacted_docs r on f.doc_id = r.doc_id
+where f.kind = 'finding'"""
+
+
+def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents → redaction columns (sanitized text, findings, hashes, count)."""
+    from ..functions.redact import redact
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return redact(docs, "text")
+
+
+def audit_rows(redacted: DataFrame, ticket_id: Column, stream_id: Column, created_at: Column,
+               detector_version: str | None = None, policy_version: str | None = None,
+               with_id: bool = False) -> DataFrame:
+    """SNK-2: one audit row per finding (documents without findings yield none)."""
+    from ..functions import redact as R
+
+    cols = [
+        stream_id.alias("stream_id"), ticket_id.alias("ticket_id"), F.col("raw_sha256"), F.col("sanitized_sha256"),
+        F.lit(detector_version or R.DETECTOR_VERSION).alias("detector_version"),
+        F.lit(policy_version or R.POLICY_VERSION).alias("policy_version"),
+        F.col("_f.entity_type").alias("entity_type"), F.col("_f.placeholder").alias("placeholder"),
+        F.col("_f.confidence").alias("confidence"), F.col("_f.start_offset").alias("start_offset"),
+        F.col("_f.end_offset").alias("end_offset"), created_at.alias("created_at"),
+    ]
+    if with_id:
+        cols.insert(0, F.expr("uuid()").alias("audit_id"))
+    exploded = redacted.select("*", F.explode("findings").alias("_f"))
+    return exploded.select(*cols)
+
+
+def privacy_audit(spark: SparkSession, sf_dir: str, with_id: bool = False) -> DataFrame:
+    red = redacted_documents(spark, sf_dir)
+    return audit_rows(
+        red,
+        ticket_id=_ticket_key(F.col("doc_id")),
+        stream_id=F.concat(F.lit("sync_"), F.substring("raw_sha256", 1, 16)),
+        created_at=F.timestamp_add("MINUTE", F.col("doc_id"), F.lit(EPOCH).cast("timestamp_ntz")),
+        with_id=with_id,
+    )
