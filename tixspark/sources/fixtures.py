@@ -270,10 +270,12 @@ san as (
   group by d.doc_id, d.text
 )
 select 'finding' as kind, f.doc_id, f.entity_type, f.placeholder, f.confidence, f.start_offset, f.end_offset,
-       null as sanitized_text, null as raw_sha256, null as sanitized_sha256, null as redacted_count
+       cast(null as varchar) as sanitized_text, cast(null as varchar) as raw_sha256,
+       cast(null as varchar) as sanitized_sha256, cast(null as bigint) as redacted_count
 from f
 union all
-select 'doc', doc_id, null, null, null, null, null, sanitized_text, sha256(text), sha256(sanitized_text), redacted_count
+select 'doc', doc_id, cast(null as varchar), cast(null as varchar), cast(null as double), cast(null as bigint),
+       cast(null as bigint), sanitized_text, sha256(text), sha256(sanitized_text), redacted_count
 from san
 """
 
