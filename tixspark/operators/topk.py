@@ -50,12 +50,15 @@ def topk_similar(
     fast_threshold: float = 0.95,
     exclude_self: bool = False,
     block_rows: int = 2048,
+    n_queries: int | None = None,
+    n_corpus: int | None = None,
 ) -> DataFrame:
     """Top-k corpus rows per query: (query_id, rank, corpus_id, similarity, fast_candidate, *carry)."""
     if k < 1:
         raise ValueError("k must be >= 1")
-    nq = _blocks(queries.count(), block_rows)
-    nc = _blocks(corpus.count(), block_rows)
+    # Block counts only size the blocks: callers may pass cheap upper bounds instead.
+    nq = _blocks(queries.count() if n_queries is None else n_queries, block_rows)
+    nc = _blocks(corpus.count() if n_corpus is None else n_corpus, block_rows)
     order_cols = [c for c in corpus_order if c != corpus_id]
     carry_cols = [c for c in carry if c not in (corpus_id, *order_cols)]
     cschema = corpus.select(corpus_id, *order_cols, *carry_cols).schema

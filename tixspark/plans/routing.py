@@ -1 +1,42 @@
-"""routing plans."""
+"""Batch routing over the fixture tickets (SCR-20 and its stages).
+
+Incoming requests are the fixture tickets whose source is 'api' (never approved
+knowledge); the approved corpus is every other eligible ticket with the hashed
+embedding of its sanitized text. Exact duplicate documents produce semantic-cache hits.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.route import decision_records, prepare_corpus, route_tickets, ticket_records
+from ..settings import DEFAULT
+from ..sources import fixtures
+from .registry import register
+
+
+def incoming_requests(tickets: DataFrame) -> DataFrame:
+    return tickets.where(F.col("source") == "api").select(
+        "ticket_id", "number", "short_description", "description", "urgency", "impact",
+        F.lit("").alias("assignment_group"))
+
+
+def routed_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = fixtures.tickets(spark, sf_dir)
+    corpus = prepare_corpus(t, DEFAULT)
+    # Block sizing needs only a row count of the approved corpus, not its embeddings.
+    n_corpus = t.where(F.col("source").isin(*DEFAULT.approved_knowledge_sources)).count()
+    return route_tickets(incoming_requests(t), corpus, DEFAULT, corpus_rows=n_corpus)
+
+
+@register("route_tickets")
+def q_route_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCR-20 end to end: the stored decision rows of a routed batch."""
+    return decision_records(routed_fixture(spark, sf_dir))
+
+
+@register("store_routed")
+def q_store_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-5: the ticket rows a routed batch appends."""
+    return ticket_records(routed_fixture(spark, sf_dir)).drop("embedding")
