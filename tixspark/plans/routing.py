@@ -40,3 +40,141 @@ def q_route_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_store_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-5: the ticket rows a routed batch appends."""
     return ticket_records(routed_fixture(spark, sf_dir)).drop("embedding")
+
+
+# ---------------------------------------------------------------------------
+# Stage keys with SQL oracles: retrieval of the driver's vectors against the
+# approved fixture tickets (dim 64), then the in-row scoring of each stage.
+# ---------------------------------------------------------------------------
+
+from ..functions import rules as R  # noqa: E402
+from ..functions import scoring as S  # noqa: E402
+from ..operators.topk import topk_similar  # noqa: E402
+from ..settings import FIXTURE  # noqa: E402
+from ..sources.fixtures import with_views  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+from .text_jobs import _CAT_MAP_SQL, _strip, _title_sql  # noqa: E402
+from .vectors import approved_knowledge  # noqa: E402
+
+
+def retrieved_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id (= vec_id) → retrieved array (k = 5) over the approved fixture corpus."""
+    e = read_table(spark, sf_dir, "embeddings")
+    corpus = approved_knowledge(fixtures.tickets_with_embedding(spark, sf_dir), FIXTURE).select(
+        "ticket_id", "embedding", "created_at", "category", "assignment_group", "resolution", "source")
+    hits = topk_similar(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding")),
+                        corpus, FIXTURE.rag_top_k, carry=("category", "assignment_group", "resolution", "source"),
+                        fast_threshold=FIXTURE.fast_path_similarity_threshold, block_rows=256)
+    return hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
+        "rank", "ticket_id", "similarity", "category", "assignment_group", "resolution", "source", "created_at"
+    ))).alias("retrieved"))
+
+
+def _norm_cat_sql(c: str) -> str:
+    k = _strip(c)
+    return f"coalesce({_CAT_MAP_SQL.replace('lower(k)', f'lower({k})')}, case when {k} <> '' then {_title_sql(k)} end, 'Application')"
+
+
+_RETRIEVAL_SQL = f"""
+c as (select t.ticket_id, t.created_at, t.category, t.assignment_group, t.resolution, t.source, e.embedding
+      from tickets t join embeddings e on e.vec_id = t.doc_id
+      where len(e.embedding) = 64 and t.source in ('6StringNinja/synthetic-servicenow-incidents', 'curated', 'historical', 'seed')
+        and t.assignment_group <> 'Pending Review' and {_strip('t.resolution')} <> ''),
+p as (select q.vec_id as query_id, c.ticket_id, c.created_at, c.category, c.assignment_group, c.resolution, c.source,
+        list_cosine_similarity(cast(q.embedding as double[]), cast(c.embedding as double[])) as s
+      from embeddings q cross join c),
+r as (select *, row_number() over (partition by query_id order by (s >= 0.95) desc, s desc, created_at, ticket_id) as rank
+      from p qualify rank <= 5),
+rn as (select *, {_norm_cat_sql('category')} as ncat, greatest(s, 0.0) as w, greatest(0.0, least(1.0, s)) as cs from r),
+stats as (select query_id, max(cs) filter (where rank = 1) as top, avg(cs) as av, avg(cs) filter (where rank <= 3) as top3,
+            avg(case when {_strip('resolution')} <> '' then 1.0 else 0.0 end) as cov, count(*) as n,
+            bool_or(s >= 0.95) as has_fast from rn group by query_id),
+cv as (select query_id, ncat, sum(w) as wt, min(rank) as first_rank from rn group by query_id, ncat),
+cw as (select query_id, ncat as dominant_category, wt / case when sum(wt) over (partition by query_id) = 0 then 1.0
+            else sum(wt) over (partition by query_id) end as consensus
+       from cv qualify row_number() over (partition by query_id order by wt desc, first_rank) = 1),
+ev as (select s.query_id, s.top, s.av, s.top3, s.cov, s.n, s.has_fast, cw.dominant_category, cw.consensus,
+         round(greatest(0.0, least(1.0, 0.45 * s.top + 0.20 * s.top3 + 0.20 * cw.consensus + 0.15 * s.cov)), 4) as quality,
+         case when s.has_fast and s.top >= 0.95 then 'cache_ready'
+              when s.top >= 0.7 and cw.consensus >= 0.45 and s.cov >= 0.80 then 'strong'
+              when s.top >= 0.50 and s.cov >= 0.50 then 'usable' else 'weak' end as band
+       from stats s join cw using (query_id))
+"""
+
+
+def _stage_sql(body: str) -> str:
+    return with_views(f"with {_RETRIEVAL_SQL} {body}", "tickets")
+
+
+@register("evidence_quality", _stage_sql("""
+select query_id, round(top, 4) as top_similarity, round(av, 4) as average_similarity, round(top3, 4) as top3_average,
+  round(cov, 4) as resolution_coverage, cast(n as integer) as evidence_count, dominant_category,
+  round(consensus, 4) as category_consensus, quality as quality_score, band as quality_band from ev"""))
+def q_evidence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-24/26 + SCR-1/2: evidence statistics, category consensus, quality and band."""
+    r = retrieved_lists(spark, sf_dir)
+    ev = S.rag_evidence(F.col("retrieved"), S.fast_path_match(F.col("retrieved"), FIXTURE), FIXTURE)
+    return r.select("query_id", ev["top_similarity"].alias("top_similarity"),
+                    ev["average_similarity"].alias("average_similarity"), ev["top3_average"].alias("top3_average"),
+                    ev["resolution_coverage"].alias("resolution_coverage"), ev["evidence_count"].alias("evidence_count"),
+                    ev["dominant_category"].alias("dominant_category"),
+                    ev["category_consensus"].alias("category_consensus"), ev["quality_score"].alias("quality_score"),
+                    ev["quality_band"].alias("quality_band"))
+
+
+@register("evidence_items", _stage_sql("""
+select query_id, cast(rank as integer) as rank, ticket_id, ncat as category, assignment_group, source,
+  round(s, 4) as similarity,
+  case when s >= 0.95 and ticket_id = first_value(ticket_id) over (partition by query_id order by (s >= 0.95) desc, rank)
+       and s >= 0.95 then 'cache_candidate' else 'supporting_context' end as evidence_role,
+  {res} <> '' as resolution_present
+from rn""".replace("{res}", _strip("resolution"))))
+def q_evidence_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCR-3: per-item roles (the fast-path match is the cache candidate)."""
+    r = retrieved_lists(spark, sf_dir)
+    ev = S.rag_evidence(F.col("retrieved"), S.fast_path_match(F.col("retrieved"), FIXTURE), FIXTURE)
+    x = r.select("query_id", F.posexplode(ev["items"]).alias("pos", "it"))
+    return x.select("query_id", (F.col("pos") + 1).alias("rank"), "it.ticket_id", "it.category", "it.assignment_group",
+                    "it.source", "it.similarity", "it.evidence_role", "it.resolution_present")
+
+
+@register("triage", _stage_sql(f"""
+, tv as (select query_id, category, sum(w) as wt, min(rank) as first_rank from rn group by query_id, category),
+tw as (select query_id, category, wt / case when sum(wt) over (partition by query_id) = 0 then 1.0
+         else sum(wt) over (partition by query_id) end as share
+       from tv qualify row_number() over (partition by query_id order by wt desc, first_rank) = 1)
+select query_id, {_norm_cat_sql('category')} as category, round(greatest(0.35, least(0.98, share)), 4) as confidence from tw"""))
+def q_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCR-4: vote on the raw retrieved categories, winner normalised, share clamped."""
+    r = retrieved_lists(spark, sf_dir)
+    t = S.triage(F.col("retrieved"), R.keyword_category(F.lit("")))
+    return r.select("query_id", t["category"].alias("category"), t["confidence"].alias("confidence"))
+
+
+@register("resolver_vote", _stage_sql("""
+, gv as (select query_id, assignment_group as g, sum(w) as wt, min(rank) as first_rank from rn
+         where assignment_group <> '' and assignment_group not in ('Pending Review', 'IT Support') group by query_id, assignment_group),
+gr as (select *, row_number() over (partition by query_id order by wt desc, first_rank) as pos,
+         sum(wt) over (partition by query_id) as total from gv)
+select query_id, max(g) filter (where pos = 1) as "group",
+  round(greatest(0.0, least(1.0, max(wt) filter (where pos = 1) / case when max(total) = 0 then 1.0 else max(total) end)), 4) as confidence,
+  coalesce(string_agg(g, ',' order by pos) filter (where pos between 2 and 4), '') as alternates
+from gr group by query_id"""))
+def q_resolver_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-25 + WIN-8 + SCR-7 (consensus branch): winner, confidence, 3 alternates."""
+    r = retrieved_lists(spark, sf_dir)
+    rec = S.resolver_recommendation(F.col("retrieved"), F.lit(""), F.lit(""), F.lit(""), F.lit(0.0))
+    return r.where(rec["source"] == "retrieval_consensus").select(
+        "query_id", rec["group"].alias("group"), rec["confidence"].alias("confidence"),
+        F.array_join(rec["alternates"], ",").alias("alternates"))
+
+
+@register("fast_path_match", _stage_sql("""
+select query_id, ticket_id as matched_ticket_id, round(s, 6) as similarity from rn
+where s >= 0.95 qualify row_number() over (partition by query_id order by rank) = 1"""))
+def q_fast_path_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-2: first eligible retrieved row at/above the cache threshold."""
+    r = retrieved_lists(spark, sf_dir)
+    m = S.fast_path_match(F.col("retrieved"), FIXTURE)
+    return r.where(m.isNotNull()).select("query_id", m["ticket_id"].alias("matched_ticket_id"),
+                                         F.round(m["similarity"], 6).alias("similarity"))
