@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numeric import pyround
+
 # --- fixed values: term lists and labels of the reference ---------------------------
 KEYWORD_RULES: tuple[tuple[tuple[str, ...], str, float], ...] = (
     (("api", "application", "app", "gateway", "payment", "portal", "service", "transfer", "upload", "checkout",
@@ -153,7 +155,7 @@ def privacy_risk(findings: Column, redacted_count: Column, security: Column) ->
     entity = F.aggregate(findings, F.lit(0.0), lambda acc, f: F.greatest(acc, entity_weight(f["entity_type"])))
     count_risk = F.least(F.lit(0.20), redacted_count * 0.04)
     exposure = F.when(F.size(security) > 0, 0.35).otherwise(0.0)
-    return F.round(F.least(F.lit(0.95), F.greatest(entity, exposure) + count_risk), 4)
+    return pyround(F.least(F.lit(0.95), F.greatest(entity, exposure) + count_risk), 4)
 
 
 def risk_modifier(risk: Column) -> Column:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numeric import pyround
 from ..settings import DEFAULT, Settings
 from .rules import classifier_signals, normalize_category, strip_ws
 
@@ -132,25 +133,25 @@ def rag_evidence(retrieved: Column, fast_match: Column, settings: Settings = DEF
     dom = F.get(vote["ranked"], 0)
     total = F.when(vote["total"] == 0, F.lit(1.0)).otherwise(vote["total"])
     consensus = dom["weight"] / total
-    quality = F.round(clamp01(0.45 * top + 0.20 * top3 + 0.20 * consensus + 0.15 * coverage), 4)
+    quality = pyround(clamp01(0.45 * top + 0.20 * top3 + 0.20 * consensus + 0.15 * coverage), 4)
     band = (F.when(fast_match.isNotNull() & (top >= settings.fast_path_similarity_threshold), "cache_ready")
             .when((top >= settings.rag_similarity_threshold) & (consensus >= 0.45) & (coverage >= 0.80), "strong")
             .when((top >= 0.50) & (coverage >= 0.50), "usable").otherwise("weak"))
     items = F.transform(retrieved, lambda x: F.struct(
         x["ticket_id"].alias("ticket_id"), normalize_category(x["category"]).alias("category"),
         x["assignment_group"].alias("assignment_group"), x["source"].alias("source"),
-        F.round(x["similarity"], 4).alias("similarity"),
+        pyround(x["similarity"], 4).alias("similarity"),
         F.when(fast_match.isNotNull() & (x["ticket_id"] == fast_match["ticket_id"])
                & (x["similarity"] >= settings.fast_path_similarity_threshold), "cache_candidate")
         .otherwise("supporting_context").alias("evidence_role"),
         (strip_ws(x["resolution"]) != "").alias("resolution_present")))
     some = F.struct(
-        quality.alias("quality_score"), band.alias("quality_band"), F.round(top, 4).alias("top_similarity"),
-        F.round(avg, 4).alias("average_similarity"), F.round(consensus, 4).alias("category_consensus"),
-        F.round(coverage, 4).alias("resolution_coverage"), n.alias("evidence_count"),
+        quality.alias("quality_score"), band.alias("quality_band"), pyround(top, 4).alias("top_similarity"),
+        pyround(avg, 4).alias("average_similarity"), pyround(consensus, 4).alias("category_consensus"),
+        pyround(coverage, 4).alias("resolution_coverage"), n.alias("evidence_count"),
         dom["name"].alias("dominant_category"), items.alias("items"),
         F.lit(POLICY_TEMPLATE.format(thr=settings.fast_path_similarity_threshold)).alias("policy"),
-        F.round(top3, 4).alias("top3_average"))
+        pyround(top3, 4).alias("top3_average"))
     empty_items = F.array().cast(
         "array<struct<ticket_id:string,category:string,assignment_group:string,source:string,similarity:double,"
         "evidence_role:string,resolution_present:boolean>>")
@@ -171,9 +172,9 @@ def triage(retrieved: Column, keyword: Column) -> Column:
     total = F.when(vote["total"] == 0, F.lit(1.0)).otherwise(vote["total"])
     share = F.greatest(F.lit(0.35), F.least(F.lit(0.98), win["weight"] / total))
     return F.when(F.size(retrieved) > 0, F.struct(normalize_category(win["name"]).alias("category"),
-                                                  F.round(share, 4).alias("confidence"))) \
+                                                  pyround(share, 4).alias("confidence"))) \
         .otherwise(F.struct(normalize_category(keyword["category"]).alias("category"),
-                            F.round(keyword["confidence"], 4).alias("confidence")))
+                            pyround(keyword["confidence"], 4).alias("confidence")))
 
 
 def resolver_recommendation(retrieved: Column, category: Column, raw_text: Column, sanitized_text: Column,
@@ -183,7 +184,7 @@ def resolver_recommendation(retrieved: Column, category: Column, raw_text: Colum
     vote = weighted_vote(retrieved, lambda x: x["assignment_group"], VOTE_EXCLUDED_GROUPS, top=4)
     win = F.get(vote["ranked"], 0)
     total = F.when(vote["total"] == 0, F.lit(1.0)).otherwise(vote["total"])
-    consensus = F.struct(win["name"].alias("group"), F.round(clamp01(win["weight"] / total), 4).alias("confidence"),
+    consensus = F.struct(win["name"].alias("group"), pyround(clamp01(win["weight"] / total), 4).alias("confidence"),
                          F.lit("retrieval_consensus").alias("source"),
                          F.transform(F.slice(vote["ranked"], 2, 3), lambda r: r["name"]).alias("alternates"))
     cat = normalize_category(category)
@@ -225,16 +226,16 @@ def sla_risk_routing(urgency: Column, impact: Column, confidence: Column, simila
     rag = settings.rag_similarity_threshold
     ver = F.coalesce(F.when(verifier != 0, verifier), F.lit(0.70))
     score = (0.45 * (((4 - urgency) + (4 - impact)) / 6.0) + 0.25 * (1.0 - clamp01(confidence))
-             + 0.15 * F.greatest(F.lit(0.0), rag - similarity) / max(rag, 0.01)
-             + 0.10 * F.greatest(F.lit(0.0), 0.70 - ver) / 0.70 + 0.05 * privacy_risk
+             + 0.15 * (F.greatest(F.lit(0.0), rag - similarity) / max(rag, 0.01))
+             + 0.10 * (F.greatest(F.lit(0.0), 0.70 - ver) / 0.70) + 0.05 * privacy_risk
              + F.when(escalated, 0.15).otherwise(0.0))
-    s = F.round(clamp01(score), 4)
+    s = pyround(clamp01(score), 4)
     return F.struct(s.alias("score"), risk_level(s).alias("level"))
 
 
 def final_confidence(classification: Column, quality: Column, similarity: Column, modifier: Column) -> Column:
     """SCR-13."""
-    return F.round(clamp01(0.35 * classification + 0.35 * clamp01(quality)
+    return pyround(clamp01(0.35 * classification + 0.35 * clamp01(quality)
                            + 0.20 * F.greatest(F.lit(0.0), similarity) + 0.10 * modifier), 4)
 
 

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import pyround
 from ..functions.redact import DETECTORS, pii_hits
 from ..sources import fixtures
 from ..sources.fixtures import with_views
@@ -88,7 +89,7 @@ def audit_analytics(audit: DataFrame) -> DataFrame:
         c = audit.where(F.col(dim) != "").groupBy(F.col(dim).alias("value")).agg(F.count("*").alias("count"))
         w = Window.partitionBy()  # over the small aggregated result only
         parts.append(c.select(F.lit(dim).alias("dimension"), "value", "count",
-                              F.round(F.col("count") / F.max("count").over(w), 4).alias("share_of_max")))
+                              pyround(F.col("count") / F.max("count").over(w), 4).alias("share_of_max")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import pyround
 from ..operators.latest import latest_by_key
 from ..sources import fixtures
 
@@ -45,16 +46,16 @@ def ticket_status(decision_key: Column, escalated: Column, cache_hit: Column) ->
 
 
 def r4(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 4)
+    return pyround(F.col(c) if isinstance(c, str) else c, 4)
 
 
 def r1(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 1)
+    return pyround(F.col(c) if isinstance(c, str) else c, 1)
 
 
 def safe_ratio(num: Column, den: Column) -> Column:
     """0 when the denominator is 0, else round(num/den, 4)."""
-    return F.when(den == 0, F.lit(0.0)).otherwise(F.round(num.cast("double") / den, 4))
+    return F.when(den == 0, F.lit(0.0)).otherwise(pyround(num.cast("double") / den, 4))
 
 
 def risk_level(score: Column) -> Column:

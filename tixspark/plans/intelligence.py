@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import pyround
 from ..settings import DEFAULT, Settings
 from ..sources import fixtures
 from ..sources.fixtures import with_views
@@ -27,6 +28,12 @@ GAP_FALSE = "approved context and LLM decision confidence are sufficient"
 RECOMMENDED_ACTION = "create or refresh a runbook for this category and review similar escalations"
 
 
+def exact_avg(c: str) -> Column:
+    """Mean whose sum is exact (decimal), so the result does not depend on the order in
+    which partial sums meet; the oracle computes it the same way."""
+    return F.sum(F.col(c).cast("decimal(38,12)")).cast("double") / F.count(c)
+
+
 def clamp01(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
@@ -40,7 +47,7 @@ def estimate_sla_risk(urgency: Column, impact: Column, confidence: Column, simil
     verifier_gap = F.greatest(F.lit(0.0), 0.70 - verifier) / 0.70
     score = (0.45 * priority + 0.25 * uncertainty + 0.15 * retrieval_gap + 0.10 * verifier_gap
              + 0.05 * privacy_risk + F.when(escalated, 0.15).otherwise(0.0))
-    return F.round(clamp01(score), 4)
+    return pyround(clamp01(score), 4)
 
 
 FACT_DECISION_VALUES = (
@@ -129,8 +136,8 @@ def knowledge_gaps(facts: DataFrame, n: int = 12) -> DataFrame:
         .withColumnRenamed("knowledge_gap_reason", "reason")
     agg = gaps.groupBy("category", "reason").agg(
         F.count("*").alias("count"), F.max("sla_risk_score").alias("_max"),
-        r4(F.avg("retrieval_similarity")).alias("avg_retrieval_similarity"),
-        r4(F.avg("verifier_score")).alias("avg_verifier_score"))
+        r4(exact_avg("retrieval_similarity")).alias("avg_retrieval_similarity"),
+        r4(exact_avg("verifier_score")).alias("avg_verifier_score"))
     w = Window.partitionBy("category", "reason").orderBy(
         F.col("sla_risk_score").desc(), F.col("created_at").desc(), F.col("ticket_id").desc())
     ex = (gaps.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 3)
@@ -193,10 +200,10 @@ k as (
     case when resolver_group <> '' then resolver_group else coalesce(m_group, t_group, '') end as group_sql,
     coalesce(t_group, '') as own_group, coalesce(t_urgency, 3) as u, coalesce(t_impact, 3) as i,
     round(greatest(0.0, least(1.0,
-      0.45 * ((4 - coalesce(t_urgency, 3)) + (4 - coalesce(t_impact, 3))) / 6.0
+      0.45 * (cast((4 - coalesce(t_urgency, 3)) + (4 - coalesce(t_impact, 3)) as double) / 6.0)
       + 0.25 * (1.0 - greatest(0.0, least(1.0, confidence_score)))
-      + 0.15 * greatest(0.0, 0.7 - retrieval_similarity) / 0.7
-      + 0.10 * greatest(0.0, 0.70 - verifier_score) / 0.70
+      + 0.15 * (greatest(0.0, 0.7 - retrieval_similarity) / 0.7)
+      + 0.10 * (greatest(0.0, 0.70 - verifier_score) / 0.70)
       + 0.05 * privacy_risk + case when escalation_required = 1 then 0.15 else 0.0 end)), 4) as est,
     (knowledge_gap = 1 or retrieval_similarity < 0.7 or verifier_score < 0.70) as gap
   from j),
@@ -268,7 +275,8 @@ def q_sla_risk_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("knowledge_gaps", _facts_sql(f"""
 , g as (select assigned_category as category, knowledge_gap_reason as reason, * from facts where knowledge_gap = 1),
 a as (select category, reason, count(*) as count, max(sla_risk_score) as mx,
-        round(avg(retrieval_similarity), 4) as avg_retrieval_similarity, round(avg(verifier_score), 4) as avg_verifier_score
+        round(cast(sum(cast(retrieval_similarity as decimal(38,12))) as double) / count(retrieval_similarity), 4) as avg_retrieval_similarity,
+        round(cast(sum(cast(verifier_score as decimal(38,12))) as double) / count(verifier_score), 4) as avg_verifier_score
       from g group by category, reason),
 e as (select category, reason, string_agg(ticket_id, ',' order by rn) as example_ticket_ids from (
         select category, reason, ticket_id,

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.numeric import python_round_sql
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -18,7 +20,8 @@ def register(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
             raise ValueError(f"duplicate query {name!r}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql
+            # The reference rounds like Python; so does the oracle.
+            ORACLES[name] = python_round_sql(sql)
         return fn
 
     return deco

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import pyround
 from ..operators.route import decision_records, prepare_corpus, route_tickets, ticket_records
 from ..settings import DEFAULT
 from ..sources import fixtures
@@ -177,4 +178,145 @@ def q_fast_path_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = retrieved_lists(spark, sf_dir)
     m = S.fast_path_match(F.col("retrieved"), FIXTURE)
     return r.where(m.isNotNull()).select("query_id", m["ticket_id"].alias("matched_ticket_id"),
-                                         F.round(m["similarity"], 6).alias("similarity"))
+                                         pyround(m["similarity"], 6).alias("similarity"))
+
+
+def _ev_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence per query joined with the query's own fixture ticket (doc_id = vec_id)."""
+    r = retrieved_lists(spark, sf_dir)
+    fast = S.fast_path_match(F.col("retrieved"), FIXTURE)
+    r = r.withColumn("fast_match", fast).withColumn("ev", S.rag_evidence(F.col("retrieved"), fast, FIXTURE))
+    t = fixtures.tickets(spark, sf_dir).select(F.col("doc_id").alias("query_id"), "sanitized_text", "description",
+                                               "urgency", "impact")
+    return r.join(t, "query_id")
+
+
+_EV_TICKET_SQL = """
+, tk as (select doc_id as query_id, sanitized_text, description, urgency, impact from tickets),
+e2 as (select ev.*, tk.sanitized_text, tk.description, tk.urgency, tk.impact,
+         round(coalesce((select max(s) filter (where rank = 1) from r where r.query_id = ev.query_id), 0), 4) as sim
+       from ev join tk using (query_id))
+"""
+
+
+def _review_reason_sql(san: str, raw: str) -> str:
+    from .text_jobs import _any, _q, _security_sql
+    return (f"case when urgency = 1 or impact = 1 then {_q(R.REASON_CRITICAL)} "
+            f"when {_security_sql('lower(' + raw + ')')} <> '' then {_q(R.REASON_CREDENTIAL)} "
+            f"when {_any('lower(' + san + ')', R.OUT_OF_SCOPE_TERMS)} then {_q(R.REASON_SCOPE)} "
+            f"when {_any('lower(' + san + ')', R.HIGH_RISK_TERMS)} then {_q(R.REASON_RISK)} end")
+
+
+@register("decision_fallback", _stage_sql(_EV_TICKET_SQL + f"""
+, d as (select e2.*, {_review_reason_sql('sanitized_text', 'description')} as reason,
+          (select ticket_id from r where r.query_id = e2.query_id and rank = 1) as top_id,
+          (select resolution from r where r.query_id = e2.query_id and rank = 1) as top_res
+        from e2)
+select query_id, reason is not null as escalation_required,
+  case when reason is not null then cast(0.42 as double) when top_id is not null and {_strip("top_res")} <> '' then cast(0.62 as double) else cast(0.58 as double) end as confidence,
+  case when reason is not null then ['Route this ticket to human support triage: ' || reason,
+        '{S.ESCALATION_STEP_2}', '{S.ESCALATION_STEP_3}']
+       else ['Classify as ' || dominant_category || ' and compare with similar incident ' || top_id || '.', top_res,
+             '{S.VALIDATE_STEP}'] end as steps
+from d"""))
+def q_decision_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCR-15 + CLS-3: the deterministic decision for each query ticket (category = the
+    evidence's dominant category; every query here has retrieved evidence)."""
+    f = _ev_frame(spark, sf_dir)
+    sec = R.security_findings(F.col("description"))
+    reason = R.review_reason(F.col("sanitized_text"), F.col("urgency"), F.col("impact"), sec)
+    d = S.fallback_decision(F.col("ev.dominant_category"), F.col("retrieved"), reason)
+    return f.select("query_id", d["escalation_required"].alias("escalation_required"),
+                    d["confidence"].alias("confidence"), d["steps"].alias("steps"))
+
+
+@register("knowledge_gap_signal", _stage_sql(_EV_TICKET_SQL + f"""
+, d as (select e2.*, {_review_reason_sql('sanitized_text', 'description')} as reason from e2),
+v as (select *, case when reason is not null then 0.42 else 0.62 end as verifier,
+        case when reason is not null then 'human_review_required' else 'generative_rag' end as route from d)
+select query_id,
+  case when band in ('none', 'weak') then 1 when verifier < 0.70 and route = 'generative_rag' then 1 else 0 end as is_gap,
+  case when band in ('none', 'weak') then 'RAG evidence quality is ' || band || '; LLM must treat retrieved context as low-confidence support'
+       when verifier < 0.70 and route = 'generative_rag' then '{S.GAP_VERIFIER}' else '{S.GAP_NONE}' end as reason,
+  case when band in ('none', 'weak') then (case when band = 'none' or sim < 0.50 then 'critical' else 'elevated' end)
+       when verifier < 0.70 and route = 'generative_rag' then 'elevated' else 'normal' end as severity
+from v"""))
+def q_knowledge_gap_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCR-8 with the fallback decision's verifier and route."""
+    f = _ev_frame(spark, sf_dir)
+    sec = R.security_findings(F.col("description"))
+    reason = R.review_reason(F.col("sanitized_text"), F.col("urgency"), F.col("impact"), sec)
+    verifier = F.when(reason.isNotNull(), 0.42).otherwise(0.62)
+    route = F.when(reason.isNotNull(), "human_review_required").otherwise("generative_rag")
+    sim = F.coalesce(pyround(F.get("retrieved", 0)["similarity"], 4), F.lit(0.0))
+    g = S.knowledge_gap_signal(F.col("ev.quality_band"), sim, verifier, route)
+    return f.select("query_id", g["is_gap"].cast("int").alias("is_gap"), g["reason"].alias("reason"),
+                    g["severity"].alias("severity"))
+
+
+@register("sla_risk_routing", with_views("""
+select event_id, cast(1 + event_id % 3 as integer) as urgency, cast(1 + event_id % 2 as integer) as impact,
+  round(greatest(0.0, least(1.0,
+    0.45 * (cast((4 - (1 + event_id % 3)) + (4 - (1 + event_id % 2)) as double) / 6.0)
+    + 0.25 * (1.0 - greatest(0.0, least(1.0, confidence_score)))
+    + 0.15 * (greatest(0.0, 0.7 - retrieval_similarity) / 0.7)
+    + 0.10 * (greatest(0.0, 0.70 - case when verifier_score = 0 then 0.70 else verifier_score end) / 0.70)
+    + 0.05 * privacy_risk + case when escalation_required = 1 then 0.15 else 0.0 end)), 4) as sla_risk_score
+from routing_decisions""", "routing_decisions"))
+def q_sla_risk_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCR-9 on stored decision scores with priorities derived from the event id."""
+    d = fixtures.routing_decisions(spark, sf_dir)
+    u = (1 + F.col("event_id") % 3).cast("int")
+    i = (1 + F.col("event_id") % 2).cast("int")
+    s = S.sla_risk_routing(u, i, F.col("confidence_score"), F.col("retrieval_similarity"), F.col("verifier_score"),
+                           F.col("privacy_risk"), F.col("escalation_required") == 1)
+    return d.select("event_id", u.alias("urgency"), i.alias("impact"), s["score"].alias("sla_risk_score"))
+
+
+@register("sla_risk_estimate", with_views("""
+select event_id, s as sla_risk_score,
+  case when s >= 0.75 then 'critical' when s >= 0.55 then 'elevated' when s >= 0.35 then 'watch' else 'normal' end as sla_risk_level
+from (select event_id, round(greatest(0.0, least(1.0,
+    0.45 * (cast((4 - (1 + event_id % 3)) + (4 - (1 + event_id % 2)) as double) / 6.0)
+    + 0.25 * (1.0 - greatest(0.0, least(1.0, confidence_score)))
+    + 0.15 * (greatest(0.0, 0.7 - retrieval_similarity) / 0.7)
+    + 0.10 * (greatest(0.0, 0.70 - verifier_score) / 0.70)
+    + 0.05 * privacy_risk + case when escalation_required = 1 then 0.15 else 0.0 end)), 4) as s from routing_decisions)""",
+                                           "routing_decisions"))
+def q_sla_risk_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCR-10/11: the read-time estimate (a verifier of 0 stays 0, Q15) and its level."""
+    from .intelligence import estimate_sla_risk
+    from .common import risk_level
+
+    d = fixtures.routing_decisions(spark, sf_dir)
+    s = estimate_sla_risk((1 + F.col("event_id") % 3), (1 + F.col("event_id") % 2), F.col("confidence_score"),
+                          F.col("retrieval_similarity"), F.col("verifier_score"), F.col("privacy_risk"),
+                          F.col("escalation_required") == 1, 0.70)
+    return d.select("event_id", s.alias("sla_risk_score"), risk_level(s).alias("sla_risk_level"))
+
+
+@register("final_confidence", with_views("""
+select event_id, round(greatest(0.0, least(1.0, 0.35 * classification_confidence + 0.35 * greatest(0.0, least(1.0, verifier_score))
+  + 0.20 * greatest(0.0, retrieval_similarity)
+  + 0.10 * case when privacy_risk >= 0.35 then 0.40 when privacy_risk > 0.15 then 0.70 else 1.0 end)), 4) as confidence_score,
+  round(greatest(0.0, least(1.0, 0.99 - privacy_risk * 0.15)), 4) as cache_confidence
+from routing_decisions""", "routing_decisions"))
+def q_final_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCR-13 (decision path; the verifier column stands in for evidence quality) and the
+    SCR-14 cache-path confidence, over stored decision components."""
+    d = fixtures.routing_decisions(spark, sf_dir)
+    c = S.final_confidence(F.col("classification_confidence"), F.col("verifier_score"),
+                           F.col("retrieval_similarity"), R.risk_modifier(F.col("privacy_risk")))
+    cache = pyround(S.clamp01(0.99 - F.col("privacy_risk") * 0.15), 4)
+    return d.select("event_id", c.alias("confidence_score"), cache.alias("cache_confidence"))
+
+
+@register("grounding_score", _stage_sql("""
+select query_id, cast(case when top >= 0.35 then 0.72 else 0.45 end as double) as verifier_score,
+  cast(case when top >= 0.50 then 0.70 else 0.42 end as double) as verifier_fallback_score from ev"""))
+def q_grounding_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCR-19 (steps are always present after a decision)."""
+    r = retrieved_lists(spark, sf_dir)
+    top = F.get("retrieved", 0)["similarity"]
+    return r.select("query_id", S.grounding_score(top, F.lit(True)).alias("verifier_score"),
+                    S.grounding_score(top, F.lit(True), failure=True).alias("verifier_fallback_score"))

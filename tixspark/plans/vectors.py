@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import pyround
 from ..functions import vectors as V
 from ..functions.rules import strip_ws
 from ..operators.topk import topk_similar
@@ -48,7 +49,7 @@ select v.doc_id, idx, round(v / norm, 6) as value from v join n using (doc_id)""
 def q_hashed_embedding_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents")
     e = V.md5_embedding_entries(d, "doc_id", "text", 384)
-    return e.select("doc_id", "idx", F.round("value", 6).alias("value"))
+    return e.select("doc_id", "idx", pyround("value", 6).alias("value"))
 
 
 @register("cosine_pairs", """
@@ -62,7 +63,7 @@ def q_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = e.select("vec_id", F.col("embedding").alias("a"))
     b = e.select(F.col("vec_id").alias("next_vec_id"), F.col("embedding").alias("b"))
     j = a.join(b, b.next_vec_id == a.vec_id + 1)
-    return j.select("vec_id", "next_vec_id", F.round(V.cosine_unit(F.col("a"), F.col("b")), 6).alias("cosine"))
+    return j.select("vec_id", "next_vec_id", pyround(V.cosine_unit(F.col("a"), F.col("b")), 6).alias("cosine"))
 
 
 @register("approved_knowledge", with_views("""
@@ -89,4 +90,4 @@ def q_topk_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = topk_similar(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding")),
                      e.select(F.col("vec_id").alias("neighbor_id"), "embedding"), k=5,
                      corpus_id="neighbor_id", corpus_order=("neighbor_id",), exclude_self=True, block_rows=256)
-    return r.select("query_id", "rank", "neighbor_id", F.round("similarity", 6).alias("similarity"), "fast_candidate")
+    return r.select("query_id", "rank", "neighbor_id", pyround("similarity", 6).alias("similarity"), "fast_candidate")
