@@ -262,3 +262,20 @@ def review_rows(df: DataFrame) -> DataFrame:
                      *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in opt],
                      F.coalesce(F.col("created_at"), F.current_timestamp()).alias("created_at")
                      if "created_at" in df.columns else F.current_timestamp().alias("created_at"))
+
+
+@register("pipeline_metrics", f"""
+with {_MSG_SQL.strip()},
+red as ({fixtures._redaction_sql("select doc_id, composed as text from v where reject_reason is null")})
+select count(*) filter (where reject_reason is null) as processed,
+  coalesce(sum(r.redacted_count) filter (where reject_reason is null), 0) as redacted_entities,
+  count(*) filter (where reject_reason is not null) as errors
+from v left join red r on r.doc_id = v.doc_id and r.kind = 'doc'""")
+def q_pipeline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-29 / ST-6: the ingest service's counters for a batch of messages."""
+    v = RD.redact(C.validate_ingest(ingest_messages(spark, sf_dir)).withColumn(
+        "raw_text", F.when(F.col("reject_reason").isNull(), F.col("raw_text"))), "raw_text")
+    ok = F.col("reject_reason").isNull()
+    return v.agg(F.count_if(ok).alias("processed"),
+                 F.coalesce(F.sum(F.when(ok, F.col("redacted_count"))), F.lit(0)).cast("bigint").alias("redacted_entities"),
+                 F.count_if(~ok).alias("errors"))
