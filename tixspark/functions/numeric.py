@@ -89,3 +89,14 @@ def python_round_sql(sql: str) -> str:
         nd = int(sql[comma + 1:k - 1].strip())
         out.append(sql[i:j] + _sql_round(arg, nd))
         i = k
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body`` as a lambda variable.
+
+    Catalyst trees duplicate a Python-side Column that is referenced several times, and
+    higher-order functions are not covered by subexpression elimination; binding through
+    a one-element ``transform`` keeps an expensive value (a vote, a regex scan) from
+    being recomputed for every reference.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numeric import let
+
 # --- fixed values: detector table (type, confidence, pattern), order matters ------
 # Patterns are the reference's; "(?i)" marks the case-insensitive ones.
 DETECTORS: tuple[tuple[str, float, str], ...] = (
@@ -44,10 +46,7 @@ FINDING_TYPE = (
 
 def detector_spans(text: Column, order: int, entity_type: str, confidence: float, pattern: str) -> Column:
     """All matches of one detector as span structs; empty array when none."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
     gaps = F.split(text, pattern, -1)
-    lens = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(
-        F.length(g).alias("gl"), F.length(m).alias("ml")))
     init = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_TYPE).alias("out"))
 
     def step(acc: Column, z: Column) -> Column:
@@ -59,9 +58,15 @@ def detector_spans(text: Column, order: int, entity_type: str, confidence: float
         )
         return F.struct(e.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    spans = F.aggregate(lens, init, step)["out"]
-    # split() only runs for texts where the detector matched at all.
-    return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast(SPAN_TYPE))
+    def from_matches(matches: Column) -> Column:
+        lens = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(
+            F.length(g).alias("gl"), F.length(m).alias("ml")))
+        # split() only runs for texts where the detector matched at all.
+        return F.when(F.size(matches) > 0, F.aggregate(lens, init, step)["out"]).otherwise(
+            F.array().cast(SPAN_TYPE))
+
+    # The match array is bound once: it is read by the size test and by the fold.
+    return let(F.regexp_extract_all(text, F.lit(pattern), 0), from_matches)
 
 
 def all_spans(text: Column, detectors=DETECTORS) -> Column:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import pyround
+from .numeric import let, pyround
 
 # --- fixed values: term lists and labels of the reference ---------------------------
 KEYWORD_RULES: tuple[tuple[tuple[str, ...], str, float], ...] = (
@@ -129,10 +129,14 @@ def steps_actionable(steps: Column) -> Column:
 
 
 def python_title(c: Column) -> Column:
-    """Python ``str.title()``: upper after a non-letter, lower after a letter (Q9)."""
-    chars = F.split(c, "")
-    return F.array_join(F.transform(chars, lambda ch, i: F.when(
-        (i == 0) | ~F.get(chars, i - 1).rlike(r"^\p{L}$"), F.upper(ch)).otherwise(F.lower(ch))), "")
+    """Python ``str.title()``: upper after an uncased character, lower after a cased one (Q9)."""
+    def title(chars: Column) -> Column:
+        return F.array_join(F.transform(chars, lambda ch, i: F.when(
+            (i == 0) | (F.upper(F.get(chars, i - 1)) == F.lower(F.get(chars, i - 1))), F.upper(ch))
+            .otherwise(F.lower(ch))), "")
+
+    # A character is cased when upper and lower forms differ (Python's notion).
+    return let(F.split(c, ""), title)
 
 
 def normalize_category(category: Column) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import pyround
+from .numeric import let, pyround
 from ..settings import DEFAULT, Settings
 from .rules import classifier_signals, normalize_category, strip_ws
 
@@ -98,19 +98,24 @@ def _sum(arr: Column) -> Column:
 
 def weighted_vote(retrieved: Column, key, exclude: tuple[str, ...] = (), top: int = 1) -> Column:
     """AGG-24/25 + WIN-8 in-row: sum of max(similarity, 0) per key; ranked by weight desc,
-    ties by first appearance (the reference's ``Counter.most_common``). Returns an array of
-    struct(name, weight) of the ``top`` best and the total weight."""
-    names = F.array_distinct(F.filter(F.transform(retrieved, key),
-                                      lambda n: n.isNotNull() & (n != "") & ~n.isin(*exclude) if exclude
-                                      else n.isNotNull()))
-    scored = F.transform(names, lambda n, i: F.struct(
-        (-_sum(F.transform(F.filter(retrieved, lambda x: key(x) == n),
-                           lambda x: F.greatest(x["similarity"], F.lit(0.0))))).alias("neg"),
-        i.alias("pos"), n.alias("name")))
-    ranked = F.slice(F.array_sort(scored), 1, top)
-    total = _sum(F.transform(scored, lambda s: -s["neg"]))
-    return F.struct(F.transform(ranked, lambda s: F.struct(s["name"].alias("name"), (-s["neg"]).alias("weight")))
-                    .alias("ranked"), total.alias("total"))
+    ties by first appearance (the reference's ``Counter.most_common``). Returns
+    struct(ranked: array<struct(name, weight)> of the ``top`` best, total weight)."""
+    def vote(kw: Column) -> Column:
+        names = F.array_distinct(F.filter(F.transform(kw, lambda e: e["k"]),
+                                          (lambda n: n.isNotNull() & (n != "") & ~n.isin(*exclude)) if exclude
+                                          else (lambda n: n.isNotNull())))
+        scored = F.transform(names, lambda n, i: F.struct(
+            (-_sum(F.transform(F.filter(kw, lambda e: e["k"] == n), lambda e: e["w"]))).alias("neg"),
+            i.alias("pos"), n.alias("name")))
+        ranked = F.slice(F.array_sort(scored), 1, top)
+        total = _sum(F.transform(scored, lambda r: -r["neg"]))
+        return F.struct(F.transform(ranked, lambda r: F.struct(r["name"].alias("name"), (-r["neg"]).alias("weight")))
+                        .alias("ranked"), total.alias("total"))
+
+    # Keys (possibly a normalisation) and weights are computed once per element.
+    keyed = F.transform(retrieved, lambda x: F.struct(key(x).alias("k"),
+                                                      F.greatest(x["similarity"], F.lit(0.0)).alias("w")))
+    return let(keyed, vote)
 
 
 def fast_path_match(retrieved: Column, settings: Settings = DEFAULT) -> Column:
@@ -122,36 +127,48 @@ def fast_path_match(retrieved: Column, settings: Settings = DEFAULT) -> Column:
 
 
 def rag_evidence(retrieved: Column, fast_match: Column, settings: Settings = DEFAULT) -> Column:
-    """SCR-1..3 + AGG-26: the evidence pack as a struct."""
+    """SCR-1..3 + AGG-26: the evidence pack as a struct. Intermediate values are bound
+    once (``let``) so the vote and statistics are not re-evaluated per reference."""
+    return let(F.struct(retrieved.alias("r"), fast_match.alias("f")),
+               lambda b: _rag_evidence(b["r"], b["f"], settings))
+
+
+def _rag_evidence(retrieved: Column, fast_match: Column, settings: Settings) -> Column:
     n = F.size(retrieved)
-    sims = F.transform(retrieved, lambda x: clamp01(x["similarity"]))
-    top = F.coalesce(F.get(sims, 0), F.lit(0.0))
-    avg = _sum(sims) / n
-    top3 = _sum(F.slice(sims, 1, 3)) / F.least(n, F.lit(3))
-    coverage = F.size(F.filter(retrieved, lambda x: strip_ws(x["resolution"]) != "")) / n
-    vote = weighted_vote(retrieved, lambda x: normalize_category(x["category"]))
-    dom = F.get(vote["ranked"], 0)
-    total = F.when(vote["total"] == 0, F.lit(1.0)).otherwise(vote["total"])
-    consensus = dom["weight"] / total
-    quality = pyround(clamp01(0.45 * top + 0.20 * top3 + 0.20 * consensus + 0.15 * coverage), 4)
-    band = (F.when(fast_match.isNotNull() & (top >= settings.fast_path_similarity_threshold), "cache_ready")
-            .when((top >= settings.rag_similarity_threshold) & (consensus >= 0.45) & (coverage >= 0.80), "strong")
-            .when((top >= 0.50) & (coverage >= 0.50), "usable").otherwise("weak"))
-    items = F.transform(retrieved, lambda x: F.struct(
-        x["ticket_id"].alias("ticket_id"), normalize_category(x["category"]).alias("category"),
-        x["assignment_group"].alias("assignment_group"), x["source"].alias("source"),
-        pyround(x["similarity"], 4).alias("similarity"),
-        F.when(fast_match.isNotNull() & (x["ticket_id"] == fast_match["ticket_id"])
-               & (x["similarity"] >= settings.fast_path_similarity_threshold), "cache_candidate")
-        .otherwise("supporting_context").alias("evidence_role"),
-        (strip_ws(x["resolution"]) != "").alias("resolution_present")))
-    some = F.struct(
-        quality.alias("quality_score"), band.alias("quality_band"), pyround(top, 4).alias("top_similarity"),
-        pyround(avg, 4).alias("average_similarity"), pyround(consensus, 4).alias("category_consensus"),
-        pyround(coverage, 4).alias("resolution_coverage"), n.alias("evidence_count"),
-        dom["name"].alias("dominant_category"), items.alias("items"),
-        F.lit(POLICY_TEMPLATE.format(thr=settings.fast_path_similarity_threshold)).alias("policy"),
-        pyround(top3, 4).alias("top3_average"))
+
+    def stats(v: Column) -> Column:
+        sims = F.transform(retrieved, lambda x: clamp01(x["similarity"]))
+        return F.struct(
+            F.coalesce(F.get(sims, 0), F.lit(0.0)).alias("top"), (_sum(sims) / n).alias("avg"),
+            (_sum(F.slice(sims, 1, 3)) / F.least(n, F.lit(3))).alias("top3"),
+            (F.size(F.filter(retrieved, lambda x: strip_ws(x["resolution"]) != "")) / n).alias("coverage"),
+            F.get(v["ranked"], 0)["name"].alias("dominant"),
+            (F.get(v["ranked"], 0)["weight"] / F.when(v["total"] == 0, F.lit(1.0)).otherwise(v["total"]))
+            .alias("consensus"))
+
+    def pack(st: Column) -> Column:
+        top, cons, cov = st["top"], st["consensus"], st["coverage"]
+        quality = pyround(clamp01(0.45 * top + 0.20 * st["top3"] + 0.20 * cons + 0.15 * cov), 4)
+        band = (F.when(fast_match.isNotNull() & (top >= settings.fast_path_similarity_threshold), "cache_ready")
+                .when((top >= settings.rag_similarity_threshold) & (cons >= 0.45) & (cov >= 0.80), "strong")
+                .when((top >= 0.50) & (cov >= 0.50), "usable").otherwise("weak"))
+        items = F.transform(retrieved, lambda x: F.struct(
+            x["ticket_id"].alias("ticket_id"), normalize_category(x["category"]).alias("category"),
+            x["assignment_group"].alias("assignment_group"), x["source"].alias("source"),
+            pyround(x["similarity"], 4).alias("similarity"),
+            F.when(fast_match.isNotNull() & (x["ticket_id"] == fast_match["ticket_id"])
+                   & (x["similarity"] >= settings.fast_path_similarity_threshold), "cache_candidate")
+            .otherwise("supporting_context").alias("evidence_role"),
+            (strip_ws(x["resolution"]) != "").alias("resolution_present")))
+        return F.struct(
+            quality.alias("quality_score"), band.alias("quality_band"), pyround(top, 4).alias("top_similarity"),
+            pyround(st["avg"], 4).alias("average_similarity"), pyround(cons, 4).alias("category_consensus"),
+            pyround(cov, 4).alias("resolution_coverage"), n.alias("evidence_count"),
+            st["dominant"].alias("dominant_category"), items.alias("items"),
+            F.lit(POLICY_TEMPLATE.format(thr=settings.fast_path_similarity_threshold)).alias("policy"),
+            pyround(st["top3"], 4).alias("top3_average"))
+
+    some = let(let(weighted_vote(retrieved, lambda x: normalize_category(x["category"])), stats), pack)
     empty_items = F.array().cast(
         "array<struct<ticket_id:string,category:string,assignment_group:string,source:string,similarity:double,"
         "evidence_role:string,resolution_present:boolean>>")
@@ -167,12 +184,13 @@ def rag_evidence(retrieved: Column, fast_match: Column, settings: Settings = DEF
 def triage(retrieved: Column, keyword: Column) -> Column:
     """SCR-4: struct(category, confidence): vote on the raw retrieved categories (Q7),
     share clamped to [0.35, 0.98]; without retrieval the keyword category."""
-    vote = weighted_vote(retrieved, lambda x: x["category"])
-    win = F.get(vote["ranked"], 0)
-    total = F.when(vote["total"] == 0, F.lit(1.0)).otherwise(vote["total"])
-    share = F.greatest(F.lit(0.35), F.least(F.lit(0.98), win["weight"] / total))
-    return F.when(F.size(retrieved) > 0, F.struct(normalize_category(win["name"]).alias("category"),
-                                                  pyround(share, 4).alias("confidence"))) \
+    def winner(vote: Column) -> Column:
+        win = F.get(vote["ranked"], 0)
+        total = F.when(vote["total"] == 0, F.lit(1.0)).otherwise(vote["total"])
+        share = F.greatest(F.lit(0.35), F.least(F.lit(0.98), win["weight"] / total))
+        return F.struct(normalize_category(win["name"]).alias("category"), pyround(share, 4).alias("confidence"))
+
+    return F.when(F.size(retrieved) > 0, let(weighted_vote(retrieved, lambda x: x["category"]), winner)) \
         .otherwise(F.struct(normalize_category(keyword["category"]).alias("category"),
                             pyround(keyword["confidence"], 4).alias("confidence")))
 
@@ -181,12 +199,16 @@ def resolver_recommendation(retrieved: Column, category: Column, raw_text: Colum
                             privacy_risk: Column) -> Column:
     """SCR-7: retrieval consensus over groups (2 excluded, Q26) with 3 alternates; else the
     category default with the payments and security overrides."""
-    vote = weighted_vote(retrieved, lambda x: x["assignment_group"], VOTE_EXCLUDED_GROUPS, top=4)
-    win = F.get(vote["ranked"], 0)
-    total = F.when(vote["total"] == 0, F.lit(1.0)).otherwise(vote["total"])
-    consensus = F.struct(win["name"].alias("group"), pyround(clamp01(win["weight"] / total), 4).alias("confidence"),
-                         F.lit("retrieval_consensus").alias("source"),
-                         F.transform(F.slice(vote["ranked"], 2, 3), lambda r: r["name"]).alias("alternates"))
+    def consensus_of(vote: Column) -> Column:
+        win = F.get(vote["ranked"], 0)
+        total = F.when(vote["total"] == 0, F.lit(1.0)).otherwise(vote["total"])
+        return F.when(F.size(vote["ranked"]) > 0, F.struct(
+            win["name"].alias("group"), pyround(clamp01(win["weight"] / total), 4).alias("confidence"),
+            F.lit("retrieval_consensus").alias("source"),
+            F.transform(F.slice(vote["ranked"], 2, 3), lambda r: r["name"]).alias("alternates")))
+
+    consensus = let(weighted_vote(retrieved, lambda x: x["assignment_group"], VOTE_EXCLUDED_GROUPS, top=4),
+                    consensus_of)
     cat = normalize_category(category)
     combined = F.concat(F.lower(raw_text), F.lit("\n"), F.lower(sanitized_text))
     payments = F.lit(False)
@@ -198,7 +220,7 @@ def resolver_recommendation(retrieved: Column, category: Column, raw_text: Colum
              .otherwise(F.coalesce(F.try_element_at(defaults, cat), F.lit("Application Operations"))))
     fallback = F.struct(group.alias("group"), F.when(group != "IT Support", 0.62).otherwise(0.45).alias("confidence"),
                         F.lit("category_default").alias("source"), F.array().cast("array<string>").alias("alternates"))
-    return F.when(F.size(vote["ranked"]) > 0, consensus).otherwise(fallback)
+    return F.coalesce(consensus, fallback)
 
 
 def knowledge_gap_signal(band: Column, similarity: Column, verifier: Column, route_path: Column) -> Column:

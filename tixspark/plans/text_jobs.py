@@ -144,7 +144,7 @@ def q_steps_actionable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _title_sql(s: str) -> str:
     return (f"array_to_string(list_transform(string_split({s}, ''), lambda ch, i: case when i = 1 or not "
-            f"regexp_matches(string_split({s}, '')[i - 1], '^\\p{{L}}$') then upper(ch) else lower(ch) end), '')")
+            f"upper(string_split({s}, '')[i - 1]) <> lower(string_split({s}, '')[i - 1]) then upper(ch) else lower(ch) end), '')")
 
 
 _CAT_RAW_SQL = ("case doc_id % 4 when 0 then concat(' ', upper(lang), ' ') when 1 then concat(lang, '-', source, ' x') "
