@@ -1,0 +1,19 @@
+"""Parallelism guard for CPU-heavy row-local stages.
+
+Redaction, rules and embeddings cost CPU per row, not per byte moved. A small text
+table stored as one parquet row group is read as one partition, which would run the
+whole stage in one task. ``spread`` round-robins such an input to the cluster's default
+parallelism; an input that already has that many partitions (any table of real size)
+is returned untouched, so at scale this adds no shuffle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

@@ -8,8 +8,6 @@ already-aggregated (small) result, never over raw rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,14 +81,17 @@ def q_redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_analytics(audit: DataFrame) -> DataFrame:
-    """AGG-22: counts by entity type (with share of the largest), detector and policy version."""
-    parts = []
-    for dim in ("entity_type", "detector_version", "policy_version"):
-        c = audit.where(F.col(dim) != "").groupBy(F.col(dim).alias("value")).agg(F.count("*").alias("count"))
-        w = Window.partitionBy()  # over the small aggregated result only
-        parts.append(c.select(F.lit(dim).alias("dimension"), "value", "count",
-                              pyround(F.col("count") / F.max("count").over(w), 4).alias("share_of_max")))
-    return reduce(DataFrame.unionByName, parts)
+    """AGG-22: counts by entity type (with share of the largest), detector and policy
+    version. One scan: each audit row is expanded into its three (dimension, value)
+    pairs and a single partial+final aggregation counts them all."""
+    dims = ("entity_type", "detector_version", "policy_version")
+    pairs = audit.select(F.inline(F.array(*[
+        F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dims])))
+    c = pairs.where(F.col("value") != "").groupBy("dimension", "value").agg(F.count("*").alias("count"))
+    # The window runs over the aggregated rows (a handful per dimension), not raw findings.
+    w = Window.partitionBy("dimension")
+    return c.select("dimension", "value", "count",
+                    pyround(F.col("count") / F.max("count").over(w), 4).alias("share_of_max"))
 
 
 @register("audit_analytics", with_views("""

@@ -16,7 +16,16 @@ TABLES = (
 ).split()
 
 
+# Tables whose rows carry long text: every job over them is CPU-bound per row.
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if name in TEXT_TABLES:
+        from ..operators.partitioning import spread
+
+        df = spread(df)
+    return df
