@@ -162,6 +162,7 @@ def pii_hits(df: DataFrame, text_col: str, detectors=DETECTORS) -> DataFrame:
     ])
     return (
         df.select("*", F.inline(arr))
-        .select("*", F.posexplode("matches").alias("match_index", "matched"))
+        .select("*", F.posexplode_outer("matches").alias("match_index", "matched"))
+        .where(F.col("matched").isNotNull())
         .drop("matches")
     )

@@ -70,7 +70,9 @@ def md5_embedding_entries(df: DataFrame, id_col: str, text_col: str, dim: int) -
     keyed by document (a hot *token* never concentrates in one task), and the norm is
     a second aggregation per document over at most ``dim`` rows.
     """
-    t = df.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("tok"))
+    # explode_outer + filter so the token scan is not repeated in an inferred size() filter.
+    t = df.select(F.col(id_col).alias("id"), F.explode_outer(tokens(F.col(text_col))).alias("tok")) \
+        .where(F.col("tok").isNotNull())
     h = F.md5(F.encode("tok", "UTF-8"))
     slots = t.select(
         "id",

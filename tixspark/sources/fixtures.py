@@ -317,7 +317,9 @@ def audit_rows(redacted: DataFrame, ticket_id: Column, stream_id: Column, create
     ]
     if with_id:
         cols.insert(0, F.expr("uuid()").alias("audit_id"))
-    exploded = redacted.select("*", F.explode("findings").alias("_f"))
+    # explode_outer + a filter on the generated column: a plain explode would make the
+    # optimizer infer size(findings) > 0 below the generator and re-run the regex scan.
+    exploded = redacted.select("*", F.explode_outer("findings").alias("_f")).where(F.col("_f").isNotNull())
     return exploded.select(*cols)
 
 
