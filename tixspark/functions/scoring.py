@@ -308,7 +308,8 @@ def should_auto_resolve(decision: Column, review_reason: Column, urgency: Column
 
 
 def _f2(c: Column) -> Column:
-    return F.format_string("%.2f", c)
+    """Python's ``f"{x:.2f}"`` (exact half-even rounding first; Java's %.2f rounds half-up)."""
+    return F.format_string("%.2f", pyround(c, 2))
 
 
 def route_explanation(assigned_category: Column, classification: Column, sanitized: Column, security: Column,
@@ -331,14 +332,14 @@ def route_explanation(assigned_category: Column, classification: Column, sanitiz
         row("Security agent",
             F.when(has_sec, F.array_join(security, ", ")).otherwise(F.concat(redacted_count.cast("string"),
                                                                              F.lit(" redactions"))),
-            F.when(has_sec, F.format_string("privacy risk %.2f; credentials force reviewer visibility", privacy_risk))
+            F.when(has_sec, F.format_string("privacy risk %.2f; credentials force reviewer visibility", pyround(privacy_risk, 2)))
             .otherwise(F.lit("only sanitized text is available to retrieval and model calls"))),
         row("Nearest approved ticket", F.concat(F.coalesce(matched, F.lit("none")), F.lit(" at "), _f2(similarity)),
             F.lit("similarity only controls the >=0.95 semantic cache bypass; otherwise the LLM decides")),
         row("Route branch", route_path, route_impact),
         row("RAG evidence pack", F.concat(evidence["quality_band"], F.lit(" at "), _f2(evidence["quality_score"])),
             F.format_string("%d approved tickets; category consensus %.2f", evidence["evidence_count"],
-                            evidence["category_consensus"])),
+                            pyround(evidence["category_consensus"], 2))),
         row("Resolver recommendation", F.concat(resolver["group"], F.lit(" at "), _f2(resolver["confidence"])),
             F.concat(F.lit("source: "), resolver["source"])),
         row("Confidence formula", _f2(confidence),

@@ -29,5 +29,5 @@ def register(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 def load_all() -> None:
     """Import every plan module so its queries register."""
-    from . import audit, dashboard, evaluation, ingest, intelligence, routing, search, text_jobs, vectors  # noqa: F401
+    from . import audit, dashboard, detail, evaluation, ingest, intelligence, routing, search, text_jobs, vectors  # noqa: F401
     from ..streaming import feed  # noqa: F401
