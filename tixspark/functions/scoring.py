@@ -371,7 +371,7 @@ def context_pack(retrieved: Column, limit: int, max_chars: int, resolutions_only
         if resolutions_only:
             return F.concat(x["ticket_id"], F.lit(": "), x["resolution"])
         return F.format_string("Past ticket %s (%s, score=%.2f):\nSymptoms: %s\nResolution: %s", x["ticket_id"],
-                               x["category"], x["similarity"], x["sanitized_text"], x["resolution"])
+                               x["category"], pyround(x["similarity"], 2), x["sanitized_text"], x["resolution"])
 
     init = F.struct(F.lit(max_chars).alias("remaining"), F.lit(False).alias("done"),
                     F.array().cast("array<string>").alias("chunks"))

@@ -320,3 +320,57 @@ def q_grounding_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = F.get("retrieved", 0)["similarity"]
     return r.select("query_id", S.grounding_score(top, F.lit(True)).alias("verifier_score"),
                     S.grounding_score(top, F.lit(True), failure=True).alias("verifier_fallback_score"))
+
+
+def _with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieved lists with each item's sanitized text (joined by ticket id after the
+    top-k, so only k rows per query travel)."""
+    r = retrieved_lists(spark, sf_dir)
+    items = r.select("query_id", F.posexplode("retrieved").alias("pos", "it"))
+    texts = fixtures.tickets(spark, sf_dir).select(F.col("ticket_id").alias("tid"), "sanitized_text")
+    j = items.join(texts, F.col("it.ticket_id") == F.col("tid"), "left")
+    return j.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("it.rank").alias("rank"), F.col("it.ticket_id").alias("ticket_id"),
+        F.col("it.similarity").alias("similarity"), F.col("it.category").alias("category"),
+        F.col("it.resolution").alias("resolution"), F.coalesce("sanitized_text", F.lit("")).alias("sanitized_text"))))
+        .alias("retrieved"))
+
+
+@register("context_pack")
+def q_context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-7 + WIN-6 (rows): the model context of each query's ranked tickets within
+    the item (5) and character (12,000 / 8,000) budgets."""
+    r = _with_context(spark, sf_dir)
+    return r.select("query_id",
+                    S.context_pack(F.col("retrieved"), DEFAULT.llm_max_context_items,
+                                   DEFAULT.llm_max_context_chars).alias("context"),
+                    S.context_pack(F.col("retrieved"), DEFAULT.llm_max_context_items, 8000,
+                                   resolutions_only=True).alias("resolution_context"))
+
+
+@register("evidence_summary")
+def q_evidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-6 (rows): compact JSON of each evidence pack."""
+    r = retrieved_lists(spark, sf_dir)
+    ev = S.rag_evidence(F.col("retrieved"), S.fast_path_match(F.col("retrieved"), FIXTURE), FIXTURE)
+    return r.select("query_id", S.evidence_summary(ev).alias("summary"))
+
+
+@register("auto_resolve")
+def q_auto_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCR-16 (rows): the auto-resolve override for model decisions parsed from
+    conversation turns (policy signal, priorities and risk from the turn's text)."""
+    from ..functions import text as TX
+    from .text_jobs import _model_payloads
+
+    p = _model_payloads(spark, sf_dir)
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    j = p.join(c, ["conv_id", "turn"])
+    d = TX.model_decision(F.col("payload"))
+    sec = R.security_findings(F.col("text"))
+    urgency = (1 + F.col("conv_id") % 3).cast("int")
+    impact = (1 + F.col("turn") % 3).cast("int")
+    reason = R.review_reason(F.col("text"), urgency, impact, sec)
+    risk = R.privacy_risk(F.array().cast("array<struct<entity_type:string>>"), F.lit(0), sec)
+    auto = S.should_auto_resolve(d, reason, urgency, impact, risk, sec)
+    return j.select("conv_id", "turn", auto.alias("auto_resolved"))
