@@ -22,7 +22,8 @@ from ..sources.tables import read_table
 from .common import latest_decisions, latest_tickets
 from .registry import register
 
-_KEY = F.concat(F.lit("DOC-"), F.lpad(F.col("doc_id").cast("string"), 6, "0"))
+def _key() -> Column:
+    return F.concat(F.lit("DOC-"), F.lpad(F.col("doc_id").cast("string"), 6, "0"))
 
 
 def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(F.col("doc_id") % 5 == 0, "similar_cache").otherwise("unique_in_domain"))
     difficulty = F.when(F.col("n_chars") < 1000, "easy").when(F.col("n_chars") < 5000, "medium").otherwise("hard")
     return c.select(
-        _KEY.alias("ticket_id"), difficulty.alias("difficulty"), cohort.alias("cohort"), "short_description",
+        _key().alias("ticket_id"), difficulty.alias("difficulty"), cohort.alias("cohort"), "short_description",
         ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("expected_escalation_required"),
     ).withColumn("expected_route_path", F.when(F.col("cohort").isin("policy_human", "ood_human"),
                                                "human_review_required")
@@ -284,7 +285,7 @@ where d.semantic_cache_hit = 1 and d.matched_ticket_id <> ''""", "tickets", "rou
 def q_eval_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET-1: cohorts with different optional fields concatenated by name."""
     lab = read_table(spark, sf_dir, "labels").where((F.col("toxic") == 1) | (F.col("quality") == 0))
-    policy = lab.select(_KEY.alias("ticket_id"), F.when(F.col("toxic") == 1, "policy_human")
+    policy = lab.select(_key().alias("ticket_id"), F.when(F.col("toxic") == 1, "policy_human")
                         .otherwise("ood_human").alias("cohort"))
     d = fixtures.routing_decisions(spark, sf_dir).where((F.col("semantic_cache_hit") == 1)
                                                         & (F.col("matched_ticket_id") != ""))
