@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import redact as RD
 from ..functions import text as T
+from ..operators.partitioning import spread
 from ..sources import contracts as C
 from ..sources import fixtures
 from ..sources.fixtures import EPOCH, with_views
@@ -26,7 +27,7 @@ SEED_SOURCE = "6StringNinja/synthetic-servicenow-incidents"
 # --- SRC-2: ingest messages ----------------------------------------------------------
 
 def ingest_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     k = F.col("doc_id") % 10
     body = F.struct(
         F.concat(F.lit("INC"), F.col("doc_id").cast("string")).alias("number"),

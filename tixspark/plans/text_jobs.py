@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as T
 from ..functions.redact import stable_id
+from ..operators.partitioning import spread
 from ..sources import fixtures
 from ..sources.fixtures import with_views
 from ..sources.tables import read_table
@@ -20,12 +21,13 @@ from .registry import register
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """Pruned text rows, spread for the CPU-bound rules (see operators.partitioning)."""
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def _conv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(read_table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")))
 
 
 # --- SQL renderings (DuckDB) of the same rules ------------------------------------

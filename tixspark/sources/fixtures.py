@@ -297,8 +297,10 @@ def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents → redaction columns (sanitized text, findings, hashes, count)."""
     from ..functions.redact import redact
 
+    from ..operators.partitioning import spread
+
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return redact(docs, "text")
+    return redact(spread(docs), "text")
 
 
 def audit_rows(redacted: DataFrame, ticket_id: Column, stream_id: Column, created_at: Column,
