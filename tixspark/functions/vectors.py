@@ -11,6 +11,7 @@ reproduce the vector.
 from __future__ import annotations
 
 import hashlib
+import sys
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+# Worker-side code of this module is shipped by value, so executors do not need the
+# package on their path.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except (ImportError, AttributeError):  # pragma: no cover - older cloudpickle
+    pass
+
+
 # Fixed value: the reference's token pattern (applied to lower-cased text).
 TOKEN_PATTERN = r"[a-z0-9_./:-]+"
 

@@ -24,6 +24,7 @@ columns ascending. A zero vector has no similarity (NULL, sorted last: Q3).
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 import numpy as np
@@ -33,6 +34,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Worker-side code of this module is shipped by value, so executors do not need the
+# package on their path.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except (ImportError, AttributeError):  # pragma: no cover - older cloudpickle
+    pass
+
+
 def _blocks(n: int, block_rows: int) -> int:
     return max(1, math.ceil(n / block_rows))
 
