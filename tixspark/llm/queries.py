@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, mixing
+from . import decontam, langmix, linespread, mixing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +55,35 @@ from d left join hw using (doc_id) left join hi using (doc_id)
 @query("op3_decontaminate", OP3_SQL)
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_language_mixture")
+def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    model = langmix.fit(docs.where(rest != 2))
+    held = F.coalesce(rest == 2, F.lit(False)).alias("held_out")
+    return langmix.identify(docs, model).select("doc_id", held, "lang_pred", "score")
+
+
+OP9_SQL = r"""
+with d as (select doc_id, text, source, string_split(text, chr(10)) ls, row_number() over () rid from documents),
+l as (
+  select rid, source, pos, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') line
+  from (select rid, source, unnest(ls) raw, unnest(range(len(ls))) pos from d)),
+wide as (select line from l where line != '' group by line having count(distinct source) >= 6),
+cut as (
+  select rid, list(pos) ats, sum(length(line)) n from l where line in (select line from wide) group by rid),
+x as (
+  select d.*, case when n <= 0.5 * length(text) then ats else [] end ats
+  from d left join cut using (rid))
+select doc_id, coalesce(cast(len(ls) as bigint), 0) n_lines, cast(len(coalesce(ats, [])) as bigint) n_cut,
+       sha256(case when len(coalesce(ats, [])) = 0 then text
+         else array_to_string([z[1] for z in list_zip(ls, range(len(ls))) if not list_contains(ats, z[2])], chr(10)) end) text_sha256
+from (select doc_id, text, ls, ats from x)
+"""
+
+
+@query("op9_line_spread", OP9_SQL)
+def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linespread.spread_digest(table(spark, sf_dir, "documents"))
