@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langmix, linespread, mixing
+from . import decontam, langmix, linespread, mixing, setjoin
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,25 @@ from (select doc_id, text, ls, ats from x)
 @query("op9_line_spread", OP9_SQL)
 def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linespread.spread_digest(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+with recursive t as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') w from documents),
+s as (
+  select distinct doc_id, array_to_string(w[k:k + m - 1], ' ') g
+  from (select doc_id, w, least(5, len(w)) m, unnest(range(1, len(w) - least(5, len(w)) + 2)) k from t where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (
+  select a.doc_id x, b.doc_id y, count(*) i from s a join s b on a.g = b.g and a.doc_id != b.doc_id group by 1, 2),
+e as (select x, y from p join n a on x = a.doc_id join n b on y = b.doc_id where 100 * i >= 80 * (a.n + b.n - i)),
+r(d, c) as (select doc_id, doc_id from t union select e.y, r.c from r join e on e.x = r.d)
+select t.doc_id, coalesce(any_value(n.n), 0) n_shingles, min(r.c) component_id
+from t join r on r.d = t.doc_id left join n on n.doc_id = t.doc_id group by t.doc_id
+"""
+
+
+@query("op2_ngram_join", OP2_SQL)
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
