@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS, RUN, ROUNDS, PENALTY, MAX_LANGUAGES, SMOOTH = 1 << 15, 48, 12, 2.0, 4, 0.1
@@ -133,17 +133,25 @@ def predict(text: str | None, model: Model, letters: np.ndarray) -> tuple[str, f
     return model.languages[chosen[top]], min(1.0, max(0.0, score)), [model.languages[i] for i in chosen], share.tolist()
 
 
+def language(text: Column, model: Model) -> Column:
+    """struct(lang_pred, score, languages, proportions) of a text column."""
+
+    @F.pandas_udf("lang_pred string, score double, languages array<string>, proportions array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        letters = letter_table()
+        for texts in batches:
+            out = [predict(t, model, letters) for t in texts]
+            yield pd.DataFrame(out, columns=["lang_pred", "score", "languages", "proportions"])
+
+    return run(text)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Per row: doc_id, lang_pred, score, languages, proportions."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, languages array<string>, proportions array<double>"
+    return docs.select("doc_id", language(F.col("text"), model).alias("l")).select("doc_id", "l.*")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        letters = letter_table()
-        for batch in batches:
-            out = [predict(t, model, letters) for t in batch["text"]]
-            ids = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None)
-            yield pd.DataFrame({"doc_id": ids}).assign(
-                lang_pred=[o[0] for o in out], score=[o[1] for o in out], languages=[o[2] for o in out], proportions=[o[3] for o in out]
-            )
-
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+
+def reject_unknown(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without the rows whose language is ``und``, all columns kept."""
+    found = docs.withColumn("_l", language(F.col("text"), model))
+    return found.where(F.col("_l.lang_pred") != "und").drop("_l")
