@@ -1,17 +1,34 @@
 """Corpus pipeline: the stages that turn ``documents`` into a training mix.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again
-as the next one's documents.
+as the next one's documents. Its decisions take effect in what it returns.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tixspark.llm import decontam, mixing
+from tixspark.llm import decontam, langmix, linespread, mixing, setjoin
 from tixspark.llm.common import staged, table
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any letter have no language and go."""
+    return langmix.reject_unknown(docs, langmix.fit(docs))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that are on many sites go from their documents; every document stays."""
+    out = linespread.drop_boilerplate(docs).drop("n_lines", "cut")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near duplicates stays."""
+    return setjoin.one_per_group(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which at least a twentieth of the words are benchmark passages go."""
     return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark"))
@@ -22,9 +39,15 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(mixing.mix_sources(docs))
 
 
-STAGES = [("decontamination", decontaminate), ("mixing", mix)]
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("ngram_join", near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix),
+]
 
-#: The language models and the mix's random draws are no SQL.
+#: The language model, the components and the mix's random draws are no SQL.
 ORACLE_SQL = None
 
 
