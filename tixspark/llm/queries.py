@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langmix, linespread, mixing, setjoin, tokencount
+from . import decontam, factorization, htmlcut, langmix, linespread, mixing, setjoin, tokencount
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,21 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return tokencount.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op6_quality_fm")
+def op6_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    machine = factorization.fit(docs, labels.where(rest != 1).select("doc_id", F.col("quality").alias("label")))
+    score = factorization.quality(F.col("text"), F.col("n_chars"), machine)
+    out = docs.select("doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), score.alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op7_html_mincut")
+def op7_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    model = htmlcut.fit(pages)
+    out = pages.select("page_id", "url", F.coalesce(htmlcut.main_text(F.col("html"), model), F.lit("")).alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))

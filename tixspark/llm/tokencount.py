@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 CHUNK, OVERLAP, RUN, LIMIT = 1 << 15, 1 << 10, 8, 2048
 #: Distinct pieces that a task remembers before it begins anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 _PIECE = re.compile(r"[^ \n]+")
 #: Letters with a stop or comma that lower-case tokenizers take as the letters, lower-cased, and the stop.
 _PLAIN = re.compile(r"([A-Za-z]+)([.,]?)", re.ASCII)
