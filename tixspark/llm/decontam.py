@@ -108,8 +108,8 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text, F.octet_length(text))
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE, keys: bool = False) -> DataFrame:
+    """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with ``keys`` also text_key."""
     spans = find_windows(docs, items, window)
     # Words covered by the spans of a text: sorted by start, each adds what reaches beyond those before.
     covered = F.aggregate(
@@ -130,7 +130,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     ids = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+        "doc_id", *(["text_key"] if keys else []), "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
     )
@@ -138,5 +138,5 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows, all columns kept."""
-    bad = contamination(docs.select("doc_id", "text"), items).where("contaminated").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_d")), "left_anti")
+    bad = contamination(docs, items, keys=True).where("contaminated").select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__d")) & (text_key(docs["text"]) == F.col("__k")), "left_anti")

@@ -153,5 +153,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject_unknown(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the rows whose language is ``und``, all columns kept."""
-    found = docs.withColumn("_l", language(F.col("text"), model))
-    return found.where(F.col("_l.lang_pred") != "und").drop("_l")
+    found = docs.withColumn("__l", language(F.col("text"), model))
+    return found.where(F.col("__l.lang_pred") != "und").drop("__l")

@@ -9,7 +9,8 @@ boilerplate, so it is left whole for the near-duplicate step.
 
 Defined results: a null site is no site; lines without a character are never boilerplate; null
 texts have no lines and stay null; repeated rows are rows of their own and get the same answer;
-an empty table gives an empty result; other columns are kept as they are.
+an empty table gives an empty result; other columns are kept as they are
+(names that begin with two underscores are the operator's own).
 """
 
 from __future__ import annotations
@@ -49,12 +50,12 @@ def widespread_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN
     return staged(sketch.where(~near).unionByName(exact).where(F.col("sites") >= min_sites))
 
 
-def _decided(docs: DataFrame, wide: DataFrame, keep_share: float) -> DataFrame:
-    """doc_id, text_key, cut: the numbers of the lines that go (null ``cut`` for copies left whole)."""
+def _cuts(docs: DataFrame, wide: DataFrame) -> DataFrame:
+    """doc_id, text_key, cut (numbers of the boilerplate lines), __n (their characters)."""
     docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
     hits = lines_of(docs, "doc_id", "text_key").join(small_side(wide.select("key")), "key")
     hits = hits.groupBy("doc_id", "text_key", "at").agg(F.max(F.length("line")).alias("n"))  # repeated rows: once
-    return hits.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("at")).alias("cut"), F.sum("n").alias("cut_chars"))
+    return hits.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("at")).alias("cut"), F.sum("n").alias("__n"))
 
 
 def text_key(text: Column) -> Column:
@@ -62,26 +63,24 @@ def text_key(text: Column) -> Column:
 
 
 def drop_boilerplate(
-    docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, keep_share: float = KEEP_SHARE
+    docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, keep_share: float = KEEP_SHARE, report: bool = False
 ) -> DataFrame:
-    """``docs`` with the boilerplate lines taken out of ``text``, and the columns n_lines, cut (numbers of the lines that went)."""
+    """``docs`` with the boilerplate lines taken out of ``text``; with ``report`` also n_lines and cut (numbers of the lines that went)."""
     wide = widespread_lines(docs, site, min_sites)
-    cuts = _decided(docs, wide, keep_share).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "cut", "cut_chars")
-    rows = docs.join(cuts, docs["doc_id"].eqNullSafe(F.col("_d")) & (text_key(docs["text"]) == F.col("_k")), "left")
-    carrier = F.col("cut").isNotNull() & (F.col("cut_chars") <= keep_share * F.length("text"))
-    cut = F.when(carrier, F.col("cut")).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("_lines", F.split("text", "\n")).withColumn("cut", cut)
-    rows = rows.withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)))
-    left = F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), F.col("cut"))
-    kept = F.transform(left, lambda i: F.get(F.col("_lines"), i))
-    text = F.when(F.size("cut") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
-    return rows.withColumn("text", text).drop("_d", "_k", "cut_chars", "_lines")
+    cuts = _cuts(docs, wide).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), F.col("cut").alias("__c"), "__n")
+    rows = docs.join(cuts, docs["doc_id"].eqNullSafe(F.col("__d")) & (text_key(docs["text"]) == F.col("__k")), "left")
+    carrier = F.col("__c").isNotNull() & (F.col("__n") <= keep_share * F.length("text"))
+    cut = F.when(carrier, F.col("__c")).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("__lines", F.split("text", "\n")).withColumn("__cut", cut)
+    rows = rows.withColumn("__count", F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")))
+    left = F.array_except(F.sequence(F.lit(0), F.col("__count") - 1), F.col("__cut"))
+    kept = F.transform(left, lambda i: F.get(F.col("__lines"), i))
+    text = F.when(F.size("__cut") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    more = [F.col("__count").cast("long").alias("n_lines"), F.col("__cut").alias("cut")] if report else []
+    return rows.withColumn("text", text).select(*docs.columns, *more)
 
 
 def spread_digest(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_lines, n_cut, text_sha256 (of what is left; null for null)."""
-    out = drop_boilerplate(docs.select("doc_id", "text", "source"))
-    return out.select(
-        "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"),
-        F.size("cut").cast("long").alias("n_cut"), F.sha2("text", 256).alias("text_sha256"),
-    )
+    out = drop_boilerplate(docs.select("doc_id", "text", "source"), report=True)
+    return out.select("doc_id", "n_lines", F.size("cut").cast("long").alias("n_cut"), F.sha2("text", 256).alias("text_sha256"))

@@ -63,23 +63,23 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[
         yield batch, list(shingle_sets(batch["text"].tolist()))
 
 
-def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _describe(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     edges = (np.arange(1, RANGES, dtype=np.uint64) << np.uint64(64 - RANGES.bit_length() + 1)).astype(np.uint64)
-    for batch, sets in _sets(batches):
-        keys = []
-        for s in sets:
+    for batch in texts:
+        out = []
+        for s in shingle_sets(batch.tolist()):
             cut = [0, *np.searchsorted(s, edges).tolist(), len(s)]
             least = [int(s[cut[i]]) if cut[i] < cut[i + 1] else None for i in range(RANGES)]
             pairs = ((least[2 * k], least[2 * k + 1], k) for k in range(KEYS))
-            keys.append([(a * 3 + b * 5 + c) % (1 << 64) - (1 << 63) for a, b, c in pairs if a is not None and b is not None])
-        ids = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None)
-        yield pd.DataFrame({"doc_id": ids, "text_key": batch["text_key"]}).assign(
-            set_id=[set_id(s) for s in sets], n=[len(s) for s in sets], keys=keys
-        )
+            keys = [(a * 3 + b * 5 + c) % (1 << 64) - (1 << 63) for a, b, c in pairs if a is not None and b is not None]
+            out.append((set_id(s), len(s), keys))
+        yield pd.DataFrame(out, columns=["set_id", "n", "keys"])
 
 
 def _rows(parts: int, values: np.ndarray, columns: list[np.ndarray]) -> Iterator[pd.DataFrame]:
     """Byte planes of columns (ordered by ``values``), a row for each of ``parts`` ranges of the values."""
+    if not len(values):
+        return
     order = np.argsort(values, kind="stable")
     values = values[order]
     step = (1 << 64) // parts + 1
@@ -316,10 +316,9 @@ def _settle(pairs: DataFrame, stars: DataFrame, docs: DataFrame, sets: DataFrame
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, text_key, n_shingles, component_id (the smallest doc_id that links reach)."""
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text", F.xxhash64("text", F.octet_length("text")).alias("text_key"))
-    schema = f"doc_id {kind}, text_key long, set_id long, n long, keys array<long>"
-    info = staged(docs.mapInPandas(_describe, schema))
+    describe = F.pandas_udf(_describe, "set_id long, n long, keys array<long>")
+    info = staged(docs.select("doc_id", "text_key", describe("text").alias("s")).select("doc_id", "text_key", "s.*"))
     first = F.min(F.struct("doc_id", "text_key"))
     sets = info.where("n > 0 and doc_id is not null").groupBy("set_id").agg(first.alias("d"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     sets = staged(sets.select("set_id", "d.doc_id", "d.text_key", "n", "keys"))
@@ -353,7 +352,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_per_group(docs: DataFrame) -> DataFrame:
     """``docs`` with the document of the smallest id of each component only; rows without an id stay."""
-    keep = staged(near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct())
-    rows = docs.withColumn("_t", F.xxhash64("text", F.octet_length("text")))
-    kept = rows.join(keep, (F.col("doc_id") == F.col("_d")) & (F.col("_t") == F.col("_k"))).drop("_d", "_k", "_t")
+    first = near_duplicates(docs).where("doc_id = component_id")
+    keep = staged(first.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k")).distinct())
+    key = F.xxhash64(docs["text"], F.octet_length(docs["text"]))
+    kept = docs.join(keep, (docs["doc_id"] == F.col("__d")) & (key == F.col("__k"))).drop("__d", "__k")
     return kept.unionByName(docs.where("doc_id is null"))

@@ -37,15 +37,13 @@ def units(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, i
 def document_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_key, start, stop, n_words, digest."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None)
-            out = [(i, k, *u) for i, k, t in zip(ids, batch["text_key"], batch["text"], strict=True) for u in units(t, min_words)]
-            yield pd.DataFrame(out, columns=["doc_id", "text_key", "start", "stop", "n_words", "digest"])
+    @F.pandas_udf("array<struct<start: int, stop: int, n_words: int, digest: binary>>")
+    def run(texts: pd.Series) -> pd.Series:
+        names = ("start", "stop", "n_words", "digest")
+        return pd.Series([[dict(zip(names, u, strict=True)) for u in units(t, min_words)] for t in texts], dtype="object")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", F.xxhash64("text", F.octet_length("text")).alias("text_key"))
-    return rows.mapInPandas(run, f"doc_id {kind}, text_key long, start int, stop int, n_words int, digest binary")
+    rows = docs.select("doc_id", F.xxhash64("text", F.octet_length("text")).alias("text_key"), run("text").alias("u"))
+    return rows.select("doc_id", "text_key", F.explode("u").alias("u")).select("doc_id", "text_key", "u.*")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -61,8 +59,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the repeated units (and the line feed after each) taken out of ``text``."""
-    spans = repeated_spans(docs, min_words).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
-    spans = spans.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "_spans")
+    spans = repeated_spans(docs, min_words).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__spans"))
+    spans = spans.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), "__spans")
     key = F.xxhash64("text", F.octet_length("text"))
 
     @F.pandas_udf("string")
@@ -78,8 +76,8 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype="object")
 
-    rows = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_d")) & (key == F.col("_k")), "left")
-    return rows.withColumn("text", cut("text", "_spans")).drop("_d", "_k", "_spans")
+    rows = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("__d")) & (key == F.col("__k")), "left")
+    return rows.withColumn("text", cut("text", "__spans")).drop("__d", "__k", "__spans")
 
 
 def repeats_digest(docs: DataFrame) -> DataFrame:
