@@ -20,8 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are on many sites go from their documents; every document stays."""
-    out = linespread.drop_boilerplate(docs).drop("n_lines", "cut")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return linespread.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
