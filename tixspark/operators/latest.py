@@ -1,19 +1,18 @@
 """Latest version per key over append-only tables (AGG-13, WIN-3).
 
-The reference runs one ``argMax(col, created_at)`` per column. Here all value columns
-travel in one struct and one ``max_by`` picks the winning row by
-``(created_at, tiebreak...)``, so a key's columns always come from the same row even
-when timestamps tie. ``max_by`` is a declarative aggregate: Spark computes a partial
-result per map partition before the shuffle, so a hot key (a third of all rows) is
-reduced to one row per partition instead of landing in one task as a window sort
-would.
+The reference runs one ``argMax(col, created_at)`` per column. Here the winning row of a key
+is the first in the order ``(created_at, tiebreak...)`` descending, so a key's columns always
+come from the same row even when timestamps tie. ``row_number() = 1`` is planned as a
+WindowGroupLimit on both sides of the shuffle: each map task sends at most one row of a key,
+so a key that holds a third of all versions does not land whole in one task, and columns that
+the query does not read are pruned from the scan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,12 +32,8 @@ def latest_by_key(
     if values is None:
         values = [c for c in df.columns if c not in keys]
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    picked = F.max_by(F.struct(*[F.col(c) for c in values]), F.struct(*order_cols)).alias("_latest")
-    aggs = [picked]
-    if latest_alias:
-        aggs.append(F.max(order_cols[0]).alias(latest_alias))
-    out = df.groupBy(*keys).agg(*aggs)
-    cols = [F.col(k) for k in keys] + [F.col(f"_latest.{c}").alias(c) for c in values]
-    if latest_alias:
-        cols.append(F.col(latest_alias))
-    return out.select(*cols)
+    ranks = [c.alias(f"__o{i}") for i, c in enumerate(order_cols)]
+    w = Window.partitionBy(*keys).orderBy(*[F.col(f"__o{i}").desc_nulls_last() for i in range(len(ranks))])
+    rows = df.select(*keys, *values, *ranks).withColumn("__rn", F.row_number().over(w)).where("__rn = 1")
+    extra = [F.col("__o0").alias(latest_alias)] if latest_alias else []
+    return rows.select(*keys, *values, *extra)

@@ -108,13 +108,10 @@ def topk_similar(
         cids = cpdf["_cid"].to_numpy()
         rows_q, rows_c, rows_s = [], [], []
         for i, qid in enumerate(qpdf["_qid"].to_numpy()):
-            s = sims[i].copy()
-            if exclude_self:
-                s[cids == qid] = np.nan
-            valid = np.nonzero(~np.isnan(s))[0]
-            if valid.size == 0:
-                continue
-            sv = s[valid]
+            s = sims[i]
+            valid = np.nonzero(cids != qid)[0] if exclude_self else np.arange(len(s))
+            # Rows without a similarity (zero vectors, other lengths) rank after all others.
+            sv = np.where(np.isnan(s[valid]), -np.inf, s[valid])
             if valid.size > k:
                 kth = np.partition(sv, valid.size - k)[valid.size - k]
                 keep = sv >= kth
@@ -131,9 +128,10 @@ def topk_similar(
 
     cand = (q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb"))
             .applyInPandas(block_topk, out_schema))
-    fast = (F.col("similarity") >= fast_threshold).cast("int")
+    cand = cand.withColumn("similarity", F.nanvl("similarity", F.lit(None).cast("double")))
+    fast = F.coalesce((F.col("similarity") >= fast_threshold).cast("int"), F.lit(0))
     w = Window.partitionBy("_qid").orderBy(
-        fast.desc(), F.col("similarity").desc(), *[F.col(x).asc() for x in order_cols], F.col("_cid").asc())
+        fast.desc(), F.col("similarity").desc_nulls_last(), *[F.col(x).asc() for x in order_cols], F.col("_cid").asc())
     ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select(
         F.col("_qid").alias(query_id), "rank", F.col("_cid").alias(corpus_id), "similarity",

@@ -207,9 +207,15 @@ def recent_tickets(tickets: DataFrame, decisions: DataFrame, audit: DataFrame, l
     """JOIN-2: latest ticket ⟕ latest decision ⟕ redactions per ticket, newest first."""
     if not 1 <= limit <= 200:
         raise ValueError("limit must be in [1, 200]")
+    # The order needs the tickets only: the newest come first, and decisions and findings are
+    # read for those. ``top`` has at most 200 rows, so it is broadcast.
     t = latest_tickets(tickets, RECENT_TICKET_VALUES)
-    d = latest_decisions(decisions, RECENT_DECISION_VALUES).withColumnRenamed("ticket_id", "d_ticket_id")
-    p = audit.groupBy(F.col("ticket_id").alias("p_ticket_id")).agg(F.count("*").alias("redactions"))
+    t = t.orderBy(F.col("latest_created_at").desc(), F.col("ticket_id").desc()).limit(limit)
+    top = F.broadcast(t.select("ticket_id"))
+    d = latest_decisions(decisions.join(top, "ticket_id", "left_semi"), RECENT_DECISION_VALUES)
+    d = d.withColumnRenamed("ticket_id", "d_ticket_id")
+    p = audit.join(top, "ticket_id", "left_semi")
+    p = p.groupBy(F.col("ticket_id").alias("p_ticket_id")).agg(F.count("*").alias("redactions"))
     j = (t.join(d, t.ticket_id == d.d_ticket_id, "left")
          .join(p, t.ticket_id == p.p_ticket_id, "left"))
     return j.select(

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pyround
 from ..operators.latest import latest_by_key
-from ..sources import fixtures
 
 TICKET_VALUES = (
     "number", "short_description", "description", "sanitized_text", "category", "assignment_group",
@@ -35,6 +34,14 @@ def latest_decisions(decisions: DataFrame, values=DECISION_VALUES, alias="latest
     return latest_by_key(decisions, "ticket_id", ["created_at", "event_id"], list(values), latest_alias=alias)
 
 
+def spread_key(key: Column, own_id: Column) -> Column:
+    """``key`` for a left join; blank keys become keys of their own that match nothing.
+
+    A quarter of the decisions have no matched ticket. Their rows would all meet in one task.
+    """
+    return F.when(key.isNotNull() & (key != ""), key).otherwise(F.concat(F.lit("\u0000"), F.coalesce(own_id, F.lit(""))))
+
+
 def ticket_status(decision_key: Column, escalated: Column, cache_hit: Column) -> Column:
     """PRJ-4: status of a ticket from its (possibly missing) latest decision."""
     return (
@@ -65,7 +72,3 @@ def risk_level(score: Column) -> Column:
         .when(score >= 0.35, "watch")
         .otherwise("normal")
     )
-
-
-def views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return fixtures.tickets(spark, sf_dir), fixtures.routing_decisions(spark, sf_dir)

@@ -18,18 +18,18 @@ from pyspark.sql import functions as F
 from ..functions.numeric import pyround
 from ..sources import fixtures
 from ..sources.fixtures import with_views
-from ..sources.tables import read_table
-from .common import latest_decisions, latest_tickets
+from ..sources.tables import first_line, padded, padded_sql, read_table
+from .common import latest_decisions, latest_tickets, spread_key
 from .registry import register
 
 def _key() -> Column:
-    return F.concat(F.lit("DOC-"), F.lpad(F.col("doc_id").cast("string"), 6, "0"))
+    return F.concat(F.lit("DOC-"), padded(F.col("doc_id"), 6))
 
 
 def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One labelled case per ``labels`` row, with difficulty and cohort expectations."""
     lab = read_table(spark, sf_dir, "labels")
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.substring("text", 1, 300)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars", first_line(F.col("text"))
                                                          .alias("short_description"))
     c = lab.join(docs, "doc_id")
     cohort = (F.when(F.col("toxic") == 1, "policy_human").when(F.col("quality") == 0, "ood_human")
@@ -46,13 +46,15 @@ def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .otherwise(F.col("expected_escalation_required")))
 
 
+_KEY_SQL = f"concat('DOC-', {padded_sql('{c}', 6)})"
+
 _CASES_SQL = """
 cases as (
-  select concat('DOC-', lpad(cast(l.doc_id as varchar), 6, '0')) as ticket_id,
+  select """ + _KEY_SQL.format(c="l.doc_id") + """ as ticket_id,
     case when d.n_chars < 1000 then 'easy' when d.n_chars < 5000 then 'medium' else 'hard' end as difficulty,
     case when l.toxic = 1 then 'policy_human' when l.quality = 0 then 'ood_human'
          when l.doc_id % 5 = 0 then 'similar_cache' else 'unique_in_domain' end as cohort,
-    substring(d.text, 1, 300) as short_description,
+    split_part(d.text, chr(10), 1) as short_description,
     (l.toxic = 1 or l.quality = 0) as expected_escalation_required
   from labels l join documents d on d.doc_id = l.doc_id),
 ld as (select * from routing_decisions qualify row_number() over (partition by ticket_id order by created_at desc, event_id desc) = 1),
@@ -76,7 +78,7 @@ def eval_joined(cases: DataFrame, decisions: DataFrame, tickets: DataFrame) -> D
     present = latest_tickets(tickets, ("number", "short_description")).select(F.col("ticket_id").alias("m_id"))
     j = cases.join(d, cases.ticket_id == d.d_id, "left")
     matched = F.when(F.col("matched_ticket_id") != "", F.col("matched_ticket_id"))
-    j = j.withColumn("matched_ticket_id", matched).join(present, F.col("matched_ticket_id") == F.col("m_id"), "left")
+    j = j.withColumn("matched_ticket_id", matched).join(present, spread_key(F.col("matched_ticket_id"), F.col("ticket_id")) == F.col("m_id"), "left")
     return j.select(
         *cases.columns,
         F.coalesce(F.col("escalation_required") == 1, F.lit(True)).alias("actual_escalation_required"),
@@ -246,7 +248,8 @@ where source = 'curated' and ticket_id in (select matched_ticket_id from routing
                                      "tickets", "routing_decisions"))
 def q_base_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-13 + JOIN-10: tickets of a given source whose id is in the referenced set (semi join)."""
-    ids = fixtures.routing_decisions(spark, sf_dir).select(F.col("matched_ticket_id").alias("ticket_id"))
+    ids = fixtures.routing_decisions(spark, sf_dir).where(F.col("matched_ticket_id") != "") \
+        .select(F.col("matched_ticket_id").alias("ticket_id")).distinct()
     return (fixtures.tickets(spark, sf_dir).where(F.col("source") == "curated").join(ids, "ticket_id", "left_semi")
             .select("ticket_id", "category", "assignment_group"))
 
@@ -275,21 +278,22 @@ def q_base_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("eval_cohorts", with_views("""
 select ticket_id, cohort, null::varchar as base_ticket_id, null::boolean as expected_semantic_cache_hit from (
-  select concat('DOC-', lpad(cast(doc_id as varchar), 6, '0')) as ticket_id,
+  select """ + _KEY_SQL.format(c="doc_id") + """ as ticket_id,
     case when toxic = 1 then 'policy_human' else 'ood_human' end as cohort
   from labels where toxic = 1 or quality = 0)
 union all
 select t.ticket_id, 'similar_cache', d.matched_ticket_id, true
-from tickets t join routing_decisions d on d.ticket_id = t.ticket_id
+from (select distinct ticket_id from tickets) t join (select * from routing_decisions
+  qualify row_number() over (partition by ticket_id order by created_at desc, event_id desc) = 1) d on d.ticket_id = t.ticket_id
 where d.semantic_cache_hit = 1 and d.matched_ticket_id <> ''""", "tickets", "routing_decisions"))
 def q_eval_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET-1: cohorts with different optional fields concatenated by name."""
     lab = read_table(spark, sf_dir, "labels").where((F.col("toxic") == 1) | (F.col("quality") == 0))
     policy = lab.select(_key().alias("ticket_id"), F.when(F.col("toxic") == 1, "policy_human")
                         .otherwise("ood_human").alias("cohort"))
-    d = fixtures.routing_decisions(spark, sf_dir).where((F.col("semantic_cache_hit") == 1)
-                                                        & (F.col("matched_ticket_id") != ""))
-    cache = fixtures.tickets(spark, sf_dir).select("ticket_id").join(d, "ticket_id").select(
+    d = latest_decisions(fixtures.routing_decisions(spark, sf_dir), ("semantic_cache_hit", "matched_ticket_id"))
+    d = d.where((F.col("semantic_cache_hit") == 1) & (F.col("matched_ticket_id") != ""))
+    cache = fixtures.tickets(spark, sf_dir).select("ticket_id").distinct().join(d, "ticket_id").select(
         "ticket_id", F.lit("similar_cache").alias("cohort"), F.col("matched_ticket_id").alias("base_ticket_id"),
         F.lit(True).alias("expected_semantic_cache_hit"))
     return policy.unionByName(cache, allowMissingColumns=True).select(

@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import redact as RD
 from ..functions import text as T
-from ..operators.partitioning import spread
 from ..sources import contracts as C
 from ..sources import fixtures
 from ..sources.fixtures import EPOCH, with_views
-from ..sources.tables import read_table
+from ..sources.tables import AFTER_FIRST_LINE_SQL, FIRST_LINE_SQL, after_first_line, first_line, padded, padded_sql, read_table, text_rows
 from .registry import register
 from .text_jobs import _strip
 
@@ -27,12 +26,12 @@ SEED_SOURCE = "6StringNinja/synthetic-servicenow-incidents"
 # --- SRC-2: ingest messages ----------------------------------------------------------
 
 def ingest_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    d = text_rows(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     k = F.col("doc_id") % 10
     body = F.struct(
         F.concat(F.lit("INC"), F.col("doc_id").cast("string")).alias("number"),
-        F.when(k == 2, F.lit("   ")).otherwise(F.substring("text", 1, 120)).alias("short_description"),
-        F.when(k == 2, F.lit("")).otherwise(F.expr("substring(text, 121, 2000)")).alias("description"),
+        F.when(k == 2, F.lit("   ")).otherwise(first_line(F.col("text"))).alias("short_description"),
+        F.when(k == 2, F.lit("")).otherwise(after_first_line(F.col("text"))).alias("description"),
         F.when(k == 3, F.lit(7)).otherwise(1 + F.col("doc_id") % 3).alias("urgency"),
         (F.col("doc_id") % 4).alias("impact"),
         F.when(F.col("doc_id") % 4 == 0, F.col("text")).otherwise(F.lit("")).alias("raw_text"),
@@ -49,8 +48,8 @@ def ingest_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MSG_SQL = f"""
 m as (select doc_id, case when doc_id % 10 = 0 then 'extra' when doc_id % 10 = 1 then 'bad' else 'ok' end as kind,
         concat('INC', cast(doc_id as varchar)) as number,
-        case when doc_id % 10 = 2 then '   ' else substring(text, 1, 120) end as short_description,
-        case when doc_id % 10 = 2 then '' else substring(text, 121, 2000) end as description,
+        case when doc_id % 10 = 2 then '   ' else {FIRST_LINE_SQL} end as short_description,
+        case when doc_id % 10 = 2 then '' else {AFTER_FIRST_LINE_SQL} end as description,
         case when doc_id % 10 = 3 then 7 else 1 + doc_id % 3 end as urgency, doc_id % 4 as impact,
         case when doc_id % 4 = 0 then text else '' end as raw_text,
         timestamp '{EPOCH}' + to_minutes(cast(doc_id as bigint)) as created_at
@@ -130,7 +129,7 @@ def ticket_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 9 == 0, F.repeat(F.lit("x"), 130)).otherwise(F.col("ticket_id")).alias("ticket_id"),
         "number",
         F.when(i % 7 == 0, F.lit("   ")).otherwise(
-            F.concat(F.lit(" "), F.expr("substring(text, 1, 280 + cast(doc_id % 40 as int))"), F.lit(" ")))
+            F.concat(F.lit(" "), first_line(F.col("text")), F.lit(" ")))
         .alias("short_description"),
         F.when(i % 11 == 0, F.col("text")).otherwise(F.col("description")).alias("description"),
         F.when(i % 5 == 4, F.lit(None)).otherwise(i % 5).cast("int").alias("urgency"),
@@ -152,7 +151,7 @@ def _viol_sql(limits, extra: list[tuple[str, str]] = ()) -> str:
 
 _REQ_SQL = """
 req as (select t.doc_id, case when t.doc_id % 9 = 0 then repeat('x', 130) else t.ticket_id end as ticket_id, t.number,
-  case when t.doc_id % 7 = 0 then '   ' else concat(' ', substring(d.text, 1, 280 + cast(t.doc_id % 40 as integer)), ' ') end as short_description,
+  case when t.doc_id % 7 = 0 then '   ' else concat(' ', split_part(d.text, chr(10), 1), ' ') end as short_description,
   case when t.doc_id % 11 = 0 then d.text else t.description end as description,
   cast(case when t.doc_id % 5 = 4 then null else t.doc_id % 5 end as integer) as urgency0, t.impact, t.category,
   t.assignment_group, t.resolution,
@@ -176,7 +175,7 @@ def q_ticket_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("review_validate", f"""
 with rv as (select conv_id, turn,
-  case when conv_id % 9 = 0 then '' else concat('DOC-', lpad(cast(conv_id as varchar), 6, '0')) end as ticket_id,
+  case when conv_id % 9 = 0 then '' else concat('DOC-', {padded_sql('conv_id', 6)}) end as ticket_id,
   case when turn % 4 = 0 then '  ' else role end as decision, concat('rev-', cast(conv_id as varchar)) as reviewer,
   text as notes, case when turn % 5 = 0 then repeat('c', 130) else '' end as corrected_category,
   '' as corrected_assignment_group, '' as corrected_resolution from conversations)
@@ -187,7 +186,7 @@ def q_review_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = c.select(
         "conv_id", "turn",
         F.when(F.col("conv_id") % 9 == 0, F.lit("")).otherwise(
-            F.concat(F.lit("DOC-"), F.lpad(F.col("conv_id").cast("string"), 6, "0"))).alias("ticket_id"),
+            F.concat(F.lit("DOC-"), padded(F.col("conv_id"), 6))).alias("ticket_id"),
         F.when(F.col("turn") % 4 == 0, F.lit("  ")).otherwise(F.col("role")).alias("decision"),
         F.concat(F.lit("rev-"), F.col("conv_id").cast("string")).alias("reviewer"), F.col("text").alias("notes"),
         F.when(F.col("turn") % 5 == 0, F.repeat(F.lit("c"), 130)).otherwise(F.lit("")).alias("corrected_category"),

@@ -20,7 +20,7 @@ from ..functions.numeric import pyround
 from ..settings import DEFAULT, Settings
 from ..sources import fixtures
 from ..sources.fixtures import with_views
-from .common import latest_decisions, latest_tickets, r1, r4, risk_level, safe_ratio
+from .common import latest_decisions, latest_tickets, r1, r4, risk_level, safe_ratio, spread_key
 from .registry import register
 
 GAP_TRUE = "stored RAG evidence or LLM decision confidence is below production threshold"
@@ -67,7 +67,7 @@ def decision_facts(tickets: DataFrame, decisions: DataFrame, limit: int | None =
     t = lt.select(F.col("ticket_id").alias("t_id"), "short_description", "category", "assignment_group", "urgency",
                   "impact", "source")
     m = lt.select(F.col("ticket_id").alias("m_id"), F.col("assignment_group").alias("m_group"))
-    j = d.join(t, d.ticket_id == t.t_id, "left").join(m, d.matched_ticket_id == m.m_id, "left")
+    j = d.join(t, d.ticket_id == t.t_id, "left").join(m, spread_key(d.matched_ticket_id, d.ticket_id) == m.m_id, "left")
     # SRT-7: the reference orders and limits *before* the aggregates.
     if limit is not None:
         j = j.orderBy(F.col("latest_decision_at").desc(), F.col("ticket_id").desc()).limit(limit)

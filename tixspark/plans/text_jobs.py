@@ -13,20 +13,19 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as T
 from ..functions.redact import stable_id
-from ..operators.partitioning import spread
 from ..sources import fixtures
 from ..sources.fixtures import with_views
-from ..sources.tables import read_table
+from ..sources.tables import padded, padded_sql, read_table, text_rows
 from .registry import register
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pruned text rows, spread for the CPU-bound rules (see operators.partitioning)."""
-    return spread(read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    """Pruned text rows for the CPU-bound rules."""
+    return text_rows(read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def _conv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read_table(spark, sf_dir, "conversations").select(
+    return text_rows(read_table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")))
 
 
@@ -342,10 +341,10 @@ def q_parse_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("stable_ids", """
-select doc_id, concat('ticket_', substring(sha256(concat(coalesce(text, ''), chr(0), concat('INC', lpad(cast(doc_id as varchar), 7, '0')), chr(0))), 1, 16)) as ticket_id
+select doc_id, concat('ticket_', substring(sha256(concat(coalesce(text, ''), chr(0), concat('INC', """ + padded_sql("doc_id", 7) + """), chr(0))), 1, 16)) as ticket_id
 from documents""")
 def q_stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RED-16/17: service-path ticket id over (text, number) when no id is given."""
     d = _docs(spark, sf_dir)
-    number = F.concat(F.lit("INC"), F.lpad(F.col("doc_id").cast("string"), 7, "0"))
+    number = F.concat(F.lit("INC"), padded(F.col("doc_id"), 7))
     return d.select("doc_id", stable_id("ticket", F.col("text"), number).alias("ticket_id"))

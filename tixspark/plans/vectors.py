@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 from ..functions.numeric import pyround
 from ..functions import vectors as V
 from ..functions.rules import strip_ws
-from ..operators.partitioning import spread
 from ..operators.topk import topk_similar
 from ..settings import FIXTURE, Settings
 from ..sources import fixtures
 from ..sources.fixtures import with_views
-from ..sources.tables import read_table
+from ..sources.tables import read_table, text_rows
 from .registry import register
 
 
@@ -36,7 +35,7 @@ def q_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("hashed_embedding")
 def q_hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SIM-2 (BLAKE2b, rows check; unit-tested against a Python rendering)."""
-    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = text_rows(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", V.embed_text(F.col("text"), 384).alias("embedding"))
 
 

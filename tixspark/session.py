@@ -2,8 +2,8 @@
 
 Library code never creates its own session; callers pass one in. ``local_session``
 is for tests, the bench and the CLI. ``checkpoint_dir`` reads the cluster's shared
-``spark.checkpoint.dir`` and only falls back to a scratch folder when it is unset
-(local runs).
+``spark.checkpoint.dir``. Where it is unset, a session that runs in one process gets a
+scratch folder; on a cluster that is an error, since a local folder is no shared one.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.tixspark.text.partitions", str(os.cpu_count() if cores == "*" else cores))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -35,11 +36,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only when unset."""
+    """The shared checkpoint folder of the session."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="tixspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():

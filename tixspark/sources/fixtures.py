@@ -13,13 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read_table
+from .tables import FIRST_LINE_SQL, first_line, padded, padded_sql, read_table, text_rows
 
 EPOCH = "2024-01-01 00:00:00"
 
 
 def _ticket_key(col: Column) -> Column:
-    return F.concat(F.lit("DOC-"), F.lpad(col.cast("string"), 6, "0"))
+    return F.concat(F.lit("DOC-"), padded(col, 6))
 
 
 def _ratio(col: Column, mult: int, mod: int, div: float) -> Column:
@@ -42,10 +42,10 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         _ticket_key(F.col("doc_id")).alias("ticket_id"),
         F.col("doc_id"),
-        F.concat(F.lit("INC"), F.lpad(F.col("doc_id").cast("string"), 7, "0")).alias("number"),
-        F.substring("text", 1, 300).alias("short_description"),
-        F.substring("text", 1, 8000).alias("description"),
-        F.substring("text", 1, 8000).alias("sanitized_text"),
+        F.concat(F.lit("INC"), padded(F.col("doc_id"), 7)).alias("number"),
+        first_line(F.col("text")).alias("short_description"),
+        F.col("text").alias("description"),
+        F.col("text").alias("sanitized_text"),
         F.when(F.col("lang") == "en", "Software")
         .when(F.col("lang") == "fr", "Network")
         .when(F.col("lang") == "de", "Database")
@@ -135,7 +135,7 @@ def review_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         _ticket_key(F.col("conv_id")).alias("ticket_id"),
         F.element_at(F.array(*[F.lit(x) for x in REVIEW_DECISIONS]), idx).alias("decision"),
         F.col("role").alias("reviewer"),
-        F.substring("text", 1, 200).alias("notes"),
+        F.col("text").alias("notes"),
         F.when(F.col("role") == "assistant", "Network").otherwise("").alias("corrected_category"),
         F.lit("").alias("corrected_assignment_group"),
         F.lit("").alias("corrected_resolution"),
@@ -149,15 +149,15 @@ def review_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The same views for the DuckDB oracle (ANSI SQL; DuckDB list/regex functions).
 # ---------------------------------------------------------------------------
 
-_KEY = "concat('DOC-', lpad(cast({c} as varchar), 6, '0'))"
+_KEY = f"concat('DOC-', {padded_sql('{c}', 6)})"
 
 FIXTURE_SQL = {
     "tickets": f"""
 select {_KEY.format(c='doc_id')} as ticket_id, doc_id,
-  concat('INC', lpad(cast(doc_id as varchar), 7, '0')) as number,
-  substring(text, 1, 300) as short_description,
-  substring(text, 1, 8000) as description,
-  substring(text, 1, 8000) as sanitized_text,
+  concat('INC', {padded_sql('doc_id', 7)}) as number,
+  {FIRST_LINE_SQL} as short_description,
+  text as description,
+  text as sanitized_text,
   case lang when 'en' then 'Software' when 'fr' then 'Network' when 'de' then 'Database' else 'Access' end as category,
   case when doc_id % 11 = 0 then 'Pending Review' when doc_id % 11 < 5 then 'Network Ops'
        when doc_id % 11 < 8 then 'DBA Team' else 'IT Support' end as assignment_group,
@@ -198,7 +198,7 @@ select concat('REV-', cast(conv_id as varchar), '-', cast(turn as varchar)) as r
   {_KEY.format(c='conv_id')} as ticket_id,
   ['approve','corrected','reject','misrouted','accepted','wrong_category'][cast((conv_id + turn) % 6 + 1 as integer)] as decision,
   role as reviewer,
-  substring(text, 1, 200) as notes,
+  text as notes,
   case when role = 'assistant' then 'Network' else '' end as corrected_category,
   '' as corrected_assignment_group,
   '' as corrected_resolution,
@@ -297,10 +297,8 @@ def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents → redaction columns (sanitized text, findings, hashes, count)."""
     from ..functions.redact import redact
 
-    from ..operators.partitioning import spread
-
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return redact(spread(docs), "text")
+    return redact(text_rows(docs), "text")
 
 
 def audit_rows(redacted: DataFrame, ticket_id: Column, stream_id: Column, created_at: Column,
