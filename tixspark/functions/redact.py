@@ -125,6 +125,12 @@ def stable_id(prefix: str, *values: Column) -> Column:
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(F.concat(*parts), 256), 1, 16))
 
 
+def local_ticket_id(ticket_id: Column, number: Column, sanitized_hash: Column) -> Column:
+    """RED-17: the id used when the redaction service is not there."""
+    given = [F.when(c != "", c) for c in (ticket_id, number)]
+    return F.coalesce(*given, F.substring(sanitized_hash, 1, 16))
+
+
 @dataclass(frozen=True)
 class Redaction:
     """Column names added by :func:`redact`."""

@@ -165,3 +165,8 @@ def privacy_risk(findings: Column, redacted_count: Column, security: Column) ->
 def risk_modifier(risk: Column) -> Column:
     """SCR-6."""
     return F.when(risk >= 0.35, 0.40).when(risk > 0.15, 0.70).otherwise(1.0)
+
+
+def risk_level(score: Column) -> Column:
+    """SCR-11: the band of a risk score."""
+    return F.when(score >= 0.75, "critical").when(score >= 0.55, "elevated").when(score >= 0.35, "watch").otherwise("normal")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .numeric import let, pyround
 from ..settings import DEFAULT, Settings
-from .rules import classifier_signals, normalize_category, strip_ws
+from .rules import classifier_signals, normalize_category, risk_level, strip_ws
 
 # --- fixed values: reference texts ---------------------------------------------------
 POLICY_NONE = ("No approved retrieved evidence was available; the LLM must decide from the sanitized ticket and "
@@ -237,11 +237,6 @@ def knowledge_gap_signal(band: Column, similarity: Column, verifier: Column, rou
                                 F.lit("normal").alias("severity"))))
 
 
-def risk_level(score: Column) -> Column:
-    return (F.when(score >= 0.75, "critical").when(score >= 0.55, "elevated").when(score >= 0.35, "watch")
-            .otherwise("normal"))
-
-
 def sla_risk_routing(urgency: Column, impact: Column, confidence: Column, similarity: Column, verifier: Column,
                      privacy_risk: Column, escalated: Column, settings: Settings = DEFAULT) -> Column:
     """SCR-9 + SCR-11: struct(score, level); a verifier of 0 counts as 0.70 (Q15)."""
@@ -297,6 +292,13 @@ def fallback_decision(category: Column, retrieved: Column, policy_signal: Column
                     rationale.alias("rationale"))
 
 
+def complete_steps(decision: Column, category: Column, retrieved: Column) -> Column:
+    """TXT-5: a model decision whose steps are empty gets the escalation steps or the fallback's."""
+    instead = F.when(decision["escalation_required"], escalation_steps(decision["rationale"])).otherwise(
+        fallback_decision(category, retrieved, F.lit(None).cast("string"))["steps"])
+    return decision.withField("steps", F.when(F.size(decision["steps"]) > 0, decision["steps"]).otherwise(instead))
+
+
 def should_auto_resolve(decision: Column, review_reason: Column, urgency: Column, impact: Column,
                         privacy_risk: Column, security: Column) -> Column:
     """SCR-16: override a requested review when nothing risky is present."""
@@ -351,15 +353,16 @@ def route_explanation(assigned_category: Column, classification: Column, sanitiz
 
 
 def evidence_summary(evidence: Column) -> Column:
-    """TXT-6: compact JSON of the evidence pack (9 keys + at most 5 items of 6 keys)."""
-    items = F.slice(evidence["items"], 1, 5)
-    return F.to_json(F.struct(
+    """TXT-6: compact ASCII JSON of the evidence pack (9 keys + at most 5 items of 6 keys)."""
+    keys = ("ticket_id", "category", "assignment_group", "similarity", "evidence_role", "resolution_present")
+    items = F.transform(F.slice(evidence["items"], 1, 5), lambda x: F.struct(*[x[k].alias(k) for k in keys]))
+    return F.when(evidence.isNull(), F.lit("No RAG evidence pack was provided.")).otherwise(F.to_json(F.struct(
         evidence["quality_score"].alias("quality_score"), evidence["quality_band"].alias("quality_band"),
         evidence["top_similarity"].alias("top_similarity"), evidence["average_similarity"].alias("average_similarity"),
         evidence["category_consensus"].alias("category_consensus"),
         evidence["resolution_coverage"].alias("resolution_coverage"), evidence["evidence_count"].alias("evidence_count"),
         evidence["dominant_category"].alias("dominant_category"), evidence["policy"].alias("policy"),
-        items.alias("items")), {"ignoreNullFields": "false"})
+        items.alias("items")), {"ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint": "true"}))
 
 
 def context_pack(retrieved: Column, limit: int, max_chars: int, resolutions_only: bool = False) -> Column:

@@ -59,13 +59,30 @@ def _vtype(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def python_text(v: Column) -> Column:
+    """``str()`` of a JSON value as the reference's language writes it (objects and lists: as JSON)."""
+    t = _vtype(v)
+    text = F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
+    return (F.when(v.isNull() | (t == "VOID"), F.lit("None"))
+            .when(t == "BOOLEAN", F.initcap(text)).otherwise(text))
+
+
+def python_truth(v: Column) -> Column:
+    """``bool()`` of a JSON value: false for null, false, 0, '' and empty lists and objects."""
+    t = _vtype(v)
+    return (F.when(t == "VOID", F.lit(False))
+            .when(t == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+            .when(t == "STRING", F.try_variant_get(v, "$", "string") != "")
+            .when(t.startswith("ARRAY") | t.startswith("OBJECT"), ~F.to_json(v).isin("[]", "{}"))
+            .otherwise(F.coalesce(F.try_variant_get(v, "$", "double"), F.lit(0.0)) != 0))
+
+
 def steps_from_json(data: Column, key: str = "resolution_steps") -> Column:
     """TXT-3: array → stripped non-blank items (clipped, first 6); string → TXT-2; else []."""
     v = F.try_variant_get(data, f"$.{key}", "variant")
     t = _vtype(v)
     items = F.try_variant_get(v, "$", "array<variant>")
-    as_text = F.transform(items, lambda x: strip_ws(F.coalesce(
-        F.try_variant_get(x, "$", "string"), F.to_json(x))))
+    as_text = F.transform(items, lambda x: strip_ws(python_text(x)))
     arr_steps = F.slice(F.transform(F.filter(as_text, lambda s: s != ""), lambda s: clip_text(s, 800)), 1, 6)
     return (F.when(t.startswith("ARRAY"), arr_steps)
             .when(t == "STRING", normalize_steps(F.try_variant_get(v, "$", "string")))
@@ -74,15 +91,23 @@ def steps_from_json(data: Column, key: str = "resolution_steps") -> Column:
 
 def model_decision(payload: Column) -> Column:
     """TXT-5: struct(parsed, steps, confidence, escalation_required, rationale) of a model
-    response; ``parsed`` is false when the payload is not JSON at all (→ fallback)."""
+    response; ``parsed`` is false when the payload is not JSON at all or its confidence is no
+    number (→ fallback). Empty steps are completed by ``scoring.complete_steps``."""
     data = lenient_json(payload)
-    conf = F.coalesce(F.try_variant_get(data, "$.confidence_score", "double"), F.lit(0.0))
-    esc = F.coalesce(F.try_variant_get(data, "$.escalation_required", "boolean"), F.lit(True))
-    rationale = F.coalesce(F.try_variant_get(data, "$.rationale", "string"), F.lit(""))
+    conf_v = F.try_variant_get(data, "$.confidence_score", "variant")
+    conf_t = _vtype(conf_v)
+    number = F.when(conf_t == "BOOLEAN", F.try_variant_get(conf_v, "$", "boolean").cast("double")).when(
+        conf_t == "STRING", strip_ws(F.try_variant_get(conf_v, "$", "string")).try_cast("double")).otherwise(
+        F.try_variant_get(conf_v, "$", "double"))
+    conf = F.when(conf_v.isNull(), F.lit(0.0)).otherwise(number)
+    esc_v = F.try_variant_get(data, "$.escalation_required", "variant")
+    esc = F.when(esc_v.isNull(), F.lit(True)).otherwise(python_truth(esc_v))
+    rat_v = F.try_variant_get(data, "$.rationale", "variant")
+    rationale = F.when(rat_v.isNull(), F.lit("")).otherwise(python_text(rat_v))
     return F.struct(
-        data.isNotNull().alias("parsed"),
+        (data.isNotNull() & conf.isNotNull()).alias("parsed"),
         steps_from_json(data).alias("steps"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)).alias("confidence"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(conf, F.lit(0.0)))).alias("confidence"),
         esc.alias("escalation_required"),
         rationale.substr(F.lit(1), F.lit(1000)).alias("rationale"),
     )

@@ -61,9 +61,15 @@ def lexical_embedding(token_array: Column, dim: int = 384) -> Column:
 
     @F.pandas_udf(ArrayType(FloatType()))
     def _embed(batch: pd.Series) -> pd.Series:
-        cache: dict = {}
-        return pd.Series([lexical_embed_tokens(t if t is not None else [], dim, cache).astype(np.float32)
-                          for t in batch])
+        # One hash per distinct token of the batch; the sums are taken for all texts at once.
+        lists = [t if t is not None else [] for t in batch]
+        owner = np.repeat(np.arange(len(lists)), [len(t) for t in lists])
+        place, names = pd.factorize(np.concatenate([np.asarray(t, dtype=object) for t in lists] or [np.zeros(0, object)]))
+        slots = np.array([_token_slot(t, dim) for t in names], np.float64).reshape(-1, 2)
+        vec = np.zeros((len(lists), dim))
+        np.add.at(vec, (owner, slots[place, 0].astype(np.int64)), slots[place, 1])
+        norm = np.sqrt((vec * vec).sum(1, keepdims=True))
+        return pd.Series(list((vec / np.where(norm > 0, norm, 1)).astype(np.float32)))
 
     return _embed(token_array)
 

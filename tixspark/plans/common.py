@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pyround
+from ..functions.rules import risk_level  # noqa: F401  (part of the plans' building blocks)
 from ..operators.latest import latest_by_key
 
 TICKET_VALUES = (
@@ -63,12 +64,3 @@ def r1(c: Column | str) -> Column:
 def safe_ratio(num: Column, den: Column) -> Column:
     """0 when the denominator is 0, else round(num/den, 4)."""
     return F.when(den == 0, F.lit(0.0)).otherwise(pyround(num.cast("double") / den, 4))
-
-
-def risk_level(score: Column) -> Column:
-    return (
-        F.when(score >= 0.75, "critical")
-        .when(score >= 0.55, "elevated")
-        .when(score >= 0.35, "watch")
-        .otherwise("normal")
-    )

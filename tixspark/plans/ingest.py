@@ -36,17 +36,23 @@ def ingest_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") % 4).alias("impact"),
         F.when(F.col("doc_id") % 4 == 0, F.col("text")).otherwise(F.lit("")).alias("raw_text"),
         F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")).alias("metadata"),
+        F.when(F.col("doc_id") % 8 == 7, F.lit(True)).alias("bypass_redpanda"), F.col("lang").alias("category"),
     )
+    text_urgency = F.struct(*[body[f].alias(f) for f in ("number", "short_description", "description")], F.lit("2").alias("urgency"))
+    half_urgency = F.struct(*[body[f].alias(f) for f in ("number", "short_description", "description")], F.lit(2.5).alias("urgency"))
     extra = F.struct(*[body[f].alias(f) for f in ("number", "short_description", "description")],
                      F.lit("P1").alias("priority"))
     value = (F.when(k == 0, F.to_json(extra)).when(k == 1, F.concat(F.lit("not json {"), F.col("source")))
+             .when(F.col("doc_id") % 20 == 4, F.to_json(text_urgency)).when(F.col("doc_id") % 20 == 5, F.to_json(half_urgency))
+             .when(k == 6, F.replace(F.to_json(body), F.lit('"urgency":'), F.lit('"Urgency":')))
              .otherwise(F.to_json(body)))
     created = F.timestamp_add("MINUTE", F.col("doc_id"), F.lit(EPOCH).cast("timestamp_ntz"))
     return d.select("doc_id", value.alias("value"), created.alias("created_at"))
 
 
 _MSG_SQL = f"""
-m as (select doc_id, case when doc_id % 10 = 0 then 'extra' when doc_id % 10 = 1 then 'bad' else 'ok' end as kind,
+m as (select doc_id, case when doc_id % 10 = 0 then 'extra' when doc_id % 10 = 1 then 'bad'
+          when doc_id % 20 in (4, 5) then 'type' else 'ok' end as kind, coalesce(lang, '') as category, doc_id % 8 = 7 as bypass,
         concat('INC', cast(doc_id as varchar)) as number,
         case when doc_id % 10 = 2 then '   ' else {FIRST_LINE_SQL} end as short_description,
         case when doc_id % 10 = 2 then '' else {AFTER_FIRST_LINE_SQL} end as description,
@@ -75,46 +81,64 @@ def q_ingest_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
                            F.col("raw_text")).alias("raw_text"))
 
 
+#: Request fields of the event, in the order of the reference's record.
+EVENT_TEXTS = ("number", "short_description", "description")
+EVENT_NUMBERS = ("urgency", "impact")
+EVENT_MORE = ("category", "assignment_group", "resolution", "raw_text")
+
+
 def publish_projection(valid: DataFrame) -> DataFrame:
-    """SNK-6 + ST-2: (topic, key, value) rows — every valid message to
-    ``tickets.sanitized`` keyed by ticket id, and to ``privacy.audit`` keyed by stream id
-    when it has at least one finding; values are the JSON envelope."""
-    red = RD.redact(valid, "raw_text")
+    """SNK-6 + ST-2: (topic, key, value) rows — every valid message that does not bypass the
+    broker to ``tickets.sanitized`` keyed by ticket id, and to ``privacy.audit`` keyed by
+    stream id when it has at least one finding; values are the JSON envelope. Messages are
+    redacted once; an array of the topics of each is exploded."""
     msg = F.col("msg")
+    valid = valid.where(~F.coalesce(msg["bypass_redpanda"], F.lit(False)))
+    red = RD.redact(valid, "raw_text")
     ticket_id = F.coalesce(F.when(msg["ticket_id"] != "", msg["ticket_id"]),
                            RD.stable_id("ticket", F.col("raw_text"), F.coalesce(msg["number"], F.lit(""))))
     stream_id = RD.stable_id("stream", F.col("raw_text"), F.col("created_at").cast("string"))
-    env = (red.withColumn("ticket_id", ticket_id).withColumn("stream_id", stream_id)
-           .withColumn("envelope", F.struct(
-               F.col("ticket_id"), msg["number"].alias("number"), msg["urgency"].alias("urgency"),
-               msg["impact"].alias("impact"), msg["metadata"].alias("metadata"), F.col("stream_id"),
-               F.col("raw_sha256"), F.col("sanitized_sha256"), F.col("sanitized_text"), F.col("findings"),
-               F.lit(RD.DETECTOR_VERSION).alias("detector_version"), F.lit(RD.POLICY_VERSION).alias("policy_version"),
-               F.col("created_at"))))
-    sanitized = env.select(F.lit("tickets.sanitized").alias("topic"), F.col("ticket_id").alias("key"),
-                           F.to_json("envelope").alias("value"), "redacted_count")
-    audit = env.where(F.col("redacted_count") > 0).select(
-        F.lit("privacy.audit").alias("topic"), F.col("stream_id").alias("key"), F.to_json("envelope").alias("value"),
-        "redacted_count")
-    return sanitized.unionByName(audit)
+    text = lambda n: F.coalesce(msg[n], F.lit("")).alias(n)
+    env = red.withColumn("ticket_id", ticket_id).withColumn("stream_id", stream_id)
+    envelope = F.struct(
+        F.col("ticket_id"), *[text(n) for n in EVENT_TEXTS],
+        *[F.coalesce(msg[n], F.lit(0)).alias(n) for n in EVENT_NUMBERS], *[text(n) for n in EVENT_MORE],
+        F.try_parse_json(msg["metadata"]).alias("metadata"),
+        F.lit(False).alias("bypass_redpanda"), F.coalesce(msg["return_sanitized"], F.lit(False)).alias("return_sanitized"),
+        text("source"), F.col("stream_id"), F.col("raw_sha256"), F.col("sanitized_sha256"), F.col("sanitized_text"),
+        F.col("findings"), F.lit(RD.DETECTOR_VERSION).alias("detector_version"), F.lit(RD.POLICY_VERSION).alias("policy_version"),
+        F.col("created_at"))
+    topics = F.array_compact(F.array(
+        F.struct(F.lit("tickets.sanitized").alias("topic"), F.col("ticket_id").alias("key")),
+        F.when(F.col("redacted_count") > 0, F.struct(F.lit("privacy.audit").alias("topic"), F.col("stream_id").alias("key")))))
+    env = env.select("redacted_count", F.to_json(envelope).alias("value"), topics.alias("topics"))
+    return env.select("value", "redacted_count", F.inline("topics")).select("topic", "key", "value", "redacted_count")
 
 
 @register("publish_events", f"""
 with {_MSG_SQL.strip()},
 red as ({fixtures._redaction_sql("select doc_id, composed as text from v where reject_reason is null")}),
-ok as (select v.doc_id, v.number, v.composed, v.created_at, r.redacted_count from v
-       join red r on r.doc_id = v.doc_id and r.kind = 'doc' where v.reject_reason is null)
+ok as (select v.*, r.redacted_count, r.sanitized_sha256, r.raw_sha256 from v
+       join red r on r.doc_id = v.doc_id and r.kind = 'doc' where v.reject_reason is null and not v.bypass),
+parts as (select *, concat_ws('|', number, short_description, cast(urgency as varchar), cast(impact as varchar), category, raw_text,
+            raw_sha256, sanitized_sha256, 'privacy-shield-regex-v1', cast(redacted_count as varchar)) as event from ok)
 select 'tickets.sanitized' as topic,
-  concat('ticket_', substring(sha256(concat(composed, chr(0), number, chr(0))), 1, 16)) as key, redacted_count
-from ok
+  concat('ticket_', substring(sha256(concat(composed, chr(0), number, chr(0))), 1, 16)) as key, redacted_count, event
+from parts
 union all
 select 'privacy.audit', concat('stream_', substring(sha256(concat(composed, chr(0), cast(created_at as varchar), chr(0))), 1, 16)),
-  redacted_count
-from ok where redacted_count > 0""")
+  redacted_count, event
+from parts where redacted_count > 0""")
 def q_publish_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-6 batch form: the two topics' keys for the valid messages."""
+    """SNK-6 batch form: the events of the two topics, their values read back from the JSON."""
     valid = C.validate_ingest(ingest_messages(spark, sf_dir)).where(F.col("reject_reason").isNull())
-    return publish_projection(valid).select("topic", "key", "redacted_count")
+    got = F.from_json("value", "number string, short_description string, urgency int, impact int, category string, raw_text string, "
+                      "raw_sha256 string, sanitized_sha256 string, detector_version string, findings array<struct<placeholder:string>>")
+    out = publish_projection(valid).select("topic", "key", "redacted_count", got.alias("e"))
+    event = F.concat_ws("|", "e.number", "e.short_description", F.col("e.urgency").cast("string"), F.col("e.impact").cast("string"),
+                        "e.category", "e.raw_text", "e.raw_sha256", "e.sanitized_sha256", "e.detector_version",
+                        F.size("e.findings").cast("string"))
+    return out.select("topic", "key", "redacted_count", event.alias("event"))
 
 
 # --- SRC-3 / SRC-4: request contracts -------------------------------------------------
@@ -194,6 +218,19 @@ def q_review_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.validate_review(r).select("conv_id", "turn", F.array_join("violations", "; ").alias("violations"))
 
 
+@register("request_extra_fields", """
+select conv_id, turn, case when turn % 3 = 0 then 'priority' when turn % 3 = 1 then 'Notes,zone' else '' end as extra from conversations""")
+def q_request_extra_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-3/4: request fields outside the contract, which reject a request."""
+    c = read_table(spark, sf_dir, "conversations").withColumn("m", F.col("turn") % 3)
+    none = F.lit(None).cast("string")
+    value = F.to_json(F.struct(
+        F.col("conv_id").cast("string").alias("ticket_id"), F.col("role").alias("decision"), F.coalesce("text", F.lit("")).alias("notes"),
+        F.when(F.col("m") == 0, "P1").otherwise(none).alias("priority"), F.when(F.col("m") == 1, "n").otherwise(none).alias("Notes"),
+        F.when(F.col("m") == 1, "z").otherwise(none).alias("zone")))
+    return c.select("conv_id", "turn", F.array_join(C.extra_fields(value, C.REVIEW_LIMITS), ",").alias("extra"))
+
+
 # --- SNK-9: schema alignment -----------------------------------------------------------
 
 @register("schema_align", with_views("""
@@ -245,10 +282,8 @@ def q_seed_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def append(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """SNK-1/SNK-4: append-only write; an empty batch writes nothing. Sorted within
+    """SNK-1/SNK-4: append-only write in one pass (an empty batch adds no rows). Sorted within
     partitions by the reference's sort key prefix so row groups prune point lookups."""
-    if df.isEmpty():
-        return
     w = df.sortWithinPartitions(*[c for c in ("ticket_id", "created_at") if c in df.columns]).write.mode("append")
     if partition_by:
         w = w.partitionBy(*partition_by)

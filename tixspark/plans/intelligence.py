@@ -142,11 +142,15 @@ def knowledge_gaps(facts: DataFrame, n: int = 12) -> DataFrame:
         F.col("sla_risk_score").desc(), F.col("created_at").desc(), F.col("ticket_id").desc())
     ex = (gaps.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 3)
           .groupBy("category", "reason")
-          .agg(F.array_sort(F.collect_list(F.struct("_rn", "ticket_id"))).alias("_ex")))
+          .agg(F.array_sort(F.collect_list(F.struct("_rn", "ticket_id", "short_description", "sla_risk_score", "confidence_score")))
+               .alias("_ex")))
     out = agg.join(ex, ["category", "reason"]).select(
         "category", "reason", risk_level(F.col("_max")).alias("severity"), "count", "avg_retrieval_similarity",
         "avg_verifier_score", F.lit(RECOMMENDED_ACTION).alias("recommended_action"),
-        F.array_join(F.transform("_ex", lambda x: x["ticket_id"]), ",").alias("example_ticket_ids"))
+        F.array_join(F.transform("_ex", lambda x: x["ticket_id"]), ",").alias("example_ticket_ids"),
+        F.array_join(F.transform("_ex", lambda x: F.concat_ws(
+            " / ", x["short_description"], F.format_string("%.4f", x["sla_risk_score"]),
+            F.format_string("%.3f", x["confidence_score"]))), "\n").alias("examples"))
     return out.orderBy(F.col("count").desc(), F.col("severity").desc(), "category", "reason").limit(n)
 
 
@@ -278,13 +282,15 @@ a as (select category, reason, count(*) as count, max(sla_risk_score) as mx,
         round(cast(sum(cast(retrieval_similarity as decimal(38,12))) as double) / count(retrieval_similarity), 4) as avg_retrieval_similarity,
         round(cast(sum(cast(verifier_score as decimal(38,12))) as double) / count(verifier_score), 4) as avg_verifier_score
       from g group by category, reason),
-e as (select category, reason, string_agg(ticket_id, ',' order by rn) as example_ticket_ids from (
-        select category, reason, ticket_id,
+e as (select category, reason, string_agg(ticket_id, ',' order by rn) as example_ticket_ids,
+        string_agg(concat_ws(' / ', short_description, printf('%.4f', sla_risk_score), printf('%.3f', confidence_score)), chr(10) order by rn) as examples
+      from (
+        select category, reason, ticket_id, short_description, sla_risk_score, confidence_score,
           row_number() over (partition by category, reason order by sla_risk_score desc, created_at desc, ticket_id desc) as rn
         from g) where rn <= 3 group by category, reason)
 select a.category, a.reason,
   case when mx >= 0.75 then 'critical' when mx >= 0.55 then 'elevated' when mx >= 0.35 then 'watch' else 'normal' end as severity,
-  count, avg_retrieval_similarity, avg_verifier_score, '{RECOMMENDED_ACTION}' as recommended_action, example_ticket_ids
+  count, avg_retrieval_similarity, avg_verifier_score, '{RECOMMENDED_ACTION}' as recommended_action, example_ticket_ids, examples
 from a join e using (category, reason)
 order by count desc, severity desc, category, reason limit 12"""))
 def q_knowledge_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def routed_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = prepare_corpus(t, DEFAULT)
     # Block sizing needs only a row count of the approved corpus, not its embeddings.
     n_corpus = t.where(F.col("source").isin(*DEFAULT.approved_knowledge_sources)).count()
-    return route_tickets(incoming_requests(t), corpus, DEFAULT, corpus_rows=n_corpus)
+    return route_tickets(incoming_requests(t), corpus, DEFAULT, corpus_rows=n_corpus, routed_at="2024-02-01 00:00:00")
 
 
 @register("route_tickets")
@@ -54,6 +54,7 @@ from ..operators.topk import topk_similar  # noqa: E402
 from ..settings import FIXTURE  # noqa: E402
 from ..sources.fixtures import with_views  # noqa: E402
 from ..sources.tables import read_table  # noqa: E402
+from .common import latest_tickets  # noqa: E402
 from .text_jobs import _CAT_MAP_SQL, _strip, _title_sql  # noqa: E402
 from .vectors import approved_knowledge  # noqa: E402
 
@@ -327,7 +328,8 @@ def _with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     top-k, so only k rows per query travel)."""
     r = retrieved_lists(spark, sf_dir)
     items = r.select("query_id", F.posexplode("retrieved").alias("pos", "it"))
-    texts = fixtures.tickets(spark, sf_dir).select(F.col("ticket_id").alias("tid"), "sanitized_text")
+    texts = latest_tickets(fixtures.tickets(spark, sf_dir), ("sanitized_text",)).select(
+        F.col("ticket_id").alias("tid"), "sanitized_text")
     j = items.join(texts, F.col("it.ticket_id") == F.col("tid"), "left")
     return j.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
         F.col("it.rank").alias("rank"), F.col("it.ticket_id").alias("ticket_id"),

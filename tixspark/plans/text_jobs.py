@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ..functions.redact import stable_id
+from ..functions.redact import local_ticket_id, stable_id
 from ..sources import fixtures
 from ..sources.fixtures import with_views
 from ..sources.tables import padded, padded_sql, read_table, text_rows
@@ -348,3 +348,28 @@ def q_stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir)
     number = F.concat(F.lit("INC"), padded(F.col("doc_id"), 7))
     return d.select("doc_id", stable_id("ticket", F.col("text"), number).alias("ticket_id"))
+
+
+@register("ticket_ids_local", """
+select doc_id, case when doc_id % 3 = 0 then 'T' || cast(doc_id as varchar) when doc_id % 3 = 1 then 'N' || cast(doc_id as varchar)
+  else substring(sha256(coalesce(text, '')), 1, 16) end as ticket_id from documents""")
+def q_ticket_ids_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RED-17, local path: the given id, else the number, else 16 hex digits of the (sanitized) text's hash."""
+    d, i = _docs(spark, sf_dir), F.col("doc_id")
+    given = F.when(i % 3 == 0, F.concat(F.lit("T"), i.cast("string")))
+    number = F.when(i % 3 == 1, F.concat(F.lit("N"), i.cast("string"))).otherwise(F.lit(""))
+    return d.select("doc_id", local_ticket_id(given, number, F.sha2("text", 256)).alias("ticket_id"))
+
+
+@register("as_number", """
+with w as (select conv_id, turn, string_split(coalesce(text, ''), ' ')[1] as word from conversations),
+v as (select *, case turn % 6 when 0 then cast(conv_id as varchar) when 1 then '' when 2 then '1e3' when 3 then word
+        when 4 then 'NaN' else cast(turn as varchar) || '.25' end as s from w)
+select conv_id, turn, case turn % 6 when 0 then cast(conv_id as double) when 2 then 1000.0 when 3 then try_cast(word as double)
+  when 5 then turn + 0.25 end as number from v""")
+def q_as_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-11."""
+    c, m = _conv(spark, sf_dir), F.col("turn") % 6
+    raw = (F.when(m == 0, F.col("conv_id").cast("string")).when(m == 1, "").when(m == 2, "1e3").when(m == 3, F.split("text", " ")[0])
+           .when(m == 4, "NaN").otherwise(F.concat(F.col("turn").cast("string"), F.lit(".25"))))
+    return c.select("conv_id", "turn", T.as_number(raw).alias("number"))

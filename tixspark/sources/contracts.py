@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.rules import strip_ws
 from ..functions.text import compose_raw_text
@@ -27,16 +26,11 @@ REVIEW_LIMITS = (("ticket_id", 1, 128), ("decision", 1, 40), ("reviewer", 1, 120
                  ("corrected_resolution", 0, 5000))
 # -----------------------------------------------------------------------------------
 
-INGEST_SCHEMA = T.StructType([
-    T.StructField("ticket_id", T.StringType()), T.StructField("number", T.StringType()),
-    T.StructField("short_description", T.StringType()), T.StructField("description", T.StringType()),
-    T.StructField("urgency", T.LongType()), T.StructField("impact", T.LongType()),
-    T.StructField("category", T.StringType()), T.StructField("assignment_group", T.StringType()),
-    T.StructField("resolution", T.StringType()), T.StructField("raw_text", T.StringType()),
-    T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("bypass_redpanda", T.BooleanType()), T.StructField("return_sanitized", T.BooleanType()),
-    T.StructField("source", T.StringType()),
-])
+#: JSON types that the decoder takes for a field; null leaves any field at its zero value.
+INGEST_TYPES = dict.fromkeys(INGEST_FIELDS, "STRING") | {
+    "urgency": "BIGINT", "impact": "BIGINT", "metadata": "OBJECT", "bypass_redpanda": "BOOLEAN", "return_sanitized": "BOOLEAN",
+}
+_SPARK_TYPES = {"STRING": "string", "BIGINT": "bigint", "BOOLEAN": "boolean"}
 
 
 def _violations(checks: list[tuple[Column, str]]) -> Column:
@@ -44,15 +38,32 @@ def _violations(checks: list[tuple[Column, str]]) -> Column:
 
 
 def validate_ingest(df: DataFrame, value_col: str = "value") -> DataFrame:
-    """SRC-2: strict decode (unknown key, malformed JSON or body over 1 MiB → invalid
-    payload), urgency/impact 0 or 1..3, non-blank composed text. Adds ``msg`` (parsed
+    """SRC-2: strict decode (unknown key, wrong JSON type, malformed JSON or body over 1 MiB →
+    invalid payload), urgency/impact 0 or 1..3, non-blank composed text. ``metadata`` stays JSON. Adds ``msg`` (parsed
     struct), ``raw_text`` and ``reject_reason`` (NULL when valid)."""
     v = F.col(value_col)
-    keys = F.expr(f"json_object_keys({value_col})")
-    unknown = F.size(F.array_except(F.coalesce(keys, F.array().cast("array<string>")),
-                                    F.array(*[F.lit(k) for k in INGEST_FIELDS]))) > 0
-    msg = F.from_json(v, INGEST_SCHEMA)
-    bad_json = keys.isNull() | (F.octet_length(v) > MAX_BODY_BYTES) | unknown
+    data = F.try_parse_json(v)
+    fields = F.map_entries(F.when(F.schema_of_variant(data).startswith("OBJECT"), F.try_variant_get(data, "$", "map<string,variant>")))
+    # Names are matched without regard to case, as the reference's decoder does.
+    df = df.withColumn("__fields", fields)
+    given = F.transform("__fields", lambda e: F.lower(e["key"]))
+    unknown = F.size(F.array_except(given, F.array(*[F.lit(k) for k in INGEST_FIELDS]))) > 0
+
+    def named(name: str) -> Column:
+        return F.filter("__fields", lambda e: F.lower(e["key"]) == name)
+
+    values, wrong = {}, F.lit(False)
+    for name, kind in INGEST_TYPES.items():
+        there = F.size(named(name)) > 0
+        value = F.when(there, F.element_at(named(name), -1)["value"])
+        found = F.schema_of_variant(value)
+        wrong = wrong | (there & ~(found.startswith(kind) | (found == "VOID")))
+        values[name] = F.when(found == "VOID", F.lit(None)).otherwise(value) if kind == "OBJECT" else F.try_variant_get(value, "$", _SPARK_TYPES[kind])
+    values["metadata"] = F.to_json(values["metadata"])
+    msg = F.struct(*[c.alias(n) for n, c in values.items()])
+    bad_json = F.col("__fields").isNull() | (F.octet_length(v) > MAX_BODY_BYTES) | unknown | F.coalesce(wrong, F.lit(False))
+    df = df.withColumn("__bad", bad_json).withColumn("msg", msg)
+    msg, bad_json = F.col("msg"), F.col("__bad")
     u, i = msg["urgency"], msg["impact"]
     bad_range = ((F.coalesce(u, F.lit(0)) != 0) & ((u < 1) | (u > 3))) | \
         ((F.coalesce(i, F.lit(0)) != 0) & ((i < 1) | (i > 3)))
@@ -60,7 +71,7 @@ def validate_ingest(df: DataFrame, value_col: str = "value") -> DataFrame:
     reason = (F.when(bad_json, "invalid JSON payload")
               .when(bad_range, "urgency and impact must be between 1 and 3 when provided")
               .when(strip_ws(F.coalesce(raw, F.lit(""))) == "", "ticket text is required"))
-    return df.withColumn("msg", msg).withColumn("raw_text", raw).withColumn("reject_reason", reason)
+    return df.withColumn("raw_text", raw).withColumn("reject_reason", reason).drop("__fields", "__bad")
 
 
 def _length_checks(limits) -> list[tuple[Column, str]]:
@@ -74,6 +85,12 @@ def _length_checks(limits) -> list[tuple[Column, str]]:
     return checks
 
 
+def extra_fields(value: Column, limits, more: tuple[str, ...] = ()) -> Column:
+    """SRC-3/4: names in a JSON request that the contract does not know; such a request is rejected."""
+    known = F.array(*[F.lit(n) for n in (*[x[0] for x in limits], *more)])
+    return F.array_sort(F.array_except(F.coalesce(F.json_object_keys(value), F.array().cast("array<string>")), known))
+
+
 def validate_ticket_request(df: DataFrame) -> DataFrame:
     """SRC-3: strip strings, apply defaults (urgency 3, impact 3, source 'api'), check
     lengths/ranges/blanks; ``violations`` lists every broken rule."""

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rules import risk_level
 from .tables import FIRST_LINE_SQL, first_line, padded, padded_sql, read_table, text_rows
 
 EPOCH = "2024-01-01 00:00:00"
@@ -26,15 +27,6 @@ def _ratio(col: Column, mult: int, mod: int, div: float) -> Column:
     return ((col * mult) % mod).cast("double") / F.lit(div)
 
 
-def _risk_level(score: Column) -> Column:
-    return (
-        F.when(score >= 0.75, "critical")
-        .when(score >= 0.55, "elevated")
-        .when(score >= 0.35, "watch")
-        .otherwise("normal")
-    )
-
-
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents")
     m11 = F.col("doc_id") % 11
@@ -108,7 +100,7 @@ def routing_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("value") * 10).cast("bigint").alias("latency_ms"),
         F.when(eid % 4 == 0, "").otherwise(_ticket_key(eid % 2000)).alias("matched_ticket_id"),
         sla.alias("sla_risk_score"),
-        F.when(sla == 0, "").otherwise(_risk_level(sla)).alias("sla_risk_level"),
+        F.when(sla == 0, "").otherwise(risk_level(sla)).alias("sla_risk_level"),
         resolver.alias("resolver_group"),
         F.when(eid % 5 == 0, F.lit(0.0)).otherwise(_ratio(eid, 17, 1000, 1000.0)).alias("resolver_confidence"),
         F.when(eid % 9 == 0, 1).otherwise(0).alias("knowledge_gap"),
