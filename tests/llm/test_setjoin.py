@@ -78,23 +78,18 @@ def test_awkward_rows(spark):
 
 def test_positional_skipping_keeps_all_pairs():
     rng = np.random.default_rng(0)
-    for _ in range(30):
-        n = np.sort(rng.integers(5, 40, 60))
+    for short in (1, 4, 100):
+        token, n = np.sort(rng.integers(0, 12, 300)), rng.integers(5, 40, 300)
         pos = np.array([rng.integers(0, setjoin._prefix(int(x))) for x in n])
-        order = np.lexsort((pos, n))
-        n, pos, key = n[order], pos[order], np.arange(60)
-        comp = rng.integers(0, 50, 60)
-        seen = {(max(a, b), min(a, b)) for x, y in setjoin._list_pairs(key, n, pos, comp) for a, b in zip(x, y, strict=True)}
-        want = set()
-        for i in range(60):
-            for j in range(i):
-                least = setjoin.needed(int(n[i]), int(n[j]))
-                if (
-                    5 * n[j] >= 4 * n[i] and comp[i] != comp[j] and pos[j] < setjoin._index_prefix(n[j])
-                    and min(n[i] - pos[i], n[j] - pos[j]) >= least
-                ):
-                    want.add((i, j))
-        assert seen == want
+        order = np.lexsort((pos, n, token))
+        token, n, pos, comp = token[order], n[order], pos[order], rng.integers(0, 40, 300)
+        seen = list(zip(*setjoin.list_pairs(token, n, pos, comp, short), strict=True))
+        want = {
+            (i, j) for i in range(300) for j in range(i)
+            if token[i] == token[j] and comp[i] != comp[j] and 5 * n[j] >= 4 * n[i]
+            and min(pos[i], pos[j]) + 1 + min(n[i] - pos[i], n[j] - pos[j]) - 1 >= setjoin.needed(int(n[i]), int(n[j]))
+        }
+        assert len(seen) == len(set(seen)) and want == {(int(i), int(j)) for i, j in seen}
 
 
 def test_shingles_of_long_and_odd_texts(monkeypatch):

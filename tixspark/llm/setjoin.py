@@ -41,7 +41,9 @@ RANGES, KEYS = 8, 4
 #: Shingles in at least HEAVY documents are told to all tasks, the most frequent TOLD of them at most (16 bytes each).
 HEAVY, TOLD = 24, 1 << 20
 #: Shingles kept in a task before they are sent on.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
+#: Index lists of up to this many sets are paired all at once.
+SHORT = 32
 
 
 def needed(a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | int:
@@ -53,11 +55,6 @@ def _prefix(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
-def _index_prefix(n: np.ndarray) -> np.ndarray:
-    """Places of a set that sets of its size or more need to look at."""
-    return n - needed(n, n) + 1
-
-
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
     for batch in batches:
         yield batch, list(shingle_sets(batch["text"].tolist()))
@@ -186,31 +183,67 @@ def index_lists(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], parts
     return packed.groupBy("part").applyInPandas(lists, "token long, set_id long, n long, pos int")
 
 
-def _list_pairs(key: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one index list (ordered by n, pos) that the bounds allow and that are not known to be linked."""
+def _fits(ni: np.ndarray, pi: np.ndarray, nj: np.ndarray, pj: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes ni >= nj with a shingle in common at places pi, pj can link.
+
+    Before the shingle they share at most min(pi, pj) others, after it what is left of the shorter rest.
+    """
+    least = needed(ni, nj)
+    return (DEN * nj >= NUM * ni) & (pi - pj <= ni - least) & (pj - pi <= nj - least)
+
+
+def _short_lists(token: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (later, earlier) of rows of index lists of at most ``longest`` rows, all lists at once."""
+    for d in range(1, longest):
+        i = np.flatnonzero(token[d:] == token[:-d]) + d
+        if not len(i):
+            return
+        j = i - d
+        keep = (comp[i] != comp[j]) & _fits(n[i], pos[i], n[j], pos[j])
+        yield i[keep], j[keep]
+
+
+def _long_list(n: np.ndarray, pos: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one index list, ordered by size and position.
+
+    For each row only the blocks of sizes that can link are entered, and of a block only the
+    stretch of positions that the positional bounds allow.
+    """
     sizes, begin = np.unique(n, return_index=True)
     begin = np.append(begin, len(n))
-    for i in range(len(key)):
-        if pos[i] >= _prefix(int(n[i])):
-            continue
-        first = np.searchsorted(sizes, -(-NUM * n[i] // DEN))
-        for j in range(first, len(sizes)):
-            a, b = begin[j], min(begin[j + 1], i)
+    for i in range(len(n)):
+        for k in range(np.searchsorted(sizes, -(-NUM * n[i] // DEN)), len(sizes)):
+            a, b = begin[k], min(begin[k + 1], i)
             if a >= b:
                 break
-            least = needed(int(n[i]), int(sizes[j]))
-            if 1 + n[i] - pos[i] - 1 < least:
-                continue
-            # The block is in order of position: stop where too little of the other set is left.
-            top = min(int(sizes[j]) - least, int(_index_prefix(sizes[j])) - 1)
-            b = a + np.searchsorted(pos[a:b], top, side="right")
-            other = np.arange(a, b)[comp[a:b] != comp[i]]
-            if len(other):
-                yield np.full(len(other), key[i]), key[other]
+            least = needed(int(n[i]), int(sizes[k]))
+            low, high = pos[i] - (n[i] - least), pos[i] + (sizes[k] - least)
+            a, b = a + np.searchsorted(pos[a:b], low), a + np.searchsorted(pos[a:b], high, side="right")
+            j = np.arange(a, b)[comp[a:b] != comp[i]]
+            if len(j):
+                yield np.full(len(j), i), j
+
+
+def list_pairs(token: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, short: int = SHORT) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (later, earlier) of rows of the index lists (ordered by token, n, pos) that can link and are not known to."""
+    cuts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    ends = np.append(cuts[1:], len(token))
+    apart = np.add.reduceat((comp != np.repeat(comp[cuts], ends - cuts)).astype(np.int64), cuts) > 0
+    few = apart & (ends - cuts <= short)
+    at = np.flatnonzero(np.repeat(few, ends - cuts))
+    found = [(at[i], at[j]) for i, j in _short_lists(token[at], n[at], pos[at], comp[at], short)]
+    for a, b in zip(cuts[apart & ~few].tolist(), ends[apart & ~few].tolist(), strict=True):
+        found += [(i + a, j + a) for i, j in _long_list(n[a:b], pos[a:b], comp[a:b])]
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([none, *[f[k] for f in found]]) for k in (0, 1))
 
 
 def candidate_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b) with a < b from ``lists`` (token, set_id, n, pos, comp)."""
+    """(a, b) with a < b from ``lists`` (token, set_id, n, pos, comp).
+
+    The prefix shingles that a pair shares are counted. Of two sets, the one whose prefix ends
+    first shares at most these and its rest, so |a n b| <= count + the larger rest.
+    """
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -220,27 +253,23 @@ def candidate_pairs(lists: DataFrame) -> DataFrame:
             last = batch["token"].iloc[-1] if len(batch) else None
             whole = np.searchsorted(batch["token"].to_numpy(), last) if len(batch) else 0
             rest = batch.iloc[whole:]
-            yield found(batch.iloc[:whole])
+            if whole:
+                yield found(batch.iloc[:whole])
         if rest is not None and len(rest):
             yield found(rest)
 
     def found(batch: pd.DataFrame) -> pd.DataFrame:
         token, key, n, pos, comp = (batch[c].to_numpy() for c in ("token", "set_id", "n", "pos", "comp"))
-        cuts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, int)
-        ends = np.append(cuts[1:], len(token))
-        one, two = [], []
-        mixed = np.add.reduceat((comp != np.repeat(comp[cuts], ends - cuts)).astype(int), cuts) > 0 if len(cuts) else []
-        for a, b in zip(cuts[mixed].tolist(), ends[mixed].tolist(), strict=True):
-            for x, y in _list_pairs(key[a:b], n[a:b], pos[a:b], comp[a:b]):
-                one.append(x)
-                two.append(y)
-        x = np.concatenate(one) if one else np.zeros(0, np.int64)
-        y = np.concatenate(two) if two else np.zeros(0, np.int64)
-        out = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-        return out.drop_duplicates()
+        i, j = list_pairs(token, n, pos.astype(np.int64), comp)
+        x, y = np.where(key[i] < key[j], i, j), np.where(key[i] < key[j], j, i)
+        out = pd.DataFrame({"a": key[x], "b": key[y], "na": n[x], "nb": n[y]})
+        return out.groupby(["a", "b", "na", "nb"], as_index=False).size().rename(columns={"size": "c"})
 
     ordered = lists.repartition("token").sortWithinPartitions("token", "n", "pos")
-    return ordered.mapInPandas(pairs, "a long, b long").distinct()
+    counted = ordered.mapInPandas(pairs, "a long, b long, na long, nb long, c long")
+    counted = counted.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    rest = lambda n: f"(({NUM} * {n} + {DEN - 1}) div {DEN} - 1)"  # noqa: E731  what is left beyond the prefix
+    return counted.where(f"{NUM + DEN} * (c + greatest({rest('na')}, {rest('nb')})) >= {NUM} * (na + nb)").select("a", "b")
 
 
 def overlaps(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
