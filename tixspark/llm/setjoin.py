@@ -27,7 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_side, staged
@@ -42,6 +43,8 @@ RANGES, KEYS = 8, 4
 HEAVY, TOLD = 24, 1 << 20
 #: Shingles kept in a task before they are sent on.
 FLUSH = 1 << 20
+#: Rows of texts worked on at once.
+ROWS = 256
 #: Index lists of up to this many sets are paired all at once.
 SHORT = 32
 
@@ -55,25 +58,31 @@ def _prefix(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows with their sets, a few at a time: Arrow batches may hold tens of MB of text."""
     for batch in batches:
-        yield batch, list(shingle_sets(batch["text"].tolist()))
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            yield part, list(shingle_sets(part.column("text").to_pylist()))
 
 
-def _describe(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edges = (np.arange(1, RANGES, dtype=np.uint64) << np.uint64(64 - RANGES.bit_length() + 1)).astype(np.uint64)
-    for batch in texts:
-        out = []
-        for s in shingle_sets(batch.tolist()):
+    for part, sets in _sets(batches):
+        keys = []
+        for s in sets:
             cut = [0, *np.searchsorted(s, edges).tolist(), len(s)]
             least = [int(s[cut[i]]) if cut[i] < cut[i + 1] else None for i in range(RANGES)]
             pairs = ((least[2 * k], least[2 * k + 1], k) for k in range(KEYS))
-            keys = [(a * 3 + b * 5 + c) % (1 << 64) - (1 << 63) for a, b, c in pairs if a is not None and b is not None]
-            out.append((set_id(s), len(s), keys))
-        yield pd.DataFrame(out, columns=["set_id", "n", "keys"])
+            keys.append([(a * 3 + b * 5 + c) % (1 << 64) - (1 << 63) for a, b, c in pairs if a is not None and b is not None])
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), part.column("text_key"), pa.array([set_id(s) for s in sets], pa.int64()),
+             pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+            names=["doc_id", "text_key", "set_id", "n", "keys"],
+        )
 
 
-def _rows(parts: int, values: np.ndarray, columns: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+def _rows(parts: int, values: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Byte planes of columns (ordered by ``values``), a row for each of ``parts`` ranges of the values."""
     if not len(values):
         return
@@ -82,11 +91,13 @@ def _rows(parts: int, values: np.ndarray, columns: list[np.ndarray]) -> Iterator
     step = (1 << 64) // parts + 1
     cuts = np.searchsorted(values, np.array([i * step for i in range(1, parts)], np.uint64))
     planes = [np.ascontiguousarray(c[order]).view(np.uint8).reshape(len(order), -1) for c in columns]
-    out = []
+    part, n, data = [], [], []
     for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(order)], strict=True)):
         if b > a:
-            out.append((i, b - a, b"".join(p[a:b].T.tobytes() for p in planes)))
-    yield pd.DataFrame(out, columns=["part", "n", "data"])
+            part.append(i)
+            n.append(int(b - a))
+            data.append(b"".join(p[a:b].T.tobytes() for p in planes))
+    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], names=["part", "n", "data"])
 
 
 def _planes(group: pd.DataFrame, widths: list[int]) -> list[np.ndarray]:
@@ -107,7 +118,7 @@ def _wide(b: np.ndarray, kind: str) -> np.ndarray:
 def frequent_shingles(texts: DataFrame, parts: int) -> DataFrame:
     """(token, df): the first 40 bits of shingles in at least HEAVY documents. Copies within a batch count once."""
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
         for _, sets in _sets(batches):
             for s in {set_id(s): s for s in sets}.values():
@@ -118,7 +129,7 @@ def frequent_shingles(texts: DataFrame, parts: int) -> DataFrame:
                     kept, size = [], 0
         yield from flush(kept)
 
-    def flush(kept: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+    def flush(kept: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if kept:
             all_ = np.sort(np.concatenate(kept))
             first = all_.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]
@@ -131,7 +142,7 @@ def frequent_shingles(texts: DataFrame, parts: int) -> DataFrame:
         token, df = np.unique(_wide(value, ">u8").astype(np.int64), return_counts=True)
         return pd.DataFrame({"token": token[df >= HEAVY], "df": df[df >= HEAVY].astype(np.int64)})
 
-    packed = texts.select("text").mapInPandas(send, "part int, n int, data binary")
+    packed = texts.select("text").mapInArrow(send, "part int, n int, data binary")
     return packed.groupBy("part").applyInPandas(count, "token long, df long")
 
 
@@ -139,7 +150,7 @@ def index_lists(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], parts
     """(token, set_id, n, pos) of the prefixes, for the shingles that are in the prefix of two sets or more."""
     told = texts.sparkSession.sparkContext.broadcast(frequent)
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, dfs = told.value
         kept, size = [], 0
         for _, sets in _sets(batches):
@@ -158,7 +169,7 @@ def index_lists(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], parts
                     kept, size = [], 0
         yield from flush(kept)
 
-    def flush(kept: list) -> Iterator[pd.DataFrame]:
+    def flush(kept: list) -> Iterator[pa.RecordBatch]:
         if kept:
             many = [len(k[0]) for k in kept]
             token = np.concatenate([k[0] for k in kept])
@@ -179,7 +190,7 @@ def index_lists(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], parts
         more = np.append(same, False) | np.insert(same, 0, False)
         return pd.DataFrame({"token": token[more], "set_id": key[more], "n": n[more].astype(np.int64), "pos": pos[more].astype(np.int32)})
 
-    packed = texts.select("text").mapInPandas(send, "part int, n int, data binary")
+    packed = texts.select("text").mapInArrow(send, "part int, n int, data binary")
     return packed.groupBy("part").applyInPandas(lists, "token long, set_id long, n long, pos int")
 
 
@@ -278,32 +289,32 @@ def overlaps(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     want = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
     want = staged(want.join(sets, "set_id").select("set_id", "doc_id", "text_key"))
 
-    def content(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, found in _sets(batches):
-            ids = batch["set_id"].to_numpy()
-            out = {k: s.tobytes() for k, s in zip(ids, found, strict=True) if set_id(s) == k}
-            yield pd.DataFrame({"set_id": list(out), "data": list(out.values())})
+    def content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in _sets(batches):
+            out = {k: s.tobytes() for k, s in zip(part.column("set_id").to_pylist(), found, strict=True) if set_id(s) == k}
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["set_id", "data"])
 
     rows = docs.join(small_side(want), ["doc_id", "text_key"]).select("set_id", "text")
-    data = staged(rows.mapInPandas(content, "set_id long, data binary").groupBy("set_id").agg(F.first("data").alias("data")))
+    data = staged(rows.mapInArrow(content, "set_id long, data binary").groupBy("set_id").agg(F.first("data").alias("data")))
+
+    def shared(x: bytes, y: bytes) -> int:
+        x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+        return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x, y in zip(batch["xa"], batch["xb"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                out.append((len(batch), int((y[at] == x).sum())))
-            yield pd.DataFrame({
-                "a": batch["a"], "b": batch["b"], "na": batch["xa"].str.len() // 8, "nb": batch["xb"].str.len() // 8,
-                "ov": [o[1] for o in out],
-            })
+            na, nb, ov = [], [], []
+            for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
+                x, y = x.as_buffer(), y.as_buffer()
+                na.append(x.size // 8)
+                nb.append(y.size // 8)
+                ov.append(shared(x, y))
+            sizes = [pa.array(v, pa.int64()) for v in (na, nb, ov)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *sizes], names=["a", "b", "na", "nb", "ov"])
 
     both = pairs.join(data.select(F.col("set_id").alias("a"), F.col("data").alias("xa")), "a")
     both = both.join(data.select(F.col("set_id").alias("b"), F.col("data").alias("xb")), "b")
-    return staged(both.select("a", "b", "xa", "xb").mapInPandas(compare, "a long, b long, na long, nb long, ov long"))
+    return staged(both.select("a", "b", "xa", "xb").mapInArrow(compare, "a long, b long, na long, nb long, ov long"))
 
 
 _LINKED = f"{NUM + DEN} * ov >= {NUM} * (na + nb)"
@@ -346,8 +357,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, text_key, n_shingles, component_id (the smallest doc_id that links reach)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.xxhash64("text", F.octet_length("text")).alias("text_key"))
-    describe = F.pandas_udf(_describe, "set_id long, n long, keys array<long>")
-    info = staged(docs.select("doc_id", "text_key", describe("text").alias("s")).select("doc_id", "text_key", "s.*"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    info = staged(docs.mapInArrow(_describe, f"doc_id {kind}, text_key long, set_id long, n long, keys array<long>"))
     first = F.min(F.struct("doc_id", "text_key"))
     sets = info.where("n > 0 and doc_id is not null").groupBy("set_id").agg(first.alias("d"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     sets = staged(sets.select("set_id", "d.doc_id", "d.text_key", "n", "keys"))

@@ -8,7 +8,7 @@ import numpy as np
 
 WIDTH = 5
 #: Bytes of text hashed at once; bounds the working memory whatever the lengths of texts.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _P = 0x9E3779B97F4A7C15 | 1
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
