@@ -44,10 +44,21 @@ FINDING_TYPE = (
 )
 
 
+#: Elements folded at a time. A fold that appends to an array copies it each time, so the
+#: folds run over stretches of this many and then over the stretches.
+STRETCH = 128
+
+
+def stretches(array: Column) -> Column:
+    """``array`` (a bound variable or a column) in pieces of STRETCH elements."""
+    last = F.greatest(F.lit(0), F.floor((F.size(array) - 1) / STRETCH).cast("int"))
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(array, k * STRETCH + 1, STRETCH))
+
+
 def detector_spans(text: Column, order: int, entity_type: str, confidence: float, pattern: str) -> Column:
     """All matches of one detector as span structs; empty array when none."""
     gaps = F.split(text, pattern, -1)
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_TYPE).alias("out"))
+    none = F.array().cast(SPAN_TYPE)
 
     def step(acc: Column, z: Column) -> Column:
         s = acc["pos"] + z["gl"]
@@ -58,12 +69,26 @@ def detector_spans(text: Column, order: int, entity_type: str, confidence: float
         )
         return F.struct(e.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
 
+    def moved(spans: Column, by: Column) -> Column:
+        return F.transform(spans, lambda z: F.struct(
+            (z["s"] + by).alias("s"), z["nl"].alias("nl"), z["o"].alias("o"), z["t"].alias("t"), z["c"].alias("c"),
+            (z["e"] + by).alias("e")))
+
+    def placed(lens: Column) -> Column:
+        """Running sums: within each stretch, then over the stretches."""
+        start = F.struct(F.lit(0).alias("pos"), none.alias("out"))
+        parts = F.transform(stretches(lens), lambda c: F.aggregate(c, start, step))
+        begin = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN_TYPE}>").alias("out"))
+        whole = F.aggregate(parts, begin, lambda acc, p: F.struct(
+            (acc["pos"] + p["pos"]).alias("pos"),
+            F.concat(acc["out"], F.array(moved(p["out"], acc["pos"]))).alias("out")))
+        return F.flatten(whole["out"])
+
     def from_matches(matches: Column) -> Column:
         lens = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(
             F.length(g).alias("gl"), F.length(m).alias("ml")))
         # split() only runs for texts where the detector matched at all.
-        return F.when(F.size(matches) > 0, F.aggregate(lens, init, step)["out"]).otherwise(
-            F.array().cast(SPAN_TYPE))
+        return F.when(F.size(matches) > 0, let(lens, placed)).otherwise(none)
 
     # The match array is bound once: it is read by the size test and by the fold.
     return let(F.regexp_extract_all(text, F.lit(pattern), 0), from_matches)
@@ -78,38 +103,57 @@ def all_spans(text: Column, detectors=DETECTORS) -> Column:
 def resolve_overlaps(sorted_spans: Column) -> Column:
     """RED-10: greedy fold, keep a span only if it starts at/after the last kept end."""
     def step(acc: Column, z: Column) -> Column:
-        last_end = F.try_element_at(acc, F.lit(-1))["e"]
-        return F.when(last_end.isNotNull() & (z["s"] < last_end), acc).otherwise(F.concat(acc, F.array(z)))
+        return F.when(z["s"] < acc["e"], acc).otherwise(
+            F.struct(z["e"].alias("e"), F.concat(acc["out"], F.array(z)).alias("out")))
+
+    def stretch(acc: Column, c: Column) -> Column:
+        start = F.struct(acc["e"].alias("e"), F.array().cast(SPAN_TYPE).alias("out"))
+        return let(F.aggregate(c, start, step), lambda r: F.struct(
+            r["e"].alias("e"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    begin = F.struct(F.lit(0).alias("e"), F.array().cast(f"array<{SPAN_TYPE}>").alias("out"))
+    return let(sorted_spans, lambda spans: F.flatten(F.aggregate(stretches(spans), begin, stretch)["out"]))
 
-    return F.aggregate(sorted_spans, F.array().cast(SPAN_TYPE), step)
 
+def number_findings(kept: Column, types: tuple[str, ...] = tuple(dict.fromkeys(d[0] for d in DETECTORS))) -> Column:
+    """RED-11: ``[TYPE_n]`` with n = running count of that type among kept spans (numbered
+    type by type, then put back in order)."""
+    def of_type(spans: Column, name: str) -> Column:
+        mine = F.filter(spans, lambda z: z["t"] == name)
+        return F.transform(mine, lambda z, i: F.struct(
+            z["s"].alias("s"), z["e"].alias("e"), z["t"].alias("t"), z["c"].alias("c"),
+            F.concat(F.lit(f"[{name}_"), (i + 1).cast("string"), F.lit("]")).alias("p")))
 
-def number_findings(kept: Column) -> Column:
-    """RED-11: ``[TYPE_n]`` with n = running count of that type among kept spans."""
-    return F.transform(kept, lambda z, i: F.struct(
-        z["t"].alias("entity_type"),
-        F.concat(
-            F.lit("["), z["t"], F.lit("_"),
-            F.size(F.filter(F.slice(kept, 1, i + 1), lambda q: q["t"] == z["t"])).cast("string"), F.lit("]"),
-        ).alias("placeholder"),
-        z["c"].alias("confidence"),
-        z["s"].cast("bigint").alias("start_offset"),
-        z["e"].cast("bigint").alias("end_offset"),
-    ))
+    numbered = let(kept, lambda spans: F.array_sort(F.flatten(F.array(*[of_type(spans, t) for t in types]))))
+    return F.transform(numbered, lambda z: F.struct(
+        z["t"].alias("entity_type"), z["p"].alias("placeholder"), z["c"].alias("confidence"),
+        z["s"].cast("bigint").alias("start_offset"), z["e"].cast("bigint").alias("end_offset")))
 
 
 def splice(text: Column, findings: Column) -> Column:
-    """RED-12: rebuild the text from the gaps between findings and their placeholders."""
-    pieces = F.transform(findings, lambda f, i: F.concat(
-        text.substr(
-            F.coalesce(F.get(findings, i - 1)["end_offset"], F.lit(0)).cast("int") + 1,
-            (f["start_offset"] - F.coalesce(F.get(findings, i - 1)["end_offset"], F.lit(0))).cast("int"),
-        ),
-        f["placeholder"],
-    ))
+    """RED-12: rebuild the text from the gaps between findings and their placeholders. Each
+    stretch of findings is cut out of the text once, so places in it are near its start."""
+    def end_of(array: Column, at: Column) -> Column:
+        return F.coalesce(F.get(array, at)["end_offset"], F.lit(0)).cast("int")
+
+    def part(c: Column) -> Column:
+        def piece(f: Column, i: Column) -> Column:
+            prev = F.greatest(end_of(c["own"], i - 1), c["base"])
+            return F.concat(c["sub"].substr(prev - c["base"] + 1, f["start_offset"].cast("int") - prev), f["placeholder"])
+
+        return F.array_join(F.transform(c["own"], piece), "")
+
+    def stretch(k: Column) -> Column:
+        base = F.when(k > 0, end_of(findings, k * STRETCH - 1)).otherwise(F.lit(0))
+        own = F.slice(findings, k * STRETCH + 1, STRETCH)
+        last = end_of(findings, F.least((k + 1) * STRETCH, F.size(findings)) - 1)
+        return let(F.struct(base.alias("base"), own.alias("own"), text.substr(base + 1, last - base).alias("sub")), part)
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size(findings) - 1) / STRETCH).cast("int"))
+    body = F.when(F.size(findings) > 0, F.array_join(F.transform(numbers, stretch), "")).otherwise(F.lit(""))
     tail_start = F.coalesce(F.try_element_at(findings, F.lit(-1))["end_offset"], F.lit(0)).cast("int") + 1
     tail = text.substr(tail_start, F.greatest(F.length(text) - tail_start + 1, F.lit(0)))
-    return F.concat(F.array_join(pieces, ""), tail)
+    return F.concat(body, tail)
 
 
 def sha256_hex(text: Column) -> Column:
