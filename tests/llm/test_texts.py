@@ -48,23 +48,59 @@ def test_line_spread(spark):
     assert linespread.spread_digest(docs.limit(0)).collect() == []
 
 
+def brute_spans(rows, min_words=20):
+    """Split into units, find the first of each, join neighbouring repeats."""
+    docs = {(d is None, d, t): list(unitdedup.units(t)) for d, t in rows}
+    first = {}
+    for key in sorted(docs, key=lambda k: (k[0], k[1] or 0)):
+        for u in docs[key]:
+            place = (key[0], key[1] or 0, u[1], key[2])
+            first[u[4]] = min(first.get(u[4], place), place, key=lambda p: p[:3])
+    out = set()
+    for key, us in docs.items():
+        run = []
+        for u in [*us, None]:
+            if u and first[u[4]] != (key[0], key[1] or 0, u[1], key[2]):
+                run.append(u)
+            else:
+                if sum(x[3] for x in run) >= min_words:
+                    out.add((key[1], run[0][1], run[-1][2], sum(x[3] for x in run)))
+                run = []
+    return out
+
+
 def test_repeated_units(spark):
     rng = random.Random(2)
-    unit = [" ".join(f"u{rng.randrange(99)}" for _ in range(n)) for n in (60, 20, 19)]
+
+    def passage(n):
+        w = [f"u{rng.randrange(99)}" for _ in range(n)]
+        for i in range(7, n, 9):
+            w[i] += rng.choice(".!?")
+        return " ".join(w)
+
+    long, line, short = passage(60), "\n".join(passage(30) for _ in range(2)), passage(19)
     rows = [
-        (5, f"intro\n{unit[0]}\n{unit[2]}", None, None, None), (3, f"{unit[0].upper()}  \n\nkeep é {unit[1]}\n{unit[1]}", None, None, None),
-        (9, f"{unit[1]}\r\n{unit[0]}\n{unit[2]}\ntail", None, None, None), (9, f"{unit[1]}\r\n{unit[0]}\n{unit[2]}\ntail", None, None, None), *awkward(),
+        (5, f"intro\n{long}\n{short}", None, None, None), (3, f"Words before {long.upper()} and words after.\n\nkeep é {line}", None, None, None),
+        (9, f"{line}\n{short}\nnew words that stand here alone\nthis is. {long} tail", None, None, None), (8, f"{short} x", None, None, None),
+        (9, f"{line}\n{short}\nnew words that stand here alone\nthis is. {long} tail", None, None, None), *awkward(),
     ]
     docs = with_clashes(spark.createDataFrame(rows, DOCS))
-    spans = unitdedup.repeated_spans(docs).collect()
+    got = {(r.doc_id, r.start, r.stop, r.n_words) for r in unitdedup.repeated_spans(docs).collect()}
+    assert got == brute_spans({(r[0], r[1]) for r in rows}) and {g[0] for g in got} == {5, 9}
     text = {r[0]: r[1] for r in rows[:3]}
-    got = sorted((r.doc_id, text[r.doc_id][r.start : r.stop], r.kept_doc_id) for r in spans)
-    assert got == sorted([(5, unit[0], 3), (9, unit[0], 3), (9, unit[1] + "\r", 3)])
-    left = {(r.doc_id, r.text) for r in unitdedup.without_repeats(docs).collect()}
-    assert (5, f"intro\n{unit[2]}") in left and (9, f"{unit[2]}\ntail") in left and (3, text[3]) in left
+    assert any(long[60:140] in text[5][a:b] for d, a, b, _ in got if d == 5)
+    left = {r.doc_id: r.text for r in unitdedup.without_repeats(docs).collect() if r.doc_id in (3, 5, 9) and (r.text or "").count("u") > 5}
+    assert left[3] == text[3] and short in left[5] and long[60:140] not in left[5] and long[60:140] not in left[9] and "stand here alone" in left[9]
     assert len(unitdedup.without_repeats(docs).collect()) == len(rows) and unitdedup.repeats_digest(docs.limit(0)).collect() == []
 
 
+def test_repeated_units_of_documents(spark):
+    docs = table(spark, SF, "documents")
+    rows = {(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()}
+    got = {(r.doc_id, r.start, r.stop, r.n_words) for r in unitdedup.repeats_digest(docs).collect()}
+    assert got == brute_spans(rows) and len(got) > 50
+
+
 def test_tokens_as_the_library_counts(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     encoder = tokencount.Encoder(path)

@@ -142,24 +142,6 @@ def op5_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(vectors, vectors.where("id % 50 = 0"), 5)
 
 
-OP8_SQL = r"""
-with l as (
-  select doc_id, raw, n, string_split(text, chr(10)) ls
-  from (select doc_id, text, unnest(string_split(text, chr(10))) raw, unnest(range(len(string_split(text, chr(10))))) n from documents)),
-u as (
-  select doc_id, raw, cast(coalesce(list_sum([length(x) + 1 for x in ls[1:n]]), 0) as bigint) s,
-         regexp_extract_all(lower(raw), '[^\x09-\x0D\x1C-\x20\x85\xA0]+') w from l),
-k as (
-  select doc_id, s, s + length(raw) e, len(w) n_words,
-         row_number() over (partition by array_to_string(w, ' ') order by doc_id, s) r,
-         first_value(doc_id) over (partition by array_to_string(w, ' ') order by doc_id, s) kd,
-         first_value(s) over (partition by array_to_string(w, ' ') order by doc_id, s) ks
-  from u where len(w) >= 20)
-select doc_id, cast(s as int) "start", cast(e as int) stop, cast(n_words as int) n_words, kd kept_doc_id, cast(ks as int) kept_start
-from k where r > 1
-"""
-
-
-@query("op8_line_hashing", OP8_SQL)
+@query("op8_line_hashing")
 def op8_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unitdedup.repeats_digest(table(spark, sf_dir, "documents"))

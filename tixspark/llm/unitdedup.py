@@ -1,64 +1,91 @@
-"""Substring dedup by line hashing.
-
-The lines of a text are its units. A unit of at least ``MIN_WORDS`` words is normalised (lower
-case, runs of white space as one space, trimmed) and hashed; equal digests are grouped over all
-documents. The earliest occurrence, by doc_id and then by place, stays; the others are spans to
-remove, with the offsets they have in the original text.
-
-Defined results: null texts have no units; short units are never removed; repeated rows are one
-document, whose units are not repeats of each other; rows with a null doc_id come last in the
-order; an empty table gives an empty result; other columns are kept as they are.
+"""Substring dedup by hashing sentences and lines.
+
+A unit is a sentence (up to . ! ? or a line feed) or, where that has fewer than ``UNIT_WORDS``
+words, it and what follows in its line until there are as many. Units are normalised (lower case, words
+joined by one space, marks at the end dropped) and hashed; equal digests are grouped over all
+documents. The earliest occurrence, by doc_id and then by place, stays. Of the others, those
+that stand next to each other are one passage; passages of at least ``MIN_WORDS`` words are
+spans to remove, with the offsets they have in the original text. So a passage is found wherever
+in a line it was put, but for the sentences that run into the text around it.
+
+Defined results: null texts have no units; shorter repeats are never removed; repeated rows are
+one document, whose units are not repeats of each other; rows with a null doc_id come last in
+the order; an empty table gives an empty result; other columns are kept as they are (names that
+begin with two underscores are the operator's own).
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_side, staged
 
-MIN_WORDS = 20
+MIN_WORDS, UNIT_WORDS = 20, 5
+_SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
 
 
-def units(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, bytes]]:
-    """(begin, end, words, digest) of the units of a text; offsets in characters, without the line feed."""
-    at = 0
+def units(text: str | None) -> Iterator[tuple[int, int, int, int, int]]:
+    """(number, begin, end, words, digest) of the units of a text; offsets in characters."""
+    number, at = 0, 0
     for line in (text or "").split("\n"):
-        words = line.split()
-        if len(words) >= min_words:
-            yield at, at + len(line), len(words), hashlib.blake2b(" ".join(words).lower().encode("utf-8", "replace"), digest_size=16).digest()
+        begin, words = 0, []
+        for m in _SENTENCE.finditer(line):
+            more = m[0].split()
+            if more and not words:
+                begin = m.start() + len(m[0]) - len(m[0].lstrip())
+            words += more
+            if len(words) >= UNIT_WORDS:
+                yield number, at + begin, at + m.start() + len(m[0].rstrip()), len(words), _digest(words)
+                number, words = number + 1, []
+        if words:
+            yield number, at + begin, at + len(line.rstrip()), len(words), _digest(words)
+            number += 1
         at += len(line) + 1
 
 
-def document_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_key, start, stop, n_words, digest."""
+def _digest(words: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(words).lower().rstrip(".!? ").encode("utf-8", "replace")) - (1 << 63)
+
+
+def document_units(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, number, start, stop, n_words, digest."""
 
-    @F.pandas_udf("array<struct<start: int, stop: int, n_words: int, digest: binary>>")
+    @F.pandas_udf("array<struct<number: int, start: int, stop: int, n_words: int, digest: long>>")
     def run(texts: pd.Series) -> pd.Series:
-        names = ("start", "stop", "n_words", "digest")
-        return pd.Series([[dict(zip(names, u, strict=True)) for u in units(t, min_words)] for t in texts], dtype="object")
+        names = ("number", "start", "stop", "n_words", "digest")
+        return pd.Series([[dict(zip(names, u, strict=True)) for u in units(t)] for t in texts], dtype="object")
 
     rows = docs.select("doc_id", F.xxhash64("text", F.octet_length("text")).alias("text_key"), run("text").alias("u"))
     return rows.select("doc_id", "text_key", F.explode("u").alias("u")).select("doc_id", "text_key", "u.*")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Spans to remove: doc_id, text_key, start, stop, n_words, digest, and where the kept occurrence is."""
-    found = staged(document_units(docs, min_words).dropDuplicates(["doc_id", "text_key", "start"]))
+    """Spans to remove: doc_id, text_key, start, stop, n_words, and where the first unit of each is kept."""
+    found = document_units(docs)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "text_key")
-    first = found.groupBy("digest").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    first = found.groupBy("digest").agg(F.min(place).alias("kept"), F.max(place).alias("top"))
+    first = first.where("kept != top")  # more than one occurrence, repeated rows aside
     first = staged(first.select("digest", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), F.col("kept.text_key").alias("kept_key")))
     rows = found.join(small_side(first), "digest")
     same = F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("start") == F.col("kept_start")) & (F.col("text_key") == F.col("kept_key"))
-    return rows.where(~same).drop("kept_key")
+    rows = rows.where(~same).dropDuplicates(["doc_id", "text_key", "number"])
+    # Neighbouring repeats of a document: their numbers less their ranks are the same.
+    rank = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("number"))
+    runs = rows.withColumn("run", F.col("number") - rank).groupBy("doc_id", "text_key", "run")
+    head = F.min(F.struct("number", "kept_doc_id", "kept_start"))
+    spans = runs.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("n_words"), head.alias("h"))
+    spans = spans.where(F.col("n_words") >= min_words)
+    return spans.select("doc_id", "text_key", "start", "stop", "n_words", F.col("h.kept_doc_id").alias("kept_doc_id"), F.col("h.kept_start").alias("kept_start"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the repeated units (and the line feed after each) taken out of ``text``."""
+    """``docs`` with the repeated spans (and the white-space character after each) taken out of ``text``."""
     spans = repeated_spans(docs, min_words).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__spans"))
     spans = spans.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), "__spans")
     key = F.xxhash64("text", F.octet_length("text"))
