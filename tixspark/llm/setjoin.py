@@ -3,10 +3,11 @@
 Every text becomes the set of its distinct word shingles; equal sets are one set from then on.
 Two sets link when 100 * |a n b| >= 80 * |a u b|. The steps:
 
-1. Sets that share two bucket minima are joined to the smallest such set, their leader, if they
-   really link: the highly similar sets whose answers are used later.
-2. Shingles are counted over all documents; the most frequent ones come last in the order of
+1. Shingles are counted over all documents; the most frequent ones come last in the order of
    prefixes. The order decides the speed only, never the result.
+2. Of sets that share two bucket minima, the one with the largest share of frequent shingles
+   leads (of edited copies, the one with the fewest edits). Sets that really link to a leader are
+   the highly similar sets whose answers are used later.
 3. Prefixes are grouped by shingle. Index lists are ordered by set size, then position; for a
    set, only the blocks of sizes that can link are entered, and a block is left at the first
    position that the positional bound rules out. Sets known to be linked are not paired.
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,20 +68,40 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
             yield part, list(shingle_sets(part.column("text").to_pylist()))
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+Frequent = tuple[np.ndarray, np.ndarray]
+
+
+def _counts(s: np.ndarray, frequent: Frequent) -> np.ndarray:
+    """How many documents have each shingle of a set, 0 for those that are not frequent."""
+    tokens, dfs = frequent
+    if not len(tokens):
+        return np.zeros(len(s), np.int64)
+    short = (s >> np.uint64(24)).astype(np.int64)
+    at = np.minimum(np.searchsorted(tokens, short), len(tokens) - 1)
+    return np.where(tokens[at] == short, dfs[at], 0)
+
+
+def describe(docs: DataFrame, frequent: Broadcast) -> DataFrame:
+    """doc_id, text_key, set_id, n, keys, shared (the share of frequent shingles) of each row."""
     edges = (np.arange(1, RANGES, dtype=np.uint64) << np.uint64(64 - RANGES.bit_length() + 1)).astype(np.uint64)
-    for part, sets in _sets(batches):
-        keys = []
-        for s in sets:
-            cut = [0, *np.searchsorted(s, edges).tolist(), len(s)]
-            least = [int(s[cut[i]]) if cut[i] < cut[i + 1] else None for i in range(RANGES)]
-            pairs = ((least[2 * k], least[2 * k + 1], k) for k in range(KEYS))
-            keys.append([(a * 3 + b * 5 + c) % (1 << 64) - (1 << 63) for a, b, c in pairs if a is not None and b is not None])
-        yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), part.column("text_key"), pa.array([set_id(s) for s in sets], pa.int64()),
-             pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-            names=["doc_id", "text_key", "set_id", "n", "keys"],
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _sets(batches):
+            keys, shared = [], []
+            for s in sets:
+                cut = [0, *np.searchsorted(s, edges).tolist(), len(s)]
+                least = [int(s[cut[i]]) if cut[i] < cut[i + 1] else None for i in range(RANGES)]
+                pairs = ((least[2 * k], least[2 * k + 1], k) for k in range(KEYS))
+                keys.append([(a * 3 + b * 5 + c) % (1 << 64) - (1 << 63) for a, b, c in pairs if a is not None and b is not None])
+                shared.append(float((_counts(s, frequent.value) > 0).mean()) if len(s) else 0.0)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("text_key"), pa.array([set_id(s) for s in sets], pa.int64()),
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(shared, pa.float64())],
+                names=["doc_id", "text_key", "set_id", "n", "keys", "shared"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, text_key long, set_id long, n long, keys array<long>, shared double")
 
 
 def _rows(parts: int, values: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -146,21 +168,15 @@ def frequent_shingles(texts: DataFrame, parts: int) -> DataFrame:
     return packed.groupBy("part").applyInPandas(count, "token long, df long")
 
 
-def index_lists(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
+def index_lists(texts: DataFrame, frequent: Broadcast, parts: int) -> DataFrame:
     """(token, set_id, n, pos) of the prefixes, for the shingles that are in the prefix of two sets or more."""
-    told = texts.sparkSession.sparkContext.broadcast(frequent)
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, dfs = told.value
         kept, size = [], 0
         for _, sets in _sets(batches):
             for key, s in {set_id(s): s for s in sets if len(s)}.items():
-                if len(tokens):
-                    short = (s >> np.uint64(24)).astype(np.int64)
-                    at = np.minimum(np.searchsorted(tokens, short), len(tokens) - 1)
-                    df = np.where(tokens[at] == short, dfs[at], 0)
-                    if df.any():
-                        s = s[np.argsort(df, kind="stable")]
+                df = _counts(s, frequent.value)
+                if df.any():
+                    s = s[np.argsort(df, kind="stable")]
                 p = s[: _prefix(len(s))]
                 kept.append((p, key, len(s)))
                 size += len(p)
@@ -321,9 +337,10 @@ _LINKED = f"{NUM + DEN} * ov >= {NUM} * (na + nb)"
 
 
 def _leaders(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a: leader, b, na, nb, ov) of sets with the smallest set that has a key in common."""
-    keyed = staged(sets.select("set_id", F.explode("keys").alias("key")))
-    least = staged(keyed.groupBy("key").agg(F.min("set_id").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a"))
+    """Links (a: leader, b, na, nb, ov) of sets with the leader of those that have a key in common."""
+    keyed = sets.select("set_id", "shared", F.explode("keys").alias("key"))
+    lead = F.max(F.struct("shared", "set_id"))["set_id"].alias("a")
+    least = staged(keyed.groupBy("key").agg(lead, F.count("*").alias("c")).where("c > 1").select("key", "a"))
     stars = keyed.join(least, "key").where("set_id != a").select("a", F.col("set_id").alias("b")).distinct()
     return overlaps(stars, docs, sets).where(_LINKED)
 
@@ -331,7 +348,7 @@ def _leaders(sets: DataFrame, docs: DataFrame) -> DataFrame:
 def _settle(pairs: DataFrame, stars: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """The links (a, b) among ``pairs``, or links of their leaders that imply the same components."""
     best = stars.groupBy("b").agg(F.max(F.struct("ov", "a", "na", "nb")).alias("x"))
-    best = staged(best.select(F.col("b").alias("set_id"), F.col("x.a").alias("lead"), (F.col("x.nb") - F.col("x.ov")).alias("out"), (F.col("x.na") - F.col("x.ov")).alias("miss")))
+    best = (best.select(F.col("b").alias("set_id"), F.col("x.a").alias("lead"), (F.col("x.nb") - F.col("x.ov")).alias("out"), (F.col("x.na") - F.col("x.ov")).alias("miss")))
     size = sets.select("set_id", "n")
     zero = F.lit(0).cast("long")
     for c in ("a", "b"):
@@ -357,22 +374,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, text_key, n_shingles, component_id (the smallest doc_id that links reach)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.xxhash64("text", F.octet_length("text")).alias("text_key"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    info = staged(docs.mapInArrow(_describe, f"doc_id {kind}, text_key long, set_id long, n long, keys array<long>"))
-    first = F.min(F.struct("doc_id", "text_key"))
-    sets = info.where("n > 0 and doc_id is not null").groupBy("set_id").agg(first.alias("d"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    sets = staged(sets.select("set_id", "d.doc_id", "d.text_key", "n", "keys"))
     texts = docs.where("doc_id is not null")
+    parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    top = frequent_shingles(texts, parts).orderBy(F.desc("df"), "token").limit(TOLD).toPandas().sort_values("token")
+    frequent = spark.sparkContext.broadcast((top["token"].to_numpy(np.int64), top["df"].to_numpy(np.int64)))
+    info = staged(describe(docs, frequent))
+    first = F.min(F.struct("doc_id", "text_key"))
+    sets = info.where("n > 0 and doc_id is not null").groupBy("set_id").agg(first.alias("d"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("shared").alias("shared"))
+    sets = staged(sets.select("set_id", "d.doc_id", "d.text_key", "n", "keys", "shared"))
 
     stars = _leaders(sets, texts)
     roots = staged(components(stars.select("a", "b")))
 
-    parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    top = frequent_shingles(texts, parts).orderBy(F.desc("df"), "token").limit(TOLD).toPandas().sort_values("token")
-    lists = staged(index_lists(texts, (top["token"].to_numpy(np.int64), top["df"].to_numpy(np.int64)), parts))
+    lists = staged(index_lists(texts, frequent, parts))
     known = roots.select(F.col("node").alias("set_id"), F.col("root").alias("comp"))
     lists = lists.join(known, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
-    links = staged(_settle(staged(candidate_pairs(lists)), stars, texts, sets))
+    links = _settle(candidate_pairs(lists), stars, texts, sets)
 
     # Join the components that the new links connect.
     root = roots.select(F.col("node"), "root")
@@ -383,7 +400,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = roots.select(F.col("node").alias("set_id"), F.coalesce("top", "root").alias("root"))
     roots = roots.unionByName(upper.select(F.col("node").alias("set_id"), "root")).groupBy("set_id").agg(F.min("root").alias("root"))
     named = staged(sets.select("set_id", "doc_id").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
-    least = staged(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    least = (named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     named = staged(named.join(least, "root").select("set_id", "component_id"))
     out = info.join(named, "set_id", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
