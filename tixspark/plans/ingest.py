@@ -112,7 +112,10 @@ def publish_projection(valid: DataFrame) -> DataFrame:
         F.struct(F.lit("tickets.sanitized").alias("topic"), F.col("ticket_id").alias("key")),
         F.when(F.col("redacted_count") > 0, F.struct(F.lit("privacy.audit").alias("topic"), F.col("stream_id").alias("key")))))
     env = env.select("redacted_count", F.to_json(envelope).alias("value"), topics.alias("topics"))
-    return env.select("value", "redacted_count", F.inline("topics")).select("topic", "key", "value", "redacted_count")
+    # The outer form with a filter: for inline() a filter on the array's size would be inferred
+    # below it, which would run the redaction a second time.
+    out = env.select("value", "redacted_count", F.inline_outer("topics")).where(F.col("topic").isNotNull())
+    return out.select("topic", "key", "value", "redacted_count")
 
 
 @register("publish_events", f"""
