@@ -83,10 +83,12 @@ def test_positional_skipping_keeps_all_pairs():
         pos = np.array([rng.integers(0, setjoin._prefix(int(x))) for x in n])
         order = np.lexsort((pos, n, token))
         token, n, pos, comp = token[order], n[order], pos[order], rng.integers(0, 40, 300)
-        seen = list(zip(*setjoin.list_pairs(token, n, pos, comp, short), strict=True))
+        bits = np.zeros((300, 4), np.uint64)
+        bits[:7] = np.uint64(0xFFFFFFFF)  # 128 places apart from the others
+        seen = list(zip(*setjoin.list_pairs(token, n, pos, comp, bits, short), strict=True))
         want = {
             (i, j) for i in range(300) for j in range(i)
-            if token[i] == token[j] and comp[i] != comp[j] and 5 * n[j] >= 4 * n[i]
+            if token[i] == token[j] and comp[i] != comp[j] and (i < 7) == (j < 7) and 5 * n[j] >= 4 * n[i]
             and min(pos[i], pos[j]) + 1 + min(n[i] - pos[i], n[j] - pos[j]) - 1 >= setjoin.needed(int(n[i]), int(n[j]))
         }
         assert len(seen) == len(set(seen)) and want == {(int(i), int(j)) for i, j in seen}

@@ -10,7 +10,9 @@ Two sets link when 100 * |a n b| >= 80 * |a u b|. The steps:
    the highly similar sets whose answers are used later.
 3. Prefixes are grouped by shingle. Index lists are ordered by set size, then position; for a
    set, only the blocks of sizes that can link are entered, and a block is left at the first
-   position that the positional bound rules out. Sets known to be linked are not paired.
+   position that the positional bound rules out. Sets known to be linked are not paired, nor
+   those whose parity bitmaps (a bit for each of 256 hash classes) differ in more places than
+   linked sets have shingles of their own.
 4. Answers are derived: with d(x) the part of x outside its leader and L, M the leaders of a, b,
    |a n b| <= |L n M| + d(a) + d(b), and >= |L n M| less the parts of the leaders outside a and b.
    Only pairs that these bounds leave open are compared.
@@ -47,6 +49,8 @@ HEAVY, TOLD = 24, 1 << 20
 FLUSH = 1 << 20
 #: Rows of texts worked on at once.
 ROWS = 256
+#: Columns of the parity bitmap.
+BITMAP = ("b0", "b1", "b2", "b3")
 #: Index lists of up to this many sets are paired all at once.
 SHORT = 32
 
@@ -87,21 +91,24 @@ def describe(docs: DataFrame, frequent: Broadcast) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches):
-            keys, shared = [], []
+            keys, shared, bitmaps = [], [], []
             for s in sets:
                 cut = [0, *np.searchsorted(s, edges).tolist(), len(s)]
                 least = [int(s[cut[i]]) if cut[i] < cut[i + 1] else None for i in range(RANGES)]
                 pairs = ((least[2 * k], least[2 * k + 1], k) for k in range(KEYS))
                 keys.append([(a * 3 + b * 5 + c) % (1 << 64) - (1 << 63) for a, b, c in pairs if a is not None and b is not None])
                 shared.append(float((_counts(s, frequent.value) > 0).mean()) if len(s) else 0.0)
+                odd = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1
+                bitmaps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("text_key"), pa.array([set_id(s) for s in sets], pa.int64()),
-                 pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(shared, pa.float64())],
-                names=["doc_id", "text_key", "set_id", "n", "keys", "shared"],
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(shared, pa.float64()),
+                 *[pa.array([b[i] for b in bitmaps], pa.int64()) for i in range(4)]],
+                names=["doc_id", "text_key", "set_id", "n", "keys", "shared", *BITMAP],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, text_key long, set_id long, n long, keys array<long>, shared double")
+    return docs.mapInArrow(run, f"doc_id {kind}, text_key long, set_id long, n long, keys array<long>, shared double, " + ", ".join(f"{b} long" for b in BITMAP))
 
 
 def _rows(parts: int, values: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +226,13 @@ def _fits(ni: np.ndarray, pi: np.ndarray, nj: np.ndarray, pj: np.ndarray) -> np.
     return (DEN * nj >= NUM * ni) & (pi - pj <= ni - least) & (pj - pi <= nj - least)
 
 
-def _short_lists(token: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _near(bits: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the bitmaps allow a link: a shingle in one set only turns one bit, and linked sets have few such."""
+    apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+    return apart <= n[i] + n[j] - 2 * needed(n[i], n[j])
+
+
+def _short_lists(token: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, bits: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (later, earlier) of rows of index lists of at most ``longest`` rows, all lists at once."""
     for d in range(1, longest):
         i = np.flatnonzero(token[d:] == token[:-d]) + d
@@ -227,10 +240,12 @@ def _short_lists(token: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.nda
             return
         j = i - d
         keep = (comp[i] != comp[j]) & _fits(n[i], pos[i], n[j], pos[j])
+        i, j = i[keep], j[keep]
+        keep = _near(bits, n, i, j)
         yield i[keep], j[keep]
 
 
-def _long_list(n: np.ndarray, pos: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _long_list(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one index list, ordered by size and position.
 
     For each row only the blocks of sizes that can link are entered, and of a block only the
@@ -247,26 +262,28 @@ def _long_list(n: np.ndarray, pos: np.ndarray, comp: np.ndarray) -> Iterator[tup
             low, high = pos[i] - (n[i] - least), pos[i] + (sizes[k] - least)
             a, b = a + np.searchsorted(pos[a:b], low), a + np.searchsorted(pos[a:b], high, side="right")
             j = np.arange(a, b)[comp[a:b] != comp[i]]
-            if len(j):
+            if len(j) and len(j := j[_near(bits, n, np.full(len(j), i), j)]):
                 yield np.full(len(j), i), j
 
 
-def list_pairs(token: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, short: int = SHORT) -> tuple[np.ndarray, np.ndarray]:
+def list_pairs(
+    token: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, bits: np.ndarray, short: int = SHORT
+) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (later, earlier) of rows of the index lists (ordered by token, n, pos) that can link and are not known to."""
     cuts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
     ends = np.append(cuts[1:], len(token))
     apart = np.add.reduceat((comp != np.repeat(comp[cuts], ends - cuts)).astype(np.int64), cuts) > 0
     few = apart & (ends - cuts <= short)
     at = np.flatnonzero(np.repeat(few, ends - cuts))
-    found = [(at[i], at[j]) for i, j in _short_lists(token[at], n[at], pos[at], comp[at], short)]
+    found = [(at[i], at[j]) for i, j in _short_lists(token[at], n[at], pos[at], comp[at], bits[at], short)]
     for a, b in zip(cuts[apart & ~few].tolist(), ends[apart & ~few].tolist(), strict=True):
-        found += [(i + a, j + a) for i, j in _long_list(n[a:b], pos[a:b], comp[a:b])]
+        found += [(i + a, j + a) for i, j in _long_list(n[a:b], pos[a:b], comp[a:b], bits[a:b])]
     none = np.zeros(0, np.int64)
     return tuple(np.concatenate([none, *[f[k] for f in found]]) for k in (0, 1))
 
 
 def candidate_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b) with a < b from ``lists`` (token, set_id, n, pos, comp).
+    """(a, b) with a < b from ``lists`` (token, set_id, n, pos, comp and the bitmap).
 
     The prefix shingles that a pair shares are counted. Of two sets, the one whose prefix ends
     first shares at most these and its rest, so |a n b| <= count + the larger rest.
@@ -287,7 +304,8 @@ def candidate_pairs(lists: DataFrame) -> DataFrame:
 
     def found(batch: pd.DataFrame) -> pd.DataFrame:
         token, key, n, pos, comp = (batch[c].to_numpy() for c in ("token", "set_id", "n", "pos", "comp"))
-        i, j = list_pairs(token, n, pos.astype(np.int64), comp)
+        bits = np.stack([batch[b].to_numpy() for b in BITMAP], 1).view(np.uint64)
+        i, j = list_pairs(token, n, pos.astype(np.int64), comp, bits)
         x, y = np.where(key[i] < key[j], i, j), np.where(key[i] < key[j], j, i)
         out = pd.DataFrame({"a": key[x], "b": key[y], "na": n[x], "nb": n[y]})
         return out.groupby(["a", "b", "na", "nb"], as_index=False).size().rename(columns={"size": "c"})
@@ -380,15 +398,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     frequent = spark.sparkContext.broadcast((top["token"].to_numpy(np.int64), top["df"].to_numpy(np.int64)))
     info = staged(describe(docs, frequent))
     first = F.min(F.struct("doc_id", "text_key"))
-    sets = info.where("n > 0 and doc_id is not null").groupBy("set_id").agg(first.alias("d"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("shared").alias("shared"))
-    sets = staged(sets.select("set_id", "d.doc_id", "d.text_key", "n", "keys", "shared"))
+    sets = info.where("n > 0 and doc_id is not null").groupBy("set_id").agg(first.alias("d"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("shared").alias("shared"), *[F.first(b).alias(b) for b in BITMAP])
+    sets = staged(sets.select("set_id", "d.doc_id", "d.text_key", "n", "keys", "shared", *BITMAP))
 
     stars = _leaders(sets, texts)
     roots = staged(components(stars.select("a", "b")))
 
     lists = staged(index_lists(texts, frequent, parts))
     known = roots.select(F.col("node").alias("set_id"), F.col("root").alias("comp"))
-    lists = lists.join(known, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+    known = staged(sets.select("set_id", *BITMAP).join(known, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id")))
+    lists = lists.join(known, "set_id")
     links = _settle(candidate_pairs(lists), stars, texts, sets)
 
     # Join the components that the new links connect.
