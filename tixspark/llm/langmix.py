@@ -83,7 +83,9 @@ def fit(docs: DataFrame) -> Model:
     """Count the trigrams of every row with text and lang. The driver gets the sums only: BUCKETS numbers a language."""
     rows = docs.where("text is not null and lang is not null").select("lang", "text")
     sums = rows.mapInPandas(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).limit(LANGUAGES).collect()
+    got = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).limit(LANGUAGES + 1).collect()
+    if len(got) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} different values of lang")
     got = sorted(got, key=lambda r: r["lang"])
     w = np.full((BUCKETS, len(got)), SMOOTH)
     for j, r in enumerate(got):
