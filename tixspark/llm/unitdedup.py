@@ -20,13 +20,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, staged
+from .common import staged
 
 MIN_WORDS, UNIT_WORDS = 20, 5
+#: Rows of texts worked on at once.
+ROWS = 256
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
 
 
@@ -55,14 +58,22 @@ def _digest(words: list[str]) -> int:
 
 def document_units(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, number, start, stop, n_words, digest."""
+    names = ("number", "start", "stop", "n_words", "digest")
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
 
-    @F.pandas_udf("array<struct<number: int, start: int, stop: int, n_words: int, digest: long>>")
-    def run(texts: pd.Series) -> pd.Series:
-        names = ("number", "start", "stop", "n_words", "digest")
-        return pd.Series([[dict(zip(names, u, strict=True)) for u in units(t)] for t in texts], dtype="object")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                found = [(i, u) for i, t in enumerate(part.column("text").to_pylist()) for u in units(t)]
+                own = pa.array([i for i, _ in found], pa.int64())
+                columns = [pa.array([u[k] for _, u in found], kind) for k, kind in enumerate(kinds)]
+                ids = [part.column(c).take(own) for c in ("doc_id", "text_key")]
+                yield pa.RecordBatch.from_arrays([*ids, *columns], names=["doc_id", "text_key", *names])
 
-    rows = docs.select("doc_id", F.xxhash64("text", F.octet_length("text")).alias("text_key"), run("text").alias("u"))
-    return rows.select("doc_id", "text_key", F.explode("u").alias("u")).select("doc_id", "text_key", "u.*")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("text", F.octet_length("text")).alias("text_key"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, number int, start int, stop int, n_words int, digest long")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -72,7 +83,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first = found.groupBy("digest").agg(F.min(place).alias("kept"), F.max(place).alias("top"))
     first = first.where("kept != top")  # more than one occurrence, repeated rows aside
     first = staged(first.select("digest", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), F.col("kept.text_key").alias("kept_key")))
-    rows = found.join(small_side(first), "digest")
+    rows = found.join(first, "digest")
     same = F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("start") == F.col("kept_start")) & (F.col("text_key") == F.col("kept_key"))
     rows = rows.where(~same).dropDuplicates(["doc_id", "text_key", "number"])
     # Neighbouring repeats of a document: their numbers less their ranks are the same.
