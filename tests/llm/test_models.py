@@ -122,3 +122,33 @@ def test_neighbours_awkward_rows(spark):
     assert {q: [r.vec_id for r in got if r.query_id == q] for q in {r.query_id for r in got}} == {q: [j for j, _ in n] for q, n in want.items() if n}
     empty = vectors.limit(0)
     assert forest.nearest(empty, empty).collect() == []
+
+
+def test_neighbours_of_few_vectors(spark):
+    rng = np.random.default_rng(3)
+    sizes = {6: 3, 7: 12, 8: 30, 9: 200}  # vectors of each length
+    rows = [(1000 * d + 5 * i, rng.standard_normal(d).tolist()) for d, n in sizes.items() for i in range(n)]
+    vectors = forest.valid_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = forest.nearest(vectors, vectors.where("id % 50 = 0")).orderBy("query_id", "rank").collect()
+    assert {q: [r.vec_id for r in got if r.query_id == q] for q, _ in rows if q % 50 == 0} == {q: [j for j, _ in n] for q, n in exact(rows).items()}
+
+
+def test_shards_of_each_length(spark, monkeypatch):
+    monkeypatch.setattr(forest, "SHARD_ROWS", 100)
+    built, build = [], forest.build_shards
+    monkeypatch.setattr(forest, "build_shards", lambda *a: built.append(build(*a)) or built[-1])
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(4 if i < 450 else 3).tolist()) for i in range(460)]
+    vectors = forest.valid_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    forest.nearest(vectors, vectors.where("id % 50 = 0")).collect()
+    assert {d: sum(r.dim == d for r in built[0].select("dim").collect()) for d in (3, 4)} == {3: 1, 4: 5}
+
+
+def test_stop_counts_others_once():
+    # Rows with the query's own strings stand for one candidate each, however many trees hold them.
+    rng = np.random.default_rng(6)
+    x = np.vstack([np.repeat(rng.standard_normal((1, 16)), 300, 0), rng.standard_normal((1700, 16))])
+    codes = forest._codes(x / np.abs(x).max(1, keepdims=True))
+    order = np.argsort(codes, axis=0, kind="stable")
+    hits = forest.candidates(np.take_along_axis(codes, order, 0).T, order.T, codes[:1], np.array([0]), 5, forest.READ)
+    assert hits.sum() >= forest.SHARE * len(x) and not hits[0, 0]

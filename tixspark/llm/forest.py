@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by cosine with a forest of hash prefixes.
 
-The index is dealt over shards of about ``SHARD_ROWS`` vectors by a hash of their ids. For each
+The vectors of each length are dealt over shards of about ``SHARD_ROWS`` by a hash of their ids. For each
 of ``TREES`` trees a shard keeps the sorted array of its vectors' hash strings: ``BITS`` signs of
 random projections. A query descends in every tree to its longest prefix match and then
 ascends in all trees at once, one bit a step, until the prefix ranges together hold ``READ``
-times as many entries as the shard has vectors. What the ranges hold is compared exactly, and
-the best of all shards are the answer. Every query block visits every shard: vectors without
+times as many entries as the shard has vectors and ``SHARE`` of its vectors, never fewer than
+``LEAST`` and k, or all there are; the query itself counts for neither. What the ranges hold is
+compared exactly, and the best of all shards are the answer. Every query block visits every shard: vectors without
 cluster structure (as here) give no shard that could be left out.
 
 Defined results: vectors that are null, empty, zero, or that hold nulls or values that are not
@@ -24,9 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_side, staged
 
 SHARD_ROWS, QUERY_ROWS, TREES, BITS, READ, SEED = 8192, 1024, 24, 32, 1.0, 11
+#: Vectors other than the query that the ranges have to hold: a share of the shard's, and a number.
+SHARE, LEAST = 0.5, 512
 
 
 def valid_vectors(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -49,8 +52,8 @@ def _codes(x: np.ndarray) -> np.ndarray:
     return (bits * (np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64))).sum(2, dtype=np.uint64)
 
 
-def build_shards(vectors: DataFrame, shards: int) -> DataFrame:
-    """One row per shard and length: ids, vectors, and for each tree the order and the sorted hash strings."""
+def build_shards(vectors: DataFrame) -> DataFrame:
+    """One row per shard and length of vectors with a column shards (of their length): ids, vectors, and for each tree the order and the sorted hash strings."""
 
     def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
@@ -62,18 +65,20 @@ def build_shards(vectors: DataFrame, shards: int) -> DataFrame:
             "order": [order.T.astype(np.int32).tobytes()], "strings": [np.take_along_axis(codes, order, 0).T.astype(np.uint32).tobytes()],
         })
 
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
     return dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, ids binary, vecs binary, order binary, strings binary")
 
 
-def prefix_ranges(strings: np.ndarray, codes: np.ndarray, read: float) -> tuple[np.ndarray, np.ndarray]:
-    """(begin, end) of each query in each tree, after descending and ascending together.
+def candidates(strings: np.ndarray, order: np.ndarray, codes: np.ndarray, own: np.ndarray, k: int, read: float) -> np.ndarray:
+    """Which rows each query reads (queries x rows), after descending and ascending together.
 
-    ``strings``: trees x rows, sorted; ``codes``: queries x trees.
+    ``strings`` and ``order``: trees x rows, sorted; ``codes``: queries x trees; ``own``: the
+    row of each query itself, -1 where it is not in the shard.
     """
     trees, rows = strings.shape
-    begin = np.zeros((len(codes), trees), np.int64)
-    end = np.zeros_like(begin)
+    hit = np.zeros((len(codes), rows), bool)
+    here = own >= 0
+    need = np.minimum(rows - here, max(LEAST, k, int(np.ceil(SHARE * rows))))
     # Descend: the longest prefix that a query shares with any string of a tree is at its sorted place.
     length = np.zeros(len(codes), np.int64)
     for t in range(trees):
@@ -83,18 +88,28 @@ def prefix_ranges(strings: np.ndarray, codes: np.ndarray, read: float) -> tuple[
             shared = BITS - np.where(apart > 0, np.floor(np.log2(np.maximum(apart, 1))).astype(np.int64) + 1, 0)
             length = np.maximum(length, shared)
     open_ = np.arange(len(codes))
-    for bits in range(int(length.max(initial=0)), -1, -1):
+    for bits in range(int(length.max(initial=0)), 0, -1):
         now = open_[length[open_] >= bits]
         if not len(now):
             continue
         low = (codes[now] >> np.uint64(BITS - bits)) << np.uint64(BITS - bits)
         high = low + np.uint64((1 << (BITS - bits)) - 1)
+        begin, end = (np.empty((len(now), trees), np.int64) for _ in range(2))
         for t in range(trees):
-            begin[now, t] = np.searchsorted(strings[t], low[:, t], "left")
-            end[now, t] = np.searchsorted(strings[t], high[:, t], "right")
-        full = (end[now] - begin[now]).sum(1) >= read * rows
-        open_ = np.setdiff1d(open_, now[full], assume_unique=True)
-    return begin, end
+            begin[:, t] = np.searchsorted(strings[t], low[:, t], "left")
+            end[:, t] = np.searchsorted(strings[t], high[:, t], "right")
+        entries = (end - begin).sum(1) - trees * here[now]
+        full = []
+        for j in np.flatnonzero((entries >= read * rows) & (entries >= need[now])):
+            i = now[j]
+            for t in range(trees):
+                hit[i, order[t, begin[j, t] : end[j, t]]] = True
+            if np.count_nonzero(hit[i]) - (here[i] and hit[i, own[i]]) >= need[i]:
+                full.append(i)
+        open_ = np.setdiff1d(open_, full, assume_unique=True)
+    hit[open_] = True  # without a bit the ranges are the whole shard
+    hit[np.flatnonzero(here), own[here]] = False
+    return hit
 
 
 def search_shard(row: dict, qid: np.ndarray, q: np.ndarray, k: int, read: float) -> pd.DataFrame:
@@ -103,14 +118,12 @@ def search_shard(row: dict, qid: np.ndarray, q: np.ndarray, k: int, read: float)
     order = np.frombuffer(row["order"], np.int32).reshape(TREES, -1)
     strings = np.frombuffer(row["strings"], np.uint32).reshape(TREES, -1).astype(np.uint64)
     norm = np.sqrt((x * x).sum(1))
-    begin, end = prefix_ranges(strings, _codes(q / np.abs(q).max(1, keepdims=True)), read)
+    own = np.searchsorted(ids, qid).clip(0, len(ids) - 1)  # a shard's ids are in order
+    own = np.where(ids[own] == qid, own, -1)
+    hits = candidates(strings, order, _codes(q / np.abs(q).max(1, keepdims=True)), own, k, read)
     found = []
     for i in range(len(q)):
-        hit = np.zeros(len(ids), bool)
-        for t in range(TREES):
-            hit[order[t, begin[i, t] : end[i, t]]] = True
-        hit &= ids != qid[i]
-        c = np.flatnonzero(hit)
+        c = np.flatnonzero(hits[i])
         cos = x[c] @ q[i] / (norm[c] * np.sqrt((q[i] * q[i]).sum()))
         if len(c) > 4 * k:
             near = np.argpartition(-cos, k)[: k + 1]
@@ -124,8 +137,8 @@ def search_shard(row: dict, qid: np.ndarray, q: np.ndarray, k: int, read: float)
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, read: float = READ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query; both inputs are (id, vec, dim)."""
     vectors = staged(vectors)
-    shards = max(1, -(-vectors.count() // SHARD_ROWS))
-    index = staged(build_shards(vectors, shards))
+    lengths = staged(vectors.groupBy("dim").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("shards")))
+    index = staged(build_shards(vectors.join(small_side(lengths), "dim")))
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
 
     def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -134,7 +147,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, read: float = RE
 
     packed = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
     packed = packed.groupBy("dim", "block").applyInPandas(pack, "dim int, qids binary, qvecs binary")
-    packed = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    packed = packed.join(small_side(lengths), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
