@@ -48,6 +48,18 @@ def test_line_spread(spark):
     assert linespread.spread_digest(docs.limit(0)).collect() == []
 
 
+def test_line_spread_of_short_pages(spark):
+    header, footer = "The header that every page has", "A footer \t that every page has as well"
+    rows = [(i, f"{header}\nonly {i}\n \n{footer}", "en", f"s{i % 8}", 0) for i in range(20)]
+    rows += [(100 + i, f"{header}\n\n{footer}\n", "en", f"s{i % 8}", 0) for i in range(2)]  # nothing else
+    rows += [(200 + i, f"{header}\nthe same\n{footer}", "en", f"s{i % 8}", 0) for i in range(2)]  # copies
+    rows += [(300, f"{header}\ntwice\n{footer}", "en", "s1", 0)] * 2  # one document
+    docs = spark.createDataFrame(rows, DOCS)
+    out = sorted((r.doc_id, r.text) for r in linespread.drop_boilerplate(with_clashes(docs)).collect())
+    want = [(i, f"only {i}\n ") for i in range(20)] + [(r[0], r[1]) for r in rows[20:24]] + [(300, "twice")] * 2
+    assert out == want
+
+
 def brute_spans(rows, min_words=20):
     """Split into units, find the first of each, join neighbouring repeats."""
     docs = {(d is None, d, t): list(unitdedup.units(t)) for d, t in rows}

@@ -3,9 +3,10 @@
 Lines (split at line feeds) are normalised (runs of white space become one space, trimmed) and
 hashed. A HyperLogLog sketch of the sites per line hash is made and merged by the aggregation.
 Lines well above the threshold are boilerplate by their sketch alone; those near it get an exact
-distinct count. Boilerplate lines go from documents; a document in which more than
-``KEEP_SHARE`` of the characters are such lines is a copy of another and not a carrier of
-boilerplate, so it is left whole for the near-duplicate step.
+distinct count. Boilerplate lines go from documents. A document in which more than
+``KEEP_SHARE`` of the characters are such lines is left whole for the near-duplicate step if it
+really is a copy: all its lines with a character are such lines, or a document of another id
+has the same text. Short pages that are mostly header and footer lose them like any other.
 
 Defined results: a null site is no site; lines without a character are never boilerplate; null
 texts have no lines and stay null; repeated rows are rows of their own and get the same answer;
@@ -50,12 +51,16 @@ def widespread_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN
     return staged(sketch.where(~near).unionByName(exact).where(F.col("sites") >= min_sites))
 
 
-def _cuts(docs: DataFrame, wide: DataFrame) -> DataFrame:
-    """doc_id, text_key, cut (numbers of the boilerplate lines), __n (their characters)."""
-    docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
-    hits = lines_of(docs, "doc_id", "text_key").join(small_side(wide.select("key")), "key")
-    hits = hits.groupBy("doc_id", "text_key", "at").agg(F.max(F.length("line")).alias("n"))  # repeated rows: once
-    return hits.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("at")).alias("cut"), F.sum("n").alias("__n"))
+def _cuts(docs: DataFrame, wide: DataFrame, keep_share: float) -> DataFrame:
+    """doc_id, text_key, cut (numbers of the boilerplate lines), __mostly (more than ``keep_share``), __docs (with the text, null for one)."""
+    docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"), F.length("text").alias("chars"))
+    hits = lines_of(docs, "doc_id", "text_key", "chars").join(small_side(wide.select("key")), "key")
+    hits = hits.groupBy("doc_id", "text_key", "at").agg(F.max(F.length("line")).alias("n"), F.max("chars").alias("chars"))  # repeated rows: once
+    mostly = (F.sum("n") > keep_share * F.max("chars")).alias("__mostly")
+    cuts = staged(hits.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("at")).alias("cut"), mostly))
+    # Documents of one text have the same lines cut, so all of them are here.
+    copied = staged(cuts.where("__mostly").groupBy("text_key").agg(F.count("*").alias("__docs")).where("__docs > 1"))
+    return cuts.join(small_side(copied), "text_key", "left")
 
 
 def text_key(text: Column) -> Column:
@@ -67,10 +72,11 @@ def drop_boilerplate(
 ) -> DataFrame:
     """``docs`` with the boilerplate lines taken out of ``text``; with ``report`` also n_lines and cut (numbers of the lines that went)."""
     wide = widespread_lines(docs, site, min_sites)
-    cuts = _cuts(docs, wide).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), F.col("cut").alias("__c"), "__n")
+    cuts = _cuts(docs, wide, keep_share).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), F.col("cut").alias("__c"), "__mostly", "__docs")
     rows = docs.join(cuts, docs["doc_id"].eqNullSafe(F.col("__d")) & (text_key(docs["text"]) == F.col("__k")), "left")
-    carrier = F.col("__c").isNotNull() & (F.col("__n") <= keep_share * F.length("text"))
-    cut = F.when(carrier, F.col("__c")).otherwise(F.array().cast("array<int>"))
+    whole = F.size("__c") == F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*"))  # every line with a character
+    copy = F.when(F.col("__mostly"), F.col("__docs").isNotNull() | whole).otherwise(False)
+    cut = F.when(F.col("__c").isNotNull() & ~copy, F.col("__c")).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumn("__lines", F.split("text", "\n")).withColumn("__cut", cut)
     rows = rows.withColumn("__count", F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")))
     left = F.array_except(F.sequence(F.lit(0), F.col("__count") - 1), F.col("__cut"))
