@@ -106,6 +106,23 @@ def test_repeated_units(spark):
     assert len(unitdedup.without_repeats(docs).collect()) == len(rows) and unitdedup.repeats_digest(docs.limit(0)).collect() == []
 
 
+def test_repeated_units_without_spaces(spark):
+    rng = random.Random(7)
+
+    def letters(first, n):
+        return "".join(chr(first + rng.randrange(40)) for _ in range(n))
+
+    han = "".join(letters(0x4E00, 30) + mark for mark in "。！？")
+    thai = " ".join(letters(0x0E01, 60) for _ in range(4))
+    hindi = " ".join(" ".join(letters(0x0905, 4) for _ in range(12)) + "।" for _ in range(3))
+    rows = [(10 * i + j, f"{' '.join(letters(a, 30) for _ in range(n))}{end}{p}{letters(a, 30)}", None, None, None)
+            for i, (p, a, end, n) in enumerate([(han, 0x4E00, "。", 1), (thai + " ", 0x0E01, " ", 1), (hindi + " ", 0x0905, "। ", 5)]) for j in range(2)]
+    rows += [(90 + i, f"{letters(0x4E00, 30)}。短{han[:8]}。{letters(0x4E00, 30)}", None, None, None) for i in range(2)]  # too short
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: (r.start, r.stop) for r in unitdedup.repeated_spans(docs).collect()}
+    assert got == {d: (t.index(p), t.index(p) + len(p)) for (d, t, *_), p in zip(rows[1:6:2], (han, thai, hindi), strict=True)}
+
+
 def test_repeated_units_of_documents(spark):
     docs = table(spark, SF, "documents")
     rows = {(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()}

@@ -1,12 +1,15 @@
 """Substring dedup by hashing sentences and lines.
 
-A unit is a sentence (up to . ! ? or a line feed) or, where that has fewer than ``UNIT_WORDS``
+A unit is a sentence (up to one of ``MARKS`` or a line feed; in Thai, Lao, Khmer and Burmese also
+to white space, which ends a phrase there) or, where that has fewer than ``UNIT_WORDS``
 words, it and what follows in its line until there are as many. Units are normalised (lower case, words
 joined by one space, marks at the end dropped) and hashed; equal digests are grouped over all
 documents. The earliest occurrence, by doc_id and then by place, stays. Of the others, those
 that stand next to each other are one passage; passages of at least ``MIN_WORDS`` words are
 spans to remove, with the offsets they have in the original text. So a passage is found wherever
-in a line it was put, but for the sentences that run into the text around it.
+in a line it was put, but for the sentences that run into the text around it. Text that is
+written without white space counts by its characters: two of Han or kana, five of Thai, Lao,
+Khmer or Burmese are a word.
 
 Defined results: null texts have no units; shorter repeats are never removed; repeated rows are
 one document, whose units are not repeats of each other; rows with a null doc_id come last in
@@ -30,7 +33,20 @@ from .common import staged
 MIN_WORDS, UNIT_WORDS = 20, 5
 #: Rows of texts worked on at once.
 ROWS = 256
+#: What ends a sentence.
+MARKS = ".!?…‼⁇⁈⁉。！？．｡؟۔।॥።։"
+_HAN, _PHRASED = "぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff", "฀-໿က-႟ក-៿"
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
+_MARKED = re.compile(f"[^{MARKS}]*[{MARKS}]+|[^{MARKS}]+")
+_PHRASE = re.compile(f"[^{MARKS}]*?(?:[{MARKS}]+|(?<=[{_PHRASED}])\\s+(?=[{_PHRASED}])|$)")
+_HAS_HAN, _HAS_PHRASED, _UNSPACED = re.compile(f"[{_HAN}]"), re.compile(f"[{_PHRASED}]"), re.compile(f"[{_HAN}{_PHRASED}]")
+
+
+def n_words(words: list[str]) -> int:
+    """Words by white space, or by characters where text is written without it."""
+    text = "".join(words)
+    spaced = sum(not _UNSPACED.search(w) for w in words)
+    return max(len(words), spaced + len(_HAS_HAN.findall(text)) // 2 + len(_HAS_PHRASED.findall(text)) // 5)
 
 
 def units(text: str | None) -> Iterator[tuple[int, int, int, int, int]]:
@@ -38,22 +54,27 @@ def units(text: str | None) -> Iterator[tuple[int, int, int, int, int]]:
     number, at = 0, 0
     for line in (text or "").split("\n"):
         begin, words = 0, []
-        for m in _SENTENCE.finditer(line):
+        sentence, count = _SENTENCE, len
+        if not line.isascii():
+            sentence = _PHRASE if _HAS_PHRASED.search(line) else _MARKED
+            count = n_words if _UNSPACED.search(line) else len
+        for m in sentence.finditer(line):
             more = m[0].split()
             if more and not words:
                 begin = m.start() + len(m[0]) - len(m[0].lstrip())
             words += more
-            if len(words) >= UNIT_WORDS:
-                yield number, at + begin, at + m.start() + len(m[0].rstrip()), len(words), _digest(words)
+            n = count(words)
+            if n >= UNIT_WORDS:
+                yield number, at + begin, at + m.start() + len(m[0].rstrip()), n, _digest(words)
                 number, words = number + 1, []
         if words:
-            yield number, at + begin, at + len(line.rstrip()), len(words), _digest(words)
+            yield number, at + begin, at + len(line.rstrip()), count(words), _digest(words)
             number += 1
         at += len(line) + 1
 
 
 def _digest(words: list[str]) -> int:
-    return xxhash.xxh3_64_intdigest(" ".join(words).lower().rstrip(".!? ").encode("utf-8", "replace")) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(" ".join(words).lower().rstrip(MARKS + " ").encode("utf-8", "replace")) - (1 << 63)
 
 
 def document_units(docs: DataFrame) -> DataFrame:
