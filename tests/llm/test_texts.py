@@ -35,6 +35,19 @@ def test_language_awkward_rows(spark):
     assert langmix.identify(docs.limit(0), model).collect() == []
 
 
+def test_document_in_many_languages(spark):
+    rng = random.Random(4)
+
+    def text(i, n=400):  # a language of six letters of its own
+        return " ".join("".join(chr(0x430 + 6 * i + rng.randrange(6)) for _ in range(5)) for _ in range(n))
+
+    names = [f"l{i}" for i in range(7)]
+    docs = spark.createDataFrame([(i, text(i, 3000), x, "s", 0) for i, x in enumerate(names)], DOCS)
+    lang, share, langs, shares = langmix.predict(" ".join(text(i, 800 if i == 2 else 400) for i in range(6)), langmix.fit(docs), langmix.letter_table())
+    assert lang == "l2" and set(langs) == set(names[:6]) and abs(share - 2 / 7) < 0.02
+    assert all(abs(s - (2 if x == "l2" else 1) / 7) < 0.02 for x, s in zip(langs, shares, strict=True))
+
+
 def test_line_spread(spark):
     rows = [(i, f"unique start {i}\n  Shared   line here\nmore {i}\n{'near' if i < 5 else 'far'} line\nend {i}", "en", f"s{i % 8}", 0) for i in range(40)]
     rows += [(100 + i, "whole copy of a text\nin two lines", "en", f"s{i % 8}", 0) for i in range(9)]

@@ -4,7 +4,8 @@ Character trigram counts per language are gathered with Spark over all labelled
 document is read as a mixture of languages: its trigrams are taken in runs of ``RUN``, each run
 gets a likelihood under every language, and expectation-maximisation finds the proportions.
 Languages are then taken in order of proportion, and the number of them is the one with the
-best likelihood less a penalty of ``PENALTY`` * log(runs + 1) for each language.
+best likelihood less a penalty of ``PENALTY`` * log(runs + 1) for each language; languages of less
+than half a run are not tried.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the
 language that sorts first; repeated rows get the same answer; without labelled text every
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, RUN, ROUNDS, PENALTY, MAX_LANGUAGES, SMOOTH = 1 << 15, 48, 12, 2.0, 4, 0.1
+BUCKETS, RUN, ROUNDS, PENALTY, SMOOTH = 1 << 15, 48, 12, 2.0, 0.1
 #: Characters worked on at once; bounds a task's memory whatever the lengths of texts.
 PIECE = 1 << 19
 #: Most languages of a model. It is a row of ``BUCKETS`` numbers for each language.
@@ -123,7 +124,7 @@ def predict(text: str | None, model: Model, letters: np.ndarray) -> tuple[str, f
     order = np.argsort(-pi, kind="stable")
     cost = PENALTY * np.log(len(like) + 1)
     best = None
-    for k in range(1, min(MAX_LANGUAGES, len(order)) + 1):
+    for k in range(1, len(order) + 1):
         if k > 1 and pi[order[k - 1]] * len(like) < 0.5:
             break  # less than half a run: it cannot pay for itself
         share, fit_ = _mixture(like[:, order[:k]], size, ROUNDS) if k > 1 else (np.ones(1), float(np.log(like[:, order[0]]).sum()))
