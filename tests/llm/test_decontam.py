@@ -1,7 +1,7 @@
 import random
 import re
 
-from helpers import DOCS, LOWER, awkward, sha, with_clashes, words
+from .helpers import DOCS, LOWER, awkward, sha, with_clashes, words
 
 from tixspark.llm import decontam
 from tixspark.llm.common import table

@@ -1,5 +1,5 @@
 import pytest
-from helpers import DOCS, awkward, split5, with_clashes
+from .helpers import DOCS, awkward, split5, with_clashes
 from pyspark.sql import functions as F
 
 from tixspark.llm import mixing

@@ -6,7 +6,7 @@ import re
 import zlib
 
 import numpy as np
-from helpers import DOCS, awkward, with_clashes
+from .helpers import DOCS, awkward, with_clashes
 
 from tixspark.llm import factorization, forest, htmlcut, queries
 from tixspark.llm.common import table

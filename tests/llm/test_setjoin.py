@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from helpers import DOCS, awkward, split5, with_clashes, words
+from .helpers import DOCS, awkward, split5, with_clashes, words
 
 from tixspark.llm import setjoin
 from tixspark.llm.common import table

@@ -4,7 +4,7 @@ import random
 import zlib
 
 import public_tokenizers
-from helpers import DOCS, awkward, with_clashes
+from .helpers import DOCS, awkward, with_clashes
 
 from tixspark.llm import langmix, linespread, tokencount, unitdedup
 from tixspark.llm.common import table
