@@ -202,7 +202,7 @@ def q_feed_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 with {_MSG_SQL.strip()},
 red as ({_redaction_sql("select doc_id, composed as text from v where reject_reason is null")}),
 ok as (select v.doc_id, v.number, v.composed, v.created_at, r.redacted_count from v
-       join red r on r.doc_id = v.doc_id and r.kind = 'doc' where v.reject_reason is null)
+       join red r on r.doc_id = v.doc_id and r.kind = 'doc' where v.reject_reason is null and not v.bypass)
 select 'tickets.sanitized' as topic,
   concat('ticket_', substring(sha256(concat(composed, chr(0), number, chr(0))), 1, 16)) as key, redacted_count
 from ok
