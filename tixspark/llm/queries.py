@@ -74,9 +74,11 @@ l as (
 wide as (select line from l where line != '' group by line having count(distinct source) >= 6),
 cut as (
   select rid, list(pos) ats, sum(length(line)) n from l where line in (select line from wide) group by rid),
+full_lines as (select rid, count(*) n_full from l where line != '' group by rid),
+copied as (select text from d where text is not null group by text having count(distinct doc_id) > 1),
 x as (
-  select d.*, case when n <= 0.5 * length(text) then ats else [] end ats
-  from d left join cut using (rid))
+  select d.*, case when n > 0.5 * length(text) and (len(ats) = n_full or text in (select text from copied)) then [] else ats end ats
+  from d left join cut using (rid) left join full_lines using (rid))
 select doc_id, coalesce(cast(len(ls) as bigint), 0) n_lines, cast(len(coalesce(ats, [])) as bigint) n_cut,
        sha256(case when len(coalesce(ats, [])) = 0 then text
          else array_to_string([z[1] for z in list_zip(ls, range(len(ls))) if not list_contains(ats, z[2])], chr(10)) end) text_sha256
