@@ -69,3 +69,21 @@ def running_start(df: DataFrame, key: str, value: str, order: list[str], out: st
         .withColumn(out, F.col("_o2") + F.col("_o3"))
         .drop("_c1", "_c2", "_o2", "_o3")
     )
+
+
+#: A key is hot if it holds more than a share of one in HOT_SHARE of all rows; so there are fewer than HOT_SHARE hot keys.
+HOT_SHARE = 1024
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of ``rows`` with ``side`` (staged before; one row per ``key``, ``count`` is the number of its rows).
+
+    Rows of hot keys meet a broadcast of fewer than HOT_SHARE rows, all others are shuffled, so
+    no key fills a task. ``count`` is not in the result.
+    """
+    total = side.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(side.where(F.col(count) * HOT_SHARE > total))
+    cold = side.where(F.col(count) * HOT_SHARE <= total)
+    few = rows.join(hot, key)
+    many = rows.join(hot.select(key), key, "left_anti").join(cold, key)
+    return few.unionByName(many).drop(count)

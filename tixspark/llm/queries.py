@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, factorization, forest, htmlcut, langmix, linespread, mixing, setjoin, tokencount, unitdedup
+from . import decontam, factorization, forest, htmlcut, langmix, linespread, mixing, setjoin, simhash, tokencount, unitdedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,8 @@ def op5_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_line_hashing")
 def op8_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unitdedup.repeats_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op11_simhash_trie")
+def op11_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
