@@ -85,15 +85,19 @@ def _turned(fps: DataFrame) -> DataFrame:
     return fps.selectExpr(f"inline(array(struct(0 as trie, fp ^ {_SIGN} as key), {', '.join(turns)}))")
 
 
-def _node(depth: str) -> str:
-    """The first ``depth`` bits of a key."""
-    return f"shiftrightunsigned(key ^ {_SIGN}, 64 - {depth})"
+def _depth(level: int) -> str:
+    """Bits of the nodes of a trie on a level of ``node_pairs``."""
+    return "case trie " + " ".join(f"when {i} then {min(63, p + level * STEP)}" for i, p in enumerate(PARTS)) + " end"
+
+
+def _nodes(keys: DataFrame, level: int) -> DataFrame:
+    """trie, depth, n (the first ``depth`` bits of the key), key."""
+    return keys.selectExpr("trie", f"{_depth(level)} as depth", f"shiftrightunsigned(key ^ {_SIGN}, 64 - {_depth(level)}) as n", "key")
 
 
 def node_pairs(keys: DataFrame, node: int = NODE) -> list[DataFrame]:
     """Tables (trie, depth, a, b, na, nb) of node pairs, each of at most ``node`` fingerprints, that together hold all links."""
-    top = "case trie " + " ".join(f"when {i} then {p}" for i, p in enumerate(PARTS)) + " end"
-    nodes = keys.selectExpr("trie", f"{top} as depth", f"{_node(top)} as a").groupBy("trie", "depth", "a").agg(F.count("*").alias("na"))
+    nodes = _nodes(keys, 0).groupBy("trie", "depth", F.col("n").alias("a")).agg(F.count("*").alias("na"))
     level = staged(nodes.where("na > 1").selectExpr("trie", "depth", "a", "a as b", "na", "na as nb"))
     found, size = [], "if(a = b, na, na + nb)"
     while True:
@@ -102,8 +106,9 @@ def node_pairs(keys: DataFrame, node: int = NODE) -> list[DataFrame]:
         if large.isEmpty():
             return found
         ends = large.select("trie", "depth", "a").union(large.select("trie", "depth", "b")).distinct()
-        ends = small_side(staged(ends.selectExpr("trie as t", "depth", "a as n", f"least(63, depth + {STEP}) as below")))
-        below = keys.join(ends, F.expr(f"trie = t and n = {_node('depth')}")).selectExpr("trie", "depth", "n", "below", f"{_node('below')} as child")
+        ends = small_side(staged(ends.withColumnRenamed("a", "n")))
+        below = _nodes(keys, len(found) - 1).join(ends, ["trie", "depth", "n"])
+        below = below.selectExpr("trie", "depth", "n", f"{_depth(len(found))} as below", f"shiftrightunsigned(key ^ {_SIGN}, 64 - {_depth(len(found))}) as child")
         below = staged(below.groupBy("trie", "depth", "n", "below", "child").agg(F.count("*").alias("c")))
         for c in ("a", "b"):
             large = large.drop(f"n{c}").join(below.selectExpr("trie", "depth", f"n as {c}", "below", f"child as {c}_child", f"c as n{c}"), ["trie", "depth", c, *(["below"] if c == "b" else [])])
@@ -218,10 +223,10 @@ def _join_rows(trie: np.ndarray, depth: np.ndarray, a: np.ndarray, b: np.ndarray
 def trie_links(fps: DataFrame, node: int = NODE) -> DataFrame:
     """(a, b): links that join the same components as all pairs of ``fps`` (distinct fp) within the budget."""
     keys = _turned(fps)
-    parts = None
-    for pairs in node_pairs(keys, node):
-        ends = pairs.selectExpr("trie as t", "depth", "a", "b", "inline(if(a = b, array(struct(a as n)), array(struct(a as n), struct(b as n))))")
-        rows = keys.join(small_side(staged(ends)), F.expr(f"trie = t and n = {_node('depth')}")).select("trie", "depth", "a", "b", "key")
+    parts = None  # every row goes to the node pairs of its node; on the first level these are its own and no other's
+    for level, pairs in enumerate(node_pairs(keys, node)):
+        ends = pairs.selectExpr("trie", "depth", "a", "b", "inline(if(a = b, array(struct(a as n)), array(struct(a as n), struct(b as n))))")
+        rows = _nodes(keys, level).join(small_side(staged(ends)), ["trie", "depth", "n"]).select("trie", "depth", "a", "b", "key")
         parts = rows if parts is None else parts.unionByName(rows)
 
     columns = ("trie", "depth", "a", "b", "key")
