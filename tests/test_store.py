@@ -146,3 +146,47 @@ def test_text_index(spark, tmp_path):
     assert [r.ticket_id for r in few.collect()] == ["a"]
     assert "EqualTo(ticket_id,a)" in few._jdf.queryExecution().executedPlan().toString() or "In(ticket_id" in few._jdf.queryExecution().executedPlan().toString()
     assert index.restrict(store.read("t"), "q").count() == 7
+
+
+def brute_topk(queries, corpus, k, exclude_self):
+    """The reference's order: fast flag, similarity (none last), order column, id."""
+    import numpy as np
+
+    def near(a, b):
+        if a is None or b is None or len(a) != len(b) or not len(a) or not any(a) or not any(b):
+            return None
+        x, y = np.array(a), np.array(b)
+        return float((x * y).sum() / (np.linalg.norm(x) * np.linalg.norm(y)))
+
+    out = []
+    for qid, q in queries:
+        rows = [(near(q, v), at, i) for i, v, at in corpus if not (exclude_self and i == qid)]
+        rows.sort(key=lambda r: (-((r[0] if r[0] is not None else -9) >= 0.95), r[0] is None, -round(r[0], 12) if r[0] is not None else 0, r[1], r[2]))
+        out += [(qid, n + 1, i) for n, (_, _, i) in enumerate(rows[:k])]
+    return sorted(out)
+
+
+def test_metric_index_is_exact_and_reads_few_cells(spark, tmp_path):
+    import numpy as np
+
+    from tixspark.operators.metricindex import MetricIndex
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    corpus = [(f"v{i:04d}", (centres[i % 12] + 0.05 * rng.normal(size=16)).tolist(), i % 7) for i in range(600)]
+    corpus += [("dup1", corpus[3][1], 0), ("dup2", corpus[3][1], 0), ("zero", [0.0] * 16, 1), ("none", None, 2), ("empty", [], 3), ("short", [1.0, 2.0], 4), ("short2", [2.0, 1.0], 4)]
+    schema = "id string, vec array<double>, at int"
+    store = FactStore(spark, str(tmp_path / "s"), buckets=4)
+    index = MetricIndex(store, "v", "id", "vec", ("at",), rows=40)
+    store.append("v", spark.createDataFrame(corpus[:400], schema), 0, "id")
+    assert index.advance() and not index.advance()
+    store.append("v", spark.createDataFrame(corpus[400:], schema), 1, "id")
+    assert index.advance()
+    queries = [(i, v) for i, v, _ in corpus[:40] + corpus[-8:]]
+    frame = spark.createDataFrame(queries, "q string, qv array<double>")
+    for exclude in (False, True):
+        rows = index.nearest(frame, 4, "q", "qv", exclude_self=exclude).collect()
+        assert sorted((r.q, r["rank"], r.id) for r in rows) == brute_topk(queries, corpus, 4, exclude)
+    cells = store.read("v.spheres").select("cell").distinct().count()
+    read = [r.cells_read for r in rows if r.q.startswith("v0")]
+    assert max(read) < cells / 2

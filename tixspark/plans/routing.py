@@ -133,7 +133,11 @@ select query_id, cast(rank as integer) as rank, ticket_id, ncat as category, ass
 from rn""".replace("{res}", _strip("resolution"))))
 def q_evidence_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCR-3: per-item roles (the fast-path match is the cache candidate)."""
-    r = retrieved_lists(spark, sf_dir)
+    return evidence_rows(retrieved_lists(spark, sf_dir))
+
+
+def evidence_rows(r: DataFrame) -> DataFrame:
+    """A row per item of ``retrieved``."""
     ev = S.rag_evidence(F.col("retrieved"), S.fast_path_match(F.col("retrieved"), FIXTURE), FIXTURE)
     x = r.select("query_id", F.posexplode(ev["items"]).alias("pos", "it"))
     return x.select("query_id", (F.col("pos") + 1).alias("rank"), "it.ticket_id", "it.category", "it.assignment_group",

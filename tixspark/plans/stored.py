@@ -12,30 +12,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pyround
+from ..operators.metricindex import MetricIndex
 from ..operators.rollup import Rollup, average
 from ..operators.textindex import TextIndex
 from ..session import checkpoint_dir
 from ..sources import fixtures
 from ..sources.fixtures import with_views
-from ..sources.store import FactStore, LatestSnapshot
+from ..settings import FIXTURE
+from ..sources.store import KEY, FactStore, LatestSnapshot
+from ..sources.tables import read_table
 from .common import r1, r4, safe_ratio
 from .detail import _STATUS_SQL, routing_status
 from .registry import ORACLES, register
+from .routing import evidence_rows
 from .search import _search_sql, search_tickets
+from .vectors import approved_knowledge
 
 _STORES: dict[tuple[str, str], FactStore] = {}
 
 
 def fixture_store(spark: SparkSession, sf_dir: str, *tables: str) -> FactStore:
-    """The store of ``sf_dir`` with ``tables`` (of tickets, decisions, reviews, audit) filled."""
+    """The store of ``sf_dir`` with ``tables`` (of tickets, decisions, reviews, audit, vectors, knowledge) filled."""
     app = spark.sparkContext.applicationId
     if (app, sf_dir) not in _STORES:
         root = f"{checkpoint_dir(spark).rstrip('/')}/{app}/store-{hashlib.sha256(sf_dir.encode()).hexdigest()[:12]}"
         _STORES[app, sf_dir] = FactStore(spark, root)
     store = _STORES[app, sf_dir]
     for name in tables:
+        key = "neighbor_id" if name == "vectors" else KEY
         for batch_id, rows in enumerate(_batches(spark, sf_dir, name)):
-            store.append(name, rows, batch_id)
+            store.append(name, rows, batch_id, key)
     return store
 
 
@@ -45,6 +51,12 @@ def _batches(spark: SparkSession, sf_dir: str, name: str) -> list[DataFrame]:
         rows, by, n = fixtures.tickets(spark, sf_dir), "ticket_id", 2
     elif name == "decisions":
         rows, by, n = fixtures.routing_decisions(spark, sf_dir), "event_id", 3
+    elif name == "vectors":
+        rows, by, n = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("neighbor_id"), "embedding"), "neighbor_id", 2
+    elif name == "knowledge":
+        t = approved_knowledge(fixtures.tickets_with_embedding(spark, sf_dir), FIXTURE)
+        rows = t.select("ticket_id", "embedding", "created_at", "category", "assignment_group", "resolution", "source")
+        return [rows]
     elif name == "reviews":
         rows, by, n = fixtures.review_events(spark, sf_dir), "review_id", 1
     else:
@@ -271,3 +283,35 @@ def q_indexed_search_common(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_indexed_search_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-2: too short for a trigram, so all texts are scanned."""
     return indexed_search(fixture_store(spark, sf_dir, "tickets", "decisions"), "qu", limit=300)
+
+
+# --- exact top-k through the stored metric index ---------------------------------------------------
+
+
+@register("indexed_topk", ORACLES["topk_similar"])
+def q_indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SIM-3, WIN-1: the 5 nearest other vectors of each, from cells of stored vectors."""
+    store = fixture_store(spark, sf_dir, "vectors")
+    index = MetricIndex(store, "vectors", "neighbor_id", "embedding", rows=256)
+    index.advance()
+    queries = store.read("vectors").select(F.col("neighbor_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    r = index.nearest(queries, 5, "query_id", "query_embedding", exclude_self=True)
+    return r.select("query_id", "rank", "neighbor_id", pyround("similarity", 6).alias("similarity"), "fast_candidate")
+
+
+def indexed_evidence(store: FactStore, queries: DataFrame, k: int, query_id: str, query_vec: str) -> DataFrame:
+    """JOIN-5: query id -> retrieved array. Only ids and order columns are searched; the winners' fields are fetched by id."""
+    index = MetricIndex(store, "knowledge", "ticket_id", "embedding", ("created_at",), rows=256)
+    index.advance()
+    hits = index.nearest(queries, k, query_id, query_vec)
+    fields = store.read("knowledge").select("ticket_id", "category", "assignment_group", "resolution", "source")
+    row = F.struct("rank", "ticket_id", "similarity", "category", "assignment_group", "resolution", "source", "created_at")
+    return hits.join(fields, "ticket_id").groupBy(query_id).agg(F.array_sort(F.collect_list(row)).alias("retrieved"))
+
+
+@register("indexed_evidence", ORACLES["evidence_items"])
+def q_indexed_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCR-3 over the index."""
+    store = fixture_store(spark, sf_dir, "knowledge")
+    e = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    return evidence_rows(indexed_evidence(store, e, FIXTURE.rag_top_k, "query_id", "query_embedding"))
