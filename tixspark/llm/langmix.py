@@ -25,14 +25,18 @@ from pyspark.sql import functions as F
 BUCKETS, RUN, ROUNDS, PENALTY, SMOOTH = 1 << 15, 48, 12, 2.0, 0.1
 #: Characters worked on at once; bounds a task's memory whatever the lengths of texts.
 PIECE = 1 << 19
-#: Most languages of a model. It is a row of ``BUCKETS`` numbers for each language.
+#: Most languages of a model, which every task holds: BUCKETS numbers of four bytes for each. More values of lang are an error before any text is read.
 LANGUAGES = 1000
 
 
+#: Code points with letters: the first four planes, one more for all others.
+_PLANES = 0x40000
+
+
 def letter_table() -> np.ndarray:
-    """Code point -> lower-case letter's code point, 0 if it is no letter. Planes above the first count as letters."""
-    out = np.zeros(0x10000, np.uint32)
-    for i in range(0x10000):
+    """Code point -> lower-case letter's code point, 0 if it is no letter."""
+    out = np.zeros(_PLANES + 1, np.uint32)
+    for i in range(_PLANES):
         c = chr(i)
         if c.isalpha():
             low = c.lower()
@@ -42,7 +46,7 @@ def letter_table() -> np.ndarray:
 
 def _codes(text: str, letters: np.ndarray) -> np.ndarray:
     cp = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    return np.where(cp < 0x10000, letters[np.minimum(cp, 0xFFFF)], cp)
+    return letters[np.minimum(cp, _PLANES)]
 
 
 def _buckets(codes: np.ndarray) -> np.ndarray:
@@ -83,15 +87,20 @@ class Model:
 def fit(docs: DataFrame) -> Model:
     """Count the trigrams of every row with text and lang. The driver gets the sums only: BUCKETS numbers a language."""
     rows = docs.where("text is not null and lang is not null").select("lang", "text")
-    sums = rows.mapInPandas(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).limit(LANGUAGES + 1).collect()
-    if len(got) > LANGUAGES:
+    if rows.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} different values of lang")
+    sums = rows.mapInPandas(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(BUCKETS)
+        counts[group["bucket"]] = group["n"]
+        return pd.DataFrame({"lang": group["lang"].iloc[:1], "counts": [counts.astype("<f8").tobytes()]})
+
+    got = sums.groupBy("lang").applyInPandas(pack, "lang string, counts binary").collect()
     got = sorted(got, key=lambda r: r["lang"])
     w = np.full((BUCKETS, len(got)), SMOOTH)
     for j, r in enumerate(got):
-        c = np.array(r["c"], np.float64).reshape(-1, 2)
-        w[c[:, 0].astype(np.int64), j] += c[:, 1]
+        w[:, j] += np.frombuffer(r["counts"], "<f8")
     return Model([r["lang"] for r in got], np.log(w / w.sum(0)).astype(np.float32) if got else w.astype(np.float32))
 
 
