@@ -240,8 +240,7 @@ def test_tokens_as_the_library_counts(spark):
         assert tokencount.count_tokens(t, encoder, chunk=50, overlap=8) == whole(t) == tokencount.count_tokens(t, encoder)
     assert tokencount.count_tokens("x" * 5000, encoder, chunk=64, overlap=8) == whole("x" * 5000)  # no stable boundary at all
     long_text = awkward()[8][1]
-    cuts = list(tokencount.stable_cuts(long_text, encoder, 5000, 64))
-    assert len(cuts) > 10 and cuts[0][0] == 0 and cuts[-1][1] == len(long_text) and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:], strict=False))
+    assert tokencount.spliced_count(long_text, encoder, 5000, 64) == whole(long_text)
     docs = with_clashes(spark.createDataFrame(awkward(), DOCS))
     want = sorted(((r[0], len((r[1] or "").encode()), whole(r[1])) for r in awkward()), key=repr)
     got = tokencount.token_digest(docs, path).collect()
@@ -250,3 +249,31 @@ def test_tokens_as_the_library_counts(spark):
     other = tokencount.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert not other.by_piece
     assert tokencount.count_tokens(long_text, other, chunk=3000) == len(other.tokenizer.encode(long_text, add_special_tokens=False).ids)
+
+
+def test_texts_without_white_space_take_time_in_proportion():
+    encoder = tokencount.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    read = []
+    tokens = encoder.tokens
+    encoder.tokens = lambda text, at: read.append(len(text)) or tokens(text, at)
+    rng = random.Random(5)
+    base64 = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1 << 20))
+    assert tokencount.count_tokens(base64, encoder) == len(tokens(base64, 0))
+    assert sum(read) < 1.3 * len(base64)
+    read.clear()
+    letters = "".join(rng.choices("abcdefgh", k=200_000))  # one pre-token: stretches double
+    assert tokencount.count_tokens(letters + "1 2 3", encoder) == len(tokens(letters + "1 2 3", 0))
+    assert sum(read) < 16 * len(letters)
+    signs = "".join(rng.choices("<'s1.é́", k=100_000))
+    assert tokencount.count_tokens(signs, encoder) == len(tokens(signs, 0))
+
+
+def test_remembered_pieces_are_bounded(monkeypatch):
+    encoder = tokencount.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(tokencount, "MEMO_BYTES", 100_000)
+    rng = random.Random(3)
+    for n in range(300):
+        text = " ".join("".join(rng.choices("abcdefgh", k=rng.choice([5, 90, 400]))) for _ in range(40))
+        assert encoder.count(text) == len(encoder.tokenizer.encode(text, add_special_tokens=False).ids)
+        assert sum(len(p) + tokencount.ENTRY for p in [*encoder.known, *encoder.cores]) < 130_000
+        assert all(len(p) <= tokencount.PIECE for p in encoder.known)

@@ -1,19 +1,22 @@
 """Token counts of whole texts, huge ones by overlap resynchronisation.
 
-A text of up to ``CHUNK`` characters is encoded at once. A longer one is encoded in chunks; what
-precedes and what follows the end of a chunk is encoded with offsets in two stretches that
-overlap by ``OVERLAP`` characters. Neighbours are spliced at a boundary in the overlap that is
-proven stable: it follows a white-space character, tokens begin there in both stretches, and the
-next ``RUN`` tokens are the same in both (places and ids). Where there is none the overlap is
-doubled, then the chunk made longer, up to the whole text, so the count is always that of the
-text encoded at once.
-
-A tokenizer that drops white space encodes what stands between two spaces without regard to
+A text of up to ``CHUNK`` characters is counted at once. A longer one is encoded in stretches with
+offsets, each of which begins ``OVERLAP`` characters before the end of the one before. The two are spliced at
+a place in the overlap where both begin a pre-token (the unit that the tokenizer encodes without regard to
+others). There they agree for good: the splitter goes from left to right, so from a place where it begins
+anew on nothing before it matters, provided that the normaliser does not join the characters on both
+sides, which is checked; the next ``RUN`` tokens (places and ids) are compared as well. The tokens of
+the left stretch before the place and those of the right one after it are the text's. Where there is no such place
+the overlap is doubled; where that reaches the begin of the left stretch, the stretch is made twice as long and encoded again,
+so the count is always that of the text encoded at once, and the work grows with the text's length.
+
+In texts of up to CHUNK, a tokenizer that drops white space encodes what stands between two spaces without regard to
 the rest. For such a one (checked on probes when it is loaded) the library encodes each distinct
-piece once for a task and its tokens are looked up after that.
+piece of up to ``PIECE`` characters once for a task and its tokens are looked up after that; a task keeps
+``MEMO_BYTES`` of such pieces before it begins anew.
 
 Defined results: null and empty texts have no tokens; repeated rows are counted each; a text
-without white space is encoded whole; an empty table gives an empty result; columns besides
+without white space is spliced like any other; an empty table gives an empty result; columns besides
 doc_id and text are not looked at.
 """
 
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,8 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK, OVERLAP, RUN, LIMIT = 1 << 15, 1 << 10, 8, 2048
-#: Distinct pieces that a task remembers before it begins anew.
-REMEMBERED = 800_000
+#: Longest piece that is remembered, bytes of remembered pieces, bytes of one besides its characters.
+PIECE, MEMO_BYTES, ENTRY = 128, 192 << 20, 160
 _PIECE = re.compile(r"[^ \n]+")
 #: Letters with a stop or comma that lower-case tokenizers take as the letters, lower-cased, and the stop.
 _PLAIN = re.compile(r"([A-Za-z]+)([.,]?)", re.ASCII)
@@ -50,6 +54,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.known: dict[str, int] = {}
         self.cores: dict[str, int] = {}
+        self.held = 0
         self.by_piece = all(self._ids(p) == [i for m in _PIECE.findall(p) for i in self._ids(m)] for p in _PROBES)
         self.lower_case = self.by_piece and all(self._ids(p) == self._ids(p[:-1].lower()) + self._ids(p[-1]) for p in _LOWER_PROBES)
 
@@ -61,68 +66,87 @@ class Encoder:
             return len(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0])
         pieces = _PIECE.findall(text)
         known = self.known
-        fresh = [p for p in set(pieces) if p not in known]
-        if fresh:
-            if len(known) > REMEMBERED:
-                known.clear()
-                fresh = list(set(pieces))
-            self._learn(fresh)
-        return sum(map(known.__getitem__, pieces))
+        fresh = {p for p in pieces if p not in known}
+        long = [p for p in fresh if len(p) > PIECE]
+        if self.held > MEMO_BYTES:
+            known.clear()
+            self.cores.clear()
+            self.held, fresh = 0, set(pieces)
+        self._learn([p for p in fresh if len(p) <= PIECE])
+        if not long:
+            return sum(map(known.__getitem__, pieces))
+        once = dict(zip(long, map(len, self.tokenizer.encode_batch_fast(long, add_special_tokens=False)), strict=True))
+        return sum(known[p] if p in known else once[p] for p in pieces)
 
     def _learn(self, fresh: list[str]) -> None:
         """Count the tokens of pieces. Those alike but for A-Z and a full stop or comma at the end are encoded once."""
+        if not fresh:
+            return
         cores = self.cores
-        if len(cores) > REMEMBERED:
-            cores.clear()
         parts = [self._parts(p) for p in fresh]
         new = list({c for both in parts for c in both if c and c not in cores})
         cores.update(zip(new, map(len, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
         self.known.update((p, cores[a] + (cores[b] if b else 0)) for p, (a, b) in zip(fresh, parts, strict=True))
+        self.held += sum(len(p) + ENTRY for p in fresh) + sum(len(p) + ENTRY for p in new)
 
     def _parts(self, piece: str) -> tuple[str, str]:
         if self.lower_case and (m := _PLAIN.fullmatch(piece)):
             return m[1].lower(), m[2]
         return piece, ""
 
-    def tokens(self, text: str, at: int) -> list[tuple[int, int, int]]:
-        """(begin, end, id) of the tokens, ``at`` added to the places."""
+    def tokens(self, text: str, at: int) -> list[Token]:
+        """(begin, end, id, whether it begins a pre-token) of the tokens, ``at`` added to the places."""
         e = self.tokenizer.encode(text, add_special_tokens=False)
-        return [(a + at, b + at, i) for (a, b), i in zip(e.offsets, e.ids, strict=True)]
+        words = e.word_ids
+        heads = [i == 0 or words[i] is None or words[i] != words[i - 1] for i in range(len(words))]
+        return [(a + at, b + at, i, h) for (a, b), i, h in zip(e.offsets, e.ids, heads, strict=True)]
 
 
-def splice(left: list, right: list, text: str, run: int = RUN) -> int | None:
-    """The first place at which ``right`` may take over from ``left``, or None."""
-    place = {t: i for i, t in enumerate(left)}
+Token = tuple[int, int, int, bool]
+
+
+def apart(before: str, after: str) -> bool:
+    """Whether normalisation leaves two neighbouring characters to themselves."""
+    normal = unicodedata.normalize
+    return before.isascii() and after.isascii() or not unicodedata.combining(after) and all(
+        normal(f, before + after) == normal(f, before) + normal(f, after) for f in ("NFC", "NFKC"))
+
+
+def splice(left: list[Token], right: list[Token], text: str, run: int = RUN) -> tuple[int, int] | None:
+    """(i, j): ``right`` may take over from ``left`` at right[j], which is left[i]; None if there is no such place."""
+    place = {t: i for i, t in enumerate(left) if t[3]}
     for j, t in enumerate(right):
-        i = place.get(t)
-        if i and t[0] and text[t[0] - 1] in " \n" and i + run <= len(left) and left[i : i + run] == right[j : j + run]:
-            return t[0]
+        i = place.get(t) if t[3] and j else None  # the first token begins where the stretch was cut
+        if i and i + run <= len(left) and left[i : i + run] == right[j : j + run] and apart(text[t[0] - 1], text[t[0]]):
+            return i, j
     return None
 
 
-def stable_cuts(text: str, encoder: Encoder, chunk: int = CHUNK, overlap: int = OVERLAP, run: int = RUN) -> Iterator[tuple[int, int]]:
-    """The chunks (begin, end) of a text whose tokens, put together, are those of the text."""
-    begin, end = 0, chunk
-    wide = overlap
+def spliced_count(text: str, encoder: Encoder, chunk: int = CHUNK, overlap: int = OVERLAP, run: int = RUN) -> int:
+    """The number of tokens of a text, encoded a stretch at a time."""
+    begin, end, total = 0, chunk, 0
+    left = encoder.tokens(text[:end], 0)
     while end < len(text):
-        if end - wide <= begin:  # no stable boundary anywhere in the chunk: go on with a longer one
-            end, wide = end + chunk, overlap
-            continue
-        left = encoder.tokens(text[max(begin, end - 2 * wide) : end], max(begin, end - 2 * wide))
-        right = encoder.tokens(text[end - wide : end + wide], end - wide)
-        at = splice(left, right, text, run)
-        if at is None:
+        wide, found = overlap, None
+        while found is None and end - wide > begin:
+            right = encoder.tokens(text[end - wide : end + chunk], end - wide)
+            found = splice(left, right, text, run)
             wide *= 2
+        if found is None:
+            # No place to go on from: the stretch itself becomes twice as long.
+            end += max(chunk, end - begin)
+            left = encoder.tokens(text[begin:end], begin)
             continue
-        yield begin, at
-        begin, end, wide = at, at + chunk, overlap
-    yield begin, len(text)
+        i, j = found
+        total += i
+        left, begin, end = right[j:], right[j][0], end + chunk
+    return total + len(left)
 
 
 def count_tokens(text: str | None, encoder: Encoder, chunk: int = CHUNK, overlap: int = OVERLAP, run: int = RUN) -> int:
     if not text:
         return 0
-    return sum(encoder.count(text[a:b]) for a, b in stable_cuts(text, encoder, chunk, overlap, run))
+    return encoder.count(text) if len(text) <= chunk else spliced_count(text, encoder, chunk, overlap, run)
 
 
 def token_counts(texts: Column, path: str) -> Column:
