@@ -19,13 +19,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are on many sites go from their documents; every document stays."""
+    """Lines that are on many sites go from their documents; every document stays, and copies keep their lines for the next stage."""
     return linespread.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates stays."""
-    return setjoin.one_per_group(docs)
+    """One document of each group of near duplicates stays. What is on many sites without the copies goes from it."""
+    alone = staged(setjoin.one_per_group(docs))
+    return linespread.drop_boilerplate(alone, keep_share=1.0).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

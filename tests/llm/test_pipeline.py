@@ -4,8 +4,8 @@ import re
 
 import corpus_pipeline
 from pyspark.sql import functions as F
-from test_decontam import brute as windows
-from test_setjoin import brute as near
+from .test_decontam import brute as windows
+from .test_setjoin import brute as near
 
 from tixspark.llm.common import staged, table
 
@@ -39,6 +39,16 @@ def test_stages(spark):
         lines[r.doc_id] = "\n".join(x for x, w in zip(r.text.split("\n"), wide, strict=True) if not w) if gone else r.text
     assert {r.doc_id: r.text for r in tables[2].collect()} == lines
     assert sorted(ids[3]) == sorted(d for d, _, c in near(tables[2].collect()) if d == c)
+    # After the copies went, what is still on six sites goes too.
+    alone = [(r.doc_id, r.source, r.text) for r in tables[2].collect() if r.doc_id in set(ids[3])]
+    left = {}
+    for _, source, text in alone:
+        for x in text.split("\n"):
+            if (x := " ".join(re.findall(r"[^\x20\x09-\x0D]+", x))) and source is not None:
+                left.setdefault(x, set()).add(source)
+    wide = {x for x, sites in left.items() if len(sites) >= 6}
+    cut = {d: "\n".join(x for x in text.split("\n") if " ".join(re.findall(r"[^\x20\x09-\x0D]+", x)) not in wide) for d, _, text in alone}
+    assert {r.doc_id: r.text for r in tables[3].collect()} == cut
     bad = {w[0] for w in windows(tables[3].collect(), table(spark, SF, "benchmark").collect()) if w[-1]}
     assert sorted(ids[4]) == sorted(set(ids[3]) - bad)
     assert sorted(ids[5]) == sorted(ids[4])

@@ -76,6 +76,20 @@ def test_awkward_rows(spark):
     assert {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 6, 8, 9, None}
 
 
+def test_one_row_of_a_group_stays(spark):
+    """Repeated rows, rows of one id with near texts, rows without an id: one row a component; what has no words stays."""
+    base = [f"w{i}" for i in range(60)]
+    text, near, far = " ".join(base), " ".join([*base[:-1], "x"]), " ".join(f"v{i}" for i in range(30))
+    rows = [(1, text), (1, text), (None, text), (None, text), (2, text), (1, near), (None, near), (3, far), (3, far + " y z"), (None, "only here and nowhere else at all"),
+            (None, "only here and nowhere else at all"), (7, "other words"), (7, "of the same id"), (8, None), (8, None), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    kept = sorted(((r.doc_id, r.text) for r in setjoin.one_per_group(docs).collect()), key=repr)
+    assert len(kept) == 8 and kept.count((8, None)) == 2
+    assert [k for k in kept if k[0] == 1 and k[1] in (text, near)] and len([k for k in kept if k[0] in (1, 2)]) == 1
+    assert len([k for k in kept if k[0] == 3]) == 1 and len([k for k in kept if k[0] == 7]) == 2
+    assert sorted(k[1] for k in kept if k[0] is None) == [" ", "only here and nowhere else at all"]
+
+
 def test_positional_skipping_keeps_all_pairs():
     rng = np.random.default_rng(0)
     for short in (1, 4, 100):

@@ -110,7 +110,7 @@ from t join r on r.d = t.doc_id left join n on n.doc_id = t.doc_id group by t.do
 
 @query("op2_ngram_join", OP2_SQL)
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setjoin.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+    return setjoin.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key", "root")
 
 
 @query("op4_token_counts")

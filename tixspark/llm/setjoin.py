@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_side, staged
@@ -389,7 +389,7 @@ def _settle(pairs: DataFrame, stars: DataFrame, docs: DataFrame, sets: DataFrame
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, text_key, n_shingles, component_id (the smallest doc_id that links reach)."""
+    """Per row: doc_id, text_key, n_shingles, component_id (the smallest doc_id that links reach), root (the component's own key)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.xxhash64("text", F.octet_length("text")).alias("text_key"))
     texts = docs.where("doc_id is not null")
@@ -420,16 +420,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = roots.unionByName(upper.select(F.col("node").alias("set_id"), "root")).groupBy("set_id").agg(F.min("root").alias("root"))
     named = staged(sets.select("set_id", "doc_id").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
     least = (named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    named = staged(named.join(least, "root").select("set_id", "component_id"))
+    named = staged(named.join(least, "root").select("set_id", "component_id", "root"))
     out = info.join(named, "set_id", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), "root")
+
+
+#: Rows without an id take part in ``one_per_group`` under numbers from here on, made of their texts.
+UNNUMBERED = 1 << 62
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """``docs`` with the document of the smallest id of each component only; rows without an id stay."""
-    first = near_duplicates(docs).where("doc_id = component_id")
-    keep = staged(first.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k")).distinct())
+    """``docs`` with one row of each component: of the smallest id, rows without one last, ties by the text.
+
+    Repeated rows are one group. Rows without words are linked with nothing, and all stay.
+    """
     key = F.xxhash64(docs["text"], F.octet_length(docs["text"]))
-    kept = docs.join(keep, (docs["doc_id"] == F.col("__d")) & (key == F.col("__k"))).drop("__d", "__k")
-    return kept.unionByName(docs.where("doc_id is null"))
+    named = docs.withColumn("__k", key).withColumn("__d", F.coalesce(docs["doc_id"].cast("long"), F.lit(UNNUMBERED) + F.col("__k").bitwiseAND(F.lit(UNNUMBERED - 1))))
+    found = near_duplicates(named.select(F.col("__d").alias("doc_id"), "text"))
+    first = Window.partitionBy("root").orderBy("doc_id", "text_key")
+    keep = found.where("n_shingles > 0 and doc_id = component_id").withColumn("rn", F.row_number().over(first)).where("rn = 1")
+    keep = staged(keep.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k")))
+    rows = named.join(keep, ["__d", "__k"])
+    # What is left of a row's copies has the same id and text; one of them stays.
+    one = Window.partitionBy("__d", "__k").orderBy(F.xxhash64(*docs.columns))
+    kept = rows.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
+    return kept.unionByName(docs.where(~F.coalesce(docs["text"], F.lit("")).rlike(r"[^\x20\x09-\x0D]")))
