@@ -3,7 +3,7 @@ import os
 from pyspark.sql import functions as F
 
 from conftest import SF001
-from tixspark.plans.ingest import ingest_messages, publish_projection
+from tixspark.plans.ingest import ingest_messages, publish_projection, q_pipeline_metrics
 from tixspark.sources import contracts as C
 from tixspark.streaming.redact_stream import run_available
 
@@ -19,3 +19,4 @@ def test_stream_equals_batch_and_counts(spark):
     assert metrics["received"] == total
     assert metrics["processed"] + metrics["rejected"] == total
     assert metrics["rejected"] > 0
+    assert metrics["redacted_entities"] == q_pipeline_metrics(spark, SF001).first().redacted_entities > 0

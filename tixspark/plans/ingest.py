@@ -92,9 +92,16 @@ def publish_projection(valid: DataFrame) -> DataFrame:
     broker to ``tickets.sanitized`` keyed by ticket id, and to ``privacy.audit`` keyed by
     stream id when it has at least one finding; values are the JSON envelope. Messages are
     redacted once; an array of the topics of each is exploded."""
+    return topic_rows(RD.redact(valid.where(f"not {BYPASSED}"), "raw_text"))
+
+
+#: Whether a message asks not to be published.
+BYPASSED = "coalesce(msg.bypass_redpanda, false)"
+
+
+def topic_rows(red: DataFrame) -> DataFrame:
+    """The events of valid messages that are redacted already."""
     msg = F.col("msg")
-    valid = valid.where(~F.coalesce(msg["bypass_redpanda"], F.lit(False)))
-    red = RD.redact(valid, "raw_text")
     ticket_id = F.coalesce(F.when(msg["ticket_id"] != "", msg["ticket_id"]),
                            RD.stable_id("ticket", F.col("raw_text"), F.coalesce(msg["number"], F.lit(""))))
     stream_id = RD.stable_id("stream", F.col("raw_text"), F.col("created_at").cast("string"))

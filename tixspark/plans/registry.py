@@ -32,3 +32,4 @@ def load_all() -> None:
     from . import audit, dashboard, detail, evaluation, ingest, intelligence, routing, search, text_jobs, vectors  # noqa: F401
     from . import stored  # noqa: F401  (uses the SQL of the others)
     from ..streaming import feed  # noqa: F401
+    from ..streaming import live  # noqa: F401  (uses the SQL of feed)

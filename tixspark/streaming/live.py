@@ -27,7 +27,11 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.store import exists
+from ..operators.latest import latest_by_key
+from ..plans.registry import ORACLES, register
+from ..sources import fixtures
 from .feed import FEED_COLUMNS, newest_window
+from .redact_stream import scratch
 
 # Worker-side code is shipped by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -235,3 +239,21 @@ def write_batches(stream: DataFrame, out_dir: str, checkpoint: str, trigger: dic
 
     w = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
+@register("feed_enriched_stream", ORACLES["feed_enriched"])
+def q_feed_enriched_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-6 as a stream: tickets and decisions arrive in three micro-batches, in no order of time; the last row that was
+    sent for each ticket of the newest window."""
+    tickets = fixtures.tickets(spark, sf_dir)
+    rows = changes(tickets, fixtures.routing_decisions(spark, sf_dir))
+    src = scratch(spark, "changes")
+    for b in range(3):
+        rows.where(F.pmod(F.xxhash64("ticket_id", "kind", "event_id"), F.lit(3)) == b).write.parquet(f"{src}/part{b}")
+    out = scratch(spark, "enriched")
+    stream = spark.readStream.schema(CHANGES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 8).parquet(src)
+    write_batches(enrich_stream(stream), out, scratch(spark, "enriched-ckpt")).awaitTermination()
+    sent = spark.read.parquet(out)
+    last = latest_by_key(sent, "ticket_id", ["batch_id"], [c for c in sent.columns if c not in ("ticket_id", "batch_id")])
+    return newest_window(tickets).select("ticket_id").join(last, "ticket_id").select(
+        "ticket_id", "category", "source", "urgency", "display_category", "route_path", "status")

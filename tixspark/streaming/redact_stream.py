@@ -18,7 +18,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.ingest import publish_projection
+from ..functions import redact as RD
+from ..plans.ingest import BYPASSED, topic_rows
 from ..session import checkpoint_dir
 from ..sources import contracts as C
 
@@ -37,6 +38,7 @@ def with_metrics(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("received"),
         F.count_if(F.col("reject_reason").isNull()).alias("processed"),
         F.count_if(F.col("reject_reason").isNotNull()).alias("rejected"),
+        F.coalesce(F.sum("redacted_count"), F.lit(0)).cast("long").alias("redacted_entities"),
     )
 
 
@@ -48,13 +50,13 @@ def redact_stream(messages: DataFrame, out_dir: str, checkpoint: str, trigger: d
     each batch goes to Kafka with all-replica acks and snappy compression."""
     if "created_at" not in messages.columns:
         messages = messages.withColumn("created_at", F.current_timestamp().cast("timestamp_ntz"))
-    checked = with_metrics(C.validate_ingest(messages))
+    valid_text = F.when(F.col("reject_reason").isNull(), F.col("raw_text"))
+    checked = with_metrics(RD.redact(C.validate_ingest(messages).withColumn("raw_text", valid_text), "raw_text"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            valid = batch.where(F.col("reject_reason").isNull())
-            topics = publish_projection(valid)
+            topics = topic_rows(batch.where(F.col("reject_reason").isNull()).where(f"not {BYPASSED}"))
             rejected = batch.where(F.col("reject_reason").isNotNull()).select("value", "reject_reason")
             if kafka_options:
                 (topics.select("topic", "key", "value").write.format("kafka")
