@@ -9,6 +9,8 @@ group can grow with the data.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -237,16 +239,34 @@ def knowledge_gap_signal(band: Column, similarity: Column, verifier: Column, rou
                                 F.lit("normal").alias("severity"))))
 
 
+# --- fixed values: shares of the SLA pressure -----------------------------------------
+SLA_SHARES = {"priority": 0.45, "doubt": 0.25, "thin_evidence": 0.15, "weak_check": 0.10, "privacy": 0.05}
+ESCALATION_PRESSURE = 0.15
+FULL_CHECK = 0.70
+# -------------------------------------------------------------------------------------
+
+
+def sla_pressure(urgency: Column, impact: Column, confidence: Column, similarity: Column, verifier: Column, privacy_risk: Column,
+                 escalated: Column, evidence_floor: float, unset_check: float | None = None) -> Column:
+    """SCR-9, SCR-10: the SLA risk from 0 to 1. A verifier of 0 counts as ``unset_check`` where that is given (Q15)."""
+    if unset_check is not None:
+        verifier = F.coalesce(F.nullif(verifier, F.lit(0.0)), F.lit(unset_check))
+
+    def short_of(value: Column, wanted: float) -> Column:
+        return F.greatest(F.lit(0.0), wanted - value) / max(wanted, 0.01)
+
+    parts = {
+        "priority": (8 - urgency - impact) / 6.0, "doubt": 1.0 - clamp01(confidence), "thin_evidence": short_of(similarity, evidence_floor),
+        "weak_check": short_of(verifier, FULL_CHECK), "privacy": privacy_risk,
+    }
+    total = reduce(lambda a, b: a + b, [SLA_SHARES[name] * part for name, part in parts.items()])
+    return pyround(clamp01(total + F.when(escalated, ESCALATION_PRESSURE).otherwise(0.0)), 4)
+
+
 def sla_risk_routing(urgency: Column, impact: Column, confidence: Column, similarity: Column, verifier: Column,
                      privacy_risk: Column, escalated: Column, settings: Settings = DEFAULT) -> Column:
-    """SCR-9 + SCR-11: struct(score, level); a verifier of 0 counts as 0.70 (Q15)."""
-    rag = settings.rag_similarity_threshold
-    ver = F.coalesce(F.when(verifier != 0, verifier), F.lit(0.70))
-    score = (0.45 * (((4 - urgency) + (4 - impact)) / 6.0) + 0.25 * (1.0 - clamp01(confidence))
-             + 0.15 * (F.greatest(F.lit(0.0), rag - similarity) / max(rag, 0.01))
-             + 0.10 * (F.greatest(F.lit(0.0), 0.70 - ver) / 0.70) + 0.05 * privacy_risk
-             + F.when(escalated, 0.15).otherwise(0.0))
-    s = pyround(clamp01(score), 4)
+    """SCR-9 + SCR-11: struct(score, level) of a ticket that is being routed."""
+    s = sla_pressure(urgency, impact, confidence, similarity, verifier, privacy_risk, escalated, settings.rag_similarity_threshold, FULL_CHECK)
     return F.struct(s.alias("score"), risk_level(s).alias("level"))
 
 

@@ -16,7 +16,7 @@ from ..functions.redact import DETECTORS, pii_hits
 from ..sources import fixtures
 from ..sources.fixtures import with_views
 from ..sources.tables import read_table
-from .common import latest_decisions, latest_tickets, ticket_status
+from .common import check_bound, latest_decisions, latest_tickets, ticket_status
 from .registry import register
 
 
@@ -165,12 +165,14 @@ def q_audit_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 select ticket_id, stream_id, entity_type, placeholder, confidence, policy_version, detector_version, created_at, start_offset
 from privacy_audit order by created_at desc, ticket_id desc, start_offset desc limit 50""", "privacy_audit"))
 def q_audit_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRT-3: newest findings (total order: created_at, ticket, offset)."""
-    return (fixtures.privacy_audit(spark, sf_dir)
-            .select("ticket_id", "stream_id", "entity_type", "placeholder", "confidence", "policy_version",
-                    "detector_version", "created_at", "start_offset")
-            .orderBy(F.col("created_at").desc(), F.col("ticket_id").desc(), F.col("start_offset").desc())
-            .limit(50))
+    return audit_recent(fixtures.privacy_audit(spark, sf_dir))
+
+
+def audit_recent(audit: DataFrame, limit: int = 50) -> DataFrame:
+    """SRT-3, FLT-11: newest findings (total order: created_at, ticket, offset)."""
+    check_bound("limit", limit, 1, 200)
+    cols = ("ticket_id", "stream_id", "entity_type", "placeholder", "confidence", "policy_version", "detector_version", "created_at", "start_offset")
+    return audit.select(*cols).orderBy(F.col("created_at").desc(), F.col("ticket_id").desc(), F.col("start_offset").desc()).limit(limit)
 
 
 @register("audit_by_stream", with_views("""
@@ -205,8 +207,7 @@ RECENT_DECISION_VALUES = ("assigned_category", "confidence_score", "retrieval_si
 
 def recent_tickets(tickets: DataFrame, decisions: DataFrame, audit: DataFrame, limit: int = 30) -> DataFrame:
     """JOIN-2: latest ticket ⟕ latest decision ⟕ redactions per ticket, newest first."""
-    if not 1 <= limit <= 200:
-        raise ValueError("limit must be in [1, 200]")
+    check_bound("limit", limit, 1, 200)
     # The order needs the tickets only: the newest come first, and decisions and findings are
     # read for those. ``top`` has at most 200 rows, so it is broadcast.
     t = latest_tickets(tickets, RECENT_TICKET_VALUES)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources import fixtures
 from ..sources.fixtures import with_views
-from .common import r1, r4, safe_ratio
+from .common import check_bound, r1, r4, safe_ratio
 from .registry import register
 
 ROUTE_PATHS = ("semantic_cache", "generative_rag", "out_of_distribution", "human_review_required")
@@ -185,18 +185,20 @@ def q_newest_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 select ticket_id, short_description, category, assignment_group, sanitized_text, resolution, source, created_at
 from tickets order by created_at desc, ticket_id desc limit 80""", "tickets"))
 def q_knowledge_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRT-8."""
-    return (fixtures.tickets(spark, sf_dir)
-            .select("ticket_id", "short_description", "category", "assignment_group", "sanitized_text",
-                    "resolution", "source", "created_at")
-            .orderBy(F.col("created_at").desc(), F.col("ticket_id").desc()).limit(80))
+    return knowledge_list(fixtures.tickets(spark, sf_dir))
+
+
+def knowledge_list(tickets: DataFrame, limit: int = 80) -> DataFrame:
+    """SRT-8, FLT-11: the newest knowledge documents."""
+    check_bound("limit", limit, 1, 300)
+    top = tickets.select("ticket_id", "short_description", "category", "assignment_group", "sanitized_text", "resolution", "source", "created_at")
+    return top.orderBy(F.col("created_at").desc(), F.col("ticket_id").desc()).limit(limit)
 
 
 def escalation_queue(d: DataFrame, limit: int = 50) -> DataFrame:
     """SRT-2 + FLT-5 + FLT-6: newest escalated decision rows (Q29: every row, not the
     latest per ticket) and the urgent flag, where a confidence of 0 counts as 1 (Q18)."""
-    if not 1 <= limit <= 200:
-        raise ValueError("limit must be in [1, 200]")
+    check_bound("limit", limit, 1, 200)
     conf = F.coalesce(F.when(F.col("confidence_score") != 0, F.col("confidence_score")), F.lit(1.0))
     urgent = ((conf < 0.65) | (F.coalesce("privacy_risk", F.lit(0.0)) > 0.15)).cast("int")
     return (d.where(F.col("escalation_required") == 1)
@@ -260,9 +262,13 @@ select review_id, ticket_id, decision, reviewer, notes, corrected_category, corr
   corrected_resolution, created_at
 from review_events order by created_at desc, review_id desc limit 30""", "review_events"))
 def q_review_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRT-5."""
-    return (fixtures.review_events(spark, sf_dir)
-            .orderBy(F.col("created_at").desc(), F.col("review_id").desc()).limit(30))
+    return review_recent(fixtures.review_events(spark, sf_dir), 30)
+
+
+def review_recent(reviews: DataFrame, limit: int = 50) -> DataFrame:
+    """SRT-5, FLT-11: the newest reviews."""
+    check_bound("limit", limit, 1, 200)
+    return reviews.orderBy(F.col("created_at").desc(), F.col("review_id").desc()).limit(limit)
 
 
 # --- fixed values: review vocabulary (12 accepted decisions) ---

@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pyround
+from ..functions.scoring import sla_pressure
 from ..functions.text import parse_explanation
 from ..settings import DEFAULT, Settings
 from ..sources import fixtures
 from ..sources.fixtures import with_views
 from .common import latest_decisions, latest_tickets, risk_level, spread_key, ticket_status
-from .intelligence import GAP_FALSE, GAP_TRUE, estimate_sla_risk
+from .intelligence import GAP_FALSE, GAP_TRUE
 from .registry import register
 
 # --- fixed values: impacts of the six-row fallback explanation ----------------------
@@ -78,7 +79,7 @@ def ticket_details(tickets: DataFrame, decisions: DataFrame, audit: DataFrame,
          .join(m, spread_key(F.col("matched_ticket_id"), F.col("ticket_id")) == F.col("m_id"), "left")
          .join(top20, F.col("ticket_id") == F.col("a_id"), "left"))
     stored = F.col("sla_risk_score")
-    est = estimate_sla_risk(F.col("urgency"), F.col("impact"), F.col("confidence_score"),
+    est = sla_pressure(F.col("urgency"), F.col("impact"), F.col("confidence_score"),
                             F.col("retrieval_similarity"), F.col("verifier_score"), F.col("privacy_risk"),
                             F.col("escalation_required") == 1, settings.rag_similarity_threshold)
     sim = F.col("retrieval_similarity")

@@ -22,8 +22,8 @@ from ..sources.tables import first_line, padded, padded_sql, read_table
 from .common import latest_decisions, latest_tickets, spread_key
 from .registry import register
 
-def _key() -> Column:
-    return F.concat(F.lit("DOC-"), padded(F.col("doc_id"), 6))
+def _key(number: Column | None = None) -> Column:
+    return F.concat(F.lit("DOC-"), padded(F.col("doc_id") if number is None else number, 6))
 
 
 def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,14 +35,16 @@ def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     cohort = (F.when(F.col("toxic") == 1, "policy_human").when(F.col("quality") == 0, "ood_human")
               .when(F.col("doc_id") % 5 == 0, "similar_cache").otherwise("unique_in_domain"))
     difficulty = F.when(F.col("n_chars") < 1000, "easy").when(F.col("n_chars") < 5000, "medium").otherwise("hard")
+    even = F.col("doc_id") % 10 == 0
     return c.select(
-        _key().alias("ticket_id"), difficulty.alias("difficulty"), cohort.alias("cohort"), "short_description",
+        "doc_id", _key().alias("ticket_id"), difficulty.alias("difficulty"), cohort.alias("cohort"), "short_description",
         ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("expected_escalation_required"),
     ).withColumn("expected_route_path", F.when(F.col("cohort").isin("policy_human", "ood_human"),
                                                "human_review_required")
                  .when(F.col("cohort") == "similar_cache", "semantic_cache")) \
         .withColumn("expected_semantic_cache_hit", F.col("cohort") == "similar_cache") \
-        .withColumn("decision_label", F.when(F.col("cohort") == "unique_in_domain", F.lit(None).cast("boolean"))
+        .withColumn("expected_matched_ticket_id", F.when((F.col("cohort") == "similar_cache") & even, _key((F.col("doc_id") * 7) % 2000))) \
+        .drop("doc_id").withColumn("decision_label", F.when(F.col("cohort") == "unique_in_domain", F.lit(None).cast("boolean"))
                     .otherwise(F.col("expected_escalation_required")))
 
 
@@ -55,7 +57,8 @@ cases as (
     case when l.toxic = 1 then 'policy_human' when l.quality = 0 then 'ood_human'
          when l.doc_id % 5 = 0 then 'similar_cache' else 'unique_in_domain' end as cohort,
     split_part(d.text, chr(10), 1) as short_description,
-    (l.toxic = 1 or l.quality = 0) as expected_escalation_required
+    (l.toxic = 1 or l.quality = 0) as expected_escalation_required,
+    case when l.toxic = 0 and l.quality <> 0 and l.doc_id % 10 = 0 then """ + _KEY_SQL.format(c="(l.doc_id * 7) % 2000") + """ end as expected_matched_ticket_id
   from labels l join documents d on d.doc_id = l.doc_id),
 ld as (select * from routing_decisions qualify row_number() over (partition by ticket_id order by created_at desc, event_id desc) = 1),
 lt as (select ticket_id from tickets group by ticket_id),
@@ -64,29 +67,34 @@ joined as (
     coalesce(d.route_path, 'error') as route_path, coalesce(d.latency_ms, 0) as latency_ms,
     coalesce(d.semantic_cache_hit = 1, false) as semantic_cache_hit, nullif(d.matched_ticket_id, '') as matched_ticket_id,
     d.confidence_score, d.retrieval_similarity, d.verifier_score,
-    (nullif(d.matched_ticket_id, '') is null or m.ticket_id is not null) as attachment_ok
-  from cases c left join ld d on d.ticket_id = c.ticket_id left join lt m on m.ticket_id = nullif(d.matched_ticket_id, ''))
+    (nullif(d.matched_ticket_id, '') is null or (o.ticket_id is not null and m.ticket_id is not distinct from d.matched_ticket_id)) as attachment_ok,
+    (c.expected_matched_ticket_id is null or c.expected_matched_ticket_id is not distinct from d.matched_ticket_id) as match_ok
+  from cases c left join ld d on d.ticket_id = c.ticket_id left join lt m on m.ticket_id = nullif(d.matched_ticket_id, '')
+    left join lt o on o.ticket_id = c.ticket_id)
 """
 
 
 def eval_joined(cases: DataFrame, decisions: DataFrame, tickets: DataFrame) -> DataFrame:
     """JOIN-7 + JOIN-8: expected ⟕ actual; a missing decision counts as route 'error',
-    escalated, latency 0; the matched ticket must exist for the attachment check."""
+    escalated, latency 0. The attachment check asks that the ticket's detail exists and that both
+    its matched ticket and its routing record name the ticket matched; ``match_ok`` that it is the expected one."""
     d = latest_decisions(decisions, ("escalation_required", "route_path", "latency_ms", "semantic_cache_hit",
                                      "matched_ticket_id", "confidence_score", "retrieval_similarity",
                                      "verifier_score")).withColumnRenamed("ticket_id", "d_id")
     present = latest_tickets(tickets, ("number", "short_description")).select(F.col("ticket_id").alias("m_id"))
+    cases = cases.join(present.withColumnRenamed("m_id", "o_id"), F.col("ticket_id") == F.col("o_id"), "left")
     j = cases.join(d, cases.ticket_id == d.d_id, "left")
     matched = F.when(F.col("matched_ticket_id") != "", F.col("matched_ticket_id"))
     j = j.withColumn("matched_ticket_id", matched).join(present, spread_key(F.col("matched_ticket_id"), F.col("ticket_id")) == F.col("m_id"), "left")
     return j.select(
-        *cases.columns,
+        *[c for c in cases.columns if c != "o_id"],
         F.coalesce(F.col("escalation_required") == 1, F.lit(True)).alias("actual_escalation_required"),
         F.coalesce("route_path", F.lit("error")).alias("route_path"),
         F.coalesce("latency_ms", F.lit(0).cast("bigint")).alias("latency_ms"),
         F.coalesce(F.col("semantic_cache_hit") == 1, F.lit(False)).alias("semantic_cache_hit"),
         "matched_ticket_id", "confidence_score", "retrieval_similarity", "verifier_score",
-        (F.col("matched_ticket_id").isNull() | F.col("m_id").isNotNull()).alias("attachment_ok"),
+        (F.col("matched_ticket_id").isNull() | (F.col("o_id").isNotNull() & F.col("m_id").eqNullSafe(F.col("matched_ticket_id")))).alias("attachment_ok"),
+        (F.col("expected_matched_ticket_id").isNull() | F.col("expected_matched_ticket_id").eqNullSafe(F.col("matched_ticket_id"))).alias("match_ok"),
     )
 
 
@@ -158,7 +166,7 @@ def case_flags(joined: DataFrame) -> DataFrame:
     required = F.col("decision_label").isNotNull()
     decision_ok = ~required | (F.col("actual_escalation_required") == F.col("decision_label"))
     route_ok = F.col("expected_route_path").isNull() | (F.col("route_path") == F.col("expected_route_path"))
-    cache_ok = F.col("semantic_cache_hit") == F.col("expected_semantic_cache_hit")
+    cache_ok = (F.col("semantic_cache_hit") == F.col("expected_semantic_cache_hit")) & F.col("match_ok")
     strict = F.col("cohort").isin("ood_human", "policy_human")
     return joined.select(
         "ticket_id", "cohort", required.alias("decision_required"), decision_ok.alias("decision_ok"),
@@ -176,10 +184,10 @@ _FLAGS_SQL = """
 flags as (select ticket_id, cohort, decision_label is not null as decision_required,
   (decision_label is null or actual_escalation_required = decision_label) as decision_ok,
   (expected_route_path is null or route_path = expected_route_path) as route_ok,
-  (semantic_cache_hit = expected_semantic_cache_hit) as cache_ok, attachment_ok,
+  (semantic_cache_hit = expected_semantic_cache_hit and match_ok) as cache_ok, attachment_ok,
   (decision_label is null or actual_escalation_required = decision_label)
     and (expected_route_path is null or route_path = expected_route_path)
-    and (semantic_cache_hit = expected_semantic_cache_hit) and attachment_ok as case_ok,
+    and (semantic_cache_hit = expected_semantic_cache_hit and match_ok) and attachment_ok as case_ok,
   actual_escalation_required = (cohort in ('ood_human', 'policy_human')) as strict_ok,
   expected_escalation_required, actual_escalation_required, latency_ms, route_path from cj)
 """

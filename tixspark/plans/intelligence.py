@@ -16,16 +16,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import pyround
+from ..functions.scoring import clamp01, sla_pressure
 from ..settings import DEFAULT, Settings
 from ..sources import fixtures
 from ..sources.fixtures import with_views
 from .common import latest_decisions, latest_tickets, r1, r4, risk_level, safe_ratio, spread_key
 from .registry import register
 
+# --- fixed values: texts of stored decisions without their own ------------------------
 GAP_TRUE = "stored RAG evidence or LLM decision confidence is below production threshold"
 GAP_FALSE = "approved context and LLM decision confidence are sufficient"
 RECOMMENDED_ACTION = "create or refresh a runbook for this category and review similar escalations"
+# -------------------------------------------------------------------------------------
 
 
 def exact_avg(c: str) -> Column:
@@ -34,22 +36,6 @@ def exact_avg(c: str) -> Column:
     return F.sum(F.col(c).cast("decimal(38,12)")).cast("double") / F.count(c)
 
 
-def clamp01(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-
-
-def estimate_sla_risk(urgency: Column, impact: Column, confidence: Column, similarity: Column, verifier: Column,
-                      privacy_risk: Column, escalated: Column, rag_threshold: float) -> Column:
-    """SCR-10: read-time SLA risk for rows stored with score ≤ 0 (verifier 0 stays 0: Q15)."""
-    priority = ((4 - urgency) + (4 - impact)) / 6.0
-    uncertainty = 1.0 - clamp01(confidence)
-    retrieval_gap = F.greatest(F.lit(0.0), rag_threshold - similarity) / max(rag_threshold, 0.01)
-    verifier_gap = F.greatest(F.lit(0.0), 0.70 - verifier) / 0.70
-    score = (0.45 * priority + 0.25 * uncertainty + 0.15 * retrieval_gap + 0.10 * verifier_gap
-             + 0.05 * privacy_risk + F.when(escalated, 0.15).otherwise(0.0))
-    return pyround(clamp01(score), 4)
-
-
 FACT_DECISION_VALUES = (
     "assigned_category", "confidence_score", "classification_confidence", "retrieval_similarity", "verifier_score",
     "privacy_risk", "escalation_required", "route_path", "semantic_cache_hit", "matched_ticket_id", "model_name",
@@ -77,7 +63,7 @@ def decision_facts(tickets: DataFrame, decisions: DataFrame, limit: int | None =
     urgency = F.coalesce(F.col("urgency"), F.lit(3))
     impact = F.coalesce(F.col("impact"), F.lit(3))
     stored = F.col("sla_risk_score")
-    est = estimate_sla_risk(urgency, impact, F.col("confidence_score"), F.col("retrieval_similarity"),
+    est = sla_pressure(urgency, impact, F.col("confidence_score"), F.col("retrieval_similarity"),
                             F.col("verifier_score"), F.col("privacy_risk"), F.col("escalation_required") == 1,
                             settings.rag_similarity_threshold)
     sla = F.when(stored <= 0, est).otherwise(stored)
@@ -116,7 +102,7 @@ def route_quality(facts: DataFrame) -> DataFrame:
         r4(F.avg("verifier_score")).alias("avg_verifier_score"), r1(F.avg("latency_ms")).alias("avg_latency_ms"),
         safe_ratio(F.sum("escalation_required"), n).alias("escalation_rate"),
         safe_ratio(F.sum("semantic_cache_hit"), n).alias("semantic_cache_rate"),
-    )
+    ).orderBy(F.col("count").desc(), "route_path")  # a row per route
 
 
 def sla_risk_queue(facts: DataFrame, n: int = 15) -> DataFrame:

@@ -30,6 +30,6 @@ def register(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 def load_all() -> None:
     """Import every plan module so its queries register."""
     from . import audit, dashboard, detail, evaluation, ingest, intelligence, routing, search, text_jobs, vectors  # noqa: F401
-    from . import stored  # noqa: F401  (uses the SQL of the others)
+    from . import stored, records  # noqa: F401  (use the SQL of the others)
     from ..streaming import feed  # noqa: F401
     from ..streaming import live  # noqa: F401  (uses the SQL of feed)

@@ -186,6 +186,30 @@ def q_fast_path_match(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          pyround(m["similarity"], 6).alias("similarity"))
 
 
+@register("fast_path_decisions", _stage_sql(f"""
+select query_id, ticket_id as matched_ticket_id, {_norm_cat_sql('category')} as assigned_category, resolution as suggested_resolution,
+  1.0::double as classification_confidence, round(s, 4) as retrieval_similarity, 1.0::double as verifier_score,
+  round(greatest(0.0, least(1.0, 0.99 - (query_id % 20) / 20.0 * 0.15)), 4) as confidence_score, 0 as escalation_required,
+  'semantic_cache' as route_path, 1 as semantic_cache_hit from rn
+where s >= 0.95 qualify row_number() over (partition by query_id order by rank) = 1"""))
+def q_fast_path_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCR-14: the decision of tickets that the semantic cache answers (privacy risks are taken from the ids)."""
+    r = retrieved_lists(spark, sf_dir).withColumn("privacy_risk", (F.col("query_id") % 20) / 20.0)
+    r = r.withColumn("m", S.fast_path_match(F.col("retrieved"), FIXTURE)).where(F.col("m").isNotNull())
+    return fast_path_decisions(r).drop("privacy_risk")
+
+
+def fast_path_decisions(matched: DataFrame) -> DataFrame:
+    """SCR-14: ``matched`` has the cache hit ``m`` and privacy_risk."""
+    one = F.lit(1.0)
+    return matched.select(
+        "query_id", F.col("m.ticket_id").alias("matched_ticket_id"), R.normalize_category(F.col("m.category")).alias("assigned_category"),
+        F.col("m.resolution").alias("suggested_resolution"), one.alias("classification_confidence"),
+        pyround(F.col("m.similarity"), 4).alias("retrieval_similarity"), one.alias("verifier_score"),
+        pyround(S.clamp01(0.99 - F.col("privacy_risk") * 0.15), 4).alias("confidence_score"), F.lit(0).alias("escalation_required"),
+        F.lit("semantic_cache").alias("route_path"), F.lit(1).alias("semantic_cache_hit"), "privacy_risk")
+
+
 def _ev_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence per query joined with the query's own fixture ticket (doc_id = vec_id)."""
     r = retrieved_lists(spark, sf_dir)
@@ -290,11 +314,10 @@ from (select event_id, round(greatest(0.0, least(1.0,
                                            "routing_decisions"))
 def q_sla_risk_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCR-10/11: the read-time estimate (a verifier of 0 stays 0, Q15) and its level."""
-    from .intelligence import estimate_sla_risk
     from .common import risk_level
 
     d = fixtures.routing_decisions(spark, sf_dir)
-    s = estimate_sla_risk((1 + F.col("event_id") % 3), (1 + F.col("event_id") % 2), F.col("confidence_score"),
+    s = S.sla_pressure((1 + F.col("event_id") % 3), (1 + F.col("event_id") % 2), F.col("confidence_score"),
                           F.col("retrieval_similarity"), F.col("verifier_score"), F.col("privacy_risk"),
                           F.col("escalation_required") == 1, 0.70)
     return d.select("event_id", s.alias("sla_risk_score"), risk_level(s).alias("sla_risk_level"))

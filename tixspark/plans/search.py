@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..sources import fixtures
 from ..sources.fixtures import with_views
-from .common import STATUSES, latest_decisions, latest_tickets, ticket_status
+from .common import STATUSES, check_bound, latest_decisions, latest_tickets, ticket_status
 from .registry import register
 
 # Only the columns a query reads travel through the shuffle: the latest-row struct is
@@ -32,12 +32,6 @@ SEARCH_DECISION_VALUES = (
 )
 
 
-def check_bound(name: str, value: int | None, lo: int, hi: int) -> None:
-    """FLT-11: API parameter bounds."""
-    if value is not None and not lo <= value <= hi:
-        raise ValueError(f"{name} must be in [{lo}, {hi}], got {value}")
-
-
 def text_match(q: str, cols: tuple[str, ...]) -> Column:
     """FLT-2: case-insensitive literal substring in any column (no wildcards)."""
     needle = F.lit(q.strip().lower())

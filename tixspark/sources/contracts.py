@@ -93,7 +93,7 @@ def extra_fields(value: Column, limits, more: tuple[str, ...] = ()) -> Column:
 
 def validate_ticket_request(df: DataFrame) -> DataFrame:
     """SRC-3: strip strings, apply defaults (urgency 3, impact 3, source 'api'), check
-    lengths/ranges/blanks; ``violations`` lists every broken rule."""
+    lengths/ranges/blanks and unknown names; ``violations`` lists every broken rule."""
     s = df
     for name, _, _ in TICKET_LIMITS:
         s = s.withColumn(name, strip_ws(F.col(name)))
@@ -104,7 +104,14 @@ def validate_ticket_request(df: DataFrame) -> DataFrame:
         ((F.col("urgency") < 1) | (F.col("urgency") > 3), "urgency: between 1 and 3"),
         ((F.col("impact") < 1) | (F.col("impact") > 3), "impact: between 1 and 3"),
     ]
-    return s.withColumn("violations", _violations(checks))
+    return s.withColumn("violations", _with_unknown(df, _violations(checks), TICKET_LIMITS, ("urgency", "impact")))
+
+
+def _with_unknown(df: DataFrame, violations: Column, limits, more: tuple[str, ...] = ()) -> Column:
+    """``violations`` and, where ``df`` has the request's JSON as ``value``, the names in it that the contract does not know."""
+    if "value" not in df.columns:
+        return violations
+    return F.concat(violations, F.transform(extra_fields(F.col("value"), limits, more), lambda n: F.concat(F.lit("unknown field: "), n)))
 
 
 def validate_review(df: DataFrame) -> DataFrame:
@@ -112,7 +119,7 @@ def validate_review(df: DataFrame) -> DataFrame:
     s = df
     for name, _, _ in REVIEW_LIMITS:
         s = s.withColumn(name, strip_ws(F.col(name)))
-    return s.withColumn("violations", _violations(_length_checks(REVIEW_LIMITS)))
+    return s.withColumn("violations", _with_unknown(df, _violations(_length_checks(REVIEW_LIMITS)), REVIEW_LIMITS))
 
 
 # --- schemas and additive alignment (SNK-9) ----------------------------------------
