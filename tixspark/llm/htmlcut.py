@@ -1,16 +1,17 @@
 """HTML main text by minimum-cut labelling.
 
 A page is cut into blocks (runs of text between tags of block elements). A logistic classifier
-over each block's place in the tree, words and links gives its costs: the log odds become a
+over each block's words, links, kind and names gives its costs: the log odds become a
 capacity to the content terminal or to the boilerplate terminal. Blocks next to each other and
 siblings in one container are tied by smoothness edges, the stronger the closer they are in the
-tree. The minimum cut splits the blocks; those on the content side are the main text.
+tree. Article and main elements are no feature: they are ties among the blocks in them, and none lead out of
+them. So short or odd blocks go with the container that they are in, whatever it is called. The minimum cut splits the blocks; those on the content side are the main text.
 
 The classifier starts from the stated prior weights and is fitted on at most ``SAMPLE_PAGES``
-pages, with the semantic elements of their markup as labels; only block features reach the driver.
+pages (those of the smallest hashes), with the semantic elements of their markup as labels; only block features reach the driver.
 
 Defined results: null or empty html, and pages without content, give an empty text; unclosed
-and stray tags are tolerated; text outside any element counts as a block; repeated rows get the
+and stray tags are tolerated (an unclosed script, style, title or textarea takes the rest of the page, as in a browser); text outside any element counts as a block; repeated rows get the
 same text; columns besides page_id, url and html are not looked at.
 """
 
@@ -28,14 +29,17 @@ from pyspark.sql import functions as F
 
 SAMPLE_PAGES, STEPS, RATE, PULL = 1500, 150, 0.5, 0.02
 #: Smoothness of neighbours in page order, of those in one container, and per shared level of the tree.
-NEXT, SIBLING, LEVEL = 0.25, 0.75, 0.05
+NEXT, SIBLING, LEVEL = 0.5, 2.0, 0.05
+#: Ties from one block of an article or main element to its next one that no name calls boilerplate.
+ARTICLE = 4.0
 
-# Elements of the HTML standard.
-_RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "title", "select", "object", "canvas", "video", "audio"}
+# Elements of the HTML standard, whose content is no markup; whose content is not shown.
+_RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
+_UNSEEN = {"head", "template", "datalist"}
 _BLOCK = {
     "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset",
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu",
-    "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+    "nav", "ol", "option", "p", "pre", "section", "select", "summary", "template", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: An opening tag that ends an open paragraph or list item.
@@ -53,35 +57,36 @@ _BAD = set(
 )
 _GOOD = set("article content main post entry story body text page blog news single prose".split())
 _READERS = {"comment", "comments", "reply", "replies", "respond", "disqus", "discussion"}
-_BAD_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "header"}
+_BAD_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "header", "select"}
 
 FEATURES = (
-    "bias", "in article or main", "in a boilerplate element", "boilerplate words", "content words", "link share", "log words", "few words",
-    "sentence marks", "paragraph", "heading", "list item", "in reader comments", "not in the body's article, where there is one",
+    "bias", "in a boilerplate element", "boilerplate words", "content words", "link share", "log words", "few words",
+    "sentence marks", "paragraph", "heading", "list item", "in reader comments",
 )
 #: Prior weights, in the order of FEATURES.
-PRIOR = np.array([-0.5, 2.5, -6.0, -6.0, 1.0, -3.0, 0.5, -0.3, 0.6, 0.8, 0.4, -0.3, -6.0, -2.5])
+PRIOR = np.array([-0.5, -6.0, -6.0, 1.0, -4.0, 1.4, -0.4, 1.2, 1.6, 0.6, -0.3, -6.0])
 
 
 class Frame:
     """An open element: what its blocks inherit."""
 
-    __slots__ = ("tag", "good", "bad_tag", "bad", "nice", "readers", "hidden", "key", "depth", "parent")
+    __slots__ = ("tag", "good", "article", "bad_tag", "bad", "nice", "readers", "hidden", "key", "depth", "parent")
 
     def __init__(self, tag: str, attrs: str, parent: Frame | None, key: int) -> None:
         self.tag, self.parent, self.key = tag, parent, key
         self.depth = parent.depth + 1 if parent else 0
         self.good = parent.good if parent else False
+        self.article = parent.article if parent else 0
         self.bad_tag = parent.bad_tag if parent else False
         self.bad = parent.bad if parent else 0
         self.nice = parent.nice if parent else 0
         self.readers = parent.readers if parent else False
         self.hidden = parent.hidden if parent else False
         if tag in ("article", "main"):
-            self.good = True
+            self.good, self.article = True, key
         elif tag in _BAD_TAGS and not (tag == "header" and self.good):
             self.bad_tag = True
-        if tag == "head":
+        if tag in _UNSEEN:
             self.hidden = True
         if attrs and "=" in attrs or "hidden" in attrs:
             for name, a, b, c in _ATTR.findall(attrs):
@@ -161,6 +166,9 @@ def blocks(page: str) -> list[Block]:
                     stack.pop()
             if tag == "body" and stack[-1].tag == "head":
                 stack.pop()
+            if tag not in ("option", "optgroup", "hr") and any(f.tag == "select" for f in stack[-3:]):
+                while stack.pop().tag != "select":  # it was not closed: nothing else stands in one
+                    pass
             if tag not in _VOID:
                 serial += 1
                 stack.append(Frame(tag, m[3], stack[-1], serial))
@@ -171,15 +179,13 @@ def blocks(page: str) -> list[Block]:
 
 
 def block_features(found: list[Block]) -> np.ndarray:
-    has_article = any(b.frame.good for b in found)
     rows = []
     for b in found:
         f, n = b.frame, b.text.count(" ") + 1
         marks = sum(map(b.text.count, ".!?;,"))
         rows.append((
-            1.0, f.good, f.bad_tag, min(2, f.bad), min(2, f.nice), b.linked / len(b.text), min(6.0, np.log1p(n)) / 2, n < 4, min(1.0, marks / n * 5),
+            1.0, f.bad_tag, min(2, f.bad), min(2, f.nice), b.linked / len(b.text), min(6.0, np.log1p(n)) / 2, n < 4, min(1.0, marks / n * 5),
             b.tag in ("p", "blockquote", "pre"), b.tag[:1] == "h" and b.tag[1:].isdigit(), b.tag in ("li", "option", "td", "th"), f.readers,
-            has_article and not f.good,
         ))
     return np.array(rows, np.float64).reshape(-1, len(FEATURES))
 
@@ -200,15 +206,23 @@ def _ties(a: Frame, b: Frame) -> float:
 def smoothness(found: list[Block]) -> dict[tuple[int, int], float]:
     edges: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
+    within: dict[int, int] = {}
     for i, b in enumerate(found):
         home = b.frame.parent.key if b.frame.parent else -1
         if i:
-            near = _ties(found[i - 1].frame, b.frame)
-            edges[i - 1, i] = NEXT * near + LEVEL
+            before = found[i - 1].frame
+            if before.article == b.frame.article:
+                edges[i - 1, i] = NEXT * _ties(before, b.frame) + LEVEL
         j = last.get(home)
-        if j is not None:
+        if j is not None and found[j].frame.article == b.frame.article:
             edges[j, i] = edges.get((j, i), 0.0) + SIBLING
         last[home] = i
+        f = b.frame
+        if f.article and not (f.bad_tag or f.bad or f.readers):
+            j = within.get(f.article)
+            if j is not None:
+                edges[j, i] = edges.get((j, i), 0.0) + ARTICLE
+            within[f.article] = i
     return edges
 
 
@@ -268,7 +282,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> np.ndarray:
     """Weights pulled from the prior towards what the semantic elements of a sample of pages say.
 
     A block in an article or main element and in no boilerplate element is content, one in
-    neither an article nor main is not; the two features that say so are not learned.
+    neither an article nor main is not. What says so is no feature, so the weights hold for other pages as well.
     """
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -283,17 +297,19 @@ def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> np.ndarray:
                     ]
             yield pd.DataFrame(out, columns=["x", "y"])
 
-    chosen = pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select("html")
+    # Only hashes are ordered; then the pages of the smallest ones are read.
+    h = F.xxhash64("page_id", "html")
+    first = pages.where("html is not null").select(h.alias("__h")).distinct().orderBy("__h").limit(sample)
+    chosen = pages.where("html is not null").withColumn("__h", h).join(F.broadcast(first), "__h", "left_semi").select("html")
     got = chosen.mapInPandas(gather, "x binary, y int").groupBy("x", "y").agg(F.count("*").alias("n")).orderBy("x", "y").toPandas()
     w = PRIOR.copy()
     if not len(got):
         return w
     x = np.frombuffer(b"".join(got["x"]), np.float64).reshape(len(got), -1)
     y, n = got["y"].to_numpy(np.float64), got["n"].to_numpy(np.float64)
-    free = np.array([f not in ("in article or main", FEATURES[-1]) for f in FEATURES], np.float64)
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= RATE * free * (x.T @ ((p - y) * n) / n.sum() + PULL * (w - PRIOR))
+        w -= RATE * (x.T @ ((p - y) * n) / n.sum() + PULL * (w - PRIOR))
     return w
 
 
