@@ -80,6 +80,27 @@ def embed_text(text: Column, dim: int = 384) -> Column:
     return lexical_embedding(tokens(text), dim)
 
 
+def embed_text_md5(text: Column, dim: int = 384) -> Column:
+    """SIM-2 with MD5 instead of BLAKE2b, as an embedding function with exact doubles (routing that SQL can follow)."""
+
+    @F.pandas_udf("array<double>")
+    def run(batch: pd.Series) -> pd.Series:
+        slots: dict[str, tuple[int, float]] = {}
+        out = []
+        for toks in batch:
+            vec = np.zeros(dim)
+            for t in toks if toks is not None else ():
+                if t not in slots:
+                    h = hashlib.md5(t.encode("utf-8")).digest()
+                    slots[t] = int.from_bytes(h[:4], "big") % dim, 1.0 if h[4] & 1 else -1.0
+                vec[slots[t][0]] += slots[t][1]
+            norm = float(np.sqrt((vec * vec).sum()))
+            out.append(vec / norm if norm else vec)
+        return pd.Series(out)
+
+    return run(tokens(text))
+
+
 def md5_embedding_entries(df: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
     """SIM-2 with MD5 instead of BLAKE2b, natively: sparse (id, idx, value) rows.
 

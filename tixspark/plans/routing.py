@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pyround
+from ..functions.vectors import embed_text, embed_text_md5
 from ..operators.route import decision_records, prepare_corpus, route_tickets, ticket_records
 from ..settings import DEFAULT
 from ..sources import fixtures
@@ -23,12 +24,12 @@ def incoming_requests(tickets: DataFrame) -> DataFrame:
         F.lit("").alias("assignment_group"))
 
 
-def routed_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+def routed_fixture(spark: SparkSession, sf_dir: str, embed_fn=embed_text) -> DataFrame:
     t = fixtures.tickets(spark, sf_dir)
-    corpus = prepare_corpus(t, DEFAULT)
+    corpus = prepare_corpus(t, DEFAULT, embed_fn=embed_fn)
     # Block sizing needs only a row count of the approved corpus, not its embeddings.
     n_corpus = t.where(F.col("source").isin(*DEFAULT.approved_knowledge_sources)).count()
-    return route_tickets(incoming_requests(t), corpus, DEFAULT, corpus_rows=n_corpus, routed_at="2024-02-01 00:00:00")
+    return route_tickets(incoming_requests(t), corpus, DEFAULT, corpus_rows=n_corpus, routed_at="2024-02-01 00:00:00", embed_fn=embed_fn)
 
 
 @register("route_tickets")
@@ -403,3 +404,137 @@ def q_auto_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     risk = R.privacy_risk(F.array().cast("array<struct<entity_type:string>>"), F.lit(0), sec)
     auto = S.should_auto_resolve(d, reason, urgency, impact, risk, sec)
     return j.select("conv_id", "turn", auto.alias("auto_resolved"))
+
+
+# ---------------------------------------------------------------------------
+# The whole workflow with the MD5 embedding, which SQL can follow.
+# ---------------------------------------------------------------------------
+
+
+def _routed_sql(select: str) -> str:
+    from ..sources.fixtures import _redaction_sql
+    from .text_jobs import _any, _q, _security_sql
+
+    weight = (f"case when upper(entity_type) in ({', '.join(map(_q, R.SENSITIVE_ENTITIES))}) then 0.35 "
+              f"when upper(entity_type) in ({', '.join(map(_q, R.PERSONAL_ENTITIES))}) then 0.10 else 0.05 end")
+    vectors = """
+  select {id} as id, unnest(regexp_extract_all(lower(sanitized_text), '[a-z0-9_./:-]+', 0)) as tok from {rows}"""
+    tail = _RETRIEVAL_SQL[_RETRIEVAL_SQL.index("rn as (") :]
+    defaults = " ".join(f"when {_q(c)} then {_q(g)}" for c, g in S.RESOLVER_DEFAULTS)
+    excluded = ", ".join(map(_q, S.VOTE_EXCLUDED_GROUPS))
+    return with_views(f"""
+with req as (select doc_id, ticket_id, number, short_description, description, urgency, impact,
+    concat(short_description, chr(10) || chr(10), description) as raw from tickets where source = 'api'),
+red as ({_redaction_sql("select doc_id, raw as text from req")}),
+rq0 as (select q.*, d.sanitized_text, d.redacted_count, {_security_sql("lower(q.raw)")} as sec,
+    coalesce((select max({weight}) from red f where f.kind = 'finding' and f.doc_id = q.doc_id), 0.0) as entity
+  from req q join red d on d.doc_id = q.doc_id and d.kind = 'doc'),
+rq as (select *, round(least(0.95::double, greatest(entity::double, case when sec <> '' then 0.35 else 0.0 end::double) + least(0.20::double, redacted_count * 0.04::double)), 4) as pr,
+    {_review_reason_sql("sanitized_text", "raw")} as reason from rq0),
+c as (select ticket_id, created_at, category, assignment_group, resolution, source, sanitized_text from tickets
+  where source in ('6StringNinja/synthetic-servicenow-incidents', 'curated', 'historical', 'seed')
+    and assignment_group <> 'Pending Review' and {_strip('resolution')} <> ''),
+tok as ({vectors.format(id="'q' || cast(doc_id as varchar)", rows="rq")} union all {vectors.format(id="ticket_id", rows="c")}),
+slot as (select id, cast(('0x' || substring(md5(tok), 1, 8))::bigint % 384 as integer) as idx,
+    case when ('0x' || substring(md5(tok), 9, 2))::integer % 2 = 1 then 1 else -1 end as sgn from tok),
+v as (select id, idx, sum(sgn) as x from slot group by id, idx having sum(sgn) <> 0),
+nv as (select id, sum(x * x) as n from v group by id),
+dots as (select a.id as qid, b.id as tid, sum(a.x * b.x) as d from v a join v b on a.idx = b.idx where a.id like 'q%' and b.id not like 'q%' group by 1, 2),
+p as (select q.doc_id as query_id, c.ticket_id, c.created_at, c.category, c.assignment_group, c.resolution, c.source,
+    case when nq.n is not null and nc.n is not null then coalesce(d.d, 0) / (sqrt(nq.n) * sqrt(nc.n)) end as s
+  from rq q cross join c left join nv nq on nq.id = 'q' || cast(q.doc_id as varchar) left join nv nc on nc.id = c.ticket_id
+    left join dots d on d.qid = nq.id and d.tid = c.ticket_id),
+r as (select *, row_number() over (partition by query_id order by coalesce(s >= 0.95, false) desc, round(s, 12) desc nulls last, created_at, ticket_id) as rank
+  from p qualify rank <= 5),
+{tail},
+tv as (select query_id, category, sum(w) as wt, min(rank) as first_rank from rn group by query_id, category),
+tw as (select query_id, category, wt / case when sum(wt) over (partition by query_id) = 0 then 1.0 else sum(wt) over (partition by query_id) end as share
+  from tv qualify row_number() over (partition by query_id order by wt desc, first_rank) = 1),
+gv as (select query_id, assignment_group as g, sum(w) as wt, min(rank) as first_rank from rn where assignment_group <> '' and assignment_group not in ({excluded})
+  group by query_id, assignment_group),
+gw as (select query_id, g, wt, sum(wt) over (partition by query_id) as total from gv qualify row_number() over (partition by query_id order by wt desc, first_rank) = 1),
+a as (select rq.*, ev.quality, ev.band, coalesce(round(t.s, 4), 0.0) as sim, t.ticket_id as top_id, t.resolution as top_res, coalesce(t.s >= 0.95, false) as cache,
+    case when coalesce(t.s >= 0.95, false) then t.ncat else {_norm_cat_sql('tw.category')} end as assigned,
+    case when coalesce(t.s >= 0.95, false) then 1.0::double else round(greatest(0.35, least(0.98, tw.share)), 4) end as classification, gw.g as vote, gw.wt, gw.total
+  from rq join ev on ev.query_id = rq.doc_id join rn t on t.query_id = rq.doc_id and t.rank = 1 join tw on tw.query_id = rq.doc_id left join gw on gw.query_id = rq.doc_id),
+b as (select *, not cache and reason is not null as esc, cast(case when cache then 1.0 when reason is not null then 0.42 when {_strip('top_res')} <> '' then 0.62 else 0.58 end as double) as verifier,
+    case when cache then top_res when reason is not null then 'Route this ticket to human support triage: ' || reason || chr(10) || {_q(S.ESCALATION_STEP_2)} || chr(10) || {_q(S.ESCALATION_STEP_3)}
+      else 'Classify as ' || assigned || ' and compare with similar incident ' || top_id || '.' || chr(10) || top_res || chr(10) || {_q(S.VALIDATE_STEP)} end as steps,
+    case when cache then round(greatest(0.0, least(1.0, 0.99 - pr * 0.15)), 4)
+      else round(greatest(0.0, least(1.0, 0.35 * classification + 0.35 * greatest(0.0, least(1.0, quality)) + 0.20 * greatest(0.0, sim)
+        + 0.10 * case when pr >= 0.35 then 0.40 when pr > 0.15 then 0.70 else 1.0 end)), 4) end as conf,
+    case when cache then 'semantic_cache' when reason is not null then 'human_review_required' else 'generative_rag' end as route,
+    case when cache then 'Application' else assigned end as rcat, lower(raw) || chr(10) || lower(sanitized_text) as both_texts from a),
+d as (select *, round(greatest(0.0, least(1.0, 0.45 * ((8 - urgency - impact) / 6.0) + 0.25 * (1.0 - greatest(0.0, least(1.0, conf)))
+      + 0.15 * (greatest(0.0, 0.7 - sim) / 0.7) + 0.10 * (greatest(0.0, 0.70 - verifier) / 0.70) + 0.05 * pr + case when esc then 0.15 else 0.0 end)), 4) as sla,
+    coalesce(vote, case when rcat = 'Application' and {_any('both_texts', S.PAYMENT_TERMS)} then 'Payments Engineering'
+      when pr >= 0.35 and rcat = 'Security' then 'Security Operations' else coalesce(case rcat {defaults} end, 'Application Operations') end) as rgroup,
+    case when band in ('none', 'weak') then 1 when not cache and verifier < 0.70 and route = 'generative_rag' then 1 else 0 end as gap from b)
+{select}""", "tickets")
+
+
+@register("route_tickets_md5", _routed_sql(f"""
+select ticket_id, assigned as assigned_category, steps as suggested_resolution, conf as confidence_score, classification as classification_confidence,
+  sim as retrieval_similarity, verifier as verifier_score, pr as privacy_risk, cast(esc as integer) as escalation_required, route as route_path,
+  cast(cache as integer) as semantic_cache_hit, top_id as matched_ticket_id, sla as sla_risk_score,
+  case when sla >= 0.75 then 'critical' when sla >= 0.55 then 'elevated' when sla >= 0.35 then 'watch' else 'normal' end as sla_risk_level,
+  rgroup as resolver_group, case when vote is not null then round(greatest(0.0, least(1.0, wt / case when total = 0 then 1.0 else total end)), 4)
+    when rgroup <> 'IT Support' then 0.62::double else 0.45::double end as resolver_confidence, gap as knowledge_gap,
+  case when band in ('none', 'weak') then 'RAG evidence quality is ' || band || '; LLM must treat retrieved context as low-confidence support'
+    when gap = 1 then '{S.GAP_VERIFIER}' else '{S.GAP_NONE}' end as knowledge_gap_reason from d"""))
+def q_route_tickets_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCR-20, SNK-3: the stored decisions of a routed batch, without the nine explanation rows and constants."""
+    routed = decision_records(routed_fixture(spark, sf_dir, embed_text_md5))
+    return routed.drop("route_explanation", "model_name", "latency_ms", "created_at")
+
+
+def _display_sql() -> str:
+    """The routed rows with their display fields: split at the first blank line, else each field redacted on its own."""
+    from ..sources.fixtures import _redaction_sql
+
+    return f"""
+, rs as (select doc_id, sanitized_text as t from ({_redaction_sql("select doc_id, short_description as text from req")}) where kind = 'doc'),
+rd as (select doc_id, sanitized_text as t from ({_redaction_sql("select doc_id, description as text from req")}) where kind = 'doc'),
+z as (select d.*, rs.t as short_alone, rd.t as description_alone, {_strip('d.sanitized_text')} as st from d join rs using (doc_id) join rd using (doc_id))
+select ticket_id, coalesce(nullif(number, ''), ticket_id) as number,
+  case when st <> '' and strpos(st, chr(10) || chr(10)) > 0 then {_strip("substring(st, 1, strpos(st, chr(10) || chr(10)) - 1)")} else short_alone end as short_description,
+  case when st <> '' and strpos(st, chr(10) || chr(10)) > 0 then {_strip("substring(st, strpos(st, chr(10) || chr(10)) + 2)")} else description_alone end as description,
+  sanitized_text, assigned as category, 'Pending Review' as assignment_group, steps as resolution, urgency, impact, 'api' as source,
+  timestamp '2024-02-01 00:00:00' as created_at from z"""
+
+
+@register("store_routed_md5", _routed_sql(_display_sql()))
+def q_store_routed_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-5: the ticket rows that a routed batch appends, without their embedding."""
+    return ticket_records(routed_fixture(spark, sf_dir, embed_text_md5), embed_fn=embed_text_md5).drop("embedding")
+
+
+# --- TXT-7, WIN-6: the context pack in SQL -------------------------------------------------
+
+
+def _pack_sql(chunk: str, budget: int) -> str:
+    from .text_jobs import _clip
+
+    return f"""
+  select query_id, cast(0 as bigint) as rank, cast({budget} as bigint) as remaining, false as done, cast([] as varchar[]) as chunks from (select distinct query_id from it)
+  union all
+  select k.query_id, i.rank, case when k.done or x.c = '' then k.remaining else k.remaining - length(x.c) end, k.done or x.c = '',
+    case when k.done or x.c = '' then k.chunks else list_append(k.chunks, x.c) end
+  from {{name}} k join it i on i.query_id = k.query_id and i.rank = k.rank + 1,
+    lateral (select {_clip(chunk, 'greatest(k.remaining, 0)')} as c) x"""
+
+
+_PAST = ("concat('Past ticket ', i.ticket_id, ' (', i.category, ', score=', printf('%.2f', round(i.s, 2)), '):', chr(10), 'Symptoms: ', i.body, chr(10), 'Resolution: ', i.resolution)")
+
+
+@register("context_pack_budget", _stage_sql(f"""
+, it as (select rn.query_id, rn.rank, rn.ticket_id, rn.category, rn.s, rn.resolution, coalesce(t.sanitized_text, '') as body from rn left join tickets t on t.ticket_id = rn.ticket_id),
+k1 as ({_pack_sql(_PAST, DEFAULT.llm_max_context_chars).format(name='k1')}),
+k2 as ({_pack_sql("concat(i.ticket_id, ': ', i.resolution)", 8000).format(name='k2')}),
+z1 as (select query_id, chunks from k1 qualify row_number() over (partition by query_id order by rank desc) = 1),
+z2 as (select query_id, chunks from k2 qualify row_number() over (partition by query_id order by rank desc) = 1)
+select query_id, array_to_string(z1.chunks, chr(10) || chr(10)) as context, array_to_string(z2.chunks, chr(10) || chr(10)) as resolution_context
+from z1 join z2 using (query_id)""").replace("with ", "with recursive ", 1))
+def q_context_pack_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-7 + WIN-6: both context packs of every query within their budgets."""
+    return q_context_pack(spark, sf_dir)
