@@ -136,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = rows.mapInPandas(extract, f"doc_id {kind}, label int, idx binary, val binary")
-    got = got.limit(2 * sample).toPandas().sort_values(["doc_id", "idx"])  # repeated documents: twice the rows at most
+    # A document that is there more than once counts as one row, that of the least features.
+    got = got.groupBy("doc_id").agg(F.min(F.struct("idx", "val", "label")).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id")
     return train([(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32), int(y)) for i, x, y in zip(got["idx"], got["val"], got["label"], strict=True)])
 
 
