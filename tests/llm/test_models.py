@@ -154,6 +154,15 @@ def test_neighbours(spark, monkeypatch):
     assert len(more & true.keys()) / len(true) >= 0.9
 
 
+def test_neighbours_where_shards_are_not_read_whole(spark):
+    some = table(spark, "/root/testdata/sf0.1", "embeddings")
+    want = exact([(r.vec_id, r.embedding) for r in some.collect()])
+    assert some.count() > 2 * forest.LEAST
+    found = {(r.query_id, r.vec_id) for r in forest.nearest(v := forest.valid_vectors(some), v.where("id % 50 = 0")).collect()}
+    true = {(q, j) for q, near in want.items() for j, _ in near}
+    assert len(found & true) / len(true) >= 0.9
+
+
 def test_neighbours_awkward_rows(spark):
     rows = [(0, [1.0, 0.0]), (50, [0.5, 0.5]), (1, [2.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.1]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]),
             (8, [float("inf"), 1.0]), (9, [None, 1.0]), (None, [1.0, 1.0]), (10, [1.0, 2.0, 3.0]), (100, [1.0, 2.0, 3.0]), (11, [-1.0, 0.0]), (11, [-1.0, 0.0]), (150, [9.0])]
