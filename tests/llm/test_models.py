@@ -158,7 +158,8 @@ def test_neighbours_where_shards_are_not_read_whole(spark):
     some = table(spark, "/root/testdata/sf0.1", "embeddings")
     want = exact([(r.vec_id, r.embedding) for r in some.collect()])
     assert some.count() > 2 * forest.LEAST
-    found = {(r.query_id, r.vec_id) for r in forest.nearest(v := forest.valid_vectors(some), v.where("id % 50 = 0")).collect()}
+    valid = forest.valid_vectors(some)
+    found = {(r.query_id, r.vec_id) for r in forest.nearest(valid, valid.where("id % 50 = 0")).collect()}
     true = {(q, j) for q, near in want.items() for j, _ in near}
     assert len(found & true) / len(true) >= 0.9
 
