@@ -34,7 +34,7 @@ from .common import join_hot, staged
 
 MIN_WORDS, UNIT_WORDS = 20, 5
 #: Words of a sentence that is cut further, on average every CUT words after the first UNIT_WORDS of a part.
-LONG, CUT = 24, 8
+LONG, CUT = 40, 16
 #: Rows of texts worked on at once.
 ROWS = 256
 #: What ends a sentence.
@@ -100,15 +100,18 @@ def _digest(words: list[str]) -> bytes:
 
 
 def document_units(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, number, start, stop, n_words, digest."""
-    names = ("number", "start", "stop", "n_words", "digest")
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    """doc_id, text_key, number, start, stop, n_words, digest, and before, after: where the unit before begins and the one after stops, -1 if there is none."""
+    names = ("number", "start", "stop", "n_words", "digest", "before", "after")
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                found = [(i, u) for i, t in enumerate(part.column("text").to_pylist()) for u in units(t)]
+                found = []
+                for i, t in enumerate(part.column("text").to_pylist()):
+                    us = list(units(t))
+                    found += [(i, (*u, b, a)) for u, b, a in zip(us, [-1, *[x[1] for x in us]], [*[x[2] for x in us[1:]], -1], strict=False)]
                 own = pa.array([i for i, _ in found], pa.int64())
                 columns = [pa.array([u[k] for _, u in found], kind) for k, kind in enumerate(kinds)]
                 ids = [part.column(c).take(own) for c in ("doc_id", "text_key")]
@@ -116,7 +119,7 @@ def document_units(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text", F.octet_length("text")).alias("text_key"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, number int, start int, stop int, n_words int, digest binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, number int, start int, stop int, n_words int, digest binary, before int, after int")
 
 
 def grown(own: str, kept: str, left: bool) -> tuple[int, int, int, int]:
@@ -141,24 +144,15 @@ def grown(own: str, kept: str, left: bool) -> tuple[int, int, int, int]:
 
 
 def surroundings(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """doc_id, text_key, number, side, around: the text from a unit to the end of the one after it (side 1), or back to the begin of the one before (-1)."""
-    wanted = ends.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("number", "side")).alias("ends"))
+    """doc_id, text_key, number, side, around: the text from a to b, which is that after a unit (side 1) or before it (-1), empty if one is -1."""
+    wanted = ends.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("number", "side", "a", "b")).alias("ends"))
     wanted = wanted.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 text = batch.column("text")[row].as_py()
-                us = [u[1:3] for u in units(text)]
-                out = []
-                for e in batch.column("ends")[row].as_py():
-                    n, side = e["number"], e["side"]
-                    other = n + side
-                    there = 0 <= other < len(us)
-                    if side < 0:
-                        out.append((n, side, text[us[other][0] : us[n][0]] if there else ""))
-                    else:
-                        out.append((n, side, text[us[n][1] : us[other][1]] if there else ""))
+                out = [(e["number"], e["side"], text[e["a"] : e["b"]] if min(e["a"], e["b"]) >= 0 else "") for e in batch.column("ends")[row].as_py()]
                 own = pa.array([row] * len(out), pa.int64())
                 columns = [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in ("doc_id", "text_key")), *columns], names=["doc_id", "text_key", "number", "side", "around"])
@@ -176,21 +170,22 @@ def _place(doc_id: str, text_key: str, number: str, side: int) -> str:
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Spans to remove: doc_id, text_key, start, stop, n_words, and where the first unit of each is kept."""
-    found = document_units(docs)
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "text_key", "number")
+    found = staged(document_units(docs))  # read twice below
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "text_key", "number", "stop", "before", "after")
     first = found.groupBy("digest").agg(F.min(place).alias("kept"), F.max(place).alias("top"))
     first = first.where("kept != top")  # more than one occurrence, repeated rows aside
-    first = staged(first.select("digest", *[F.col(f"kept.{c}").alias(f"kept_{c}") for c in ("doc_id", "start", "text_key", "number")]))
+    first = staged(first.select("digest", *[F.col(f"kept.{c}").alias(f"kept_{c}") for c in ("doc_id", "start", "text_key", "number", "stop", "before", "after")]))
     rows = found.join(first, "digest")
     same = F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("start") == F.col("kept_start")) & (F.col("text_key") == F.col("kept_text_key"))
     rows = rows.where(~same).dropDuplicates(["doc_id", "text_key", "number"])
     # Neighbouring repeats of a document: their numbers less their ranks are the same.
     rank = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("number"))
     runs = rows.withColumn("run", F.col("number") - rank).groupBy("doc_id", "text_key", "run")
-    at = F.struct("number", "kept_doc_id", "kept_start", "kept_text_key", "kept_number")
+    at = F.struct("number", "before", "after", *[f"kept_{c}" for c in ("doc_id", "start", "text_key", "number", "stop", "before", "after")])
     runs = runs.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("n_words"), F.min(at).alias("a"), F.max(at).alias("b"))
     kept = [f"{x}.kept_{c} as {x}_{c}" for x in ("a", "b") for c in ("doc_id", "text_key", "number")]
-    runs = staged(runs.selectExpr("doc_id", "text_key", "start", "stop", "n_words", "a.number as first", "b.number as last", "a.kept_start", *kept))
+    around = ["a.before as l_from", "start as l_to", "stop as r_from", "b.after as r_to", "a.kept_before as lk_from", "a.kept_start as lk_to", "b.kept_stop as rk_from", "b.kept_after as rk_to"]
+    runs = staged(runs.selectExpr("doc_id", "text_key", "start", "stop", "n_words", "a.number as first", "b.number as last", "a.kept_start", *kept, *around))
     runs = _grow(docs, runs)
     spans = runs.groupBy("doc_id", "text_key", "passage").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("n_words"), F.min(F.struct("start", "a_doc_id", "kept_start")).alias("h"))
@@ -201,18 +196,19 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def _grow(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """``runs`` grown on both sides, with the number of the passage that those which meet make."""
     sides = {"l": ("a", "first", -1), "r": ("b", "last", 1)}
-    places = [(f"{s}_own", "doc_id", "text_key", n, side) for s, (_, n, side) in sides.items()]
-    places += [(f"{s}_kept", f"{x}_doc_id", f"{x}_text_key", f"{x}_number", side) for s, (x, _, side) in sides.items()]
+    places = [(f"{s}_own", "doc_id", "text_key", n, side, s) for s, (_, n, side) in sides.items()]
+    places += [(f"{s}_kept", f"{x}_doc_id", f"{x}_text_key", f"{x}_number", side, f"{s}k") for s, (x, _, side) in sides.items()]
     ends = None
-    for _, d, k, n, side in places:
-        some = runs.selectExpr(f"{d} as doc_id", f"{k} as text_key", f"{n} as number", f"{side} as side")
+    for _, d, k, n, side, s in places:
+        some = runs.selectExpr(f"{d} as doc_id", f"{k} as text_key", f"{n} as number", f"{side} as side", f"{s}_from as a", f"{s}_to as b")
         ends = some if ends is None else ends.unionByName(some)
-    ends = ends.groupBy("doc_id", "text_key", "number", "side").agg(F.count("*").alias("rows"))
+    ends = ends.groupBy("doc_id", "text_key", "number", "side", "a", "b").agg(F.count("*").alias("rows"))
     near = staged(surroundings(docs, ends).selectExpr(f"{_place('doc_id', 'text_key', 'number', 'side')} as place", "around"))
     ends = ends.selectExpr(f"{_place('doc_id', 'text_key', 'number', 'side')} as place", "rows")
     near = staged(near.join(ends, "place"))
+    runs = runs.drop(*[f"{s}_{e}" for *_, s in places for e in ("from", "to")])
     # The surroundings of a unit that is kept may be asked for by very many passages.
-    for name, d, k, n, side in places:
+    for name, d, k, n, side, _ in places:
         named = near.withColumnsRenamed({"place": f"{name}_at", "around": name})
         runs = join_hot(runs.withColumn(f"{name}_at", F.expr(_place(d, k, n, side))), named, f"{name}_at", "rows").drop(f"{name}_at")
 
