@@ -44,3 +44,26 @@ def test_topk_blocked_matches_brute_force(spark):
             sims.append((-(s >= 0.95), -s, ca, tid))
         want = [t[3] for t in sorted(sims)[:4]]
         assert [t for _, t in sorted(by[qi])] == want
+
+
+def test_topk_over_blocks_in_many_partitions(spark):
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(size=(90, 12))
+    vectors[40:70] = vectors[7]  # more copies than k in several blocks: the order column decides
+    rows = [(f"T{i:03d}", v.tolist(), (i * 37) % 5) for i, v in enumerate(vectors)]
+    rows += [("none", None, 0), ("zero", [0.0] * 12, 1), ("short", [1.0], 0), ("nan", [float("nan")] * 12, 2)]
+    df = spark.createDataFrame(rows, "ticket_id string, embedding array<double>, created_at int")
+    q = df.select(F.col("ticket_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows if v and np.isfinite(v).all() and any(v)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for exclude in (False, True):
+            got = {}
+            for r in topk_similar(q, df, k=4, block_rows=7, exclude_self=exclude).collect():
+                got.setdefault(r.query_id, {})[r.rank] = r.ticket_id
+            for qid, _, _ in rows:
+                near = lambda i: float((unit[qid] * unit[i]).sum()) if qid in unit and i in unit and len(unit[i]) == len(unit[qid]) else None
+                keys = [(-round(n, 10) if (n := near(i)) is not None else 9, at, i) for i, _, at in rows if not (exclude and i == qid)]
+                assert [got[qid][r] for r in (1, 2, 3, 4)] == [k[2] for k in sorted(keys)[:4]], (qid, exclude)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import staged as staged
 
 #: Rows of one or two small columns that may be broadcast (tens of MB); larger sides are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -19,17 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and return the written table.
-
-    Cuts the lineage, so lost executors cost a reread of files and not the work before.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (staged before) with a broadcast hint if it has at most ``limit`` rows, else ``df``."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

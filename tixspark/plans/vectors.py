@@ -89,5 +89,5 @@ def q_topk_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "embeddings")
     r = topk_similar(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding")),
                      e.select(F.col("vec_id").alias("neighbor_id"), "embedding"), k=5,
-                     corpus_id="neighbor_id", corpus_order=("neighbor_id",), exclude_self=True, block_rows=256)
+                     corpus_id="neighbor_id", corpus_order=("neighbor_id",), exclude_self=True)
     return r.select("query_id", "rank", "neighbor_id", pyround("similarity", 6).alias("similarity"), "fast_candidate")
