@@ -190,3 +190,22 @@ def test_metric_index_is_exact_and_reads_few_cells(spark, tmp_path):
     cells = store.read("v.spheres").select("cell").distinct().count()
     read = [r.cells_read for r in rows if r.q.startswith("v0")]
     assert max(read) < cells / 2
+
+
+def test_metric_index_copies_no_vectors_for_its_second_round(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from tixspark.operators.metricindex import FIRST, MetricIndex
+
+    rng = np.random.default_rng(6)
+    corpus = [(f"v{i:04d}", rng.normal(size=24).tolist(), i % 7) for i in range(300)]  # no clusters: nearly all cells are read
+    store = FactStore(spark, str(tmp_path / "s"), buckets=4)
+    store.append("v", spark.createDataFrame(corpus, "id string, vec array<double>, at int"), 0, "id")
+    index = MetricIndex(store, "v", "id", "vec", ("at",), rows=10)
+    index.advance()
+    asked, meet = [], MetricIndex._meet
+    monkeypatch.setattr(MetricIndex, "_meet", lambda self, visits, *a: asked.append(visits.count()) or meet(self, visits, *a))
+    queries = [(i, v) for i, v, _ in corpus[:50]]
+    rows = index.nearest(spark.createDataFrame(queries, "q string, qv array<double>"), 4, "q", "qv", exclude_self=True).collect()
+    assert sorted((r.q, r["rank"], r.id) for r in rows) == brute_topk(queries, corpus, 4, True)
+    assert min(r.cells_read for r in rows) > FIRST and sum(asked) <= FIRST * len(queries)

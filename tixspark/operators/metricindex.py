@@ -3,10 +3,12 @@
 Vectors are stored once, by cells: a cell is a centre (one of the vectors, chosen by a hash) and the vectors nearest to it,
 with the greatest angle between them, the radius. A query at an angle ``g`` from a centre is at least
 ``g - radius`` from everything in the cell. So a search first visits the ``FIRST`` most promising
-cells of each query, takes the similarity of its k-th hit, and then visits just those cells that may
+cells of each query, takes the similarity of its k-th hit, and then compares just those cells that may
 hold something as near. The answer is exact, with the order of ties of :func:`~tixspark.operators.topk.topk_similar`;
-how many cells a query read is reported. Stored vectors are not copied for query blocks: they meet the
+how many cells a query read is reported. In the first visits, stored vectors meet the
 queries of their cell in a sorted stream, in which only the vectors of one cell part (``PART``) are held.
+After that queries may want any number of cells, so that neither side is copied for a visit: blocks of neighbouring
+cells pass blocks of queries (:mod:`~tixspark.operators.blocks`), and each query is compared with the cells it wants.
 
 New batches of the vectors' table go to the centres that are there: radii and counts merge.
 """
@@ -24,14 +26,17 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, staged
 from ..sources.store import FactStore
+from .blocks import Wanted, pack, scan
 
 # Worker-side code is shipped by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Rows per centre aimed at, centres of one vector length (they are held by every task), vectors of a cell part.
 ROWS, CENTRES, PART = 2048, 4096, 8192
+#: Rows of a block of stored vectors.
+BLOCK = 4096
 #: Cells that a query visits first; visits of one part that one task works on.
 FIRST, VISITS = 2, 1 << 16
 #: Allowance for rounding in bounds, as an angle and as a similarity.
@@ -96,8 +101,11 @@ class MetricIndex:
                 for n in np.unique(lengths[usable]).tolist():
                     at = np.flatnonzero(usable & (lengths == n))
                     keys, units, _ = centres[n]
-                    g = _angles(_units(b["vec"].iloc[at]), units)
-                    cell[at], angle[at] = keys[g.argmin(1)], g.min(1)
+                    step = max(1, (1 << 21) // len(keys))
+                    for a in range(0, len(at), step):
+                        some = at[a : a + step]
+                        g = _angles(_units(b["vec"].iloc[some]), units)
+                        cell[some], angle[some] = keys[g.argmin(1)], g.min(1)
                 yield b.assign(**dict(zip(names, (cell, angle), strict=True)))
 
         rows = new.withColumn("usable", _usable("vec"))
@@ -134,7 +142,7 @@ class MetricIndex:
             F.max("length").alias("length"), F.max("radius").alias("radius"), F.max_by("centre", F.size("centre")).alias("centre"))
         return {
             int(n): (g["cell"].to_numpy(np.int64), np.stack([np.asarray(c) for c in g["centre"]]), g["radius"].fillna(-np.inf).to_numpy())
-            for n, g in s.toPandas().groupby("length")
+            for n, g in s.toPandas().sort_values("cell").groupby("length")
         }
 
     # -- searching ----------------------------------------------------------------------
@@ -145,14 +153,17 @@ class MetricIndex:
         q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).cast("array<double>").alias("qv"))
         q = q.withColumn("ok", _usable("qv"))
         checkpoint_dir(q.sparkSession)
-        first = self._visits(q.where("ok").withColumn("least", F.lit(None).cast("double")), centres, True).checkpoint()
+        first = self._visits(q.where("ok"), centres).checkpoint()
         order = tuple(c for c in self.order if c != self.id)
         found = self._meet(first, k, exclude_self, order).checkpoint()
         best = Window.partitionBy("qid").orderBy(F.col("similarity").desc())
         least = found.select("qid", "similarity", F.row_number().over(best).alias("r")).where(F.col("r") == k).select("qid", F.col("similarity").alias("least"))
-        rest = self._visits(q.where("ok").join(least, "qid", "left"), centres, False).checkpoint()
-        found = found.unionByName(self._meet(rest, k, exclude_self, order))
-        read = first.select("qid").unionByName(rest.select("qid")).groupBy("qid").agg(F.count("*").alias("cells_read"))
+        rest = staged(q.where("ok").join(least, "qid", "left").select("qid", "least", "qv"))
+        asked = staged(pack(rest, "qv", (), 2 * BLOCK))
+        stored = self.store.read(self.cells).where(F.col("cell") != NOWHERE).select("id", *order, "cell", "vec")
+        stored = staged(pack(stored.repartitionByRange("cell").sortWithinPartitions("cell"), "vec", ("cell",), BLOCK))
+        found = scan(asked, stored, k, "qid", (*order, "id"), exclude_self, _reach(centres)).drop("cell")
+        read = self._counts(rest, centres)
 
         fast = F.coalesce((F.col("similarity") >= fast_threshold).cast("int"), F.lit(0))
         rank = Window.partitionBy("qid").orderBy(fast.desc(), F.col("similarity").desc_nulls_last(), *[F.col(c).asc() for c in order], F.col("id").asc())
@@ -171,34 +182,29 @@ class MetricIndex:
         return both.select(F.col("qid").alias(query_id), "rank", F.col("id").alias(self.id), "similarity", fast.alias("fast_candidate"),
                            F.coalesce("cells_read", F.lit(0)).alias("cells_read"), *order)
 
-    def _visits(self, q: DataFrame, centres: Centres, first: bool) -> DataFrame:
-        """(qid, qv, cell): the first cells of each query, or the others whose bound reaches ``least`` (null: all)."""
+    def _visits(self, q: DataFrame, centres: Centres) -> DataFrame:
+        """(qid, qv, cell): the first cells of each query."""
 
         def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                lengths = b["qv"].map(len).to_numpy()
-                for n in np.unique(lengths).tolist():
-                    if n not in centres:
-                        continue
-                    keys, units, radius = centres[n]
-                    step = max(1, (1 << 22) // len(keys))
-                    rows = b[lengths == n]
-                    for a in range(0, len(rows), step):
-                        part = rows.iloc[a : a + step]
-                        near = np.cos(np.maximum(0.0, _angles(_units(part["qv"]), units) - radius - SLACK))
-                        near[:, np.isneginf(radius)] = -np.inf
-                        # The order of first cells is that of the bounds, ties by place, the same in both calls.
-                        lead = np.argsort(-near, axis=1, kind="stable")[:, :FIRST]
-                        want = np.zeros(near.shape, bool)
-                        np.put_along_axis(want, lead, True, 1)
-                        if not first:
-                            least = part["least"].fillna(-2.0).to_numpy(np.float64)
-                            want = ~want & (near >= least[:, None] - SLACK)
-                        i, j = np.nonzero(want & ~np.isneginf(near))
-                        yield pd.DataFrame({"qid": part["qid"].to_numpy()[i], "qv": part["qv"].to_numpy()[i], "cell": keys[j]})
+            for part, keys, near in _bounds(batches, centres):
+                lead = np.argsort(-near, axis=1, kind="stable")[:, :FIRST]
+                i, j = np.nonzero(~np.isneginf(np.take_along_axis(near, lead, 1)))
+                yield pd.DataFrame({"qid": part["qid"].to_numpy()[i], "qv": part["qv"].to_numpy()[i], "cell": keys[lead[i, j]]})
 
         kind = q.schema["qid"].dataType.simpleString()
-        return q.select("qid", "qv", "least").mapInPandas(choose, f"qid {kind}, qv array<double>, cell long")
+        return q.select("qid", "qv").mapInPandas(choose, f"qid {kind}, qv array<double>, cell long")
+
+    def _counts(self, q: DataFrame, centres: Centres) -> DataFrame:
+        """(qid, cells_read): the first cells of each query and those whose bound reaches ``least`` (null: all)."""
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part, _, near in _bounds(batches, centres):
+                want = near >= part["least"].fillna(-2.0).to_numpy(np.float64)[:, None] - SLACK
+                np.put_along_axis(want, np.argsort(-near, axis=1, kind="stable")[:, :FIRST], True, 1)
+                yield pd.DataFrame({"qid": part["qid"].to_numpy(), "cells_read": (want & ~np.isneginf(near)).sum(1)})
+
+        counts = q.mapInPandas(count, f"qid {q.schema['qid'].dataType.simpleString()}, cells_read long")
+        return counts.groupBy("qid").agg(F.sum("cells_read").alias("cells_read"))
 
     def _meet(self, visits: DataFrame, k: int, exclude_self: bool, order: tuple[str, ...]) -> DataFrame:
         """(qid, id, similarity, order columns): the k best of each visited cell part."""
@@ -235,6 +241,37 @@ class MetricIndex:
         return stream.mapInPandas(run, schema)
 
 
+def _near(units: np.ndarray, centres: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """The greatest similarity that unit vectors may have with anything in cells, -inf for those that hold nothing."""
+    near = np.cos(np.maximum(0.0, _angles(units, centres) - radius - SLACK))
+    near[:, np.isneginf(radius)] = -np.inf
+    return near
+
+
+def _bounds(batches: Iterator[pd.DataFrame], centres: Centres) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Queries of one length, the cells of that length and their bounds, a few queries at a time."""
+    for b in batches:
+        lengths = b["qv"].map(len).to_numpy()
+        for n in np.unique(lengths).tolist():
+            if n in centres:
+                keys, units, radius = centres[n]
+                rows, step = b[lengths == n], max(1, (1 << 21) // len(keys))
+                for a in range(0, len(rows), step):
+                    part = rows.iloc[a : a + step]
+                    yield part, keys, _near(_units(part["qv"]), units, radius)
+
+
+def _reach(centres: Centres) -> Wanted:
+    """Whether queries want cells: those whose bound reaches their ``least``."""
+
+    def wanted(units: np.ndarray, least: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        keys, points, radius = centres[units.shape[1]]
+        at = np.searchsorted(keys, cells)
+        return _near(units, points[at], radius[at]) >= least[:, None] - SLACK
+
+    return wanted
+
+
 class _Block:
     """The vectors of a cell part, ready to be compared."""
 
