@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KEY = "ticket_id"
+SPEC = "key string, sort string, buckets int, schema string, listed string"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -59,19 +60,19 @@ class FactStore:
         return exists(self.spark, f"{self._path(name)}.spec")
 
     def spec(self, name: str) -> dict:
-        """key, sort, buckets and schema of a stored table."""
+        """key, sort, buckets, schema and the listed column of a stored table."""
         if name not in self._specs:
             path = f"{self._path(name)}.spec"
             if not exists(self.spark, path):
                 raise KeyError(f"no stored table {name!r} in {self.root}")
-            self._specs[name] = self.spark.read.schema("key string, sort string, buckets int, schema string").json(path).first().asDict()
+            self._specs[name] = self.spark.read.schema(SPEC).json(path).first().asDict()
         return self._specs[name]
 
-    def create(self, name: str, schema: T.StructType, key: str = KEY, sort: tuple[str, ...] = ()) -> None:
+    def create(self, name: str, schema: T.StructType, key: str = KEY, sort: tuple[str, ...] = (), listed: str | None = None) -> None:
         """Enter ``name`` in the store unless it is there already."""
         if name not in self._specs and not self.has(name):
-            spec = {"key": key, "sort": ",".join((key, *sort)), "buckets": self.buckets, "schema": schema.json()}
-            self.spark.createDataFrame([tuple(spec.values())], "key string, sort string, buckets int, schema string").coalesce(1).write.mode("overwrite").json(f"{self._path(name)}.spec")
+            spec = {"key": key, "sort": ",".join((key, *sort)), "buckets": self.buckets, "schema": schema.json(), "listed": listed}
+            self.spark.createDataFrame([tuple(spec.values())], SPEC).coalesce(1).write.mode("overwrite").json(f"{self._path(name)}.spec")
             self._specs[name] = spec
 
     def open(self, name: str) -> str:
@@ -98,13 +99,15 @@ class FactStore:
             self._last[name] = self.spark.read.schema("batch_id long").json(path).agg(F.max("batch_id")).first()[0] if known else -1
         return self._last[name]
 
-    def append(self, name: str, rows: DataFrame, batch_id: int, key: str = KEY, sort: tuple[str, ...] = ()) -> bool:
-        """Store ``rows`` as batch ``batch_id``; False (and nothing written) if that batch or a later one is stored."""
+    def append(self, name: str, rows: DataFrame, batch_id: int, key: str = KEY, sort: tuple[str, ...] = (), listed: str | None = None) -> bool:
+        """Store ``rows`` as batch ``batch_id``; False (and nothing written) if that batch or a later one is stored.
+
+        ``listed`` is a column of arrays whose elements are read as rows of their own."""
         if batch_id < 0:
             raise ValueError("batch ids begin at 0")
         if batch_id <= self.last_batch(name):
             return False
-        self.create(name, rows.schema, key, sort)
+        self.create(name, rows.schema, key, sort, listed)
         table, spec = self.open(name), self.spec(name)
         stored = [c for c in self.spark.table(table).columns if c != "batch_id"]
         out = rows.select(*stored, F.lit(batch_id).cast("long").alias("batch_id"))
@@ -118,7 +121,9 @@ class FactStore:
     def read(self, name: str, after: int = -1) -> DataFrame:
         """The rows of the stored batches later than ``after`` (partitions of others are not read), with batch_id."""
         rows, last = self.spark.table(self.open(name)), self.last_batch(name)
-        return rows.where(F.col("batch_id") <= last) if after < 0 else rows.where(F.col("batch_id").between(after + 1, last))
+        listed, columns = self.spec(name)["listed"], rows.columns
+        rows = rows.where(F.col("batch_id") <= last) if after < 0 else rows.where(F.col("batch_id").between(after + 1, last))
+        return rows.select(*[F.explode(c).alias(c) if c == listed else c for c in columns]) if listed else rows
 
 
 class LatestSnapshot:
