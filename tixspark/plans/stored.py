@@ -41,7 +41,7 @@ def fixture_store(spark: SparkSession, sf_dir: str, *tables: str) -> FactStore:
     for name in tables:
         key = "neighbor_id" if name == "vectors" else KEY
         for batch_id, rows in enumerate(_batches(spark, sf_dir, name)):
-            store.append(name, rows, batch_id, key)
+            store.append(name, rows, batch_id, key, same=("description", "sanitized_text") if name == "tickets" else None)
     return store
 
 

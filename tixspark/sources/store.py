@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KEY = "ticket_id"
-SPEC = "key string, sort string, buckets int, schema string, listed string"
+SAME = "__same"
+SPEC = "key string, sort string, buckets int, schema string, listed string, same string"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -60,7 +61,7 @@ class FactStore:
         return exists(self.spark, f"{self._path(name)}.spec")
 
     def spec(self, name: str) -> dict:
-        """key, sort, buckets, schema and the listed column of a stored table."""
+        """key, sort, buckets, schema, the listed column and the pair of columns that often agree of a stored table."""
         if name not in self._specs:
             path = f"{self._path(name)}.spec"
             if not exists(self.spark, path):
@@ -68,10 +69,12 @@ class FactStore:
             self._specs[name] = self.spark.read.schema(SPEC).json(path).first().asDict()
         return self._specs[name]
 
-    def create(self, name: str, schema: T.StructType, key: str = KEY, sort: tuple[str, ...] = (), listed: str | None = None) -> None:
+    def create(self, name: str, schema: T.StructType, key: str = KEY, sort: tuple[str, ...] = (), listed: str | None = None,
+               same: tuple[str, str] | None = None) -> None:
         """Enter ``name`` in the store unless it is there already."""
         if name not in self._specs and not self.has(name):
-            spec = {"key": key, "sort": ",".join((key, *sort)), "buckets": self.buckets, "schema": schema.json(), "listed": listed}
+            spec = {"key": key, "sort": ",".join((key, *sort)), "buckets": self.buckets, "schema": schema.json(), "listed": listed,
+                    "same": ",".join(same) if same else None}
             self.spark.createDataFrame([tuple(spec.values())], SPEC).coalesce(1).write.mode("overwrite").json(f"{self._path(name)}.spec")
             self._specs[name] = spec
 
@@ -80,9 +83,10 @@ class FactStore:
         table, spec = self.name_of(name), self.spec(name)
         if not self.spark.catalog.tableExists(table):
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType.fromJson(json.loads(spec["schema"])).fields)
+            columns += f", `{SAME}` boolean" if spec["same"] else ""
             self.spark.sql(
                 f"create table {table} ({columns}, batch_id bigint) using parquet "
-                f"options (path '{self._path(name)}', partitionOverwriteMode 'dynamic') partitioned by (batch_id) "
+                f"options (path '{self._path(name)}', partitionOverwriteMode 'dynamic', compression 'zstd') partitioned by (batch_id) "
                 f"clustered by ({spec['key']}) sorted by ({spec['sort']}) into {spec['buckets']} buckets"
             )
             if exists(self.spark, self._path(name)):  # stored by an earlier session
@@ -99,20 +103,26 @@ class FactStore:
             self._last[name] = self.spark.read.schema("batch_id long").json(path).agg(F.max("batch_id")).first()[0] if known else -1
         return self._last[name]
 
-    def append(self, name: str, rows: DataFrame, batch_id: int, key: str = KEY, sort: tuple[str, ...] = (), listed: str | None = None) -> bool:
+    def append(self, name: str, rows: DataFrame, batch_id: int, key: str = KEY, sort: tuple[str, ...] = (), listed: str | None = None,
+               same: tuple[str, str] | None = None) -> bool:
         """Store ``rows`` as batch ``batch_id``; False (and nothing written) if that batch or a later one is stored.
 
-        ``listed`` is a column of arrays whose elements are read as rows of their own."""
+        ``listed`` is a column of arrays whose elements are read as rows of their own. ``same`` are two columns: where the
+        first equals the second, it is moved and stored once (a description in which nothing had to be redacted)."""
         if batch_id < 0:
             raise ValueError("batch ids begin at 0")
         if batch_id <= self.last_batch(name):
             return False
-        self.create(name, rows.schema, key, sort, listed)
+        self.create(name, rows.schema, key, sort, listed, same)
         table, spec = self.open(name), self.spec(name)
         stored = [c for c in self.spark.table(table).columns if c != "batch_id"]
+        if spec["same"]:
+            a, b = spec["same"].split(",")
+            rows = rows.withColumn(SAME, F.col(a).eqNullSafe(F.col(b))).withColumn(a, F.when(~F.col(SAME), F.col(a)))
         out = rows.select(*stored, F.lit(batch_id).cast("long").alias("batch_id"))
-        # One task per bucket, so that a batch has one file in each.
-        out.repartition(spec["buckets"], spec["key"]).write.insertInto(table, overwrite=True)
+        # A batch has one file in each bucket, unless a bucket is so large that sorting it in one task would spill:
+        # adaptive execution shares it between tasks by its advisory size, and each of them writes a file of the bucket.
+        out.hint("rebalance", spec["buckets"], spec["key"]).write.insertInto(table, overwrite=True)
         done = self.spark.createDataFrame([(batch_id,)], "batch_id long").coalesce(1)
         done.write.mode("append").json(f"{self._path(name)}.ledger")
         self._last[name] = batch_id
@@ -123,6 +133,9 @@ class FactStore:
         rows, last = self.spark.table(self.open(name)), self.last_batch(name)
         listed, columns = self.spec(name)["listed"], rows.columns
         rows = rows.where(F.col("batch_id") <= last) if after < 0 else rows.where(F.col("batch_id").between(after + 1, last))
+        if self.spec(name)["same"]:
+            a, b = self.spec(name)["same"].split(",")
+            rows = rows.select(*[F.when(F.col(SAME), F.col(b)).otherwise(F.col(a)).alias(a) if c == a else c for c in columns if c != SAME])
         return rows.select(*[F.explode(c).alias(c) if c == listed else c for c in columns]) if listed else rows
 
 
