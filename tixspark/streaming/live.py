@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -131,6 +131,11 @@ CHANGES = ("ticket_id string, kind string, at string, event_id long, category st
            "assigned_category string, route_path string, escalation_required int, semantic_cache_hit int")
 ENRICHED = ("ticket_id string, category string, source string, urgency int, display_category string, route_path string, status string, "
             "decided_at string, refreshed boolean")
+#: The state of a ticket: its latest version (if it has been seen) and its latest decision (if there is one).
+LATEST = ("seen boolean, at string, category string, source string, urgency int, decided boolean, decided_at string, event_id long, "
+          "assigned_category string, route_path string, escalation_required int, semantic_cache_hit int")
+_TICKET_WIDTH, _NOTHING = 5, (False, *[None] * 4, False, *[None] * 6)
+_ENRICHED_ROW = Row(*[c.strip().split(" ")[0] for c in ENRICHED.split(",")])
 
 
 def changes(tickets: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -144,56 +149,50 @@ def changes(tickets: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 class Enrich(StatefulProcessor):
-    """Per ticket: its latest version and its latest decision."""
+    """Per ticket: its latest version and its latest decision, in one state that is read and written once for a key's rows."""
 
     def __init__(self, refresh_ms: int) -> None:
         self.refresh_ms = refresh_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ticket = handle.getValueState("ticket", "at string, category string, source string, urgency int")
-        self.decision = handle.getValueState("decision", "at string, event_id long, assigned_category string, route_path string, escalation_required int, semantic_cache_hit int")
-
-    def row(self, key, refreshed: bool) -> pd.DataFrame:
-        _, category, source, urgency = self.ticket.get()
-        d = self.decision.get() if self.decision.exists() else None
-        at, _, assigned, path, escalated, cached = d or (None,) * 6
-        status = "unrouted" if d is None else "human_review_required" if escalated == 1 else "semantic_cache_resolved" if cached == 1 else "resolved"
-        return pd.DataFrame([(key[0], category, source, urgency, assigned if assigned is not None else category, path if path is not None else "unrouted", status, at, refreshed)],
-                            columns=[c.strip().split(" ")[0] for c in ENRICHED.split(",")])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        changed = False
-        for batch in rows:
-            for r in batch.astype(object).where(batch.notna(), None).itertuples(index=False):
-                if r.kind == "ticket":
-                    if not self.ticket.exists() or (r.at or "") >= (self.ticket.get()[0] or ""):
-                        self.ticket.update((r.at, r.category, r.source, None if r.urgency is None else int(r.urgency)))
-                        changed = True
-                else:
-                    new = (r.at or "", -1 if r.event_id is None else int(r.event_id))
-                    old = self.decision.get() if self.decision.exists() else None
-                    if old is None or new >= (old[0] or "", -1 if old[1] is None else old[1]):
-                        flag = lambda x: None if x is None else int(x)
-                        self.decision.update((r.at, flag(r.event_id), r.assigned_category, r.route_path, flag(r.escalation_required), flag(r.semantic_cache_hit)))
-                        changed = True
-        if changed and self.ticket.exists():
+        self.latest = handle.getValueState("latest", LATEST)
+
+    def row(self, key, latest: tuple, refreshed: bool) -> Row:
+        _, _, category, source, urgency, decided, at, _, assigned, path, escalated, cached = latest
+        status = "unrouted" if not decided else "human_review_required" if escalated == 1 else "semantic_cache_resolved" if cached == 1 else "resolved"
+        return _ENRICHED_ROW(key[0], category, source, urgency, assigned if assigned is not None else category, path if path is not None else "unrouted", status, at, refreshed)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        latest = self.latest.get() or _NOTHING
+        ticket, decision, changed = latest[:_TICKET_WIDTH], latest[_TICKET_WIDTH:], False
+        for r in rows:
+            if r.kind == "ticket":
+                if not ticket[0] or (r.at or "") >= (ticket[1] or ""):
+                    ticket, changed = (True, r.at, r.category, r.source, r.urgency), True
+            elif not decision[0] or (r.at or "", -1 if r.event_id is None else r.event_id) >= (decision[1] or "", -1 if decision[2] is None else decision[2]):
+                decision, changed = (True, r.at, r.event_id, r.assigned_category, r.route_path, r.escalation_required, r.semantic_cache_hit), True
+        if not changed:
+            return
+        self.latest.update((*ticket, *decision))
+        if ticket[0]:
             if self.refresh_ms:
                 for old in list(self.handle.listTimers()):
                     self.handle.deleteTimer(old)
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.refresh_ms)
-            yield self.row(key, False)
+            yield self.row(key, (*ticket, *decision), False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.ticket.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        latest = self.latest.get() or _NOTHING
+        if latest[0]:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.refresh_ms)
-            yield self.row(key, True)
+            yield self.row(key, latest, True)
 
 
 def enrich_stream(change_stream: DataFrame, refresh_ms: int = 0) -> DataFrame:
     """The enriched ticket after each change of it or of its decision; with ``refresh_ms`` again that long after the last change."""
     stateful(change_stream.sparkSession)
-    return change_stream.groupBy("ticket_id").transformWithStateInPandas(
+    return change_stream.groupBy("ticket_id").transformWithState(
         Enrich(refresh_ms), outputStructType=ENRICHED, outputMode="Update", timeMode="processingTime" if refresh_ms else "none")
 
 
@@ -247,12 +246,12 @@ def q_feed_enriched_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent for each ticket of the newest window."""
     tickets = fixtures.tickets(spark, sf_dir)
     rows = changes(tickets, fixtures.routing_decisions(spark, sf_dir))
-    src = scratch(spark, "changes")
+    src, out, checkpoint = (scratch(spark, n) for n in ("changes", "enriched", "enriched-ckpt"))
     for b in range(3):
         rows.where(F.pmod(F.xxhash64("ticket_id", "kind", "event_id"), F.lit(3)) == b).write.parquet(f"{src}/part{b}")
-    out = scratch(spark, "enriched")
-    stream = spark.readStream.schema(CHANGES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 8).parquet(src)
-    write_batches(enrich_stream(stream), out, scratch(spark, "enriched-ckpt")).awaitTermination()
+        # All files of an arrival are one micro-batch, however many there are; the stream goes on from its checkpoint.
+        stream = spark.readStream.schema(CHANGES).option("recursiveFileLookup", "true").parquet(src)
+        write_batches(enrich_stream(stream), out, checkpoint).awaitTermination()
     sent = spark.read.parquet(out)
     last = latest_by_key(sent, "ticket_id", ["batch_id"], [c for c in sent.columns if c not in ("ticket_id", "batch_id")])
     return newest_window(tickets).select("ticket_id").join(last, "ticket_id").select(
