@@ -13,7 +13,7 @@ arithmetic, so the DuckDB oracle rounds like the reference too.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPLIT = 134217729.0  # 2**27 + 1
@@ -100,3 +100,12 @@ def let(value: Column, body) -> Column:
     being recomputed for every reference.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """``df.where(condition)`` for a condition on columns that are dear to compute.
+
+    A plain filter is pushed below the projections that make its columns, so that all of them are put into the condition, over
+    and over where they build on each other, and are computed again above it. On a generated column it stays where it is.
+    """
+    return df.select("*", F.explode_outer(F.array(condition)).alias("__keep")).where("__keep").drop("__keep")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import redact as RD
 from ..functions import text as T
+from ..functions.numeric import where_computed
 from ..sources import contracts as C
 from ..sources import fixtures
 from ..sources.fixtures import EPOCH, with_views
@@ -92,7 +93,7 @@ def publish_projection(valid: DataFrame) -> DataFrame:
     broker to ``tickets.sanitized`` keyed by ticket id, and to ``privacy.audit`` keyed by
     stream id when it has at least one finding; values are the JSON envelope. Messages are
     redacted once; an array of the topics of each is exploded."""
-    return topic_rows(RD.redact(valid.where(f"not {BYPASSED}"), "raw_text"))
+    return topic_rows(RD.redact(where_computed(valid, F.expr(f"not {BYPASSED}")), "raw_text"))
 
 
 #: Whether a message asks not to be published.
@@ -141,7 +142,7 @@ select 'privacy.audit', concat('stream_', substring(sha256(concat(composed, chr(
 from parts where redacted_count > 0""")
 def q_publish_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-6 batch form: the events of the two topics, their values read back from the JSON."""
-    valid = C.validate_ingest(ingest_messages(spark, sf_dir)).where(F.col("reject_reason").isNull())
+    valid = C.valid_rows(C.validate_ingest(ingest_messages(spark, sf_dir)))
     got = F.from_json("value", "number string, short_description string, urgency int, impact int, category string, raw_text string, "
                       "raw_sha256 string, sanitized_sha256 string, detector_version string, findings array<struct<placeholder:string>>")
     out = publish_projection(valid).select("topic", "key", "redacted_count", got.alias("e"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import where_computed
 from ..functions.rules import strip_ws
 from ..functions.text import compose_raw_text
 
@@ -74,6 +75,11 @@ def validate_ingest(df: DataFrame, value_col: str = "value") -> DataFrame:
     return df.withColumn("raw_text", raw).withColumn("reject_reason", reason).drop("__fields", "__bad")
 
 
+def valid_rows(validated: DataFrame) -> DataFrame:
+    """The rows of :func:`validate_ingest` without a reason to reject them; the messages are decoded once."""
+    return where_computed(validated, F.col("reject_reason").isNull())
+
+
 def _length_checks(limits) -> list[tuple[Column, str]]:
     checks = []
     for name, lo, hi in limits:
