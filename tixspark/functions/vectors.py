@@ -15,7 +15,7 @@ import sys
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -29,6 +29,9 @@ except (ImportError, AttributeError):  # pragma: no cover - older cloudpickle
     pass
 
 
+#: Documents whose sums one task of :func:`md5_embedding_entries` holds.
+DEALT = 4096
+
 # Fixed value: the reference's token pattern (applied to lower-cased text).
 TOKEN_PATTERN = r"[a-z0-9_./:-]+"
 
@@ -104,13 +107,14 @@ def embed_text_md5(text: Column, dim: int = 384) -> Column:
 def md5_embedding_entries(df: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
     """SIM-2 with MD5 instead of BLAKE2b, natively: sparse (id, idx, value) rows.
 
-    Tokens explode per document, the (doc, idx) sums are a partial+final aggregation
-    keyed by document (a hot *token* never concentrates in one task), and the norm is
-    a second aggregation per document over at most ``dim`` rows.
+    Texts are dealt by document, ``DEALT`` rows to a task; tokens explode, are added per (document, idx) and divided by the
+    document's norm in that task. It holds at most ``dim`` sums a document, whatever the number of documents.
     """
+    # The count is taken of the ids alone (of the footers, where the rows are a table).
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.select(id_col).count() // DEALT))
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null").repartition(tasks, "id")
     # explode_outer + filter so the token scan is not repeated in an inferred size() filter.
-    t = df.select(F.col(id_col).alias("id"), F.explode_outer(tokens(F.col(text_col))).alias("tok")) \
-        .where(F.col("tok").isNotNull())
+    t = docs.select("id", F.explode_outer(tokens(F.col("text"))).alias("tok")).where(F.col("tok").isNotNull())
     h = F.md5(F.encode("tok", "UTF-8"))
     slots = t.select(
         "id",
@@ -118,8 +122,8 @@ def md5_embedding_entries(df: DataFrame, id_col: str, text_col: str, dim: int) -
         F.when((F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2) == 1, 1.0).otherwise(-1.0).alias("sgn"),
     )
     summed = slots.groupBy("id", "idx").agg(F.sum("sgn").alias("v")).where(F.col("v") != 0)
-    norms = summed.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return summed.join(norms, "id").select(F.col("id").alias(id_col), "idx", (F.col("v") / F.col("norm")).alias("value"))
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id")))  # at most dim rows, on the same exchange
+    return summed.select(F.col("id").alias(id_col), "idx", (F.col("v") / norm).alias("value"))
 
 
 def dot(a: Column, b: Column) -> Column:
