@@ -67,6 +67,48 @@ def test_near_copies_around_the_threshold(spark):
         setjoin.HEAVY = before
 
 
+def edited(rng, base, edits, mark):
+    w = list(base)
+    for at in rng.sample(range(len(w)), edits):
+        w[at] = f"{mark}{rng.randrange(10**6)}"
+    return w
+
+
+def test_copies_below_the_threshold_are_not_listed_in_pairs(spark, monkeypatch):
+    """Their leader's answers rule the pairs out; what copies of copies have in common outside the leader still links."""
+    listed, count = [], setjoin.listed_pairs
+    monkeypatch.setattr(setjoin, "listed_pairs", lambda lists, answered=False: listed.append(count(lists, answered)) or listed[-1])
+    made = {}
+    for copies in (60, 240):
+        rng = random.Random(8)
+        base = [f"w{i}" for i in range(300)]
+        near = [edited(rng, base, rng.randint(1, 3), "a") for _ in range(copies)]
+        below = [edited(rng, base, rng.randint(7, 9), "b") for _ in range(copies // 2)]
+        again = [edited(rng, w, rng.randint(1, 6), "c") for w in below[::10]] + [edited(rng, w, 6, "d") for w in near[::10]]
+        rows = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate([base, *near, *below, *again])]
+        docs = spark.createDataFrame(rows, DOCS)
+        assert got(docs) == brute(docs.collect())
+        made[copies] = sum(f.count() for f in listed)
+        listed.clear()
+    assert made[60] < 100 and made[240] < 400  # 14,673 and 255,899 without the leader's answers
+
+
+def test_pairs_that_a_leader_answers_are_left_to_what_is_outside():
+    rng = np.random.default_rng(1)
+    token, n = np.sort(rng.integers(0, 9, 200)), rng.integers(20, 30, 200)
+    order = np.lexsort((n, token))
+    token, n, comp, lead = token[order], n[order], rng.integers(0, 50, 200), rng.integers(0, 3, 200)
+    ov, pos, bits, many = rng.integers(15, 30, 200), np.zeros(200, np.int64), np.zeros((200, 4), np.uint64), np.full(200, 99)
+    pairs = lambda short, **more: sorted(zip(*(x.tolist() for x in setjoin.list_pairs(token, n, pos, comp, bits, short, **more)), strict=True))
+    for short in (1, 100):
+        both = [pairs(short, told=(lead, ov, many), answered=answered) for answered in (False, True)]
+        assert sorted(both[0] + both[1]) == pairs(short) and all(both)
+        assert all(lead[i] == lead[j] and min(ov[i], ov[j]) < setjoin.needed(n[i], n[j]) for i, j in both[1])
+        assert not any(lead[i] == lead[j] and min(ov[i], ov[j]) < setjoin.needed(n[i], n[j]) for i, j in both[0])
+        few = pairs(short, told=(np.arange(200), n, np.full(200, 3)))
+        assert few == [(i, j) for i, j in pairs(short) if 3 + -(-4 * max(n[i], n[j]) // 5) - 1 >= setjoin.needed(n[i], n[j])] != pairs(short)
+
+
 def test_awkward_rows(spark):
     docs = with_clashes(spark.createDataFrame(awkward(), DOCS))
     assert got(docs) == brute(docs.collect())

@@ -6,13 +6,19 @@ Two sets link when 100 * |a n b| >= 80 * |a u b|. The steps:
 1. Shingles are counted over all documents; the most frequent ones come last in the order of
    prefixes. The order decides the speed only, never the result.
 2. Of sets that share two bucket minima, the one with the largest share of frequent shingles
-   leads (of edited copies, the one with the fewest edits). Sets that really link to a leader are
-   the highly similar sets whose answers are used later.
+   leads (of edited copies, the one with the fewest edits); sets are compared with their leader and
+   the leader of that one. Sets that really link to a leader are the highly similar sets whose
+   answers are used later. A set that shares half of itself with a leader is in its group, linked or not.
 3. Prefixes are grouped by shingle. Index lists are ordered by set size, then position; for a
    set, only the blocks of sizes that can link are entered, and a block is left at the first
    position that the positional bound rules out. Sets known to be linked are not paired, nor
    those whose parity bitmaps (a bit for each of 256 hash classes) differ in more places than
-   linked sets have shingles of their own.
+   linked sets have shingles of their own, nor those of which one has too few shingles in all lists
+   to share as many as a link needs. Nor are sets a, b of one group where the leader's answers
+   |L n a| and |L n b| are too small: |a n b| <= min(|L n a|, |L n b|) + |(a - L) n (b - L)|, so such
+   sets link only with shingles in common that L does not have. These few have lists of their own,
+   in groups that hold more than one component; edited copies just below the threshold, which
+   have most of L in common, are not paired by it.
 4. Answers are derived: with d(x) the part of x outside its leader and L, M the leaders of a, b,
    |a n b| <= |L n M| + d(a) + d(b), and >= |L n M| less the parts of the leaders outside a and b.
    Only pairs that these bounds leave open are compared.
@@ -232,20 +238,43 @@ def _near(bits: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.n
     return apart <= n[i] + n[j] - 2 * needed(n[i], n[j])
 
 
-def _short_lists(token: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, bits: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+#: Of each row of index lists: the set's leader, its overlap with it, and how many rows the set has in all lists.
+Told = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _rest(n: np.ndarray, ov: np.ndarray, i: np.ndarray, j: np.ndarray, answered: bool) -> np.ndarray:
+    """What sets share at most besides the shingles that lists have of both.
+
+    In lists of prefixes, the set whose prefix ends first shares at most its rest; in lists of all
+    shingles outside a leader, what both share with the leader is left.
+    """
+    return np.minimum(ov[i], ov[j]) if answered else -(-NUM * np.maximum(n[i], n[j]) // DEN) - 1
+
+
+def _open(told: Told, n: np.ndarray, i: np.ndarray, j: np.ndarray, answered: bool) -> np.ndarray:
+    """Whether sets can link by the number of their rows, and (``answered``) one leader's answers leave that to other shingles, or do not."""
+    lead, ov, many = told
+    least = needed(n[i], n[j])
+    ruled = (lead[i] == lead[j]) & (np.minimum(ov[i], ov[j]) < least)
+    return (ruled == answered) & (np.minimum(many[i], many[j]) + _rest(n, ov, i, j, answered) >= least)
+
+
+def _short_lists(
+    token: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, bits: np.ndarray, longest: int, told: Told, answered: bool
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (later, earlier) of rows of index lists of at most ``longest`` rows, all lists at once."""
     for d in range(1, longest):
         i = np.flatnonzero(token[d:] == token[:-d]) + d
         if not len(i):
             return
         j = i - d
-        keep = (comp[i] != comp[j]) & _fits(n[i], pos[i], n[j], pos[j])
+        keep = (comp[i] != comp[j]) & _fits(n[i], pos[i], n[j], pos[j]) & _open(told, n, i, j, answered)
         i, j = i[keep], j[keep]
         keep = _near(bits, n, i, j)
         yield i[keep], j[keep]
 
 
-def _long_list(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _long_list(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, bits: np.ndarray, told: Told, answered: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one index list, ordered by size and position.
 
     For each row only the blocks of sizes that can link are entered, and of a block only the
@@ -262,31 +291,37 @@ def _long_list(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, bits: np.ndarra
             low, high = pos[i] - (n[i] - least), pos[i] + (sizes[k] - least)
             a, b = a + np.searchsorted(pos[a:b], low), a + np.searchsorted(pos[a:b], high, side="right")
             j = np.arange(a, b)[comp[a:b] != comp[i]]
+            j = j[_open(told, n, np.full(len(j), i), j, answered)]
             if len(j) and len(j := j[_near(bits, n, np.full(len(j), i), j)]):
                 yield np.full(len(j), i), j
 
 
 def list_pairs(
-    token: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, bits: np.ndarray, short: int = SHORT
+    token: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, bits: np.ndarray, short: int = SHORT,
+    told: Told | None = None, answered: bool = False,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (later, earlier) of rows of the index lists (ordered by token, n, pos) that can link and are not known to."""
+    """Pairs (later, earlier) of rows of the index lists (ordered by token, n, pos) that can link and are not known to.
+
+    With ``told``, only pairs that their leader's answers rule out but for other shingles (``answered``), or all others.
+    """
+    if told is None:
+        told = np.arange(len(n)), n, n
     cuts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
     ends = np.append(cuts[1:], len(token))
     apart = np.add.reduceat((comp != np.repeat(comp[cuts], ends - cuts)).astype(np.int64), cuts) > 0
     few = apart & (ends - cuts <= short)
     at = np.flatnonzero(np.repeat(few, ends - cuts))
-    found = [(at[i], at[j]) for i, j in _short_lists(token[at], n[at], pos[at], comp[at], bits[at], short)]
+    found = [(at[i], at[j]) for i, j in _short_lists(token[at], n[at], pos[at], comp[at], bits[at], short, tuple(x[at] for x in told), answered)]
     for a, b in zip(cuts[apart & ~few].tolist(), ends[apart & ~few].tolist(), strict=True):
-        found += [(i + a, j + a) for i, j in _long_list(n[a:b], pos[a:b], comp[a:b], bits[a:b])]
+        found += [(i + a, j + a) for i, j in _long_list(n[a:b], pos[a:b], comp[a:b], bits[a:b], tuple(x[a:b] for x in told), answered)]
     none = np.zeros(0, np.int64)
     return tuple(np.concatenate([none, *[f[k] for f in found]]) for k in (0, 1))
 
 
-def candidate_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b) with a < b from ``lists`` (token, set_id, n, pos, comp and the bitmap).
+def listed_pairs(lists: DataFrame, answered: bool = False) -> DataFrame:
+    """(a, b, na, nb, rest, c) with a < b from ``lists`` (token, set_id, n, pos, comp, lead, ov, many and the bitmap).
 
-    The prefix shingles that a pair shares are counted. Of two sets, the one whose prefix ends
-    first shares at most these and its rest, so |a n b| <= count + the larger rest.
+    c counts the lists of a task that hold both; for rest see ``_rest``.
     """
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -303,22 +338,49 @@ def candidate_pairs(lists: DataFrame) -> DataFrame:
             yield found(rest)
 
     def found(batch: pd.DataFrame) -> pd.DataFrame:
-        token, key, n, pos, comp = (batch[c].to_numpy() for c in ("token", "set_id", "n", "pos", "comp"))
+        token, key, n, pos, comp, *told = (batch[c].to_numpy() for c in ("token", "set_id", "n", "pos", "comp", "lead", "ov", "many"))
         bits = np.stack([batch[b].to_numpy() for b in BITMAP], 1).view(np.uint64)
-        i, j = list_pairs(token, n, pos.astype(np.int64), comp, bits)
+        i, j = list_pairs(token, n, pos.astype(np.int64), comp, bits, told=tuple(told), answered=answered)
         x, y = np.where(key[i] < key[j], i, j), np.where(key[i] < key[j], j, i)
-        out = pd.DataFrame({"a": key[x], "b": key[y], "na": n[x], "nb": n[y]})
-        return out.groupby(["a", "b", "na", "nb"], as_index=False).size().rename(columns={"size": "c"})
+        out = pd.DataFrame({"a": key[x], "b": key[y], "na": n[x], "nb": n[y], "rest": _rest(n, told[1], i, j, answered)})
+        return out.groupby(["a", "b", "na", "nb", "rest"], as_index=False).size().rename(columns={"size": "c"})
 
     ordered = lists.repartition("token").sortWithinPartitions("token", "n", "pos")
-    counted = ordered.mapInPandas(pairs, "a long, b long, na long, nb long, c long")
-    counted = counted.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
-    rest = lambda n: f"(({NUM} * {n} + {DEN - 1}) div {DEN} - 1)"  # noqa: E731  what is left beyond the prefix
-    return counted.where(f"{NUM + DEN} * (c + greatest({rest('na')}, {rest('nb')})) >= {NUM} * (na + nb)").select("a", "b")
+    return ordered.mapInPandas(pairs, "a long, b long, na long, nb long, rest long, c long")
+
+
+def candidate_pairs(lists: DataFrame, answered: bool = False) -> DataFrame:
+    """(a, b) with a < b of the listed pairs that share enough: |a n b| <= count + rest."""
+    counted = listed_pairs(lists, answered).groupBy("a", "b", "na", "nb", "rest").agg(F.sum("c").alias("c"))
+    return counted.where(f"{NUM + DEN} * (c + rest) >= {NUM} * (na + nb)").select("a", "b")
+
+
+def outside_lists(leads: DataFrame, known: DataFrame) -> DataFrame:
+    """Lists, in the form of ``index_lists``, of the shingles that sets have outside their leader; lists are of one group.
+
+    Groups of one component have none.
+    """
+    mixed = known.groupBy("lead").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("lead")
+    rows = leads.join(mixed, "lead").select("set_id", "lead", "own").join(known.select("set_id", "n"), "set_id")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                own = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("own")]
+                at = np.repeat(np.arange(len(own)), [len(o) for o in own])
+                columns = [pa.array(np.concatenate(own))] + [pa.array(part.column(c).to_numpy()[at]) for c in ("lead", "set_id", "n")]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "lead", "set_id", "n"])
+
+    rows = rows.mapInArrow(spread, "token long, lead long, set_id long, n long")
+    return rows.select(F.xxhash64("lead", "token").alias("token"), "set_id", "n", F.lit(0).alias("pos"))
 
 
 def overlaps(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with the exact sizes na, nb and ov = |a n b|. Texts are read again for the sets needed only."""
+    """``pairs`` (a, b) with the exact sizes na, nb, ov = |a n b| and own, b's shingles outside a.
+
+    own is null where less than half of the larger set is in common. Texts are read again for the sets needed only.
+    """
     pairs = staged(pairs)
     want = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
     want = staged(want.join(sets, "set_id").select("set_id", "doc_id", "text_key"))
@@ -331,36 +393,44 @@ def overlaps(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     rows = docs.join(small_side(want), ["doc_id", "text_key"]).select("set_id", "text")
     data = staged(rows.mapInArrow(content, "set_id long, data binary").groupBy("set_id").agg(F.first("data").alias("data")))
 
-    def shared(x: bytes, y: bytes) -> int:
-        x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
-        return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb, ov = [], [], []
+            na, nb, ov, own = [], [], [], []
             for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
-                x, y = x.as_buffer(), y.as_buffer()
-                na.append(x.size // 8)
-                nb.append(y.size // 8)
-                ov.append(shared(x, y))
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+                na.append(len(x))
+                nb.append(len(y))
+                ov.append(int(both.sum()))
+                own.append(y[~both].tobytes() if 2 * ov[-1] >= max(len(x), len(y)) else None)
             sizes = [pa.array(v, pa.int64()) for v in (na, nb, ov)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *sizes], names=["a", "b", "na", "nb", "ov"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *sizes, pa.array(own, pa.binary())], names=["a", "b", "na", "nb", "ov", "own"])
 
     both = pairs.join(data.select(F.col("set_id").alias("a"), F.col("data").alias("xa")), "a")
     both = both.join(data.select(F.col("set_id").alias("b"), F.col("data").alias("xb")), "b")
-    return staged(both.select("a", "b", "xa", "xb").mapInArrow(compare, "a long, b long, na long, nb long, ov long"))
+    return staged(both.select("a", "b", "xa", "xb").mapInArrow(compare, "a long, b long, na long, nb long, ov long, own binary"))
 
 
 _LINKED = f"{NUM + DEN} * ov >= {NUM} * (na + nb)"
 
 
-def _leaders(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a: leader, b, na, nb, ov) of sets with the leader of those that have a key in common."""
+def _leaders(sets: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a: leader, b, na, nb, ov) of sets with leaders, and each set's leader (set_id, lead, ov, own), linked or not.
+
+    Leaders are those of the keys that a set has, and the leader of the first of them. A set's
+    own leader is the first (by its share of frequent shingles) that has half of it.
+    """
     keyed = sets.select("set_id", "shared", F.explode("keys").alias("key"))
-    lead = F.max(F.struct("shared", "set_id"))["set_id"].alias("a")
-    least = staged(keyed.groupBy("key").agg(lead, F.count("*").alias("c")).where("c > 1").select("key", "a"))
-    stars = keyed.join(least, "key").where("set_id != a").select("a", F.col("set_id").alias("b")).distinct()
-    return overlaps(stars, docs, sets).where(_LINKED)
+    lead = F.max(F.struct("shared", "set_id")).alias("x")
+    least = staged(keyed.groupBy("key").agg(lead, F.count("*").alias("c")).where("c > 1").select("key", F.col("x.set_id").alias("a"), F.col("x.shared").alias("rank")))
+    stars = staged(keyed.join(least, "key").where("set_id != a").select("a", F.col("set_id").alias("b"), "rank").distinct())
+    first = staged(stars.groupBy("b").agg(F.max(F.struct("rank", "a")).alias("x")).select("b", F.col("x.a").alias("a")))
+    second = first.join(first.select(F.col("b").alias("a"), F.col("a").alias("up")), "a").select(F.col("up").alias("a"), "b")
+    found = overlaps(stars.select("a", "b").unionByName(second).distinct(), docs, sets)
+    ranked = found.where("own is not null").join(sets.select(F.col("set_id").alias("a"), "shared"), "a")
+    leads = ranked.groupBy("b").agg(F.max(F.struct("shared", "a", "ov", "own")).alias("x"))
+    leads = staged(leads.select(F.col("b").alias("set_id"), F.col("x.a").alias("lead"), "x.ov", "x.own"))
+    return found.where(_LINKED).drop("own"), leads
 
 
 def _settle(pairs: DataFrame, stars: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -401,14 +471,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = info.where("n > 0 and doc_id is not null").groupBy("set_id").agg(first.alias("d"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("shared").alias("shared"), *[F.first(b).alias(b) for b in BITMAP])
     sets = staged(sets.select("set_id", "d.doc_id", "d.text_key", "n", "keys", "shared", *BITMAP))
 
-    stars = _leaders(sets, texts)
+    stars, leads = _leaders(sets, texts)
     roots = staged(components(stars.select("a", "b")))
 
     lists = staged(index_lists(texts, frequent, parts))
     known = roots.select(F.col("node").alias("set_id"), F.col("root").alias("comp"))
-    known = staged(sets.select("set_id", *BITMAP).join(known, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id")))
-    lists = lists.join(known, "set_id")
-    links = _settle(candidate_pairs(lists), stars, texts, sets)
+    known = sets.select("set_id", "n", *BITMAP).join(known, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+    known = known.join(leads.select("set_id", "lead", "ov"), "set_id", "left")
+    known = staged(known.withColumn("lead", F.coalesce("lead", "set_id")).withColumn("ov", F.coalesce("ov", "n")))
+    many = lists.groupBy("set_id").agg(F.count("*").alias("many"))
+    pairs = candidate_pairs(lists.join(known.drop("n").join(many, "set_id"), "set_id"))
+    outside = outside_lists(leads, known).join(known.withColumn("many", F.col("n") - F.col("ov")).drop("n"), "set_id")
+    outside = candidate_pairs(outside, answered=True)
+    links = _settle(pairs.unionByName(outside), stars, texts, sets)
 
     # Join the components that the new links connect.
     root = roots.select(F.col("node"), "root")
