@@ -41,7 +41,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, staged
+from .common import join_hot, small_side, staged
 from .components import components
 from .shingles import WIDTH, set_id, shingle_sets
 
@@ -360,8 +360,9 @@ def outside_lists(leads: DataFrame, known: DataFrame) -> DataFrame:
 
     Groups of one component have none.
     """
-    mixed = known.groupBy("lead").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("lead")
-    rows = leads.join(mixed, "lead").select("set_id", "lead", "own").join(known.select("set_id", "n"), "set_id")
+    mixed = known.groupBy("lead").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("c"))
+    mixed = staged(mixed.where("c0 < c1").select("lead", "c"))
+    rows = join_hot(leads, mixed, "lead", "c").select("set_id", "lead", "own").join(known.select("set_id", "n"), "set_id")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
