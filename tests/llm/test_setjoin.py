@@ -179,3 +179,22 @@ def test_components(spark):
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.root for r in found} == want and len(found) == len(want)
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_entries_of_prefixes_are_dealt_evenly_and_groups_do_not_grow(spark, monkeypatch):
+    """Prefixes are the low hashes of sets; a part must not get more of them for that. Copies in a task are sent once."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(200)), "en", "s", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows + [(i + 400, *r[1:]) for i, r in enumerate(rows)], DOCS).coalesce(1)
+    none = spark.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    dealt = [r["sum(n)"] for r in setjoin.packed_prefixes(docs, none, 64).groupBy("part").sum("n").collect()]
+    assert len(dealt) == 64 and sum(dealt) == 400 * setjoin._prefix(196)
+    assert max(dealt) < 1.5 * sum(dealt) / 64  # 4.7 times the mean when dealt by the hash that orders prefixes
+    for group in (setjoin.GROUP, setjoin.GROUP_LISTS):
+        parts = [setjoin._parts(docs, entries, group) for entries in (0, 1000 * group, 2000 * group)]
+        assert parts == [64, 1000, 2000]
+    want = got(docs)
+    monkeypatch.setattr(setjoin, "GROUP", 50)
+    monkeypatch.setattr(setjoin, "GROUP_LISTS", 50)
+    monkeypatch.setattr(setjoin, "FLUSH_LISTS", 500)
+    assert got(docs) == want and all(c == d % 400 for d, _, c in want)

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import join_hot, small_side, staged
 from .components import components
-from .shingles import WIDTH, set_id, shingle_sets
+from .shingles import WIDTH, mix, set_id, shingle_sets
 
 #: Share of the union that two sets have in common at least, as NUM / DEN.
 NUM, DEN = 4, 5
@@ -51,8 +51,12 @@ NUM, DEN = 4, 5
 RANGES, KEYS = 8, 4
 #: Shingles in at least HEAVY documents are told to all tasks, the most frequent TOLD of them at most (16 bytes each).
 HEAVY, TOLD = 24, 1 << 20
-#: Shingles kept in a task before they are sent on.
-FLUSH = 1 << 20
+#: Shingles kept in a task before they are sent on, and entries (24 bytes each) of index lists.
+FLUSH, FLUSH_LISTS = 1 << 20, 1 << 18
+#: Shingles, and entries of index lists, that a pandas group is to hold about; there are as many groups as that takes.
+GROUP, GROUP_LISTS = 1 << 20, 1 << 18
+#: Bytes of text for a shingle, about. It decides the number of groups only.
+WORD_BYTES = 6
 #: Rows of texts worked on at once.
 ROWS = 256
 #: Columns of the parity bitmap.
@@ -150,6 +154,11 @@ def _wide(b: np.ndarray, kind: str) -> np.ndarray:
     return np.ascontiguousarray(b).view(kind).ravel()
 
 
+def _parts(df: DataFrame, entries: int, group: int) -> int:
+    """The number of pandas groups for so many entries: a group does not grow with the table."""
+    return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries // group))
+
+
 def frequent_shingles(texts: DataFrame, parts: int) -> DataFrame:
     """(token, df): the first 40 bits of shingles in at least HEAVY documents. Copies within a batch count once."""
 
@@ -181,31 +190,43 @@ def frequent_shingles(texts: DataFrame, parts: int) -> DataFrame:
     return packed.groupBy("part").applyInPandas(count, "token long, df long")
 
 
-def index_lists(texts: DataFrame, frequent: Broadcast, parts: int) -> DataFrame:
-    """(token, set_id, n, pos) of the prefixes, for the shingles that are in the prefix of two sets or more."""
+def packed_prefixes(texts: DataFrame, frequent: Broadcast, parts: int) -> DataFrame:
+    """(part, n, data): the entries of index lists, for each set that a task has. See ``_rows``.
+
+    Prefixes hold the lowest hashes of sets, so shingles are dealt to parts by a hash of their own.
+    """
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size = [], 0
+        kept, size = {}, 0
         for _, sets in _sets(batches):
-            for key, s in {set_id(s): s for s in sets if len(s)}.items():
+            for s in sets:
+                if not len(s) or (key := set_id(s)) in kept:
+                    continue
                 df = _counts(s, frequent.value)
                 if df.any():
                     s = s[np.argsort(df, kind="stable")]
-                p = s[: _prefix(len(s))]
-                kept.append((p, key, len(s)))
+                p = s[: _prefix(len(s))].copy()
+                kept[key] = p, len(s)
                 size += len(p)
-                if size >= FLUSH:
+                if size >= FLUSH_LISTS:
                     yield from flush(kept)
-                    kept, size = [], 0
+                    kept, size = {}, 0
         yield from flush(kept)
 
-    def flush(kept: list) -> Iterator[pa.RecordBatch]:
+    def flush(kept: dict) -> Iterator[pa.RecordBatch]:
         if kept:
-            many = [len(k[0]) for k in kept]
-            token = np.concatenate([k[0] for k in kept])
-            key = np.repeat(np.array([k[1] for k in kept], np.int64), many)
-            n = np.repeat(np.array([k[2] for k in kept], np.uint32), many)
+            many = [len(p) for p, _ in kept.values()]
+            token = np.concatenate([p for p, _ in kept.values()])
+            key = np.repeat(np.array(list(kept), np.int64), many)
+            n = np.repeat(np.array([n for _, n in kept.values()], np.uint32), many)
             pos = np.concatenate([np.arange(m, dtype=np.uint32) for m in many])
-            yield from _rows(parts, token, [token.astype(">u8"), key, n, pos])
+            yield from _rows(parts, mix(token), [token.astype(">u8"), key, n, pos])
+
+    return texts.select("text").mapInArrow(send, "part int, n int, data binary")
+
+
+def index_lists(texts: DataFrame, frequent: Broadcast, parts: int) -> DataFrame:
+    """(token, set_id, n, pos) of the prefixes, for the shingles that are in the prefix of two sets or more."""
 
     def lists(group: pd.DataFrame) -> pd.DataFrame:
         t, key, n, pos = _planes(group, [8, 8, 4, 4])
@@ -219,7 +240,7 @@ def index_lists(texts: DataFrame, frequent: Broadcast, parts: int) -> DataFrame:
         more = np.append(same, False) | np.insert(same, 0, False)
         return pd.DataFrame({"token": token[more], "set_id": key[more], "n": n[more].astype(np.int64), "pos": pos[more].astype(np.int32)})
 
-    packed = texts.select("text").mapInArrow(send, "part int, n int, data binary")
+    packed = packed_prefixes(texts, frequent, parts)
     return packed.groupBy("part").applyInPandas(lists, "token long, set_id long, n long, pos int")
 
 
@@ -464,8 +485,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.xxhash64("text", F.octet_length("text")).alias("text_key"))
     texts = docs.where("doc_id is not null")
-    parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    top = frequent_shingles(texts, parts).orderBy(F.desc("df"), "token").limit(TOLD).toPandas().sort_values("token")
+    n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    top = frequent_shingles(texts, _parts(texts, n_bytes // WORD_BYTES, GROUP)).orderBy(F.desc("df"), "token").limit(TOLD).toPandas().sort_values("token")
     frequent = spark.sparkContext.broadcast((top["token"].to_numpy(np.int64), top["df"].to_numpy(np.int64)))
     info = staged(describe(docs, frequent))
     first = F.min(F.struct("doc_id", "text_key"))
@@ -475,7 +496,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars, leads = _leaders(sets, texts)
     roots = staged(components(stars.select("a", "b")))
 
-    lists = staged(index_lists(texts, frequent, parts))
+    entries = info.where("n > 0 and doc_id is not null").agg(F.sum(F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN} + 1"))).first()[0] or 0
+    lists = staged(index_lists(texts, frequent, _parts(texts, entries, GROUP_LISTS)))
     known = roots.select(F.col("node").alias("set_id"), F.col("root").alias("comp"))
     known = sets.select("set_id", "n", *BITMAP).join(known, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
     known = known.join(leads.select("set_id", "lead", "ov"), "set_id", "left")
