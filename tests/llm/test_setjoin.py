@@ -187,7 +187,9 @@ def test_entries_of_prefixes_are_dealt_evenly_and_groups_do_not_grow(spark, monk
     rows = [(i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(200)), "en", "s", 0) for i in range(400)]
     docs = spark.createDataFrame(rows + [(i + 400, *r[1:]) for i, r in enumerate(rows)], DOCS).coalesce(1)
     none = spark.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros(0, np.int64)))
-    dealt = [r["sum(n)"] for r in setjoin.packed_prefixes(docs, none, 64).groupBy("part").sum("n").collect()]
+    packed = setjoin.packed_prefixes(docs, none, 64)
+    assert all(len(r["data"]) == 17 * r["n"] for r in packed.collect())  # 24 with whole hashes and sizes
+    dealt = [r["sum(n)"] for r in packed.groupBy("part").sum("n").collect()]
     assert len(dealt) == 64 and sum(dealt) == 400 * setjoin._prefix(196)
     assert max(dealt) < 1.5 * sum(dealt) / 64  # 4.7 times the mean when dealt by the hash that orders prefixes
     for group in (setjoin.GROUP, setjoin.GROUP_LISTS):

@@ -51,7 +51,7 @@ NUM, DEN = 4, 5
 RANGES, KEYS = 8, 4
 #: Shingles in at least HEAVY documents are told to all tasks, the most frequent TOLD of them at most (16 bytes each).
 HEAVY, TOLD = 24, 1 << 20
-#: Shingles kept in a task before they are sent on, and entries (24 bytes each) of index lists.
+#: Shingles kept in a task before they are sent on, and entries (17 bytes each) of index lists.
 FLUSH, FLUSH_LISTS = 1 << 20, 1 << 18
 #: Shingles, and entries of index lists, that a pandas group is to hold about; there are as many groups as that takes.
 GROUP, GROUP_LISTS = 1 << 20, 1 << 18
@@ -121,14 +121,14 @@ def describe(docs: DataFrame, frequent: Broadcast) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, text_key long, set_id long, n long, keys array<long>, shared double, " + ", ".join(f"{b} long" for b in BITMAP))
 
 
-def _rows(parts: int, values: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Byte planes of columns (ordered by ``values``), a row for each of ``parts`` ranges of the values."""
+def _rows(parts: int, values: np.ndarray, columns: list[np.ndarray], dealt: bool = False) -> Iterator[pa.RecordBatch]:
+    """Byte planes of columns (ordered by ``values``), a row for each of ``parts`` ranges of the values, or (``dealt``) of their hashes."""
     if not len(values):
         return
-    order = np.argsort(values, kind="stable")
-    values = values[order]
     step = (1 << 64) // parts + 1
-    cuts = np.searchsorted(values, np.array([i * step for i in range(1, parts)], np.uint64))
+    to = (mix(values) if dealt else values) // np.uint64(step)
+    order = np.lexsort((values, to)) if dealt else np.argsort(values, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(1, parts, dtype=np.uint64))
     planes = [np.ascontiguousarray(c[order]).view(np.uint8).reshape(len(order), -1) for c in columns]
     part, n, data = [], [], []
     for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(order)], strict=True)):
@@ -193,7 +193,9 @@ def frequent_shingles(texts: DataFrame, parts: int) -> DataFrame:
 def packed_prefixes(texts: DataFrame, frequent: Broadcast, parts: int) -> DataFrame:
     """(part, n, data): the entries of index lists, for each set that a task has. See ``_rows``.
 
-    Prefixes hold the lowest hashes of sets, so shingles are dealt to parts by a hash of their own.
+    Of a shingle the first 40 bits are sent. Shingles that agree in these share a list: pairs may
+    be counted too often, never too seldom, as entries at different positions stay apart. Prefixes
+    hold the lowest hashes of sets, so shingles are dealt to parts by a hash of their own.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +208,7 @@ def packed_prefixes(texts: DataFrame, frequent: Broadcast, parts: int) -> DataFr
                 if df.any():
                     s = s[np.argsort(df, kind="stable")]
                 p = s[: _prefix(len(s))].copy()
-                kept[key] = p, len(s)
+                kept[key] = p
                 size += len(p)
                 if size >= FLUSH_LISTS:
                     yield from flush(kept)
@@ -215,33 +217,35 @@ def packed_prefixes(texts: DataFrame, frequent: Broadcast, parts: int) -> DataFr
 
     def flush(kept: dict) -> Iterator[pa.RecordBatch]:
         if kept:
-            many = [len(p) for p, _ in kept.values()]
-            token = np.concatenate([p for p, _ in kept.values()])
+            many = [len(p) for p in kept.values()]
+            token = np.concatenate(list(kept.values()))
             key = np.repeat(np.array(list(kept), np.int64), many)
-            n = np.repeat(np.array([n for _, n in kept.values()], np.uint32), many)
             pos = np.concatenate([np.arange(m, dtype=np.uint32) for m in many])
-            yield from _rows(parts, mix(token), [token.astype(">u8"), key, n, pos])
+            token &= ~np.uint64((1 << 24) - 1)
+            yield from _rows(parts, token, [token.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5], key, pos], dealt=True)
 
     return texts.select("text").mapInArrow(send, "part int, n int, data binary")
 
 
 def index_lists(texts: DataFrame, frequent: Broadcast, parts: int) -> DataFrame:
-    """(token, set_id, n, pos) of the prefixes, for the shingles that are in the prefix of two sets or more."""
+    """(token, set_id, pos) of the prefixes, for the shingles that are in the prefix of two sets or more."""
 
     def lists(group: pd.DataFrame) -> pd.DataFrame:
-        t, key, n, pos = _planes(group, [8, 8, 4, 4])
-        token, key, n, pos = _wide(t, ">u8").astype(np.uint64).view(np.int64), _wide(key, np.int64), _wide(n, np.uint32), _wide(pos, np.uint32)
-        order = np.lexsort((key, token))
-        token, key, n, pos = token[order], key[order], n[order], pos[order]
+        t, key, pos = _planes(group, [5, 8, 4])
+        value = np.zeros((len(t), 8), np.uint8)
+        value[:, :5] = t
+        token, key, pos = _wide(value, ">u8").astype(np.uint64).view(np.int64), _wide(key, np.int64), _wide(pos, np.uint32)
+        order = np.lexsort((pos, key, token))
+        token, key, pos = token[order], key[order], pos[order]
         fresh = np.ones(len(token), bool)  # one entry for a set that several tasks sent
-        fresh[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-        token, key, n, pos = token[fresh], key[fresh], n[fresh], pos[fresh]
+        fresh[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])
+        token, key, pos = token[fresh], key[fresh], pos[fresh]
         same = token[1:] == token[:-1]
         more = np.append(same, False) | np.insert(same, 0, False)
-        return pd.DataFrame({"token": token[more], "set_id": key[more], "n": n[more].astype(np.int64), "pos": pos[more].astype(np.int32)})
+        return pd.DataFrame({"token": token[more], "set_id": key[more], "pos": pos[more].astype(np.int32)})
 
     packed = packed_prefixes(texts, frequent, parts)
-    return packed.groupBy("part").applyInPandas(lists, "token long, set_id long, n long, pos int")
+    return packed.groupBy("part").applyInPandas(lists, "token long, set_id long, pos int")
 
 
 def _fits(ni: np.ndarray, pi: np.ndarray, nj: np.ndarray, pj: np.ndarray) -> np.ndarray:
@@ -377,7 +381,7 @@ def candidate_pairs(lists: DataFrame, answered: bool = False) -> DataFrame:
 
 
 def outside_lists(leads: DataFrame, known: DataFrame) -> DataFrame:
-    """Lists, in the form of ``index_lists``, of the shingles that sets have outside their leader; lists are of one group.
+    """Lists (token, set_id, n, pos) of the shingles that sets have outside their leader; lists are of one group.
 
     Groups of one component have none.
     """
@@ -503,7 +507,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = known.join(leads.select("set_id", "lead", "ov"), "set_id", "left")
     known = staged(known.withColumn("lead", F.coalesce("lead", "set_id")).withColumn("ov", F.coalesce("ov", "n")))
     many = lists.groupBy("set_id").agg(F.count("*").alias("many"))
-    pairs = candidate_pairs(lists.join(known.drop("n").join(many, "set_id"), "set_id"))
+    pairs = candidate_pairs(lists.join(known.join(many, "set_id"), "set_id"))
     outside = outside_lists(leads, known).join(known.withColumn("many", F.col("n") - F.col("ov")).drop("n"), "set_id")
     outside = candidate_pairs(outside, answered=True)
     links = _settle(pairs.unionByName(outside), stars, texts, sets)
