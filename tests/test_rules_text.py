@@ -77,3 +77,14 @@ def test_steps_actionable(spark):
                                "s array<string>")
     got = [r.x for r in ok.select(R.steps_actionable(F.col("s")).alias("x")).collect()]
     assert got == [True, False]
+
+
+def test_rules_lower_a_text_once_and_look_for_patterns_only_where_they_can_match(spark):
+    """``lower`` ran for each term, 25 times a text; it is most of the cost of texts that are not plain ASCII."""
+    df = spark.createDataFrame([("BEARER ABCDEFGHIJKL1", 0), ("É api-key: s\u00e9cret99", 1), ("Pwd = hunter2x", 2), ("passwd:short secret=longenough", 3),
+                                ("Passphrase: longenough", 4), ("bearer short api_key=1", 5), (None, 6), ("", 7), ("OAuth Token", 8)], "t string, i int")
+    got = {r.i: r.s for r in df.select("i", R.security_findings(F.col("t")).alias("s")).collect()}
+    assert got == {0: ["Bearer token exposure"], 1: ["API key exposure"], 2: ["Credential exposure"], 3: ["Credential exposure"], 4: [], 5: [],
+                   6: [], 7: [], 8: ["OAuth token exposure"]}
+    plan = df.select(R.security_findings(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(t#") == 1
